@@ -83,6 +83,21 @@ class Fixtures:
                          .alias("ticket_price_cents"))
         return first.unionByName(later)
 
+    @cached_property
+    def new_events(self) -> DataFrame:
+        """Event creation requests derived from ``part`` (ids ``new-<k>``):
+        some without a name, some with capacity <= 0, some free, some without
+        a price; the input of P9 and C4."""
+        k = F.col("p_partkey")
+        cols = self._event_cols(k)
+        return self.table("part").select(
+            F.concat(F.lit("new-"), _s(k)).alias("id"),
+            F.when(k % 13 == 0, F.lit("")).otherwise(F.col("p_name")).alias("name"),
+            cols[2], cols[3], cols[4],
+            (F.col("p_size") - 5).cast("int").alias("capacity"),
+            F.when(k % 7 == 0, F.lit(0).cast("bigint")).when(k % 11 == 0, F.lit(None).cast("bigint"))
+             .otherwise(F.round(F.col("p_retailprice") * 100).cast("bigint")).alias("ticket_price_cents"))
+
     # ---- requests / bookings / commands --------------------------------
     def _request_base(self) -> DataFrame:
         li = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -142,6 +157,19 @@ class Fixtures:
                 .unionByName(part(settled.where(uid % 5 == 0), F.col("updated_at") + _minutes(F.lit(1)), 2, same))
                 .unionByName(part(settled.where(uid % 13 == 0), F.col("updated_at") + _minutes(F.lit(2)), 3, flip)))
 
+    @cached_property
+    def natural_key_rows(self) -> DataFrame:
+        """Rows naming their user by e-mail and their event by name (the seed
+        loader's form), some naming no one; the input of J2."""
+        e = self.events.select(F.col("id").alias("_eid"), "name")
+        r = self.requests.join(e, F.col("event_id") == F.col("_eid"))
+        return r.select(
+            F.col("id").alias("request_id"),
+            F.concat(F.when(F.col("user_id").cast("bigint") % 9 == 0, F.lit("nobody")).otherwise(F.lit("user")),
+                     F.col("user_id"), F.lit("@example.com")).alias("email"),
+            F.when(F.col("event_id").cast("bigint") % 10 == 0, F.concat(F.col("name"), F.lit(" (gone)")))
+             .otherwise(F.col("name")).alias("event_name"))
+
     # ---- messages / access log --------------------------------------------
     @cached_property
     def messages(self) -> DataFrame:
@@ -170,6 +198,21 @@ class Fixtures:
             F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(_s("user_id")).alias("user_id"),
         )
 
+    @cached_property
+    def access_lines(self) -> DataFrame:
+        """``access`` written as the request logger's JSON lines (level chosen
+        as the logger chooses it), the input of S5."""
+        a = self.access
+        st = F.col("status")
+        level = F.when(st >= 500, F.lit("error")).when(st >= 400, F.lit("warn")).otherwise(F.lit("info"))
+        line = F.to_json(F.struct(
+            level.alias("level"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"),
+            F.lit("Request completed").alias("msg"), F.lit("access").alias("log_type"),
+            "request_id", "method", "path", "status", F.col("latency_ms").alias("latency"),
+            "client_ip", F.lit("Go-http-client/1.1").alias("user_agent"), "user_id"))
+        return a.select(line.alias("value"))
+
     @cached_property
     def booking_messages(self) -> DataFrame:
         b = self.bookings

@@ -112,6 +112,15 @@ FROM v_users WHERE CAST(id AS BIGINT) % 3 = 0""",
 FROM supplier""",
 }
 
+VIEWS["v_new_events"] = """SELECT 'new-' || CAST(p_partkey AS VARCHAR) AS id,
+  CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS name,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS description,
+  TIMESTAMP '1998-01-01 00:00:00' + to_minutes(CAST(p_partkey * 1013 % 1576800 AS INTEGER)) AS starts_at,
+  TIMESTAMP '1998-01-01 02:00:00' + to_minutes(CAST(p_partkey * 1013 % 1576800 AS INTEGER)) AS ends_at,
+  CAST(p_size - 5 AS INTEGER) AS capacity,
+  CASE WHEN p_partkey % 7 = 0 THEN CAST(0 AS BIGINT) WHEN p_partkey % 11 = 0 THEN CAST(NULL AS BIGINT)
+       ELSE CAST(round(p_retailprice * 100) AS BIGINT) END AS ticket_price_cents
+FROM part"""
 # derived views used by several oracle queries
 VIEWS["v_events_stocked"] = "SELECT *, capacity AS remaining FROM v_events"
 

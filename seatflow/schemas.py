@@ -76,13 +76,19 @@ BOOKING_MESSAGE = T.StructType([
     _f("quantity", T.IntegerType()),
 ])
 
-ACCESS_LOG = T.StructType([
-    _f("ts", T.TimestampType()),
+# one access-log line as the request logger writes it: ISO-8601 ``ts``
+# (milliseconds, zone suffix), ``latency`` in milliseconds; ``user_id`` and
+# ``errors`` appear only on some lines
+ACCESS_LINE = T.StructType([
+    _f("level", T.StringType()),
+    _f("ts", T.StringType()),
+    _f("msg", T.StringType()),
+    _f("log_type", T.StringType()),
     _f("request_id", T.StringType()),
     _f("method", T.StringType()),
     _f("path", T.StringType()),
     _f("status", T.IntegerType()),
-    _f("latency_ms", T.DoubleType()),
+    _f("latency", T.DoubleType()),
     _f("client_ip", T.StringType()),
     _f("user_agent", T.StringType()),
     _f("user_id", T.StringType()),

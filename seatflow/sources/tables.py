@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seatflow.schemas import ACCESS_LOG, DEFAULTS, TABLES
+from seatflow.schemas import ACCESS_LINE, DEFAULTS, TABLES
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -76,14 +76,23 @@ def read_jdbc_table(spark: SparkSession, table: str, **kwargs) -> DataFrame:
     return conform(spark.read.format("jdbc").options(**jdbc_options(table=table, **kwargs)).load(), table)
 
 
-def read_access_log(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON record per request.  ``user_id`` and ``errors`` are
-    present only on some lines; lines that do not parse keep their text in
-    ``_corrupt_record`` instead of failing the job."""
-    schema = T.StructType(ACCESS_LOG.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema)
-          .option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX")
-          .json(path))
-    return df
+def parse_access_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """S5 on a column of log lines (batch or streaming): one record per
+    request with ``ts`` as a timestamp and ``latency_ms``.  A line that does
+    not parse keeps its text in ``_corrupt_record`` instead of failing."""
+    schema = T.StructType(ACCESS_LINE.fields + [T.StructField("_corrupt_record", T.StringType())])
+    r = F.from_json(F.col(line_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    keep = [c for c in lines.columns if c != line_col]
+    return lines.select(*keep, r.alias("_r")).select(
+        *keep,
+        F.to_timestamp("_r.ts").alias("ts"),
+        *[F.col(f"_r.{c}").alias(c) for c in ("level", "request_id", "method", "path", "status")],
+        F.col("_r.latency").alias("latency_ms"),
+        *[F.col(f"_r.{c}").alias(c) for c in ("client_ip", "user_agent", "user_id", "errors", "_corrupt_record")])
+
+
+def read_access_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """JSON-lines access log files (rotated daily) read as text and
+    parsed with the fixed line schema; nothing is inferred."""
+    reader = spark.readStream if stream else spark.read
+    return parse_access_lines(reader.text(path))
