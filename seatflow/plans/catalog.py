@@ -33,10 +33,10 @@ PENDING_CUTOFF = "1997-01-01T00:00:00Z"
 GAUGE_AT = "1999-01-01 00:00:00"
 
 
-def register(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
+def register(name: str, sql: str | None = None, extra: dict[str, str] | None = None, recursive: bool = False):
     """Decorator: add a builder under ``name`` with its oracle text."""
     def wrap(fn):
-        REGISTRY[name] = Query(name, fn, with_views(sql, extra) if sql else None)
+        REGISTRY[name] = Query(name, fn, with_views(sql, extra, recursive) if sql else None)
         return fn
     return wrap
 

@@ -130,7 +130,7 @@ def _deps(name: str) -> list[str]:
     return [v for v in VIEWS if v != name and re.search(rf"\b{v}\b", body)]
 
 
-def with_views(body: str, extra: dict[str, str] | None = None) -> str:
+def with_views(body: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """Prefix ``body`` with the CTEs it (transitively) mentions, in order.
 
     ``extra`` adds query-local CTEs (name -> text) that may use the views; they
@@ -154,4 +154,4 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     ctes += [f"{k} AS (\n{t}\n)" for k, t in extra.items()]
     if not ctes:
         return body
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
