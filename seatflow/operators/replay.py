@@ -69,51 +69,53 @@ def admit(requests: DataFrame, events: DataFrame, order: tuple[str, ...] = ("cre
     the requests with ``admitted``, ``remaining`` (seats left right after the
     request) and ``reason`` (NOT_ENOUGH_TICKETS, or UNKNOWN_EVENT for an event
     that does not exist, which the service also reports as not enough).
+
+    Each round, per event with remainder ``rem``: a running sum ``cum`` of the
+    quantities that can still fit (``q <= rem``; others count 0).  Rows with
+    ``cum <= rem`` are decided (admitted if they fit, else refused for good),
+    with ``remaining = rem - cum``; the first row with ``cum > rem`` is
+    refused; everything after it waits for the next round, which starts
+    from ``rem - (cum - q)`` of that row.  Rounds are written to the shared
+    checkpoint folder, so a lost executor never replays earlier rounds.
     """
     order = list(order)
     start_col = "remaining" if "remaining" in events.columns else "capacity"
-    start = events.select(F.col("id").alias("event_id"), F.col(start_col).cast("bigint").alias("_start"))
-    unknown = (requests.join(start, "event_id", "left_anti")
-               .withColumn("admitted", F.lit(False))
-               .withColumn("remaining", F.lit(None).cast("int"))
-               .withColumn("reason", F.lit(UNKNOWN_EVENT)))
-
-    pending = requests.join(start, "event_id").withColumn("_rem", F.col("_start"))
+    start = events.select(F.col("id").alias("event_id"), F.col(start_col).cast("bigint").alias("_rem"))
+    out_cols = requests.columns + ["admitted", "remaining", "reason"]
+    pending = requests.join(start, "event_id", "left")
     decided: list[DataFrame] = []
     rounds = 0
     while True:
         rounds += 1
         q, rem = F.col("quantity"), F.col("_rem")
-        never = pending.where(q > rem).withColumn("admitted", F.lit(False))
-        cand = running_sum(pending.where(q <= rem), "event_id", order, "quantity",
-                           time_bucket(order[0], bucket_seconds))
+        fits = q <= rem
+        cand = running_sum(pending.withColumn("_v", F.when(fits, q).otherwise(F.lit(0))), "event_id", order,
+                           "_v", time_bucket(order[0], bucket_seconds))
         cum = F.col("_cum")
-        state = (F.when(cum <= rem, F.lit("admit"))
-                  .when(cum - q <= rem, F.lit("overflow"))
+        state = (F.when(rem.isNull(), F.lit("unknown"))
+                  .when(cum <= rem, F.when(fits, F.lit("admit")).otherwise(F.lit("never")))
+                  .when(fits & (cum - q <= rem), F.lit("overflow"))
                   .otherwise(F.lit("later")))
-        classified = reliable_checkpoint(cand.withColumn("_state", state))
-        decided.append(never)
-        decided.append(classified.where(F.col("_state") != "later")
-                       .withColumn("admitted", F.col("_state") == "admit").drop("_state", "_cum"))
-        new_rem = (classified.where(F.col("_state") == "overflow")
-                   .select("event_id", (F.col("_rem") - (F.col("_cum") - F.col("quantity"))).alias("_next")))
-        later = classified.where(F.col("_state") == "later").drop("_state", "_cum")
-        pending = (later.join(new_rem, "event_id").withColumn("_rem", F.col("_next")).drop("_next"))
+        classified = reliable_checkpoint(cand.withColumn("_state", state), f"admit-round{rounds}")
+        st = F.col("_state")
+        left = (F.when(st == "overflow", rem - (cum - q)).when(st != "unknown", rem - cum)).cast("int")
+        decided.append(classified.where(st != "later").select(
+            *requests.columns,
+            (st == "admit").alias("admitted"),
+            left.alias("remaining"),
+            F.when(st == "unknown", F.lit(UNKNOWN_EVENT)).when(st != "admit", F.lit(NOT_ENOUGH)).alias("reason")))
+        new_rem = (classified.where(st == "overflow")
+                   .select("event_id", (rem - (cum - q)).alias("_next")))
+        pending = (classified.where(st == "later").drop("_state", "_cum", "_v", "_rem")
+                   .join(new_rem, "event_id").withColumnRenamed("_next", "_rem"))
         if pending.isEmpty():
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError("admission did not settle within max_rounds")
-
-    every = decided[0]
+    out = decided[0]
     for d in decided[1:]:
-        every = every.unionByName(d)
-    every = every.drop("_rem")
-    taken = every.withColumn("_take", F.when(F.col("admitted"), F.col("quantity")).otherwise(F.lit(0)))
-    after = running_sum(taken, "event_id", order, "_take", time_bucket(order[0], bucket_seconds), "_used")
-    out = (after.withColumn("remaining", (F.col("_start") - F.col("_used")).cast("int"))
-           .withColumn("reason", F.when(~F.col("admitted"), F.lit(NOT_ENOUGH)))
-           .drop("_take", "_used", "_start"))
-    return out.unionByName(unknown.drop("_start"), allowMissingColumns=True)
+        out = out.unionByName(d)
+    return out.select(*out_cols)
 
 
 # ------------------------------------------------------------ sorted folds

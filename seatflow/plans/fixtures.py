@@ -142,33 +142,25 @@ class Fixtures:
 
     @cached_property
     def commands(self) -> DataFrame:
+        """``v_commands`` from one pass over ``bookings``: each booking's
+        commands are built as an array and exploded (no re-scan per part)."""
         b = self.bookings
-        settled = b.where(F.col("status") != "PENDING")
+        settled = F.col("status") != "PENDING"
         same = F.when(F.col("status") == "CONFIRMED", F.lit("CONFIRM")).otherwise(F.lit("CANCEL"))
         flip = F.when(F.col("status") == "CONFIRMED", F.lit("CANCEL")).otherwise(F.lit("CONFIRM"))
         uid = F.col("user_id").cast("bigint")
 
-        def part(df, ts, seq, command):
-            return df.select(F.col("id").alias("booking_id"), "event_id", "quantity", ts.alias("ts"),
-                             F.lit(seq).alias("seq"), command.alias("command"))
+        def cmd(ts, seq, command):
+            return F.struct(ts.alias("ts"), F.lit(seq).alias("seq"), command.alias("command"))
 
-        return (part(b, F.col("created_at"), 0, F.lit("CREATE"))
-                .unionByName(part(settled, F.col("updated_at"), 1, same))
-                .unionByName(part(settled.where(uid % 5 == 0), F.col("updated_at") + _minutes(F.lit(1)), 2, same))
-                .unionByName(part(settled.where(uid % 13 == 0), F.col("updated_at") + _minutes(F.lit(2)), 3, flip)))
-
-    @cached_property
-    def natural_key_rows(self) -> DataFrame:
-        """Rows naming their user by e-mail and their event by name (the seed
-        loader's form), some naming no one; the input of J2."""
-        e = self.events.select(F.col("id").alias("_eid"), "name")
-        r = self.requests.join(e, F.col("event_id") == F.col("_eid"))
-        return r.select(
-            F.col("id").alias("request_id"),
-            F.concat(F.when(F.col("user_id").cast("bigint") % 9 == 0, F.lit("nobody")).otherwise(F.lit("user")),
-                     F.col("user_id"), F.lit("@example.com")).alias("email"),
-            F.when(F.col("event_id").cast("bigint") % 10 == 0, F.concat(F.col("name"), F.lit(" (gone)")))
-             .otherwise(F.col("name")).alias("event_name"))
+        cmds = F.array(
+            cmd(F.col("created_at"), 0, F.lit("CREATE")),
+            F.when(settled, cmd(F.col("updated_at"), 1, same)),
+            F.when(settled & (uid % 5 == 0), cmd(F.col("updated_at") + _minutes(F.lit(1)), 2, same)),
+            F.when(settled & (uid % 13 == 0), cmd(F.col("updated_at") + _minutes(F.lit(2)), 3, flip)))
+        return (b.select(F.col("id").alias("booking_id"), "event_id", "quantity",
+                         F.explode(F.array_compact(cmds)).alias("c"))
+                .select("booking_id", "event_id", "quantity", "c.ts", "c.seq", "c.command"))
 
     # ---- messages / access log --------------------------------------------
     @cached_property
@@ -215,15 +207,18 @@ class Fixtures:
 
     @cached_property
     def booking_messages(self) -> DataFrame:
+        """``v_booking_messages`` from one pass over ``bookings`` (first copy
+        and redelivered copy exploded from an array)."""
         b = self.bookings
         uid = F.col("user_id").cast("bigint")
         body = _message(F.col("id"), F.col("user_id"), F.col("event_id"), F.col("quantity"))
-        first = b.where(uid % 7 != 0).select(
+        first = F.when(uid % 7 != 0, F.struct(
             F.col("created_at").alias("ts"), F.lit(0).alias("copy"),
-            F.when(uid % 97 == 3, F.lit("invalid json")).otherwise(body).alias("body"))
-        again = b.where(uid % 5 == 1).select(
-            (F.col("created_at") + _minutes(F.lit(1))).alias("ts"), F.lit(1).alias("copy"), body.alias("body"))
-        return first.unionByName(again)
+            F.when(uid % 97 == 3, F.lit("invalid json")).otherwise(body).alias("body")))
+        again = F.when(uid % 5 == 1, F.struct(
+            (F.col("created_at") + _minutes(F.lit(1))).alias("ts"), F.lit(1).alias("copy"), body.alias("body")))
+        return (b.select(F.explode(F.array_compact(F.array(first, again))).alias("m"))
+                .select("m.ts", "m.copy", "m.body"))
 
     @cached_property
     def uuid_requests(self) -> DataFrame:

@@ -72,8 +72,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage
-    (never a local checkpoint: it would be lost with its executor)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def reliable_checkpoint(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and read
+    it back: lineage is cut, the plan runs once (an RDD checkpoint would run
+    it twice), and a lost executor costs no recomputation.  Never a local
+    checkpoint: it would be lost with its executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
