@@ -6,7 +6,7 @@ import importlib
 
 from seatflow.plans.catalog import REGISTRY, Query
 
-MODULES = ("seatflow.plans.q_tables", "seatflow.plans.q_replay")
+MODULES = ("seatflow.plans.q_tables", "seatflow.plans.q_replay", "seatflow.plans.q_changes")
 
 
 def all_queries() -> dict[str, Query]:
