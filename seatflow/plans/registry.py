@@ -6,7 +6,8 @@ import importlib
 
 from seatflow.plans.catalog import REGISTRY, Query
 
-MODULES = ("seatflow.plans.q_tables", "seatflow.plans.q_replay", "seatflow.plans.q_changes")
+MODULES = ("seatflow.plans.q_tables", "seatflow.plans.q_replay", "seatflow.plans.q_changes",
+           "seatflow.plans.q_stream")
 
 
 def all_queries() -> dict[str, Query]:
