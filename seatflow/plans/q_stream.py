@@ -32,12 +32,22 @@ def _append_to(sink):
     return lambda out: out.writeStream.format("parquet").option("path", sink).outputMode("append")
 
 
-def _heartbeats(spark, like, ts_col, cols):
-    """Two rows far past the end that move the watermark beyond every timer."""
+def _heartbeats(like, ts_col, rows):
+    """Frames far past the end of ``like`` (one and two days) that move every
+    watermark beyond the last timer; ``rows`` are column -> value dicts of
+    one frame (the timestamp is added)."""
     hi = like.agg(F.max(ts_col)).first()[0]
     day = F.make_dt_interval(F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    base = like.limit(1).select(*[F.lit(v).cast(like.schema[c].dataType).alias(c) for c, v in cols.items()])
-    return [base.withColumn(ts_col, F.lit(str(hi)).cast(like.schema[ts_col].dataType) + day * n) for n in (1, 2)]
+    out = []
+    for n in (1, 2):
+        frame = None
+        for vals in rows:
+            r = like.limit(1).select(*[F.lit(v(n) if callable(v) else v).cast(like.schema[c].dataType).alias(c)
+                                       for c, v in vals.items()],
+                                     (F.lit(str(hi)).cast(like.schema[ts_col].dataType) + day * n).alias(ts_col))
+            frame = r if frame is None else frame.unionByName(r)
+        out.append(frame)
+    return out
 
 
 # -------------------------------------------------------------------- T1
@@ -66,8 +76,10 @@ def t2(spark, sf):
     cmds = f.commands
     run = SliceReplay(spark, "t2-expire")
     src, slices = _sliced(cmds)
-    beats = _heartbeats(spark, cmds, "ts", {"booking_id": "~heartbeat", "event_id": "~", "quantity": 0,
-                                            "seq": 0, "command": "TICK"})
+    # end of stream: a booking created and confirmed at the same instant
+    # moves both watermarks on and never expires itself
+    beat = {"booking_id": lambda n: f"~heartbeat{n}", "event_id": "~", "quantity": 0}
+    beats = _heartbeats(cmds, "ts", [dict(beat, seq=0, command="CREATE"), dict(beat, seq=1, command="CONFIRM")])
     run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.expire_pending_stream(s)), extra=beats)
     return spark.read.parquet(run.sink)
 

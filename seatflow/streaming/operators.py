@@ -22,7 +22,6 @@ from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, Stateful
 
 from seatflow.operators.changes import apply_status
 from seatflow.operators.replay import INVENTORY_OUT, RATE_OUT
-from seatflow.operators.stats import event_stats
 from seatflow.operators.validate import validate_messages
 from seatflow.schemas import PENDING_TTL_MINUTES
 from seatflow.sources.documents import gauge_samples
@@ -89,6 +88,43 @@ class InventoryProcessor(StatefulProcessor):
         pass
 
 
+class AdmitProcessor(StatefulProcessor):
+    """Admission only (T3): one value per event, the seats left.  Requests of
+    the batch are taken in (created_at, id) order; a refused one takes
+    nothing and a later smaller one may still fit."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seats = handle.getValueState("seats", "remaining int")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        col = "remaining" if "remaining" in initialState else "capacity"
+        self.seats.update((int(initialState[col].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        b = pd.concat(list(rows), ignore_index=True).sort_values(["created_at", "id"], kind="stable",
+                                                                 ignore_index=True)
+        known = self.seats.exists()
+        rem = self.seats.get()[0] if known else 0
+        admitted, rems = [], []
+        for q in b["quantity"].tolist():
+            ok = known and q <= rem
+            if ok:
+                rem -= q
+            admitted.append(ok)
+            rems.append(rem if known else None)
+        if known:
+            self.seats.update((rem,))
+        yield pd.DataFrame({"event_id": b["event_id"], "id": b["id"], "admitted": admitted,
+                            "remaining": pd.Series(rems, dtype="Int32")})
+
+    def close(self) -> None:
+        pass
+
+
+ADMIT_OUT = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("id", T.StringType()),
+                          T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.IntegerType())])
+
+
 def inventory_stream(commands: DataFrame, events: DataFrame) -> DataFrame:
     """T3 + T7: admission and release on a command stream keyed by event.
     ``events`` (id, capacity[, remaining]) seed the state once.  Output: one
@@ -103,12 +139,12 @@ def inventory_stream(commands: DataFrame, events: DataFrame) -> DataFrame:
 
 def admit_stream(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Requests (id, event_id, quantity, created_at) admitted in arrival
-    order; same columns as W1."""
-    cmds = requests.select(F.col("id").alias("booking_id"), "event_id", "quantity",
-                           F.col("created_at").alias("ts"), F.lit(0).alias("seq"), F.lit("CREATE").alias("command"))
-    out = inventory_stream(cmds, events)
-    return out.select("event_id", F.col("booking_id").alias("id"), F.col("applied").alias("admitted"), "remaining",
-                      F.when(~F.col("applied"), F.lit("NOT_ENOUGH_TICKETS")).alias("reason"))
+    order; same columns as W1.  State is one value per event."""
+    init_cols = [F.col("id").alias("event_id"), "capacity"] + (["remaining"] if "remaining" in events.columns else [])
+    out = requests.select("id", "event_id", "quantity", "created_at").groupBy("event_id").transformWithStateInPandas(
+        statefulProcessor=AdmitProcessor(), outputStructType=ADMIT_OUT, outputMode="Append", timeMode="None",
+        initialState=events.select(*init_cols).groupBy("event_id"))
+    return out.withColumn("reason", F.when(~F.col("admitted"), F.lit("NOT_ENOUGH_TICKETS")))
 
 
 # -------------------------------------------------------------------- T4
@@ -167,55 +203,31 @@ def rate_limit_stream(log: DataFrame, key: str, token_us: int, burst: int) -> Da
 
 
 # -------------------------------------------------------------------- T2
-EXPIRY_OUT = T.StructType([T.StructField("booking_id", T.StringType()),
-                           T.StructField("expires_at", T.TimestampNTZType())])
-
-
-class ExpiryProcessor(StatefulProcessor):
-    """Lifetime of an unpaid booking: CREATE sets an event-time timer at
-    created_at + ttl; a CONFIRM or CANCEL at or before that moment removes
-    it; when the watermark passes it, the booking is reported expired."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.deadline = handle.getValueState("deadline", "expires_ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        b = pd.concat(list(rows), ignore_index=True).sort_values(["ts_ms", "seq"], kind="stable", ignore_index=True)
-        for ms, cm in zip(b["ts_ms"].tolist(), b["command"].tolist()):
-            if cm == "CREATE" and not self.deadline.exists():
-                self.deadline.update((ms + self.ttl_ms,))
-                self.handle.registerTimer(ms + self.ttl_ms)
-            elif cm in ("CONFIRM", "CANCEL") and self.deadline.exists():
-                (d,) = self.deadline.get()
-                if d >= 0 and ms <= d:
-                    self.handle.deleteTimer(d)
-                    self.deadline.update((-1,))  # settled in time; kept so a late CREATE copy is ignored
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues,
-                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        d = expiredTimerInfo.getExpiryTimeInMs()
-        self.deadline.update((-1,))
-        yield pd.DataFrame({"booking_id": [key[0]],
-                            "expires_at": [pd.Timestamp(d, unit="ms")]})
-
-    def close(self) -> None:
-        pass
-
-
-def expire_pending_stream(commands: DataFrame, ttl_minutes: int = PENDING_TTL_MINUTES) -> DataFrame:
+def expire_pending_stream(commands: DataFrame, ttl_minutes: int = PENDING_TTL_MINUTES,
+                          delay: str = WATERMARK_DELAY) -> DataFrame:
     """Bookings not confirmed or cancelled within ``ttl_minutes`` of their
-    CREATE, reported once the watermark passes the deadline.  A settle at
-    exactly the deadline counts as in time."""
-    rows = event_time(commands.select("booking_id", "command", F.col("seq").cast("int"), "ts"))
-    rows = rows.withColumn("ts_ms", (F.unix_micros("event_ts") / 1000).cast("long"))
-    return rows.groupBy("booking_id").transformWithStateInPandas(
-        statefulProcessor=ExpiryProcessor(ttl_minutes * 60_000), outputStructType=EXPIRY_OUT, outputMode="Append",
-        timeMode="EventTime")
+    CREATE, reported once the watermark passes the deadline.
+
+    A stream-stream left outer join of CREATEs with settles of the same
+    booking inside [created_at, created_at + ttl]: the time range lets Spark
+    drop join state behind the watermark, and a CREATE still unmatched when
+    the watermark passes its deadline comes out with a NULL settle, which is
+    the expiry.  A settle at exactly the deadline counts as in time.  All
+    JVM-side; no Python per row.
+    """
+    # a literal interval, so the planner can bound join state by the watermark
+    ttl = F.expr(f"INTERVAL {int(ttl_minutes)} MINUTES")
+    cm = F.col("command")
+    created = (commands.where(cm == "CREATE")
+               .select("booking_id", F.col("ts").cast("timestamp").alias("created_ts"), F.col("ts").alias("created_at"))
+               .withWatermark("created_ts", delay))
+    settles = (commands.where(cm.isin("CONFIRM", "CANCEL"))
+               .select(F.col("booking_id").alias("settled_id"), F.col("ts").cast("timestamp").alias("settled_ts"))
+               .withWatermark("settled_ts", delay))
+    cond = ((F.col("booking_id") == F.col("settled_id")) & (F.col("settled_ts") >= F.col("created_ts"))
+            & (F.col("settled_ts") <= F.col("created_ts") + ttl))
+    j = created.join(settles, cond, "left_outer")
+    return j.where(F.col("settled_id").isNull()).select("booking_id", (F.col("created_at") + ttl).alias("expires_at"))
 
 
 def expired_bookings(commands: DataFrame, ttl_minutes: int = PENDING_TTL_MINUTES) -> DataFrame:
