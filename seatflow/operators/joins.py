@@ -47,6 +47,17 @@ def resolve_natural_keys(rows: DataFrame, users: DataFrame, events: DataFrame,
     return rows.join(u, email_col, "left").join(e, name_col, "left")
 
 
+def user_id_by_email(rows: DataFrame, users: DataFrame, email_col: str = "email") -> DataFrame:
+    """The user id of every row's e-mail (NULL when none), as a join
+    rather than a lookup per row."""
+    return rows.join(users.select(F.col("email").alias(email_col), F.col("id").alias("user_id")), email_col, "left")
+
+
+def event_id_by_name(rows: DataFrame, events: DataFrame, name_col: str = "event_name") -> DataFrame:
+    """The event id of every row's event name (NULL when none)."""
+    return rows.join(events.select(F.col("name").alias(name_col), F.col("id").alias("event_id")), name_col, "left")
+
+
 def remaining_confirmed(events: DataFrame, bookings: DataFrame) -> DataFrame:
     """Capacity minus CONFIRMED seats for every event (0 when none)."""
     sold = confirmed_totals(bookings).select(F.col("event_id").alias("id"), "tickets_sold")
@@ -102,6 +113,6 @@ def unpublished_bookings(bookings: DataFrame, messages: DataFrame) -> DataFrame:
     return bookings.join(sent, "id", "left_anti")
 
 
-__all__ = ["capture_price", "resolve_natural_keys", "remaining_confirmed", "orphan_bookings",
+__all__ = ["capture_price", "resolve_natural_keys", "user_id_by_email", "event_id_by_name", "remaining_confirmed", "orphan_bookings",
            "stats_existing_events", "inventory_drift", "unpublished_bookings", "price_intervals",
            "KEY_REMAINING_PREFIX"]

@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatflow.session import apply_runtime_conf
+
 
 def _minutes(c: Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), c.cast("int"), F.lit(0))
@@ -35,7 +37,7 @@ class Fixtures:
     """Lazy DataFrames for every ``v_*`` view at one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark = apply_runtime_conf(spark)
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:

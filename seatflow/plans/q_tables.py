@@ -241,18 +241,35 @@ def j1(spark, sf):
     return J.capture_price(f.requests.select("id", "event_id", "created_at"), f.prices)
 
 
-@register("J2_resolve_natural_keys", """SELECT n.request_id, n.email, n.event_name, u.id AS user_id, e.id AS event_id
-FROM nk n LEFT JOIN v_users u ON u.email = n.email LEFT JOIN v_events e ON e.name = n.event_name""",
-          {"nk": """SELECT r.id AS request_id,
+_NK = """SELECT r.id AS request_id,
   CASE WHEN CAST(r.user_id AS BIGINT) % 9 = 0 THEN 'nobody' ELSE 'user' END || r.user_id || '@example.com' AS email,
   CASE WHEN CAST(r.event_id AS BIGINT) % 10 = 0 THEN e.name || ' (gone)' ELSE e.name END AS event_name
-FROM v_requests r JOIN v_events e ON r.event_id = e.id"""})
+FROM v_requests r JOIN v_events e ON r.event_id = e.id"""
+
+
+@register("J2_resolve_natural_keys", """SELECT n.request_id, n.email, n.event_name, u.id AS user_id, e.id AS event_id
+FROM nk n LEFT JOIN v_users u ON u.email = n.email LEFT JOIN v_events e ON e.name = n.event_name""",
+          {"nk": _NK})
 def j2(spark, sf):
     f = fx(spark, sf)
     return J.resolve_natural_keys(f.natural_key_rows, f.users, f.events).select(
         "request_id", "email", "event_name", "user_id", "event_id")
 
 
+@register("U1_user_id_by_email", """SELECT n.request_id, n.email, u.id AS user_id
+FROM nk n LEFT JOIN v_users u ON u.email = n.email""", {"nk": _NK})
+def u1(spark, sf):
+    f = fx(spark, sf)
+    return J.user_id_by_email(f.natural_key_rows.select("request_id", "email"), f.users)
+
+
+@register("U2_event_id_by_name", """SELECT n.request_id, n.event_name, e.id AS event_id
+FROM nk n LEFT JOIN v_events e ON e.name = n.event_name""", {"nk": _NK})
+def u2(spark, sf):
+    f = fx(spark, sf)
+    return J.event_id_by_name(f.natural_key_rows.select("request_id", "event_name"), f.events)
+
+
 @register("J3_remaining_confirmed", """SELECT e.id, CAST(e.capacity - COALESCE(t.tickets_sold, 0) AS INTEGER) AS remaining
 FROM v_events e LEFT JOIN t ON t.event_id = e.id""", {"t": _CONFIRMED_TOTALS})
 def j3(spark, sf):

@@ -21,6 +21,19 @@ CORE_CONF = {
 }
 
 
+# the subset that can be set on a running session
+RUNTIME_CONF = {k: v for k, v in CORE_CONF.items() if k.startswith("spark.sql.")}
+
+
+def apply_runtime_conf(spark: SparkSession) -> SparkSession:
+    """Put the SQL settings the operators rely on (UTC clock, ANSI, AQE) on a
+    session someone else built."""
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def build_session(master: str | None = None, app: str = "seatflow",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:

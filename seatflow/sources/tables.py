@@ -96,3 +96,15 @@ def read_access_log(spark: SparkSession, path: str, stream: bool = False) -> Dat
     parsed with the fixed line schema; nothing is inferred."""
     reader = spark.readStream if stream else spark.read
     return parse_access_lines(reader.text(path))
+
+
+def write_bookings(bookings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Bookings laid out for the filters the service runs: one folder per
+    day of ``created_at`` (partition pruning for time ranges) and rows sorted
+    by (status, event_id) inside each file, so Parquet row-group statistics
+    skip most groups for ``status = ... AND event_id = ...`` (the role the
+    store's indexes play)."""
+    (bookings.withColumn("created_date", F.to_date("created_at"))
+     .repartition("created_date")
+     .sortWithinPartitions("status", "event_id")
+     .write.mode(mode).partitionBy("created_date").parquet(path))
