@@ -254,15 +254,21 @@ class SettleSink:
     def __init__(self, base: DataFrame, log_path: str, reject_path: str):
         self.base, self.log_path, self.reject_path = base, log_path, reject_path
 
-    def current(self, upto: int | None = None) -> DataFrame:
+    def current(self, upto: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """The table as of batch ``upto`` (exclusive); with ``ids`` only those
+        bookings, filtered before the log is aggregated, so a micro-batch
+        reads the rows it names, not the whole history."""
         spark = self.base.sparkSession
+        base = self.base if ids is None else self.base.join(ids, "id", "left_semi")
         if not path_exists(spark, self.log_path):
-            return self.base
+            return base
         log = spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
         if upto is not None:
             log = log.where(F.col("batch_id") < upto)
+        if ids is not None:
+            log = log.join(ids, "id", "left_semi")
         latest = log.groupBy("id").agg(F.max_by(F.struct("status", "updated_at"), "batch_id").alias("_c"))
-        out = self.base.join(latest, "id", "left")
+        out = base.join(latest, "id", "left")
         return (out.withColumn("status", F.coalesce("_c.status", "status"))
                 .withColumn("updated_at", F.coalesce("_c.updated_at", "updated_at"))
                 .drop("_c").select(*self.base.columns))
@@ -272,7 +278,7 @@ class SettleSink:
         good = checked.where(F.size("errors") == 0)
         cmds = good.select("booking_id", "ts", F.col("copy").alias("seq"), F.lit("CONFIRM").alias("command"))
         ids = cmds.select(F.col("booking_id").alias("id")).distinct()
-        now = self.current(batch_id).join(ids, "id", "left_semi")
+        now = self.current(batch_id, ids)
         new = apply_status(now, cmds)
         changed = (new.join(now.select("id", F.col("status").alias("_s0"), F.col("updated_at").alias("_u0")), "id")
                    .where((F.col("status") != F.col("_s0")) | (F.col("updated_at") != F.col("_u0")))
