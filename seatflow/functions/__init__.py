@@ -1,3 +1 @@
-from seatflow.functions.columns import (  # noqa: F401
-    cents_to_currency, error_list, json_body, parse_iso_ts, repeatable_id, status_target,
-)
+from seatflow.functions.columns import cents_to_currency, error_list, repeatable_id  # noqa: F401

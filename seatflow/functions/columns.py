@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seatflow.schemas import CANCELLED, CONFIRMED, PENDING
 
 
 def cents_to_currency(c) -> Column:
@@ -22,23 +21,8 @@ def error_list(*checks: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in checks]))
 
 
-def parse_iso_ts(text: str) -> Column:
-    """ISO-8601 text (``Z`` or offset allowed) to a timestamp literal column."""
-    return F.to_timestamp(F.lit(text))
 
 
 def repeatable_id(*cols) -> Column:
     """Deterministic id from key columns (``uuid()`` would differ per retry)."""
     return F.sha2(F.concat_ws("|", *[F.col(c) if isinstance(c, str) else c for c in cols]), 256)
-
-
-def status_target(command: Column) -> Column:
-    """Status a command moves a booking to."""
-    return (F.when(command == "CREATE", F.lit(PENDING))
-            .when(command == "CONFIRM", F.lit(CONFIRMED))
-            .when(command == "CANCEL", F.lit(CANCELLED)))
-
-
-def json_body(*cols: str) -> Column:
-    """JSON object text of the named columns, keys in the given order."""
-    return F.to_json(F.struct(*[F.col(c) for c in cols]))

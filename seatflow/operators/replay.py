@@ -31,10 +31,6 @@ NOT_ENOUGH = "NOT_ENOUGH_TICKETS"
 UNKNOWN_EVENT = "UNKNOWN_EVENT"
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def time_bucket(ts: str, seconds: int) -> Column:
     """Whole ``seconds``-wide bucket number of a timestamp (either kind)."""
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
