@@ -287,14 +287,27 @@ def oversold_after_reconfirm(transitions: DataFrame, events: DataFrame) -> DataF
             .withColumn("over_capacity", F.col("confirmed_seats") > F.col("capacity")))
 
 
-def gauge_series(bookings: DataFrame, interval: str = "1 day") -> DataFrame:
+def gauge_series(bookings: DataFrame, interval: str = "1 day", fill: bool = False) -> DataFrame:
     """CONFIRMED seats and revenue cents per event and time bucket of
-    ``updated_at``, with running totals per event over its buckets."""
+    ``updated_at``, with running totals per event over its buckets.
+
+    ``fill`` adds the empty buckets between an event's first and last one
+    (``sequence`` + ``explode`` per event, zero counts), the way a gauge
+    scraped at every interval draws a flat line; the rows added grow with
+    each event's time span over ``interval``, not with the data.
+    """
     b = bookings.where(F.col("status") == CONFIRMED)
     per = (b.groupBy("event_id", F.window("updated_at", interval).start.alias("bucket"))
            .agg(F.sum("quantity").cast("bigint").alias("tickets"),
                 F.sum(F.col("quantity").cast("bigint") * F.col("unit_price_cents")).cast("bigint")
                 .alias("revenue_cents")))
+    if fill:
+        span = per.groupBy("event_id").agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
+        grid = span.select("event_id", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {interval}")))
+                           .alias("bucket"))
+        per = (grid.join(per, ["event_id", "bucket"], "left")
+               .select("event_id", "bucket", F.coalesce("tickets", F.lit(0)).cast("bigint").alias("tickets"),
+                       F.coalesce("revenue_cents", F.lit(0)).cast("bigint").alias("revenue_cents")))
     w = Window.partitionBy("event_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     return (per.withColumn("tickets_total", F.sum("tickets").over(w).cast("bigint"))
             .withColumn("revenue_cents_total", F.sum("revenue_cents").over(w).cast("bigint")))

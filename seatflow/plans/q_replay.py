@@ -110,6 +110,25 @@ def w6(spark, sf):
     return W.gauge_series(fx(spark, sf).bookings, "1 day")
 
 
+# the filled series uses 30-day buckets (epoch-aligned, as Spark's window)
+_B30 = "CAST(to_timestamp(floor(epoch(updated_at) / 2592000) * 2592000) AT TIME ZONE 'UTC' AS TIMESTAMP)"
+
+
+@register("W6_gauge_series_filled", """SELECT g.event_id, g.bucket, COALESCE(p.tickets, 0) AS tickets,
+  COALESCE(p.revenue_cents, 0) AS revenue_cents,
+  CAST(SUM(COALESCE(p.tickets, 0)) OVER (PARTITION BY g.event_id ORDER BY g.bucket) AS BIGINT) AS tickets_total,
+  CAST(SUM(COALESCE(p.revenue_cents, 0)) OVER (PARTITION BY g.event_id ORDER BY g.bucket) AS BIGINT)
+    AS revenue_cents_total
+FROM g LEFT JOIN p ON p.event_id = g.event_id AND p.bucket = g.bucket""", {
+    "p": f"""SELECT event_id, {_B30} AS bucket, CAST(SUM(quantity) AS BIGINT) AS tickets,
+  CAST(SUM(CAST(quantity AS BIGINT) * unit_price_cents) AS BIGINT) AS revenue_cents
+FROM v_bookings WHERE status = 'CONFIRMED' GROUP BY event_id, {_B30}""",
+    "g": """SELECT event_id, unnest(generate_series(MIN(bucket), MAX(bucket), INTERVAL 30 DAY)) AS bucket
+FROM p GROUP BY event_id"""})
+def w6f(spark, sf):
+    return W.gauge_series(fx(spark, sf).bookings, "30 days", fill=True)
+
+
 # ------------------------------------------------------------------- W7
 # scaled plan for the fixture log (one token per 4 hours, burst 2): the
 # service's 2/s plan never refuses on requests hours apart
