@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,7 +92,13 @@ def admit(requests: DataFrame, events: DataFrame, order: tuple[str, ...] = ("cre
                   .when(cum <= rem, F.when(fits, F.lit("admit")).otherwise(F.lit("never")))
                   .when(fits & (cum - q <= rem), F.lit("overflow"))
                   .otherwise(F.lit("later")))
-        classified = reliable_checkpoint(cand.withColumn("_state", state), f"admit-round{rounds}")
+        # the write also counts the rows left for the next round (an
+        # observation, so no extra job asks whether another round is needed;
+        # only zero against non-zero matters, which task retries cannot change)
+        seen = Observation(f"admit-round{rounds}")
+        tagged = cand.withColumn("_state", state).observe(
+            seen, F.count_if(F.col("_state") == "later").alias("waiting"))
+        classified = reliable_checkpoint(tagged, f"admit-round{rounds}")
         st = F.col("_state")
         left = (F.when(st == "overflow", rem - (cum - q)).when(st != "unknown", rem - cum)).cast("int")
         decided.append(classified.where(st != "later").select(
@@ -104,7 +110,7 @@ def admit(requests: DataFrame, events: DataFrame, order: tuple[str, ...] = ("cre
                    .select("event_id", (rem - (cum - q)).alias("_next")))
         pending = (classified.where(st == "later").drop("_state", "_cum", "_v", "_rem")
                    .join(new_rem, "event_id").withColumnRenamed("_next", "_rem"))
-        if pending.isEmpty():
+        if seen.get["waiting"] == 0:
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError("admission did not settle within max_rounds")
