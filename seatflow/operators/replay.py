@@ -139,42 +139,62 @@ INVENTORY_OUT = T.StructType([
 
 
 def _inventory_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # state of the current event: seats left, capacity, and the admitted
+    # bookings that still have an effective command ahead (booking -> qty);
+    # a booking leaves the map after its last effective command
     ev_now, rem, cap = None, 0, 0
-    held: set = set()
-    gone: set = set()
+    open_: dict = {}
     for b in batches:
-        evs, bids, qs = b["event_id"].tolist(), b["booking_id"].tolist(), b["quantity"].tolist()
-        cms, caps = b["command"].tolist(), b["capacity"].tolist()
+        cols = [b[c].tolist() for c in ("event_id", "booking_id", "quantity", "command", "capacity", "_eff",
+                                        "_last", "_more")]
         applied, rems = [], []
-        for ev, bid, q, cm, c in zip(evs, bids, qs, cms, caps):
+        for ev, bid, q, cm, c, eff, last, more in zip(*cols):
             if ev != ev_now:
-                ev_now, rem, cap, held, gone = ev, int(c), int(c), set(), set()
+                ev_now, rem, cap, open_ = ev, int(c), int(c), {}
             ok = False
             if cm == "CREATE":
                 if q <= rem:
                     rem -= q
-                    held.add(bid)
                     ok = True
-            elif cm == "CANCEL":
-                if bid in held:
+                    if more:
+                        open_[bid] = q
+            elif eff and bid in open_:
+                ok = True
+                if cm == "CANCEL":
                     rem = min(rem + q, cap)
-                    held.discard(bid)
-                    gone.add(bid)
-                    ok = True
-            elif cm == "CONFIRM":
-                # a confirm after a cancel holds the booking again without
-                # taking seats (as coded); a confirm of a held one is a no-op
-                if bid in gone:
-                    gone.discard(bid)
-                    held.add(bid)
-                    ok = True
+                if last:
+                    del open_[bid]
             applied.append(ok)
             rems.append(rem)
-        yield pd.DataFrame({"event_id": evs, "booking_id": bids, "seq": b["seq"].astype("int32"),
-                            "command": cms, "ts": b["ts"], "applied": applied,
+        yield pd.DataFrame({"event_id": cols[0], "booking_id": cols[1], "seq": b["seq"].astype("int32"),
+                            "command": cols[3], "ts": b["ts"], "applied": applied,
                             "remaining": pd.Series(rems, dtype="int32")})
 
 
+def booking_effects(commands: DataFrame) -> DataFrame:
+    """Per command, whether it would change its booking if the booking's
+    CREATE was admitted (``_eff``), whether it is the booking's last such
+    command (``_last``), and for a CREATE whether any follows (``_more``).
+
+    A CANCEL moves a booking to "given back" and a CONFIRM or CREATE to
+    "holding"; a command changes something exactly when it moves the
+    booking elsewhere than the command before it (the rule of W3).  Windows
+    run per booking, a handful of rows each.
+    """
+    w = Window.partitionBy("booking_id").orderBy("ts", "seq")
+    cm = F.col("command")
+    target = F.when(cm == "CANCEL", F.lit("gone")).otherwise(F.lit("held"))
+    created_before = F.max((cm == "CREATE").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    key = F.struct("ts", "seq")
+    d = (commands.withColumn("_eff", (cm != "CREATE") & (F.coalesce(created_before, F.lit(0)) == 1)
+                             & (F.lag(target).over(w) != target))
+         .withColumn("_lastkey", F.max(F.when(F.col("_eff"), key)).over(
+             Window.partitionBy("booking_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    return (d.withColumn("_last", F.col("_eff") & (key == F.col("_lastkey")))
+            .withColumn("_more", F.col("_lastkey").isNotNull() & (F.col("_lastkey") > key))
+            .drop("_lastkey"))
+
+
 def replay_inventory(commands: DataFrame, events: DataFrame, partitions: int | None = None) -> DataFrame:
     """Remaining seats of the event after every command.
 
@@ -185,9 +205,15 @@ def replay_inventory(commands: DataFrame, events: DataFrame, partitions: int | N
     after CANCEL holds the booking again without taking seats.  ``applied``
     tells whether the command changed anything.  Order per event: (ts,
     booking_id, seq).
+
+    What each command would do to its own booking is settled set-wise first
+    (``booking_effects``), so the fold per event keeps only seats and the
+    admitted bookings with commands still ahead, not every booking the
+    event ever had.
     """
     cap = events.select(F.col("id").alias("event_id"), F.col("capacity").cast("int"))
-    rows = commands.select("booking_id", "event_id", "quantity", "ts", "seq", "command").join(cap, "event_id")
+    rows = booking_effects(commands.select("booking_id", "event_id", "quantity", "ts", "seq", "command"))
+    rows = rows.join(cap, "event_id")
     return sorted_fold(rows, "event_id", ["ts", "booking_id", "seq"], _inventory_fold, INVENTORY_OUT, partitions)
 
 
