@@ -18,8 +18,8 @@ from seatflow.operators.joins import remaining_confirmed, resolve_natural_keys
 # ---- fixed values: the seed rows (must equal the service's seed) -----------
 # users: (email, role, full name)
 SEED_USERS = [
-    ("admin@ticketbooking.com", "ADMIN", "System Administrator"),
-    ("manager@ticketbooking.com", "ADMIN", "Event Manager"),
+    ("admin@example.org", "ADMIN", "System Administrator"),
+    ("manager@example.org", "ADMIN", "Event Manager"),
     ("john.doe@example.com", "USER", "John Doe"),
     ("jane.smith@example.com", "USER", "Jane Smith"),
     ("mike.johnson@example.com", "USER", "Mike Johnson"),
@@ -77,8 +77,8 @@ SEED_BOOKINGS = [
     ("mike.johnson@example.com", "Taylor Swift Eras Tour", 2, "CANCELLED", 35 * _D, 11 * _D),
     ("sarah.wilson@example.com", "Champions League Final", 1, "CANCELLED", 32 * _D, 10 * _D),
     ("david.brown@example.com", "Summer Music Festival 2024", 1, "CANCELLED", 10 * _D, 5 * _D),
-    ("admin@ticketbooking.com", "VIP Broadway Experience", 2, "CONFIRMED", 25 * _D, 2 * _D),
-    ("manager@ticketbooking.com", "New Year's Eve Celebration", 5, "CONFIRMED", 20 * _D, 1 * _D),
+    ("admin@example.org", "VIP Broadway Experience", 2, "CONFIRMED", 25 * _D, 2 * _D),
+    ("manager@example.org", "New Year's Eve Celebration", 5, "CONFIRMED", 20 * _D, 1 * _D),
 ]
 # ---------------------------------------------------------------------------
 
