@@ -237,9 +237,12 @@ class Fixtures:
 
     @cached_property
     def uuid_requests(self) -> DataFrame:
-        h = F.md5(F.col("event_id"))
+        # the hash is computed once per row in its own projection
         version = F.when(F.col("event_id").cast("bigint") % 31 == 0, F.lit("1")).otherwise(F.lit("4"))
-        return self.requests.select(
+        hashed = self.requests.select("id", "user_id", "quantity", version.alias("_v"),
+                                      F.md5(F.col("event_id")).alias("_h"))
+        h, version = F.col("_h"), F.col("_v")
+        return hashed.select(
             "id", "user_id", "quantity",
             F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), version,
                      F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"),
