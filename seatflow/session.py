@@ -21,6 +21,33 @@ CORE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executor_cores: int = 4, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized to the data for a cluster run (pass to ``build_session``
+    as ``extra``).
+
+    Scan splits and shuffle partitions target ``target_partition_bytes``
+    each, so one task's share fits comfortably in an executor core's memory
+    and spills rarely; AQE coalesces small shuffle partitions and splits
+    skewed ones (a key holding a third of the rows is cut into
+    advisory-sized pieces for joins).  At 100 TB this gives about 400,000
+    scan tasks and as many initial shuffle partitions, which AQE then merges.
+    """
+    parts = max(200, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        # broadcasts only below a measured size; AQE re-plans from runtime sizes
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.executor.cores": str(executor_cores),
+    }
+
+
 # the subset that can be set on a running session
 RUNTIME_CONF = {k: v for k, v in CORE_CONF.items() if k.startswith("spark.sql.")}
 
