@@ -32,14 +32,15 @@ def _append_to(sink):
     return lambda out: out.writeStream.format("parquet").option("path", sink).outputMode("append")
 
 
-def _heartbeats(like, ts_col, rows):
-    """Frames far past the end of ``like`` (one and two days) that move every
-    watermark beyond the last timer; ``rows`` are column -> value dicts of
-    one frame (the timestamp is added)."""
+def _heartbeats(like, ts_col, rows, beats=(1,)):
+    """Frames ``beats`` days past the end of ``like`` that move every
+    watermark beyond the last deadline (the no-data batch Spark runs after
+    the watermark moves then flushes the state); ``rows`` are column ->
+    value dicts of one frame (the timestamp is added)."""
     hi = like.agg(F.max(ts_col)).first()[0]
     day = F.make_dt_interval(F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     out = []
-    for n in (1, 2):
+    for n in beats:
         frame = None
         for vals in rows:
             r = like.limit(1).select(*[F.lit(v(n) if callable(v) else v).cast(like.schema[c].dataType).alias(c)
