@@ -8,6 +8,11 @@ are sorted in the handler; across batches the order is the source's, so the
 results equal the batch twins (W1, W2, W7, P6) for sources delivered in
 event-time order.  Event-time inputs carry a watermark; timestamps without a
 zone are cast to timestamps first.
+
+A handler holds one key's rows of one micro-batch while it sorts them, so
+its memory is bounded by the trigger size (``maxFilesPerTrigger`` /
+``maxOffsetsPerTrigger``), never by the key's history: history lives in the
+state store (RocksDB, spilled to local disk and checkpointed).
 """
 
 from __future__ import annotations
