@@ -12,7 +12,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seatflow.plans.fixtures import Fixtures
 from seatflow.plans.oracle_views import with_views
