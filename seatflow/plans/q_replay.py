@@ -4,7 +4,6 @@ same rules."""
 
 from __future__ import annotations
 
-
 from seatflow.operators import replay as W
 from seatflow.plans.catalog import fx, register
 
