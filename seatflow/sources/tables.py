@@ -9,33 +9,43 @@ from pyspark.sql import types as T
 from seatflow.schemas import ACCESS_LINE, DEFAULTS, TABLES
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Cast ``df`` to the fixed schema of ``table``: known columns cast, absent
-    nullable ones added as NULL, store defaults filled (role USER, price 0,
-    status PENDING, remaining = capacity)."""
+def conform(df: DataFrame, table: str, fill_defaults: bool = False) -> DataFrame:
+    """Shape ``df`` to the fixed schema of ``table``.
+
+    A column that already has its type passes through untouched, so filters
+    on it still reach the scan (a cast or ``coalesce`` around it would stop
+    Parquet/JDBC pushdown).  Other present columns are cast; absent ones get
+    the store default (role USER, price 0, status PENDING, remaining =
+    capacity) or NULL.  ``fill_defaults`` also puts defaults into NULLs of
+    present columns, as on insert; reads leave stored values alone.  Columns
+    outside the schema (e.g. partition columns) are kept at the end.
+    Timestamps keep the kind they arrive with (Parquet without a zone gives
+    ``timestamp_ntz``).
+    """
     schema: T.StructType = TABLES[table]
     defaults = DEFAULTS.get(table, {})
+    types = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for f in schema.fields:
-        if f.name in df.columns:
+        if f.name in types:
             c = F.col(f.name)
-            if f.name in defaults:
-                c = F.coalesce(c, F.lit(defaults[f.name]))
+            same = types[f.name] == f.dataType or (
+                isinstance(f.dataType, T.TimestampType) and isinstance(types[f.name], T.TimestampNTZType))
+            if not same:
+                c = c.cast(f.dataType)
+            if fill_defaults and f.name in defaults:
+                c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
+            elif fill_defaults and table == "events" and f.name == "remaining":
+                c = F.coalesce(c, F.col("capacity"))
         elif f.name in defaults:
-            c = F.lit(defaults[f.name])
+            c = F.lit(defaults[f.name]).cast(f.dataType)
         elif table == "events" and f.name == "remaining":
-            c = F.col("capacity")
-        else:
-            c = F.lit(None)
-        if table == "events" and f.name == "remaining" and f.name in df.columns:
-            c = F.coalesce(c, F.col("capacity"))
-        # timestamps keep the kind they arrive with (Parquet without a zone
-        # gives timestamp_ntz); everything else takes the fixed type
-        if isinstance(f.dataType, T.TimestampType) and f.name in df.columns:
-            cols.append(c.alias(f.name))
+            c = F.col("capacity").cast(f.dataType)
         else:
-            cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+            c = F.lit(None).cast(f.dataType)
+        cols.append(c.alias(f.name))
+    extra = [c for c in df.columns if c not in {f.name for f in schema.fields}]
+    return df.select(*cols, *extra)
 
 
 def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
