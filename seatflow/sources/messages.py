@@ -47,6 +47,8 @@ def write_booking_messages(messages: DataFrame, path: str, fmt: str = "json", ch
     """S4 sink: append messages; a streaming frame goes through a checkpointed
     ``writeStream`` (at-least-once; consumers are idempotent, see T6)."""
     if messages.isStreaming:
+        if not checkpoint:
+            raise ValueError("a streaming sink needs a checkpoint location in shared storage")
         return (messages.writeStream.format(fmt).option("path", path)
                 .option("checkpointLocation", checkpoint).outputMode("append").start())
     messages.write.mode("append").format(fmt).save(path)
