@@ -278,6 +278,15 @@ class SettleSink:
                 .withColumn("updated_at", F.coalesce("_c.updated_at", "updated_at"))
                 .drop("_c").select(*self.base.columns))
 
+    def compact(self, base_path: str, log_path: str) -> "SettleSink":
+        """Write the current table as a new base snapshot and return a sink
+        that continues from it with an empty change log (the caller swaps
+        sinks between batches).  Replaying a batch already in the snapshot
+        is harmless: a confirmation of a confirmed booking changes nothing."""
+        self.current().write.mode("errorifexists").parquet(base_path)
+        base = self.base.sparkSession.read.parquet(base_path)
+        return SettleSink(base, log_path, self.reject_path)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         checked = validate_messages(batch)
         good = checked.where(F.size("errors") == 0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seatflow.operators import replay as W
 from seatflow.streaming import operators as S
+from seatflow.session import scratch_path
 from seatflow.streaming.runner import SliceReplay, enable_state_store
 
 T0 = datetime(2024, 1, 1)
@@ -70,3 +71,28 @@ def test_rate_limit_stream_equals_batch(spark):
             .format("parquet").option("path", run.sink).outputMode("append"))
     got = {r["request_id"]: (r["allowed"], r["tokens"]) for r in spark.read.parquet(run.sink).collect()}
     assert got == want
+
+
+def test_settle_sink_batches_and_compaction(spark):
+    import json
+
+    b = spark.createDataFrame([(f"b{i}", "2024-01-01 10:00:00") for i in range(3)], "id string, created_at string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")) \
+        .withColumn("status", F.lit("PENDING")).withColumn("updated_at", F.col("created_at"))
+    base = scratch_path(spark, "settle")
+
+    def msgs(ids, minute):
+        rows = [(json.dumps({"booking_id": i, "user_id": "u", "event_id": "e", "quantity": 1}), 0,
+                 T0 + timedelta(minutes=minute)) for i in ids] + [("invalid json", 0, T0)]
+        from seatflow.sources.messages import parse_booking_messages
+        return parse_booking_messages(spark.createDataFrame(rows, "body string, copy int, ts timestamp_ntz"))
+
+    sink = S.SettleSink(b, f"{base}/log", f"{base}/rejects")
+    sink(msgs(["b0", "nope"], 1), 0)
+    sink(msgs(["b0"], 2), 1)  # repeated confirm: no change
+    sink = sink.compact(f"{base}/base1", f"{base}/log1")
+    sink(msgs(["b1"], 3), 2)
+    got = {r["id"]: (r["status"], r["updated_at"].minute) for r in sink.current().collect()}
+    assert got == {"b0": ("CONFIRMED", 1), "b1": ("CONFIRMED", 3), "b2": ("PENDING", 0)}
+    rejects = spark.read.parquet(f"{base}/rejects").select("reason").collect()
+    assert sorted(r[0] for r in rejects).count("UNKNOWN_BOOKING") == 1
