@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatflow.llm.common import whole
+from seatflow.llm.common import stored, whole
 
 CHUNK = 512
 
@@ -123,3 +123,9 @@ def digests(formatted: DataFrame, t: Template = LLAMA) -> DataFrame:
         "conv_id", F.size(bodies).cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"),
         F.length("lossy").cast("long").alias("loss_chars"), F.sha2("lossy", 256).alias("loss_sha256"),
         chars.alias("formatted_chars"), "valid")
+
+
+def chat_report(turns: DataFrame, t: Template = LLAMA) -> DataFrame:
+    """Write the formatted conversations to the shared folder, read them back
+    and return their digests."""
+    return digests(stored(format_conversations(turns, t), "chat"), t)
