@@ -22,13 +22,13 @@ agree in a whole band are candidates; similarity itself is then computed from
 the texts, exactly, and must reach ``THRESHOLD``.  With 10 bands of 3 a pair of
 similarity 0.8 shares no band once in 1,300 times, one of 0.9 twice in 10^6.
 
-No all-pairs of a bucket: identical shingle sets collapse first; then in each
-bucket every member meets the bucket's leader (smallest row key).  Where
-a bucket still holds several classes after that, the members outside its
-largest class serve in turn (more of them each round, classes merging in
-between): each meets all members of other classes.  When none is left to
-serve, every pair that shares a bucket has been compared or lies inside one
-class.
+No all-pairs of a bucket: identical shingle bags collapse first; then in each
+bucket every member meets the bucket's leader, the member that shares most
+buckets with others.  Where a bucket still holds several classes after that,
+the members outside its largest class are queries against all of its members
+of other classes, block by block inside the tasks; no pair is written out but
+the verified links, one per query and class.  So every pair that shares a
+bucket has been compared or lies inside one class.
 
 Classes are connected components of the verified links.  Defined cases: null
 text, empty text and text of white space have no shingle and are classes of
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatflow.llm.common import stored, whole
-from seatflow.llm.textvec import SPACE, Spans, mix, per_text, process_memory, runs, slices
+from seatflow.llm.textvec import SPACE, Spans, gather, mix, per_text, process_memory, runs, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -57,7 +57,7 @@ BANDS, ROWS = 10, 3
 SATURATE = 1000
 CELLS = 1 << 20
 SLICE = 1 << 19
-OUTSIDERS = 16  # that serve per bucket in the first round, four times as many in each later one
+MEMBER_BLOCK, QUERY_BLOCK = 512, 128  # texts per block, on average
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,29 +147,39 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sample(h: np.ndarray, weight: np.ndarray, at: np.ndarray, samples: int) -> np.ndarray:
     """(texts, samples) array of chosen (shingle, t) as hashes; texts without a
     shingle get zeros.  ln a = ln c - ln y - r with t = floor(ln w / r + beta),
-    ln y = r (t - beta); the least a is chosen."""
+    ln y = r (t - beta); the least a is chosen.  Most shingles have one and the
+    same weight; what depends on r, beta and that weight is looked up."""
     out = np.zeros((len(at) - 1, samples), np.uint64)
     full = np.flatnonzero(np.diff(at))
     if len(full) == 0:
         return out
     first = at[full]
     r_of, c_of, beta_of = _draws()
+    usual = np.float32(np.log(weight.max() if len(weight) < 3 else np.median(weight[:: max(1, len(weight) // 999)])))
     ln_w = np.log(weight).astype(np.float32)
+    odd = np.flatnonzero(ln_w != usual)
+    t_usual = np.floor(usual / r_of + beta_of)
+    g_usual = r_of * (t_usual - beta_of) + r_of
+    c_up = c_of + np.float32(64)  # positive floats have ordered bits
     seat = np.arange(len(h), dtype=np.uint64)
+    x, y = np.empty_like(h), np.empty_like(h)
     for k in range(samples):
-        x = h * np.uint64(pow(0xBF58476D1CE4E5B9, 2 * k + 1, 1 << 64))
-        x ^= x >> np.uint64(29)
+        np.multiply(h, np.uint64(pow(0xBF58476D1CE4E5B9, 2 * k + 1, 1 << 64)), out=x)
+        np.right_shift(x, np.uint64(29), out=y)
+        x ^= y
         x *= np.uint64(0x94D049BB133111EB)
-        one, two = (x >> np.uint64(48)).astype(np.int32), (x >> np.uint64(32)).astype(np.uint16)
-        r, beta = r_of[one], beta_of[one]
-        t = np.floor(ln_w / r + beta)
-        ln_a = c_of[two] - r * (t - beta) - r
-        # order-preserving bits of the float above the seat of the shingle
-        bits = ln_a.view(np.uint32)
-        bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-        best = np.minimum.reduceat(bits << np.uint64(32) | seat, first) & np.uint64(0xFFFFFFFF)
-        best = best.astype(np.int64)
-        out[full, k] = mix(h[best] + t[best].astype(np.int64).astype(np.uint64) * _STEP)
+        one, two = x.view(np.uint16)[3::4], x.view(np.uint16)[2::4]
+        ln_a = c_up[two] - g_usual[one]
+        if len(odd):
+            o = one[odd]
+            t = np.floor(ln_w[odd] / r_of[o] + beta_of[o])
+            ln_a[odd] = c_up[two[odd]] - (r_of[o] * (t - beta_of[o]) + r_of[o])
+        np.left_shift(ln_a.view(np.uint32), np.uint64(32), out=y, casting="unsafe", dtype=np.uint64)
+        y |= seat
+        best = (np.minimum.reduceat(y, first) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        o = one[best]
+        t = np.floor(ln_w[best] / r_of[o] + beta_of[o]).astype(np.int64)
+        out[full, k] = mix(h[best] + t.astype(np.uint64) * _STEP)
     return out
 
 
@@ -335,25 +345,97 @@ def _links(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: floa
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """row_key, label: the smallest key reachable over the links.  Labels move
-    to neighbours, then jump to their label's label, until nothing changes."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-links")
-    touched = both.select(F.col("a").alias("row_key")).distinct()
-    labels = stored(touched.withColumn("label", F.col("row_key")), "near-labels")
+    to neighbours until nothing changes; from the fourth round on they also
+    jump to their label's label, so long chains take few rounds."""
+    both = stored(links.select("a", "b").union(links.select("b", "a")), "near-links")
+    labels = stored(both.groupBy(F.col("a").alias("row_key")).agg(F.least(F.col("row_key"), F.min("b")).alias("label")),
+                    "near-labels")
+    rounds = 0
     while True:
-        near = both.join(labels.withColumnRenamed("row_key", "b"), "b").groupBy(
-            F.col("a").alias("row_key")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "row_key").select("row_key", F.col("label").alias("old"),
-                                                    F.least("label", "near").alias("label"))
-        moved = stored(moved, "near-labels")
-        jump = moved.select(F.col("row_key").alias("label"), F.col("label").alias("far"))
-        nxt = stored(moved.join(jump, "label", "left").select(
-            "row_key", F.coalesce("far", "label").alias("label"), "old"), "near-labels")
+        rounds += 1
+        said = both.join(labels.select(F.col("row_key").alias("b"), "label"), "b").select(
+            F.col("a").alias("row_key"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("row_key", "label", F.col("label").alias("old"))
+        nxt = said.union(own).groupBy("row_key").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        if rounds > 3:
+            nxt = stored(nxt, "near-labels")
+            jump = nxt.select(F.col("row_key").alias("label"), F.col("label").alias("far"))
+            nxt = nxt.join(jump, "label", "left").select("row_key", F.coalesce("far", "label").alias("label"), "old")
+        nxt = stored(nxt, "near-labels")
         labels = nxt.select("row_key", "label")
         if nxt.filter("label != old").isEmpty():
             break
     return nodes.join(labels, "row_key", "left").withColumn("label", F.coalesce("label", "row_key"))
 
 
+def _query_blocks(weights: Weights, threshold: float):
+    """Links of a bucket's queries to members of other classes; a pair counts
+    in the first band it shares.  One link per query and class."""
+    def unpack(rows: list[dict]):
+        hs, tfs = [], []
+        for _, _, buf, off in slices(pa.array([r["text"] for r in rows], pa.string()), SLICE):
+            h, tf, at = vectors(buf, off)
+            hs += [h[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            tfs += [tf[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        bands = np.array([r["bands"] for r in rows], np.int64)
+        return hs, tfs, bands, np.array([r["row_key"] for r in rows], np.int64), np.array(
+            [r["label"] for r in rows], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band = batch.column("band")[i].as_py()
+                q_h, q_tf, q_bands, q_key, q_label = unpack(batch.column("queries")[i].as_py())
+                h, tf, bands, key, label = unpack(batch.column("members")[i].as_py())
+                size = np.array([len(x) for x in h])
+                owner = np.repeat(np.arange(len(h)), size)
+                flat = np.concatenate(h)
+                w = weights(flat, np.concatenate(tf))
+                total = np.bincount(owner, w, len(h))
+                order = np.argsort(flat)
+                flat, w, owner = flat[order], w[order], owner[order]
+                a, b = [], []
+                for j in range(len(q_h)):
+                    meet = (label != q_label[j]) & ~(bands[:, :band] == q_bands[j, :band]).any(axis=1)
+                    if not meet.any():
+                        continue
+                    own = weights(q_h[j], q_tf[j])
+                    lo, hi = np.searchsorted(flat, q_h[j], "left"), np.searchsorted(flat, q_h[j], "right")
+                    seat = gather(np.arange(len(flat)), lo, hi - lo)
+                    both = np.bincount(owner[seat], np.minimum(np.repeat(own, hi - lo), w[seat]), len(h))
+                    near = meet & (both >= threshold * (own.sum() + total - both))
+                    if near.any():
+                        _, one = np.unique(label[near], return_index=True)
+                        b += key[near][one].tolist()
+                        a += [int(q_key[j])] * len(one)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                                     names=["a", "b"])
+    return run
+
+
+def _between_classes(buckets: DataFrame, labels: DataFrame, texts: DataFrame, weights: Weights,
+                     threshold: float) -> DataFrame:
+    """Links (a, b) between different classes inside the buckets that hold
+    several."""
+    part = buckets.select("band", "key", "row_key").join(labels, "row_key")
+    several = part.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"))
+    several = several.filter("classes > 1").select("band", "key", F.col("top.label").alias("top"), "n",
+                                                   (F.col("n") - F.col("top.n")).alias("outside"))
+    mixed = stored(part.join(several, ["band", "key"]), "near-mixed")
+    carried = mixed.join(texts, "row_key")
+    who = F.struct("row_key", "label", "bands", "text")
+
+    def blocks(rows: DataFrame, n: str, most: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("row_key", F.lit(name)), F.ceil(F.col(n) / most))
+        return rows.groupBy("band", "key", block.alias("block")).agg(F.collect_list(who).alias(name)).drop("block")
+    members = blocks(carried, "n", MEMBER_BLOCK, "members")
+    queries = blocks(carried.filter("label != top"), "outside", QUERY_BLOCK, "queries")
+    return queries.join(members, ["band", "key"]).select("band", "queries", "members").mapInArrow(
+        _query_blocks(weights, threshold), "a long, b long")
+
+
 def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
     """row_key, doc_id, label per row."""
     texts = _keyed(docs)
@@ -366,49 +448,25 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFr
         F.min_by(F.struct("row_key", "total", "bands"), F.col("row_key")).alias("r")).select("same", "r.*"),
         "near-reps")
     members = reps.select("row_key", "total", F.posexplode("bands").alias("band", "key"))
-    leaders = members.groupBy("band", "key").agg(F.min("row_key").alias("a"), F.count(F.lit(1)).alias("n")).filter(
-        "n > 1")
-    buckets = stored(members.join(leaders, ["band", "key"]), "near-buckets")
+    several = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = stored(members.join(several, ["band", "key"]), "near-buckets")
+    degree = buckets.groupBy("row_key").agg(F.sum("n").alias("degree"))
+    first = buckets.join(degree, "row_key").groupBy("band", "key").agg(
+        F.max(F.struct("degree", "row_key", "total")).alias("lead"))
     # weighted Jaccard is at most the ratio of the weight sums
     near = F.least("total", "total_a") >= threshold * F.greatest("total", "total_a") * (1 - 1e-9)
-    lead = reps.select(F.col("row_key").alias("a"), F.col("total").alias("total_a"))
-    pairs = buckets.filter("a != row_key").select("a", F.col("row_key").alias("b"), "total").distinct()
-    tested = stored(pairs.join(lead, "a").filter(near).select("a", "b"), "near-tested")
+    pairs = buckets.join(first, ["band", "key"]).select(
+        F.col("lead.row_key").alias("a"), F.col("row_key").alias("b"), "total", F.col("lead.total").alias("total_a"))
+    pairs = pairs.filter((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     # the only texts that travel: those of bucket members
-    texts = stored(texts.join(buckets.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]),
-                   "near-texts")
-    links = stored(_links(tested, texts, weights, threshold), "near-found")
+    texts = texts.join(degree, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "text")
+    texts = stored(texts, "near-texts")
+    links = stored(_links(pairs, texts, weights, threshold), "near-found")
     labels = stored(components(reps.select("row_key"), links), "near-classes")
-    served, most = None, OUTSIDERS
-    while True:
-        part = buckets.select("band", "key", "row_key", "total", F.col("a").alias("leader")).join(labels, "row_key")
-        by_class = part.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
-        several = by_class.groupBy("band", "key").agg(
-            F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-        mixed = part.join(several.select("band", "key", F.col("top.label").alias("top")), ["band", "key"])
-        # the leader has met everyone
-        out = mixed.filter("label != top and row_key != leader").select(
-            "band", "key", F.col("row_key").alias("a"), F.col("label").alias("label_a"), F.col("total").alias("total_a"))
-        if served is not None:
-            out = out.join(served, ["band", "key", "a"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("band", "key").orderBy("a"))
-        out = stored(out.withColumn("turn", turn).filter(F.col("turn") <= most).drop("turn"), "near-outsiders")
-        if out.isEmpty():
-            break
-        done = out.select("band", "key", "a")
-        served = done if served is None else served.union(done)
-        most *= 4
-        more = out.join(mixed, ["band", "key"]).filter((F.col("label") != F.col("label_a")) & near).select(
-            F.least("a", "row_key").alias("a"), F.greatest("a", "row_key").alias("b")).distinct()
-        seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stored(more.join(seen, ["a", "b"], "left_anti"), "near-more")
-        if more.isEmpty():
-            continue
-        tested = tested.union(more)
-        found = stored(_links(more, texts, weights, threshold), "near-found")
-        if not found.isEmpty():
-            links = stored(links.union(found), "near-found")
-            labels = stored(components(reps.select("row_key"), links), "near-classes")
+    full = texts.join(reps.select("row_key", "bands"), "row_key")
+    found = stored(_between_classes(buckets, labels, full, weights, threshold), "near-found")
+    if not found.isEmpty():
+        labels = stored(components(reps.select("row_key"), links.union(found)), "near-classes")
     of_bag = reps.select("same", "row_key").join(labels, "row_key").select("same", "label")
     return sig.select("row_key", "doc_id", "has", "same").join(of_bag, "same", "left").select(
         "row_key", "doc_id", F.when(F.col("has"), F.col("label")).otherwise(F.col("row_key")).alias("label"))
