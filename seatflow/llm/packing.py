@@ -10,7 +10,7 @@ that held the same pieces are dissolved, and the displaced pieces go best-fit,
 longest first, into what is left.  After each epoch the elites move to the
 next island of the ring.  Bins of a shard's best packing that are nearly full
 are final; the pieces of the others meet pieces of other shards on the next
-level, until one shard is left.
+level, until one shard is left or a level has settled less than half.
 
 A shard has a fixed expected size, so an island's memory is bounded at any
 number of documents, and nothing but lengths and piece numbers moves in the
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatflow.llm.common import stored
@@ -190,8 +190,8 @@ def _epoch(capacity: int, epoch: int):
                 size = np.asarray(row.sizes, np.int64)
                 elites = [np.asarray(e, np.int32) for e in (row.elites if row.elites is not None else ())]
                 best = evolve(size, elites, capacity, (row.shard * 31 + row.island) * 31 + epoch)[:2]
-                yield pd.DataFrame({"shard": [row.shard], "island": [row.island],
-                                    "score": [fitness(best[0], size, capacity)],
+                yield pd.DataFrame({"shard": [row.shard], "island": [row.island], "sizes": [row.sizes],
+                                    "numbers": [row.numbers], "score": [fitness(best[0], size, capacity)],
                                     "elites": [[e.tolist() for e in best]]})
     return run
 
@@ -214,26 +214,28 @@ def _settle(capacity: int, nearly_full: float):
     return run
 
 
-def _level(items: DataFrame, shards: int, level: int, capacity: int, islands: int, epochs: int) -> DataFrame:
+def _level(items: DataFrame, shards: int, level: int, capacity: int, islands: int, epochs: int,
+           nearly_full: float) -> DataFrame:
     table = items.withColumn("shard", F.pmod(F.xxhash64("piece_no", F.lit(level)), F.lit(shards))).groupBy(
         "shard").agg(F.array_sort(F.collect_list(F.struct("length", "piece_no"))).alias("items"))
-    table = stored(table.select("shard", F.col("items.length").alias("sizes"), F.col("items.piece_no").alias("numbers")),
-                   "pack-shards")
-    ring = table.select("shard", "sizes", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"))
-    schema = "shard long, island int, score double, elites array<array<int>>"
-    moved = None
+    kind = "shard long, island int, sizes array<long>, numbers array<long>, score double, elites array<array<int>>"
+    isles = table.select("shard", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"),
+                         F.col("items.length").alias("sizes"), F.col("items.piece_no").alias("numbers"),
+                         F.lit(None).cast("array<array<int>>").alias("elites"))
+    isles = isles.repartition(_tasks(items, shards * islands))
     for epoch in range(epochs):
-        if moved is None:
-            start = ring.withColumn("elites", F.lit(None).cast("array<array<int>>"))
-        else:
-            start = ring.join(moved, ["shard", "island"])
-        out = start.select("shard", "island", "sizes", "elites").repartition(
-            _tasks(items, shards * islands), "shard", "island").mapInPandas(_epoch(capacity, epoch), schema)
-        out = stored(out, "pack-epoch")
-        moved = out.select("shard", ((F.col("island") + 1) % islands).alias("island"), "elites")
-    best = out.groupBy("shard").agg(F.max_by(F.col("elites")[0], F.struct("score", "island")).alias("best"))
-    return table.join(best, "shard").select("shard", "sizes", "numbers", "best").mapInPandas(
-        _settle(capacity, NEARLY_FULL if shards > 1 else 0.0),
+        if epoch:
+            # each island goes on with its own best packing and its ring neighbour's
+            ring = Window.partitionBy("shard").orderBy("island")
+            whole_ring = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            came = F.coalesce(F.lag("elites").over(ring), F.last("elites").over(whole_ring))
+            isles = isles.withColumn("came", came).withColumn(
+                "elites", F.array(F.col("elites")[0], F.col("came")[0])).drop("came", "score")
+        isles = isles.select("shard", "island", "sizes", "numbers", "elites").mapInPandas(_epoch(capacity, epoch), kind)
+    best = isles.groupBy("shard").agg(F.max_by(
+        F.struct("sizes", "numbers", F.col("elites")[0].alias("best")), F.struct("score", "island")).alias("b"))
+    return best.select("shard", "b.*").mapInPandas(
+        _settle(capacity, nearly_full),
         "piece_no long, length long, shard long, bin long, offset long, done boolean")
 
 
@@ -248,15 +250,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
     whole = pieces.filter(F.col("length") >= capacity).select(
         "piece_no", (-1 - F.col("piece_no")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.filter(F.col("length") < capacity).select("piece_no", "length")
-    out, level = whole, 0
+    out, level, before = whole, 0, None
     while True:
-        shards = -(-items.count() // shard_items)
-        if shards == 0:
+        n = items.count()
+        if n == 0:
             return out
-        packed = stored(_level(items, shards, level, capacity, islands, epochs), "pack-level")
+        # lengths that fill no bin well (many equal ones) don't get better by meeting others
+        last = before is not None and n > before // 2
+        shards = -(-n // shard_items)
+        full = 0.0 if last or shards == 1 else NEARLY_FULL
+        packed = stored(_level(items, shards, level, capacity, islands, epochs, full), "pack-level")
         number = (F.lit(level).cast("long") * F.lit(1 << 56)) + F.col("shard") * F.lit(1 << 20) + F.col("bin")
         out = out.unionByName(packed.filter("done").select("piece_no", number.alias("sequence_id"), "offset"))
         items, level = packed.filter("not done").select("piece_no", "length"), level + 1
+        before = n
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
