@@ -101,23 +101,43 @@ def release_cancelled(events: DataFrame, transitions: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- C4
 def create_events(events: DataFrame, new: DataFrame, allow_free: bool = False) -> tuple[DataFrame, DataFrame]:
     """C4: valid new events (P9) join the table with remaining = capacity.
-    Returns (table, refused rows with ``errors``)."""
+    Returns (table, refused rows with ``errors``).  The table keeps all its
+    columns (new rows have NULL in those they lack); an id that the table
+    holds, or that an earlier new row (by name) has, is refused."""
     good, bad = split_valid(validate_new_events(new, allow_free))
-    add = good.withColumn("remaining", F.col("capacity"))
-    cols = [c for c in events.columns if c in add.columns]
-    return events.select(*cols).unionByName(add.select(*cols)), bad
+    held = events.select(F.col("id").alias("_held")).distinct()
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("name"))
+    marked = good.withColumn("_turn", turn).join(held, F.col("id") == F.col("_held"), "left")
+    clash = F.col("_held").isNotNull() | (F.col("id").isNotNull() & (F.col("_turn") > 1))
+    again = marked.where(clash).drop("_turn", "_held").withColumn("errors", F.array(F.lit("id:exists")))
+    add = marked.where(~clash).drop("_turn", "_held").withColumn("remaining", F.col("capacity"))
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in add.columns
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    return events.unionByName(add.select(*cols)), bad.unionByName(again, allowMissingColumns=True)
 
 
 # --------------------------------------------------------------------- C5
-def patch_events(events: DataFrame, patches: DataFrame, clamp_remaining: bool = False) -> DataFrame:
+def patch_outcomes(events: DataFrame, patches: DataFrame) -> DataFrame:
+    """C5, second output: every patch with ``invalid`` (P10), ``not_found`` or
+    ``updated``."""
+    known = events.select("id", F.lit(True).alias("_known")).dropDuplicates(["id"])
+    outcome = F.when(F.size("errors") > 0, "invalid").when(F.col("_known").isNull(), "not_found").otherwise("updated")
+    return validate_event_patches(patches).join(known, "id", "left").select(*patches.columns, outcome.alias("outcome"))
+
+
+def patch_events(events: DataFrame, patches: DataFrame, clamp_remaining: bool = False,
+                 order: str | None = None) -> DataFrame:
     """Absent (NULL) patch fields keep the old value.  As coded, a
     smaller capacity leaves ``remaining`` as it was (it may exceed capacity);
     ``clamp_remaining`` repairs that.  Invalid patches (P10) are skipped.
-    created_at is kept."""
+    created_at is kept.  Of several patches of one event each field takes the
+    last value given, by the ``order`` column (without one, the largest)."""
     good, _ = split_valid(validate_event_patches(patches))
     fields = [c for c in ("name", "description", "starts_at", "ends_at", "capacity", "ticket_price_cents")
               if c in good.columns]
-    p = good.select(F.col("id"), *[F.col(c).alias(f"_p_{c}") for c in fields])
+    p = good.groupBy("id").agg(*[
+        (F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)).alias(f"_p_{c}")
+        for c in fields])
     out = events.join(p, "id", "left")
     for c in fields:
         out = out.withColumn(c, F.coalesce(f"_p_{c}", c))
@@ -168,25 +188,27 @@ def new_users(outcomes: DataFrame, id_col: str = "request_id") -> DataFrame:
 
 
 # --------------------------------------------------------------------- C8
-def patch_profiles(users: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def patch_profiles(users: DataFrame, patches: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(users after the patches, one outcome per patch).
 
     Outcomes: ``forbidden`` (caller is not the target, or no caller),
     ``invalid`` (P12 profile rule), ``not_found`` (unknown target) or
-    ``updated``.  Unlike C5, an absent full_name sets NULL.
+    ``updated``.  Unlike C5, an absent full_name sets NULL.  Of several
+    patches of one user the last by ``order`` counts (without one, the largest
+    name).
     """
     c, t = F.col("caller_id"), F.col("target_id")
     checked = validate_profiles(patches)
-    known = users.select(F.col("id").alias("target_id"), F.lit(True).alias("_known"))
+    known = users.select(F.col("id").alias("target_id"), F.lit(True).alias("_known")).dropDuplicates(["target_id"])
     j = checked.join(known, "target_id", "left")
     outcome = (F.when(c.isNull() | (c == "") | (c != t), F.lit("forbidden"))
                 .when(F.size("errors") > 0, F.lit("invalid"))
                 .when(F.col("_known").isNull(), F.lit("not_found"))
                 .otherwise(F.lit("updated")))
     res = j.select(*patches.columns, outcome.alias("outcome"))
-    upd = res.where(F.col("outcome") == "updated").select(F.col("target_id").alias("id"),
-                                                          F.col("full_name").alias("_new_name"),
-                                                          F.lit(True).alias("_hit"))
+    last = F.max(F.struct(*([order] if order else []), "full_name"))["full_name"]
+    upd = res.where(F.col("outcome") == "updated").groupBy(F.col("target_id").alias("id")).agg(
+        last.alias("_new_name"), F.lit(True).alias("_hit"))
     out = (users.join(upd, "id", "left")
            .withColumn("full_name", F.when(F.col("_hit"), F.col("_new_name")).otherwise(F.col("full_name")))
            .drop("_new_name", "_hit").select(*users.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatflow.functions.columns import cents_to_currency
-from seatflow.operators.stats import confirmed_totals, duplicate_keys, tracked_event_ids
+from seatflow.operators.stats import confirmed_totals, tracked_event_ids
 from seatflow.schemas import KEY_REMAINING_PREFIX
 
 
@@ -39,23 +39,29 @@ def resolve_natural_keys(rows: DataFrame, users: DataFrame, events: DataFrame,
     """E-mail -> user id and event name -> event id.  No match gives NULL;
     a name or e-mail held by more than one row is an error, as a scalar
     subquery returning two rows would be."""
-    for df, col, what in ((users, "email", "users.email"), (events, "name", "events.name")):
-        if not duplicate_keys(df, [col]).isEmpty():
-            raise ValueError(f"{what} is not unique; natural keys cannot be resolved")
-    u = users.select(F.col("email").alias(email_col), F.col("id").alias("user_id"))
-    e = events.select(F.col("name").alias(name_col), F.col("id").alias("event_id"))
-    return rows.join(u, email_col, "left").join(e, name_col, "left")
+    return event_id_by_name(user_id_by_email(rows, users, email_col), events, name_col)
+
+
+def _unique(table: DataFrame, key: str, key_as: str, id_as: str) -> DataFrame:
+    """(key, id) of a table, one row per key; a key held twice is an error
+    when the plan runs, not a multiplied row."""
+    held = table.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(key_as)).agg(
+        F.first("id").alias(id_as), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.col(key_as).cast("string")))
+    return held.select(key_as, F.when(F.col("_n") > 1, twice.cast(table.schema["id"].dataType)).otherwise(
+        F.col(id_as)).alias(id_as))
 
 
 def user_id_by_email(rows: DataFrame, users: DataFrame, email_col: str = "email") -> DataFrame:
     """The user id of every row's e-mail (NULL when none), as a join
-    rather than a lookup per row."""
-    return rows.join(users.select(F.col("email").alias(email_col), F.col("id").alias("user_id")), email_col, "left")
+    rather than a lookup per row.  An e-mail held twice is an error."""
+    return rows.join(_unique(users, "email", email_col, "user_id"), email_col, "left")
 
 
 def event_id_by_name(rows: DataFrame, events: DataFrame, name_col: str = "event_name") -> DataFrame:
-    """The event id of every row's event name (NULL when none)."""
-    return rows.join(events.select(F.col("name").alias(name_col), F.col("id").alias("event_id")), name_col, "left")
+    """The event id of every row's event name (NULL when none).  A
+    name held twice is an error."""
+    return rows.join(_unique(events, "name", name_col, "event_id"), name_col, "left")
 
 
 def remaining_confirmed(events: DataFrame, bookings: DataFrame) -> DataFrame:

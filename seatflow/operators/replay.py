@@ -50,9 +50,11 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, bucket: C
     offsets = totals.select(key, "_bk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(key, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn("_loc", F.sum(value).over(inside))
-    return (local.join(offsets, [key, "_bk"])
+    # null-safe: rows without a key or a time are summed like any other
+    offsets = offsets.select(F.col(key).alias("_okey"), F.col("_bk").alias("_obk"), "_off")
+    return (local.join(offsets, F.col(key).eqNullSafe(F.col("_okey")) & F.col("_bk").eqNullSafe(F.col("_obk")))
             .withColumn(out, (F.col("_off") + F.col("_loc")).cast("bigint"))
-            .drop("_bk", "_off", "_loc"))
+            .drop("_bk", "_off", "_loc", "_okey", "_obk"))
 
 
 # --------------------------------------------------------------------- W1
@@ -63,7 +65,7 @@ def admit(requests: DataFrame, events: DataFrame, order: tuple[str, ...] = ("cre
     ``requests`` (id, event_id, quantity >= 1, order columns) must have passed
     P8; ``events`` gives ``remaining`` (or ``capacity``) per ``id``.  Returns
     the requests with ``admitted``, ``remaining`` (seats left right after the
-    request) and ``reason`` (NOT_ENOUGH_TICKETS, or UNKNOWN_EVENT for an event
+    request) and ``reason`` (a request without a time comes first; NOT_ENOUGH_TICKETS, or UNKNOWN_EVENT for an event
     that does not exist, which the service also reports as not enough).
 
     Each round, per event with remainder ``rem``: a running sum ``cum`` of the
@@ -214,12 +216,18 @@ def replay_inventory(commands: DataFrame, events: DataFrame, partitions: int | N
     What each command would do to its own booking is settled set-wise first
     (``booking_effects``), so the fold per event keeps only seats and the
     admitted bookings with commands still ahead, not every booking the
-    event ever had.
+    event ever had.  Commands of an unknown event are returned with
+    ``applied`` false and no ``remaining``.
     """
     cap = events.select(F.col("id").alias("event_id"), F.col("capacity").cast("int"))
-    rows = booking_effects(commands.select("booking_id", "event_id", "quantity", "ts", "seq", "command"))
-    rows = rows.join(cap, "event_id")
-    return sorted_fold(rows, "event_id", ["ts", "booking_id", "seq"], _inventory_fold, INVENTORY_OUT, partitions)
+    commands = commands.select("booking_id", "event_id", "quantity", "ts", "seq", "command")
+    rows = booking_effects(commands).join(cap, "event_id")
+    known = sorted_fold(rows, "event_id", ["ts", "booking_id", "seq"], _inventory_fold, INVENTORY_OUT, partitions)
+    given = {"applied": F.lit(False), "remaining": F.lit(None)}
+    unknown = commands.join(cap, "event_id", "left_anti").select(
+        *[given.get(f.name, F.col(f.name) if f.name in commands.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+          for f in INVENTORY_OUT])
+    return known.unionByName(unknown)
 
 
 RATE_OUT = T.StructType([
@@ -276,6 +284,18 @@ def _target(command: Column) -> Column:
              .when(command == "CANCEL", F.lit(CANCELLED)))
 
 
+def _created() -> Column:
+    """Whether the booking has a CREATE at or before the command."""
+    w = Window.partitionBy("booking_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.max(F.col("command") == "CREATE").over(w), F.lit(False))
+
+
+def uncreated_commands(commands: DataFrame) -> DataFrame:
+    """The commands W3 rejects: CONFIRM or CANCEL of a booking that was not
+    created before."""
+    return commands.withColumn("_made", _created()).where(~F.col("_made")).drop("_made")
+
+
 def status_transitions(commands: DataFrame, strict: bool = False) -> DataFrame:
     """The real status changes of every booking, in (ts, seq) order.
 
@@ -284,10 +304,12 @@ def status_transitions(commands: DataFrame, strict: bool = False) -> DataFrame:
     target equals it is a no-op and dropped.  ``illegal`` marks a change
     that does not start from PENDING (cancelled -> confirmed passes as
     coded).  ``strict`` lets only the first settle command after PENDING
-    count.
+    count.  A settle command before any CREATE of its booking changes nothing
+    (``uncreated_commands`` lists those).
     """
     w = Window.partitionBy("booking_id").orderBy("ts", "seq")
-    t = commands.withColumn("to_status", _target(F.col("command")))
+    t = commands.withColumn("to_status", _target(F.col("command"))).withColumn("_made", _created()).where(
+        "_made").drop("_made")
     if strict:
         settle = F.when(F.col("command") != "CREATE", F.lit(1)).otherwise(F.lit(0))
         t = (t.withColumn("_n", F.sum(settle).over(w.rowsBetween(Window.unboundedPreceding, 0)))

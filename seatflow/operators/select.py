@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,10 +108,8 @@ def normalise_page(limit, offset) -> tuple[int, int]:
     """Page arguments as the listing endpoint reads them: unreadable or
     non-positive limit -> 20, above 100 -> 100, negative offset -> 0."""
     def as_int(v):
-        try:
-            return int(str(v).strip())
-        except (TypeError, ValueError):
-            return None
+        # ASCII digits with an optional sign, nothing else
+        return int(str(v)) if re.fullmatch(r"[+-]?[0-9]+", str(v)) else None
 
     n, k = as_int(limit), as_int(offset)
     if n is None or n <= 0:

@@ -4,7 +4,7 @@ becomes currency only in the last projection."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatflow.functions.columns import cents_to_currency
@@ -128,16 +128,20 @@ def severity(log: DataFrame) -> DataFrame:
     return log.withColumn("level", level)
 
 
-def access_severity(log: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """A10: requests per (path, level) with mean and median latency.  The
-    median is ``percentile_approx`` (a mergeable sketch; exact while a group
-    has fewer rows than ``accuracy``), so a huge group never sits in one
-    buffer."""
-    return (severity(log).groupBy("path", "level")
-            .agg(F.count(F.lit(1)).alias("requests"),
-                 F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"),
-                 F.percentile_approx("latency_ms", 0.5, accuracy).alias("p50_latency_ms"),
-                 F.max("latency_ms").alias("max_latency_ms")))
+def access_severity(log: DataFrame) -> DataFrame:
+    """A10: requests per (path, level) with mean and median latency.  Rows are
+    counted per latency first, so the median is exact at any size and a
+    window holds one row per distinct latency, never a group's requests."""
+    each = severity(log).groupBy("path", "level", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("path", "level")
+    run = group.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("latency_ms").isNotNull(), F.col("n")).otherwise(0)
+    each = each.withColumns({"_run": F.sum(known).over(run), "_half": F.ceil(F.sum(known).over(group) / 2)})
+    return each.groupBy("path", "level").agg(
+        F.sum("n").alias("requests"),
+        F.round(F.sum(F.col("latency_ms") * F.col("n")) / F.sum(known), 6).alias("avg_latency_ms"),
+        F.min(F.when(F.col("_run") >= F.col("_half"), F.col("latency_ms"))).alias("p50_latency_ms"),
+        F.max("latency_ms").alias("max_latency_ms"))
 
 
 def status_counts(bookings: DataFrame) -> DataFrame:

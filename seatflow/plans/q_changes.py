@@ -99,6 +99,15 @@ def c5(spark, sf):
         "id", "name", "capacity", "remaining", "ticket_price_cents")
 
 
+@register("C5_patch_outcomes", """SELECT p.id, CASE WHEN COALESCE(p.capacity, 0) < 0
+    OR COALESCE(p.ticket_price_cents, 0) < 0 THEN 'invalid'
+  WHEN e.id IS NULL THEN 'not_found' ELSE 'updated' END AS outcome
+FROM v_event_patches p LEFT JOIN v_events_stocked e ON p.id = e.id""")
+def c5o(spark, sf):
+    f = fx(spark, sf)
+    return C.patch_outcomes(f.events_stocked, f.event_patches).select("id", "outcome")
+
+
 @register("C6_delete_events", """SELECT id, name FROM v_events WHERE id NOT IN (
   SELECT id FROM v_event_patches WHERE id NOT IN (SELECT event_id FROM v_bookings))""")
 def c6(spark, sf):

@@ -90,13 +90,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
+        # Spark appends a folder of its own to the configured one
+        path = configured.split(":", 1)[-1].replace("//", "").rstrip("/")
+        if not current or path not in current:
+            sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if current:
+        return current
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS)")
     local = tempfile.mkdtemp(prefix="seatflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -93,12 +93,15 @@ def parse_access_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     schema = T.StructType(ACCESS_LINE.fields + [T.StructField("_corrupt_record", T.StringType())])
     r = F.from_json(F.col(line_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     keep = [c for c in lines.columns if c != line_col]
-    return lines.select(*keep, r.alias("_r")).select(
+    return lines.select(*keep, line_col, r.alias("_r")).select(
         *keep,
-        F.to_timestamp("_r.ts").alias("ts"),
+        F.try_to_timestamp(F.col("_r.ts")).alias("ts"),
         *[F.col(f"_r.{c}").alias(c) for c in ("level", "request_id", "method", "path", "status")],
         F.col("_r.latency").alias("latency_ms"),
-        *[F.col(f"_r.{c}").alias(c) for c in ("client_ip", "user_agent", "user_id", "errors", "_corrupt_record")])
+        *[F.col(f"_r.{c}").alias(c) for c in ("client_ip", "user_agent", "user_id", "errors")],
+        F.coalesce(F.col("_r._corrupt_record"), F.when(
+            F.col("_r.ts").isNotNull() & F.try_to_timestamp(F.col("_r.ts")).isNull(), F.col(line_col))
+        ).alias("_corrupt_record"))
 
 
 def read_access_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

@@ -165,8 +165,9 @@ class RateLimitProcessor(StatefulProcessor):
             tok, last = self.full, None
         for r in sorted(rows, key=lambda r: (r["ts"], r["request_id"])):
             t = r["ts_us"]
-            tok = self.full if last is None else min(self.full, tok + (t - last))
-            last = t
+            # a row older than the last one earns nothing and turns no clock back
+            tok = self.full if last is None else min(self.full, tok + max(0, t - last))
+            last = t if last is None else max(last, t)
             ok = tok >= self.token_us
             if ok:
                 tok -= self.token_us
