@@ -75,7 +75,7 @@ def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # a running polynomial of five word hashes; the last words of a text have
     # fewer behind them and start no shingle
     h = np.zeros(len(word), np.uint64)
-    for k in range(WORDS):
+    for k in range(min(WORDS, len(word))):
         h[:len(word) - k] += word[k:] * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
     h = mix(h)
     number = np.maximum(count - WORDS + 1, (count > 0).astype(np.int64))

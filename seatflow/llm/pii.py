@@ -37,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from seatflow.llm.textvec import text_buffer
 
@@ -244,9 +245,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataF
     """``docs`` with pseudonyms in ``text`` and counts ``pii_<kind>`` per row
     (a column that already bears such a name is replaced)."""
     docs = docs.drop(*(f"pii_{k}" for k in KINDS)).withColumn("text", F.col("text").cast("string"))
-    schema = docs.schema
-    for k in KINDS:
-        schema = schema.add(f"pii_{k}", "long")
+    schema = StructType([*docs.schema.fields, *(StructField(f"pii_{k}", LongType()) for k in KINDS)])
     return docs.mapInArrow(_replace(key, back, docs.columns.index("text")), schema)
 
 
