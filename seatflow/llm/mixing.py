@@ -29,6 +29,7 @@ SEED = "mix-1"
 SOURCE_WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 ROWS_PER_BUCKET = 20_000
+SALTS = 64
 
 
 def quality_weight(text: Column) -> Column:
@@ -121,7 +122,10 @@ def _times(docs: DataFrame, weights, most: int, seed: str, slim: DataFrame | Non
         slim = stored(rows.select("doc_id", "source", "mix_size", "mix_key"), "mix-sizes")
     plan, buckets = cuts(slim, weights, most)
     plan = plan.select("source", F.struct("source_size", "target", "epochs", "last_bucket", "cut").alias("mix_plan"))
-    rows = _null_safe(rows, plan, "source")
+    # a source may hold a third of all rows: its plan is repeated per salt
+    plan = plan.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = _null_safe(rows, plan, "source", "mix_salt").drop("mix_salt")
     bucket = _bucket(F.col("mix_key"), buckets)
     within = F.struct("mix_key", "doc_id") <= F.col("mix_plan.cut")
     taken = F.when(bucket < F.col("mix_plan.last_bucket"), True).when(
