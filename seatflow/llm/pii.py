@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from seatflow.llm.textvec import text_buffer
+from seatflow.llm.textvec import slices
 
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 ROUNDS = 8
@@ -210,19 +210,21 @@ def replace_text(text: str, perm: Permutation, find: re.Pattern, back: bool = Fa
 
 # --- Spark ------------------------------------------------------------------
 
-def _suspects(col: pa.Array) -> np.ndarray:
+def _suspects(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Rows with an @ or four digits at all: no find has fewer."""
-    buf, off = text_buffer(col)
-    marks = np.concatenate(([0], np.cumsum((buf >= 48) & (buf <= 57)) + 4 * np.cumsum(buf == 64)))
-    return np.flatnonzero(np.diff(marks[off]) >= 4)
+    digits = np.flatnonzero((buf >= 48) & (buf <= 57))
+    ats = np.flatnonzero(buf == 64)
+    return np.flatnonzero((np.diff(np.searchsorted(digits, off)) >= 4) | (np.diff(np.searchsorted(ats, off)) > 0))
 
 
 def _replace(key: bytes, back: bool, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perm, find = Permutation(key), re.compile(_FIND)
-        for batch in batches:
+        # in slices of a few MB, whatever a batch holds
+        for batch, buf, off in ((b.slice(i, j - i), buf, off) for b in batches
+                                for i, j, buf, off in slices(b.column(text_at))):
             texts = batch.column(text_at)
-            rows = _suspects(texts)
+            rows = _suspects(buf, off)
             counts = {k: np.zeros(batch.num_rows, np.int64) for k in KINDS}
             new = []
             for i in rows.tolist():
