@@ -74,12 +74,16 @@ def remaining_confirmed(events: DataFrame, bookings: DataFrame) -> DataFrame:
 
 def orphan_bookings(bookings: DataFrame, users: DataFrame, events: DataFrame) -> DataFrame:
     """Bookings whose user or event does not exist, one row per broken
-    reference with its ``reason``."""
-    no_user = (bookings.join(users.select(F.col("id").alias("user_id")), "user_id", "left_anti")
-               .withColumn("reason", F.lit("MISSING_USER")))
-    no_event = (bookings.join(events.select(F.col("id").alias("event_id")), "event_id", "left_anti")
-                .withColumn("reason", F.lit("MISSING_EVENT")))
-    return no_user.unionByName(no_event)
+    reference with its ``reason``.  The bookings are read once: two left
+    joins mark what is missing, and the marks become rows."""
+    users = users.select(F.col("id").alias("_user")).distinct()
+    events = events.select(F.col("id").alias("_event")).distinct()
+    marked = bookings.join(users, F.col("user_id") == F.col("_user"), "left").join(
+        events, F.col("event_id") == F.col("_event"), "left")
+    missing = F.array_compact(F.array(F.when(F.col("_user").isNull(), F.lit("MISSING_USER")),
+                                      F.when(F.col("_event").isNull(), F.lit("MISSING_EVENT"))))
+    broken = marked.where(F.col("_user").isNull() | F.col("_event").isNull())
+    return broken.select(*bookings.columns, F.explode(missing).alias("reason"))
 
 
 def stats_existing_events(event_ids: DataFrame, events: DataFrame, bookings: DataFrame,
@@ -88,7 +92,9 @@ def stats_existing_events(event_ids: DataFrame, events: DataFrame, bookings: Dat
     without bookings gives zeros, an unknown id gives no row."""
     ids = event_ids.select(F.col(ids_key or event_ids.columns[0]).alias("id")).distinct()
     known = events.select("id").join(ids, "id", "left_semi")
-    t = confirmed_totals(bookings).withColumnRenamed("event_id", "id")
+    # only the wanted events' bookings are summed
+    wanted = bookings.join(known.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+    t = confirmed_totals(wanted).withColumnRenamed("event_id", "id")
     out = known.join(t, "id", "left")
     return out.select(
         F.col("id").alias("event_id"),

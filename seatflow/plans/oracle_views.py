@@ -61,7 +61,7 @@ WHERE r.quantity BETWEEN 1 AND 10""",
        ELSE '{"booking_id":"' || CAST(event_id AS VARCHAR) || '","user_id":"' || CAST(user_id AS VARCHAR)
             || '","event_id":"' || CAST(event_id % 20 AS VARCHAR) || '","quantity":' || CAST(event_id % 12 AS VARCHAR) || '}'
   END AS body
-FROM events WHERE event_type = 'purchase'""",
+FROM events""",
     "v_access": """SELECT
   CAST(event_id AS VARCHAR) AS request_id, ts,
   CASE event_type WHEN 'purchase' THEN 'POST' WHEN 'signup' THEN 'POST' ELSE 'GET' END AS method,

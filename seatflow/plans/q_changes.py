@@ -56,6 +56,13 @@ def c1r(spark, sf):
     return _batch(spark, sf).refusals.select("id", "reason")
 
 
+@register("C1_book_batch_messages", """SELECT id AS booking_id, 'booking.created' AS routing_key,
+  '{"booking_id":"' || id || '","user_id":"' || user_id || '","event_id":"' || event_id || '","quantity":'
+  || CAST(quantity AS VARCHAR) || '}' AS body FROM adm""", _BOOK, recursive=True)
+def c1m(spark, sf):
+    return _batch(spark, sf).messages
+
+
 @register("C2_apply_status", """SELECT booking_id AS id, target AS status, ts AS updated_at FROM r2 WHERE n = 1""", {
     "u": """SELECT id AS booking_id, 'PENDING' AS target, created_at AS ts, 0 AS rk, 0 AS seq FROM v_bookings
   UNION ALL SELECT booking_id, CASE command WHEN 'CONFIRM' THEN 'CONFIRMED' ELSE 'CANCELLED' END, ts, 1, seq

@@ -70,7 +70,8 @@ def t1(spark, sf):
 # -------------------------------------------------------------------- T2
 @register("T2_expire_pending", """SELECT c.booking_id, c.ts + INTERVAL 15 MINUTE AS expires_at
 FROM v_commands c WHERE c.command = 'CREATE' AND NOT EXISTS (SELECT 1 FROM v_commands s
-  WHERE s.booking_id = c.booking_id AND s.command <> 'CREATE' AND s.ts <= c.ts + INTERVAL 15 MINUTE)""")
+  WHERE s.booking_id = c.booking_id AND s.command <> 'CREATE' AND s.ts >= c.ts
+  AND s.ts <= c.ts + INTERVAL 15 MINUTE)""")
 def t2(spark, sf):
     enable_state_store(spark)
     f = fx(spark, sf)
@@ -87,7 +88,8 @@ def t2(spark, sf):
 
 @register("T2_expired_batch", """SELECT c.booking_id, c.ts + INTERVAL 15 MINUTE AS expires_at
 FROM v_commands c WHERE c.command = 'CREATE' AND NOT EXISTS (SELECT 1 FROM v_commands s
-  WHERE s.booking_id = c.booking_id AND s.command <> 'CREATE' AND s.ts <= c.ts + INTERVAL 15 MINUTE)""")
+  WHERE s.booking_id = c.booking_id AND s.command <> 'CREATE' AND s.ts >= c.ts
+  AND s.ts <= c.ts + INTERVAL 15 MINUTE)""")
 def t2b(spark, sf):
     return S.expired_bookings(fx(spark, sf).commands)
 
@@ -103,7 +105,7 @@ def t3(spark, sf):
     src, slices = _sliced(req, "created_at")
     ev = f.events.select("id", "capacity")
     run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.admit_stream(s, ev)))
-    return spark.read.parquet(run.sink)
+    return spark.read.parquet(run.sink).select("event_id", "id", "admitted", "remaining", "reason")
 
 
 # -------------------------------------------------------------------- T4
@@ -120,15 +122,28 @@ def t4(spark, sf):
 
 
 # -------------------------------------------------------------------- T5
-@register("T5_gauge_stream", """SELECT 'tickets_sold_total' AS metric, event_id, CAST(SUM(quantity) AS DOUBLE) AS value
-FROM v_bookings WHERE status = 'CONFIRMED' GROUP BY event_id
+# every confirmed booking was confirmed at its last change; a cancelled one was
+# confirmed when created and cancelled then, so its seats come and go again
+@register("T5_gauge_stream", """SELECT 'tickets_sold_total' AS metric, event_id,
+  CAST(SUM(CASE WHEN status = 'CONFIRMED' THEN quantity ELSE 0 END) AS DOUBLE) AS value
+FROM v_bookings WHERE status <> 'PENDING' GROUP BY event_id
 UNION ALL SELECT 'revenue_total', event_id,
-  CAST(SUM(CAST(quantity AS BIGINT) * unit_price_cents) AS DOUBLE) / 100.0
-FROM v_bookings WHERE status = 'CONFIRMED' GROUP BY event_id""")
+  CAST(SUM(CASE WHEN status = 'CONFIRMED' THEN CAST(quantity AS BIGINT) * unit_price_cents ELSE 0 END) AS DOUBLE) / 100.0
+FROM v_bookings WHERE status <> 'PENDING' GROUP BY event_id""")
 def t5(spark, sf):
     b = fx(spark, sf).bookings
+
+    def change(start, end, at):
+        return F.struct(F.lit(start).alias("from_status"), F.lit(end).alias("to_status"), F.col(at).alias("ts"))
+
+    made, st = change(None, "PENDING", "created_at"), F.col("status")
+    steps = F.when(st == "CONFIRMED", F.array(made, change("PENDING", "CONFIRMED", "updated_at"))).when(
+        st == "CANCELLED", F.array(made, change("PENDING", "CONFIRMED", "created_at"),
+                                   change("CONFIRMED", "CANCELLED", "updated_at"))).otherwise(F.array(made))
+    changes = b.select("event_id", "quantity", "unit_price_cents", F.explode(steps).alias("c")).select(
+        "event_id", "quantity", "unit_price_cents", "c.*")
     run = SliceReplay(spark, "t5-gauges")
-    src, slices = _sliced(b, "updated_at")
+    src, slices = _sliced(changes)
     run.run(src, "_slice", slices, lambda s: S.gauge_stream(s, run.sink))
     return S.latest_gauges(spark.read.parquet(run.sink))
 

@@ -415,3 +415,11 @@ def o1(spark, sf):
 LIMIT 20 OFFSET 40""")
 def o2(spark, sf):
     return P.page_events(fx(spark, sf).events.select("id", "name", "starts_at"), limit=20, offset=40)
+
+
+@register("O2_page_events_after", """SELECT id, name, starts_at FROM v_events
+WHERE starts_at > TIMESTAMP '1999-06-01 00:00:00' OR (starts_at = TIMESTAMP '1999-06-01 00:00:00' AND id > '5')
+ORDER BY starts_at, id LIMIT 20""")
+def o2_after(spark, sf):
+    return P.page_events_after(fx(spark, sf).events.select("id", "name", "starts_at"), "1999-06-01T00:00:00Z", "5",
+                               limit=20)

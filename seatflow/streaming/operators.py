@@ -26,9 +26,9 @@ from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, Stateful
                                                       TimerValues)
 
 from seatflow.operators.changes import apply_status
-from seatflow.operators.replay import INVENTORY_OUT, RATE_OUT
+from seatflow.operators.replay import INVENTORY_OUT, NOT_ENOUGH, RATE_OUT, UNKNOWN_EVENT
 from seatflow.operators.validate import validate_messages
-from seatflow.schemas import PENDING_TTL_MINUTES
+from seatflow.schemas import CONFIRMED, PENDING_TTL_MINUTES
 from seatflow.sources.documents import gauge_samples
 from seatflow.sources.messages import parse_booking_messages
 from seatflow.streaming.runner import path_exists
@@ -105,11 +105,13 @@ class AdmitProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         known = self.seats.exists()
         rem = self.seats.get()[0] if known else 0
-        for r in sorted(rows, key=lambda r: (r["created_at"], r["id"])):
+        # a request without a time comes first, as in W1
+        for r in sorted(rows, key=lambda r: (r["created_at"] is not None, r["created_at"], r["id"])):
             ok = known and r["quantity"] <= rem
             if ok:
                 rem -= r["quantity"]
-            yield Row(event_id=r["event_id"], id=r["id"], admitted=ok, remaining=rem if known else None)
+            yield Row(id=r["id"], event_id=r["event_id"], quantity=r["quantity"], created_at=r["created_at"],
+                      admitted=ok, remaining=rem if known else None)
         if known:
             self.seats.update((rem,))
 
@@ -117,7 +119,8 @@ class AdmitProcessor(StatefulProcessor):
         pass
 
 
-ADMIT_OUT = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("id", T.StringType()),
+ADMIT_OUT = T.StructType([T.StructField("id", T.StringType()), T.StructField("event_id", T.StringType()),
+                          T.StructField("quantity", T.IntegerType()), T.StructField("created_at", T.TimestampNTZType()),
                           T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.IntegerType())])
 
 
@@ -135,12 +138,15 @@ def inventory_stream(commands: DataFrame, events: DataFrame) -> DataFrame:
 
 def admit_stream(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Requests (id, event_id, quantity, created_at) admitted in arrival
-    order; same columns as W1.  State is one value per event."""
+    order; same columns and reasons as W1.  State is one value per event."""
     init_cols = [F.col("id").alias("event_id"), "capacity"] + (["remaining"] if "remaining" in events.columns else [])
-    out = requests.select("id", "event_id", "quantity", "created_at").groupBy("event_id").transformWithState(
+    rows = requests.select("id", "event_id", F.col("quantity").cast("int").alias("quantity"),
+                           F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+    out = rows.groupBy("event_id").transformWithState(
         statefulProcessor=AdmitProcessor(), outputStructType=ADMIT_OUT, outputMode="Append", timeMode="None",
         initialState=events.select(*init_cols).groupBy("event_id"))
-    return out.withColumn("reason", F.when(~F.col("admitted"), F.lit("NOT_ENOUGH_TICKETS")))
+    return out.withColumn("reason", F.when(F.col("remaining").isNull(), F.lit(UNKNOWN_EVENT)).when(
+        ~F.col("admitted"), F.lit(NOT_ENOUGH)))
 
 
 # -------------------------------------------------------------------- T4
@@ -224,15 +230,16 @@ def expire_pending_stream(commands: DataFrame, ttl_minutes: int = PENDING_TTL_MI
 
 
 def expired_bookings(commands: DataFrame, ttl_minutes: int = PENDING_TTL_MINUTES) -> DataFrame:
-    """T2's batch twin: CREATEs with no CONFIRM or CANCEL at or before
+    """T2's batch twin: CREATEs with no CONFIRM or CANCEL from created_at to
     created_at + ttl (an anti join on the booking with a time residual)."""
     ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(ttl_minutes), F.lit(0))
     created = commands.where(F.col("command") == "CREATE").select(
-        "booking_id", (F.col("ts") + ttl).alias("expires_at"))
+        "booking_id", (F.col("ts") + ttl).alias("expires_at"), F.col("ts").alias("_c"))
     settles = commands.where(F.col("command").isin("CONFIRM", "CANCEL")).select(
         F.col("booking_id").alias("_b"), F.col("ts").alias("_t"))
-    cond = (F.col("booking_id") == F.col("_b")) & (F.col("_t") <= F.col("expires_at"))
-    return created.join(settles, cond, "left_anti")
+    cond = ((F.col("booking_id") == F.col("_b")) & (F.col("_t") >= F.col("_c"))
+            & (F.col("_t") <= F.col("expires_at")))
+    return created.join(settles, cond, "left_anti").drop("_c")
 
 
 # -------------------------------------------------------------------- T6
@@ -316,17 +323,24 @@ def settle_stream(messages: DataFrame, sink: SettleSink):
 
 
 # -------------------------------------------------------------------- T5
-def gauge_stream(bookings: DataFrame, sink_path: str):
+def gauge_stream(changes: DataFrame, sink_path: str):
     """T5: running CONFIRMED totals per event (update mode: only events that
-    changed are emitted) written as gauge samples by ``foreachBatch``."""
-    totals = (bookings.where(F.col("status") == "CONFIRMED").groupBy("event_id")
-              .agg(F.sum("quantity").cast("bigint").alias("tickets_sold"),
-                   F.sum(F.col("quantity").cast("bigint") * F.col("unit_price_cents")).cast("bigint")
-                   .alias("revenue_cents")))
+    changed are emitted) written as gauge samples by ``foreachBatch``.
+
+    ``changes`` are status changes (event_id, quantity, unit_price_cents,
+    from_status, to_status, ts): entering CONFIRMED adds, leaving it takes
+    away, anything else changes no total.  A sample's time is the event's
+    latest change, so a replayed batch writes the same samples."""
+    became, was = (F.col(c).eqNullSafe(F.lit(CONFIRMED)) for c in ("to_status", "from_status"))
+    seats = F.col("quantity").cast("bigint") * F.when(became, 1).otherwise(-1)
+    totals = (changes.where(became != was).groupBy("event_id")
+              .agg(F.sum(seats).cast("bigint").alias("tickets_sold"),
+                   F.sum(seats * F.col("unit_price_cents")).cast("bigint").alias("revenue_cents"),
+                   F.max("ts").alias("ts")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stats = batch.withColumn("revenue", F.col("revenue_cents").cast("double") / 100.0)
-        (gauge_samples(stats, F.current_timestamp()).withColumn("batch_id", F.lit(batch_id))
+        (gauge_samples(stats, F.col("ts")).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(sink_path))
 

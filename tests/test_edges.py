@@ -6,7 +6,10 @@ import pytest
 
 from seatflow.operators import changes, joins, replay, select, stats
 from seatflow.sources.tables import parse_access_lines
+from seatflow.session import scratch_path
+from seatflow.streaming import operators as S
 from seatflow.streaming.operators import RateLimitProcessor
+from seatflow.streaming.runner import SliceReplay, enable_state_store
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -138,3 +141,56 @@ def test_rate_limiter_clock_never_turns_back():
     row = {"key": "k", "request_id": "r", "ts": T0, "ts_us": 0}
     out = list(p.handleInputRows("k", iter([row]), None))
     assert out[0]["allowed"] and out[0]["tokens"] == 1_500_000 and p.bucket.held[1] == 60_000_000
+
+
+def test_gauge_falls_when_a_confirmed_booking_is_cancelled(spark):
+    rows = [("e", 2, 500, None, "PENDING", T0, 0), ("e", 2, 500, "PENDING", "CONFIRMED", T0, 0),
+            ("f", 1, 300, "PENDING", "CONFIRMED", T0, 0), ("g", 1, 1, None, "PENDING", T0, 0),
+            ("e", 2, 500, "CONFIRMED", "CANCELLED", T0 + dt.timedelta(hours=1), 1),
+            ("f", 1, 300, "CONFIRMED", "CONFIRMED", T0 + dt.timedelta(hours=1), 1)]
+    src = spark.createDataFrame(rows, "event_id string, quantity int, unit_price_cents long, from_status string, "
+                                      "to_status string, ts timestamp_ntz, _slice int")
+    run = SliceReplay(spark, "edge-gauges")
+    run.run(src, "_slice", [0, 1], lambda s: S.gauge_stream(s, run.sink))
+    samples = spark.read.parquet(run.sink)
+    got = {(r["metric"], r["event_id"]): r["value"] for r in S.latest_gauges(samples).collect()}
+    assert got == {("tickets_sold_total", "e"): 0.0, ("revenue_total", "e"): 0.0,
+                   ("tickets_sold_total", "f"): 1.0, ("revenue_total", "f"): 3.0}
+    # the time of a sample comes from the data
+    assert {r["ts"] for r in samples.where("batch_id = 1").collect()} == {T0 + dt.timedelta(hours=1)}
+
+
+def test_admit_stream_gives_the_columns_and_reasons_of_the_batch(spark):
+    enable_state_store(spark)
+    req = spark.createDataFrame([("a", "e", 1, T0), ("b", "e", 9, T0), ("c", "no", 1, T0), ("d", "e", 1, None)],
+                                "id string, event_id string, quantity int, created_at timestamp_ntz")
+    ev = spark.createDataFrame([("e", 5)], "id string, capacity int")
+    run = SliceReplay(spark, "edge-admit")
+    path = scratch_path(spark, "edge-admit-requests")
+    req.write.parquet(path)
+    run.run(spark.read.parquet(path).selectExpr("*", "0 AS _slice"), "_slice", [0],
+            lambda s: S.admit_stream(s, ev).writeStream.format("parquet").option("path", run.sink))
+    want = replay.admit(req, ev)
+    got = spark.read.parquet(run.sink)
+    assert got.columns == want.columns
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+    assert rows(got) == rows(want)
+
+
+def test_expiry_ignores_a_settlement_before_the_create(spark):
+    cmds = _commands(spark, [("a", "e", 1, T0, 0, "CREATE"), ("a", "e", 1, T0 - dt.timedelta(minutes=1), 1, "CANCEL"),
+                             ("b", "e", 1, T0, 0, "CREATE"), ("b", "e", 1, T0, 1, "CONFIRM")])
+    assert [r["booking_id"] for r in S.expired_bookings(cmds).collect()] == ["a"]
+
+
+def test_orphans_read_the_bookings_once(spark):
+    path = scratch_path(spark, "edge-orphans")
+    spark.createDataFrame([("1", "u", "e"), ("2", "x", "e"), ("3", "x", "y"), ("4", None, "e")],
+                          "id string, user_id string, event_id string").write.parquet(path)
+    users, events = spark.createDataFrame([("u",), ("u",)], "id string"), spark.createDataFrame([("e",)], "id string")
+    out = joins.orphan_bookings(spark.read.parquet(path), users, events)
+    assert sorted((r["id"], r["reason"]) for r in out.collect()) == [
+        ("2", "MISSING_USER"), ("3", "MISSING_EVENT"), ("3", "MISSING_USER"), ("4", "MISSING_USER")]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 1
