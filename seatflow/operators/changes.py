@@ -60,28 +60,27 @@ def apply_status(bookings: DataFrame, commands: DataFrame) -> DataFrame:
     The stored row is the first state; commands follow in (ts, seq) order.
     A repeated command changes nothing (updated_at stays at the last real
     change); a command for an unknown booking changes nothing and is no
-    error.  One window per booking; bookings without commands pass through
-    the final left join untouched.
+    error.
+
+    The commands alone give the last run of equal targets per booking: its
+    target, its start, and whether it is the only run.  It is the last real
+    change unless it is the only one and repeats the stored status.  So each
+    side is read once, and only the commands pass through a window.
     """
     target = F.when(F.col("command") == "CONFIRM", F.lit(CONFIRMED)).when(
         F.col("command") == "CANCEL", F.lit(CANCELLED))
-    cmd = (commands.where(F.col("command").isin("CONFIRM", "CANCEL"))
-           .join(bookings.select(F.col("id").alias("booking_id")), "booking_id", "left_semi")
-           .select("booking_id", target.alias("target"), "ts", F.lit(1).alias("_rk"), F.col("seq").cast("int")))
-    now = (bookings.join(cmd.select(F.col("booking_id").alias("id")).distinct(), "id", "left_semi")
-           .select(F.col("id").alias("booking_id"), F.col("status").alias("target"), F.col("updated_at").alias("ts"),
-                   F.lit(0).alias("_rk"), F.lit(0).alias("seq")))
-    w = Window.partitionBy("booking_id").orderBy("_rk", "ts", "seq")
-    steps = now.unionByName(cmd).withColumn("_prev", F.lag("target").over(w))
-    real = steps.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("target")))
-    last = real.groupBy("booking_id").agg(
-        F.max_by(F.struct("target", "ts"), F.struct("_rk", "ts", "seq")).alias("_last"))
-    upd = last.select(F.col("booking_id").alias("id"), F.col("_last.target").alias("_status"),
-                      F.col("_last.ts").alias("_updated"))
-    out = bookings.join(upd, "id", "left")
-    return (out.withColumn("status", F.coalesce("_status", "status"))
-            .withColumn("updated_at", F.coalesce("_updated", "updated_at"))
-            .drop("_status", "_updated").select(*bookings.columns))
+    cmd = commands.where(F.col("command").isin("CONFIRM", "CANCEL")).select(
+        F.col("booking_id").alias("id"), target.alias("_target"), "ts", F.col("seq").cast("int").alias("seq"))
+    prev = F.lag("_target").over(Window.partitionBy("id").orderBy("ts", "seq"))
+    starts = cmd.withColumn("_prev", prev).where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_target")))
+    runs = starts.groupBy("id").agg(F.max_by(F.struct("_target", "ts"), F.struct("ts", "seq")).alias("_last"),
+                                    F.count(F.lit(1)).alias("_runs"))
+    stays = F.col("_runs").isNull() | ((F.col("_runs") == 1) & F.col("_last._target").eqNullSafe(F.col("status")))
+    out = bookings.join(runs, "id", "left").withColumn("_stays", stays)
+    return (out.withColumn("status", F.when(F.col("_stays"), F.col("status")).otherwise(F.col("_last._target")))
+            .withColumn("updated_at", F.when(F.col("_stays"), F.col("updated_at")).otherwise(
+                F.coalesce("_last.ts", "updated_at")))
+            .select(*bookings.columns))
 
 
 # --------------------------------------------------------------------- C3

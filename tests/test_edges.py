@@ -194,3 +194,20 @@ def test_orphans_read_the_bookings_once(spark):
     assert sorted((r["id"], r["reason"]) for r in out.collect()) == [
         ("2", "MISSING_USER"), ("3", "MISSING_EVENT"), ("3", "MISSING_USER"), ("4", "MISSING_USER")]
     assert out._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 1
+
+
+def test_apply_status_reads_the_bookings_once(spark):
+    path = scratch_path(spark, "edge-status")
+    later = [T0 + dt.timedelta(minutes=i) for i in range(5)]
+    old = T0 - dt.timedelta(days=1)
+    spark.createDataFrame([(str(i), s, old) for i, s in enumerate(["PENDING", "CONFIRMED", "CONFIRMED", "CANCELLED",
+                                                                   "PENDING"])],
+                          "id string, status string, updated_at timestamp_ntz").write.parquet(path)
+    said = [("0", "CONFIRM", 1), ("0", "CONFIRM", 2), ("1", "CONFIRM", 1), ("2", "CANCEL", 1), ("2", "CONFIRM", 2),
+            ("2", "CONFIRM", 3), ("3", "CONFIRM", 1), ("3", "CANCEL", 2), ("gone", "CANCEL", 1), ("4", "CREATE", 1)]
+    cmds = _commands(spark, [(b, "e", 1, later[i], i, c) for b, c, i in said])
+    out = changes.apply_status(spark.read.parquet(path), cmds)
+    assert {r["id"]: (r["status"], r["updated_at"]) for r in out.collect()} == {
+        "0": ("CONFIRMED", later[1]), "1": ("CONFIRMED", old), "2": ("CONFIRMED", later[2]),
+        "3": ("CANCELLED", later[2]), "4": ("PENDING", old)}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 1
