@@ -20,7 +20,7 @@ empty table gives an empty result.  Other columns pass through
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatflow.llm.common import no_space, stored, whole
@@ -28,19 +28,22 @@ from seatflow.llm.common import no_space, stored, whole
 SALTS = 64
 
 
-def _salt(salts: int):
-    return F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+def _salt(doc_id: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(salts)).cast("int")
 
 
-def _keyed(docs: DataFrame, salts: int) -> DataFrame:
+def _digest(norm: Column) -> Column:
+    return F.sha2(norm, 256)
+
+
+def _keyed(docs: DataFrame, salts: int, *more: Column) -> DataFrame:
     """doc_id, norm, digest, salt and the rank of a row in its group.  ``~id``
     falls as the id rises and, unlike ``-id``, never overflows."""
-    text = whole(F.col("text"))
+    ident = F.col("doc_id").cast("long")
     norm = no_space(F.col("text"))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), F.sha2(norm, 256).alias("digest"),
-        _salt(salts).alias("salt"),
-        F.struct(F.length(text).alias("chars"), F.bitwise_not(F.col("doc_id").cast("long")).alias("id")).alias("rank"))
+        ident.alias("doc_id"), norm.alias("norm"), _digest(norm).alias("digest"), _salt(ident, salts).alias("salt"),
+        F.struct(F.length(whole(F.col("text"))).alias("chars"), F.bitwise_not(ident).alias("id")).alias("rank"), *more)
 
 
 def groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -52,21 +55,24 @@ def groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.max("rank").alias("rank"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
 
 
-def decisions(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
+def _settled(docs: DataFrame, salts: int) -> tuple[DataFrame, list[str]]:
+    """The groups without their texts, stored, and the columns that name one:
+    the digest, or digest and norm where texts of one digest differ (none in
+    practice)."""
     slim = stored(groups(docs, salts).drop("norm"), "exact-groups")
-    # texts that share a digest but differ: none in practice, and then the
-    # digest alone names the group
     clash = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    rows = _keyed(docs, salts)
-    on = ["digest", "salt"]
     if clash.isEmpty():
-        rows, won = rows.drop("norm"), slim
-    else:
-        on, won = [*on, "norm"], groups(docs, salts)
-    won = won.select("digest", *([c for c in on if c == "norm"]), F.explode("salts").alias("salt"),
-                     F.col("rank").alias("best"), "group_size")
-    joined = rows.join(won, on).withColumn("winner", F.col("rank").eqNullSafe(F.col("best")))
+        return slim, ["digest"]
+    return groups(docs, salts), ["digest", "norm"]
+
+
+def decisions(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
+    won, name = _settled(docs, salts)
+    on = [*name, "salt"]
+    won = won.select(*name, F.explode("salts").alias("salt"), F.col("rank").alias("best"), "group_size")
+    joined = _keyed(docs, salts).select("doc_id", "rank", *on).join(won, on).withColumn(
+        "winner", F.col("rank").eqNullSafe(F.col("best")))
     # of repeated winner rows (equal ids, so equal salts) one is kept
     first = F.row_number().over(Window.partitionBy(*on).orderBy(F.col("winner").desc()))
     return joined.select(
@@ -75,13 +81,13 @@ def decisions(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with every column they came with."""
-    cols = docs.columns
-    norm = no_space(F.col("text"))
-    rank = F.struct(F.length(whole(F.col("text"))), F.bitwise_not(F.col("doc_id").cast("long")),
-                    whole(F.col("text")))
-    keyed = docs.select(F.struct(*cols).alias("doc"), rank.alias("best"), norm.alias("norm"),
-                        F.sha2(norm, 256).alias("digest"), _salt(salts).alias("salt"))
-    for keys in (("digest", "salt", "norm"), ("digest", "norm")):
-        keyed = keyed.groupBy(*keys).agg(F.max_by("doc", "best").alias("doc"), F.max("best").alias("best"))
-    return keyed.select("doc.*")
+    """The rows that stay, with every column they came with.  Whole rows travel
+    once, to meet the winner of their group in the winner's salt."""
+    won, name = _settled(docs, salts)
+    on = [*name, "salt"]
+    won = won.select(*name, _salt(F.bitwise_not("rank.id"), salts).alias("salt"), F.col("rank").alias("best"))
+    rows = _keyed(docs, salts, F.struct(*docs.columns).alias("doc"))
+    kept = rows.select("doc", "rank", *on).join(won, on).filter(F.col("rank").eqNullSafe(F.col("best")))
+    # of repeated winner rows (equal ids, so equal salts) the greatest text stays
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(whole(F.col("doc.text")).desc()))
+    return kept.withColumn("place", place).filter("place = 1").select("doc.*")

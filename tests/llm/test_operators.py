@@ -79,6 +79,28 @@ def test_stage_keeps_columns(spark, odd, empty, name, stage):
     assert stage(spark, empty, SF).count() == 0
 
 
+# --- exact dedup --------------------------------------------------------------
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_exact_dedup_keeps_the_longest_of_each_text(spark, monkeypatch, clash):
+    if clash:  # one digest for all texts: whole texts still tell them apart
+        monkeypatch.setattr(exact_dedup, "_digest", lambda norm: F.lit("same"))
+    rows = [(i, t, i % 3) for i, t in enumerate(["a b", "ab", " ab", "a\tb\n", "c", None, "", " ", "c", "a  b"])]
+    rows += [(None, "c", 1), (3, "a\nb\t", 9), (3, "a\tb\n", 9), (None, "d", 4), (None, "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, digest int")
+    best = {}
+    for i, t, x in rows:
+        key = re.sub(r"[\x20\x09-\x0D]+", "", t or "")
+        rank = (len(t or ""), i is not None, -(i or 0), t or "")
+        best[key] = max(best.get(key, (rank, i, t)), (rank, i, t), key=lambda r: r[0])
+    got = exact_dedup.deduplicate(df).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None) == sorted(
+        b[1:] for b in best.values() if b[1] is not None)
+    assert len(got) == len(best) and got[0].asDict().keys() == {"doc_id", "text", "digest"}
+    marked = [r for r in exact_dedup.decisions(df).collect() if r["kept"]]
+    assert len(marked) == len(best) and all(r["doc_id"] == r["keep_id"] for r in marked)
+
+
 # --- tokens -------------------------------------------------------------------
 
 TEXTS = ["", "  a  b\n\n c", "don't stop 'quote' they're", "é,è !", "a   b", "a　 b   x", "<|endoftext|> hi",
