@@ -21,6 +21,9 @@ from seatflow.schemas import CANCELLED, CONFIRMED, PENDING, ROLE_USER
 from seatflow.sources.messages import booking_messages
 
 
+NO_PRICE = "NO_PRICE"
+
+
 # --------------------------------------------------------------------- C1
 @dataclass
 class BookingBatch:
@@ -32,16 +35,20 @@ class BookingBatch:
 
 def book_batch(requests: DataFrame, events: DataFrame, prices: DataFrame,
                id_format: str | None = "uuid4") -> BookingBatch:
-    """Validate (P8), admit in arrival order (W1), capture the price in
-    force at the request time (J1), insert PENDING rows and take the seats.
-    A request is all or nothing.  ``requests``: id, user_id, event_id,
+    """Validate (P8), capture the price in force at the request time (J1),
+    admit in arrival order (W1), insert PENDING rows and take the seats.  A
+    request is all or nothing; one for a known event without a price in force
+    is refused (NO_PRICE) before it could take seats.  ``requests``: id, user_id, event_id,
     quantity, created_at."""
     checked = validate_bookings(requests, id_format)
     good, bad = split_valid(checked)
-    decided = admit(good.select("id", "user_id", "event_id", "quantity", "created_at"), events)
+    known = events.select(F.col("id").alias("event_id"), F.lit(True).alias("_known"))
+    priced = capture_price(good.select("id", "user_id", "event_id", "quantity", "created_at"), prices).join(
+        known, "event_id", "left")
+    no_price = F.col("_known").isNotNull() & F.col("unit_price_cents").isNull()
+    decided = admit(priced.where(~no_price).drop("_known"), events)
     admitted = decided.where("admitted")
-    priced = capture_price(admitted.select("id", "user_id", "event_id", "quantity", "created_at"), prices)
-    new = priced.select("id", "user_id", "event_id", "quantity", "unit_price_cents",
+    new = admitted.select("id", "user_id", "event_id", "quantity", "unit_price_cents",
                         F.lit(PENDING).alias("status"), "created_at", F.col("created_at").alias("updated_at"))
     taken = admitted.groupBy("event_id").agg(F.sum("quantity").cast("bigint").alias("_taken"))
     ev = (events.join(taken.withColumnRenamed("event_id", "id"), "id", "left")
@@ -50,7 +57,8 @@ def book_batch(requests: DataFrame, events: DataFrame, prices: DataFrame,
     refused = decided.where(~F.col("admitted")).select("id", "user_id", "event_id", "quantity", "reason")
     invalid = bad.select("id", "user_id", "event_id", "quantity",
                          F.concat_ws(",", "errors").alias("reason"))
-    return BookingBatch(new, ev, invalid.unionByName(refused), booking_messages(new))
+    unpriced = priced.where(no_price).select("id", "user_id", "event_id", "quantity", F.lit(NO_PRICE).alias("reason"))
+    return BookingBatch(new, ev, invalid.unionByName(refused).unionByName(unpriced), booking_messages(new))
 
 
 # --------------------------------------------------------------------- C2

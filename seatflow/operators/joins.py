@@ -8,30 +8,41 @@ from pyspark.sql import functions as F
 from seatflow.functions.columns import cents_to_currency
 from seatflow.operators.stats import confirmed_totals, tracked_event_ids
 from seatflow.schemas import KEY_REMAINING_PREFIX
-
-
-def price_intervals(prices: DataFrame) -> DataFrame:
-    """Price history (event_id, valid_from, ticket_price_cents) as half-open
-    intervals [valid_from, valid_to).  The window runs per event over its own
-    few price rows, so no partition holds more than one event's history."""
-    w = Window.partitionBy("event_id").orderBy("valid_from")
-    return prices.withColumn("valid_to", F.lead("valid_from").over(w))
+from seatflow.session import ranged
 
 
 def capture_price(requests: DataFrame, prices: DataFrame, ts_col: str = "created_at") -> DataFrame:
     """The event's price valid at the request time (an as-of join).
 
-    Equality on event_id keeps it a hash or sort-merge join; the time range is
-    a residual condition.  Later price changes do not alter a captured price.
-    A request with no price in force gets NULL.
+    Requests and prices are put into one order by (event, time) and cut into
+    ranges; inside an (event, range) the last price before a request is a
+    window, and the price in force at a range's start is carried over from the
+    ranges before.  So a request never meets an event's other prices, and a
+    hot event is spread over ranges.  Later price changes do not alter a
+    captured price.  A request with no price in force (no event or time, or
+    before the first price) gets NULL; of prices that start at one instant
+    the highest counts.
     """
-    iv = price_intervals(prices).select(
-        F.col("event_id").alias("_pev"), "valid_from", "valid_to",
-        F.col("ticket_price_cents").alias("unit_price_cents"))
-    t = F.col(ts_col)
-    cond = ((F.col("event_id") == F.col("_pev")) & (t >= F.col("valid_from"))
-            & (F.col("valid_to").isNull() | (t < F.col("valid_to"))))
-    return requests.join(iv, cond, "left").drop("_pev", "valid_from", "valid_to")
+    row = F.struct(*requests.columns)
+    when = dict(requests.dtypes)[ts_col]
+    asks = requests.select(F.col("event_id").alias("_key"), F.col(ts_col).alias("_ts"), F.lit(1).alias("_kind"),
+                           F.xxhash64(*requests.columns).alias("_tie"), row.alias("_row"))
+    # a struct, so that a price that is NULL still ends the one before it
+    sets = prices.where(F.col("event_id").isNotNull() & F.col("valid_from").isNotNull()).select(
+        F.col("event_id").alias("_key"), F.col("valid_from").cast(when).alias("_ts"), F.lit(0).alias("_kind"),
+        F.col("ticket_price_cents").cast("bigint").alias("_tie"),
+        F.struct(F.col("ticket_price_cents").alias("cents")).alias("_price"))
+    order = ["_ts", "_kind", "_tie"]
+    both = ranged(asks.unionByName(sets, allowMissingColumns=True), ["_key", *order], "price-order")
+    inside = Window.partitionBy("_key", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_okey").orderBy("_orange").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(F.col("_key").alias("_okey"), F.col("_range").alias("_orange")).agg(
+        F.max_by("_price", F.when(F.col("_kind") == 0, F.struct(*order))).alias("_last")).select(
+        "_okey", "_orange", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    here = both.withColumn("_here", F.last("_price", ignorenulls=True).over(inside)).where("_kind = 1")
+    out = here.join(carried, F.col("_key").eqNullSafe(F.col("_okey")) & (F.col("_range") == F.col("_orange")))
+    price = F.when(F.col("_ts").isNotNull(), F.coalesce("_here", "_carried"))
+    return out.select("_row.*", price["cents"].alias("unit_price_cents"))
 
 
 def resolve_natural_keys(rows: DataFrame, users: DataFrame, events: DataFrame,
@@ -126,5 +137,5 @@ def unpublished_bookings(bookings: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 __all__ = ["capture_price", "resolve_natural_keys", "user_id_by_email", "event_id_by_name", "remaining_confirmed", "orphan_bookings",
-           "stats_existing_events", "inventory_drift", "unpublished_bookings", "price_intervals",
+           "stats_existing_events", "inventory_drift", "unpublished_bookings", 
            "KEY_REMAINING_PREFIX"]

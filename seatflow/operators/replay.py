@@ -6,9 +6,9 @@
   that can never fit, and passes the rest on with a smaller remainder.  The
   largest quantity that can still fit falls every round, so there are at most
   ``max(quantity)`` rounds.
-* Prefix sums are two-level: totals per (key, time bucket), a running sum of
-  bucket totals per key, then running sums inside each (key, bucket).  No
-  task holds all rows of a hot key.
+* Prefix sums are two-level: totals per (key, range of the order), a running
+  sum of these totals per key, then running sums inside each (key, range).
+  No task holds all rows of a hot key, or of a burst within one instant.
 * W2 and W7 mix takes with clamped give-backs or refills; they are not sums.
   They run as a fold over rows sorted within hash partitions of the key,
   with state carried across Arrow batches (rows are streamed, never held;
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seatflow.schemas import CANCELLED, CONFIRMED, PENDING
-from seatflow.session import reliable_checkpoint
+from seatflow.session import ranged, reliable_checkpoint
 
 NOT_ENOUGH = "NOT_ENOUGH_TICKETS"
 UNKNOWN_EVENT = "UNKNOWN_EVENT"
+FILL_BLOCK = 4096  # buckets a row of W6's grid holds at most
 
 
 def time_bucket(ts: str, seconds: int) -> Column:
@@ -41,7 +42,7 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, bucket: C
     """Inclusive prefix sum of ``value`` per ``key`` in ``order``.
 
     ``bucket`` must not decrease along ``order`` (a time bucket of the first
-    order column).  Bucket totals are pre-aggregated map-side; the windows run
+    order column, or the range number of ``ranged``).  Bucket totals are pre-aggregated map-side; the windows run
     per (key, bucket) and per key over bucket totals only.
     """
     d = df.withColumn("_bk", bucket)
@@ -59,7 +60,7 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, bucket: C
 
 # --------------------------------------------------------------------- W1
 def admit(requests: DataFrame, events: DataFrame, order: tuple[str, ...] = ("created_at", "id"),
-          bucket_seconds: int = 60, max_rounds: int | None = None) -> DataFrame:
+          partitions: int | None = None, max_rounds: int | None = None) -> DataFrame:
     """Accept or refuse every request in arrival order.
 
     ``requests`` (id, event_id, quantity >= 1, order columns) must have passed
@@ -76,16 +77,17 @@ def admit(requests: DataFrame, events: DataFrame, order: tuple[str, ...] = ("cre
     from ``rem - (cum - q)`` of that row.  Rounds are written to the shared
     checkpoint folder, so a lost executor never replays earlier rounds.
 
-    Prefix sums run per (event, ``bucket_seconds`` time bucket); one-minute
-    buckets keep even an event with a third of all requests spread over
-    hundreds of thousands of window tasks a year, while the bucket totals
-    stay one row per event and minute.
+    Prefix sums run per event and range: the requests are range-partitioned
+    once by (event, order), so an event with a third of all requests, be it
+    inside one minute, covers a third of the ``partitions`` (by default the
+    shuffle partitions), and the totals are one row per event and range.
     """
     order = list(order)
     start_col = "remaining" if "remaining" in events.columns else "capacity"
     start = events.select(F.col("id").alias("event_id"), F.col(start_col).cast("bigint").alias("_rem"))
     out_cols = requests.columns + ["admitted", "remaining", "reason"]
-    pending = requests.join(start, "event_id", "left")
+    pending = ranged(requests.join(start, "event_id", "left"), ["event_id", *order], "admit-input",
+                     partitions=partitions)
     decided: list[DataFrame] = []
     rounds = 0
     while True:
@@ -93,7 +95,7 @@ def admit(requests: DataFrame, events: DataFrame, order: tuple[str, ...] = ("cre
         q, rem = F.col("quantity"), F.col("_rem")
         fits = q <= rem
         cand = running_sum(pending.withColumn("_v", F.when(fits, q).otherwise(F.lit(0))), "event_id", order,
-                           "_v", time_bucket(order[0], bucket_seconds))
+                           "_v", F.col("_range"))
         cum = F.col("_cum")
         state = (F.when(rem.isNull(), F.lit("unknown"))
                   .when(cum <= rem, F.when(fits, F.lit("admit")).otherwise(F.lit("never")))
@@ -351,9 +353,10 @@ def gauge_series(bookings: DataFrame, interval: str = "1 day", fill: bool = Fals
     ``updated_at``, with running totals per event over its buckets.
 
     ``fill`` adds the empty buckets between an event's first and last one
-    (``sequence`` + ``explode`` per event, zero counts), the way a gauge
-    scraped at every interval draws a flat line; the rows added grow with
-    each event's time span over ``interval``, not with the data.
+    (zero counts), the way a gauge scraped at every interval draws a flat
+    line; the rows added grow with each event's time span over ``interval``,
+    not with the data.  They come in two levels, blocks of ``FILL_BLOCK``
+    buckets and then the buckets, so no row holds an event's whole span.
     """
     b = bookings.where(F.col("status") == CONFIRMED)
     per = (b.groupBy("event_id", F.window("updated_at", interval).start.alias("bucket"))
@@ -362,8 +365,16 @@ def gauge_series(bookings: DataFrame, interval: str = "1 day", fill: bool = Fals
                 .alias("revenue_cents")))
     if fill:
         span = per.groupBy("event_id").agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
-        grid = span.select("event_id", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {interval}")))
-                           .alias("bucket"))
+        step = int(pd.Timedelta(interval) / pd.Timedelta(microseconds=1))
+        us = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("_lo", "_hi")]
+        last = F.floor((us[1] - us[0]) / F.lit(step)).cast("bigint")
+        first = F.col("_block") * FILL_BLOCK
+        grid = (span.withColumn("_last", last)
+                .select("event_id", "_lo", "_last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(
+                    F.col("_last") / FILL_BLOCK).cast("bigint"))).alias("_block"))
+                .select("event_id", "_lo", F.explode(F.sequence(first, F.least(F.col("_last"), first + (FILL_BLOCK - 1))))
+                        .alias("_i"))
+                .select("event_id", (F.col("_lo") + F.expr(f"INTERVAL {interval}") * F.col("_i")).alias("bucket")))
         per = (grid.join(per, ["event_id", "bucket"], "left")
                .select("event_id", "bucket", F.coalesce("tickets", F.lit(0)).cast("bigint").alias("tickets"),
                        F.coalesce("revenue_cents", F.lit(0)).cast("bigint").alias("revenue_cents")))

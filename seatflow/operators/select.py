@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,11 +121,23 @@ def normalise_page(limit, offset) -> tuple[int, int]:
 
 
 def page_events(events: DataFrame, limit=DEFAULT_PAGE_SIZE, offset=0) -> DataFrame:
-    """O2: one page of O1.  Plans as a top-k (TakeOrderedAndProject) for
-    shallow pages; use ``page_events_after`` for deep ones."""
+    """O2: one page of O1.  The first page is a top-k.  Behind an offset, the
+    events per start day are counted and summed along the days; only the days
+    that the page touches are read in order, so no task and no driver holds
+    the ``offset`` rows before it."""
     n, k = normalise_page(limit, offset)
-    ordered = list_events(events)
-    return ordered.offset(k).limit(n) if k else ordered.limit(n)
+    if not k:
+        return list_events(events).limit(n)
+    day = F.to_date("starts_at")
+    days = events.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per calendar day is ordered here, never events
+    upto = F.sum("_n").over(Window.orderBy("_day"))
+    days = days.withColumn("_before", upto - F.col("_n")).where(
+        (F.col("_before") < k + n) & (F.col("_before") + F.col("_n") > k))
+    place = F.row_number().over(Window.partitionBy("_day").orderBy("starts_at", "id"))
+    touched = events.join(days, day.eqNullSafe(F.col("_day")))
+    page = touched.withColumn("_place", F.col("_before") + place).where(F.col("_place").between(k + 1, k + n))
+    return list_events(page.select(*events.columns)).limit(n)
 
 
 def page_events_after(events: DataFrame, after_starts_at: str | None, after_id: str | None,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seatflow.operators.changes import apply_status
 from seatflow.plans.catalog import fx, register
 from seatflow.plans.q_replay import BURST, TOKEN_US, W1_STEPS, W2_STEPS, W7_STEPS
 from seatflow.sources.messages import parse_booking_messages
@@ -94,6 +95,26 @@ def t2b(spark, sf):
     return S.expired_bookings(fx(spark, sf).commands)
 
 
+@register("T2_expiry_applied", """SELECT booking_id AS id, target AS status, ts AS updated_at FROM r2 WHERE n = 1""", {
+    "x": """SELECT c.booking_id, c.ts + INTERVAL 15 MINUTE AS ts FROM v_commands c
+  WHERE c.command = 'CREATE' AND NOT EXISTS (SELECT 1 FROM v_commands s
+    WHERE s.booking_id = c.booking_id AND s.command <> 'CREATE' AND s.ts >= c.ts
+    AND s.ts <= c.ts + INTERVAL 15 MINUTE)""",
+    "u": """SELECT id AS booking_id, 'PENDING' AS target, created_at AS ts, 0 AS rk, 0 AS seq FROM v_bookings
+  UNION ALL SELECT booking_id, CASE command WHEN 'CONFIRM' THEN 'CONFIRMED' ELSE 'CANCELLED' END, ts, 1, seq
+  FROM v_commands WHERE command <> 'CREATE'
+  UNION ALL SELECT booking_id, 'CANCELLED', ts, 1, 0 FROM x""",
+    "l2": "SELECT *, lag(target) OVER (PARTITION BY booking_id ORDER BY rk, ts, seq) AS prev FROM u",
+    "r2": """SELECT *, row_number() OVER (PARTITION BY booking_id ORDER BY rk DESC, ts DESC, seq DESC) AS n
+  FROM l2 WHERE prev IS NULL OR prev <> target"""})
+def t2a(spark, sf):
+    f = fx(spark, sf)
+    cmds = f.commands.where(F.col("command") != "CREATE")
+    cancels = S.expiry_cancels(S.expired_bookings(f.commands), f.commands)
+    created = f.bookings.withColumn("status", F.lit("PENDING")).withColumn("updated_at", F.col("created_at"))
+    return apply_status(created, cmds.unionByName(cancels)).select("id", "status", "updated_at")
+
+
 # -------------------------------------------------------------------- T3
 @register("T3_admit_stream", """SELECT ev AS event_id, id, ok AS admitted, CAST(rem AS INTEGER) AS remaining,
   CASE WHEN ok THEN NULL ELSE 'NOT_ENOUGH_TICKETS' END AS reason FROM f""", W1_STEPS, recursive=True)

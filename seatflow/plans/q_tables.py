@@ -417,6 +417,12 @@ def o2(spark, sf):
     return P.page_events(fx(spark, sf).events.select("id", "name", "starts_at"), limit=20, offset=40)
 
 
+@register("O2_page_events_deep", """SELECT id, name, starts_at FROM v_events ORDER BY starts_at, id
+LIMIT 100 OFFSET 90""")
+def o2_deep(spark, sf):
+    return P.page_events(fx(spark, sf).events.select("id", "name", "starts_at"), limit=1000, offset="90")
+
+
 @register("O2_page_events_after", """SELECT id, name, starts_at FROM v_events
 WHERE starts_at > TIMESTAMP '1999-06-01 00:00:00' OR (starts_at = TIMESTAMP '1999-06-01 00:00:00' AND id > '5')
 ORDER BY starts_at, id LIMIT 20""")

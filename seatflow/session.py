@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on: UTC clock, ANSI arithmetic (integer overflow
 # raises instead of wrapping), adaptive execution with skew-join splitting.
@@ -115,6 +116,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def ranged(df: DataFrame, order: list[str], name: str, out: str = "_range", partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and stored, with the number of
+    each row's range in ``out``: a bucket that never falls along ``order`` and
+    holds about as many rows as any other, however hot a key or an instant is
+    (``order`` should end in a column that breaks ties).  Stored because the
+    range borders are sampled and another run could draw others."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reliable_checkpoint(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()), name)
+
+
 def reliable_checkpoint(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder and read
     it back: lineage is cut, the plan runs once (an RDD checkpoint would run

@@ -242,6 +242,18 @@ def expired_bookings(commands: DataFrame, ttl_minutes: int = PENDING_TTL_MINUTES
     return created.join(settles, cond, "left_anti").drop("_c")
 
 
+def expiry_cancels(expired: DataFrame, commands: DataFrame) -> DataFrame:
+    """T2's expiries as the CANCEL commands that carry them out, with the
+    columns of ``commands``: at the deadline, for the CREATE's event and
+    quantity.  C2 applies them, and C3 and T7 give the seats back.  No other
+    command of the booking is at the deadline, so ``seq`` is free there."""
+    created = commands.where(F.col("command") == "CREATE").dropDuplicates(["booking_id"])
+    due = expired.select(F.col("booking_id").alias("_b"), F.col("expires_at"))
+    out = created.join(due, F.col("booking_id") == F.col("_b"))
+    new = {"command": F.lit("CANCEL"), "ts": F.col("expires_at"), "seq": F.lit(0).cast(commands.schema["seq"].dataType)}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in commands.columns])
+
+
 # -------------------------------------------------------------------- T6
 def dedupe_messages(parsed: DataFrame, key: str = "booking_id", delay: str = WATERMARK_DELAY) -> DataFrame:
     """Drop redelivered messages: a key seen within the watermark delay
