@@ -53,19 +53,35 @@ def _heartbeats(like, ts_col, rows, beats=(1,)):
 
 
 # -------------------------------------------------------------------- T1
+def _settled(spark, sf):
+    f = fx(spark, sf)
+    base = f.bookings.withColumn("status", F.lit("PENDING")).withColumn("updated_at", F.col("created_at"))
+    run = SliceReplay(spark, "t1-settle")
+    sink = S.SettleSink(base, run.sink)
+    src, slices = _sliced(f.booking_messages)
+    run.run(src, "_slice", slices, lambda s: S.settle_stream(s, sink))
+    return sink
+
+
 @register("T1_settle_stream", """SELECT b.id, CASE WHEN m.t IS NULL THEN 'PENDING' ELSE 'CONFIRMED' END AS status,
   COALESCE(m.t, b.created_at) AS updated_at
 FROM v_bookings b LEFT JOIN (SELECT booking_id, MIN(ts) AS t FROM pm WHERE parsed
   AND COALESCE(booking_id, '') <> '' AND COALESCE(user_id, '') <> '' AND COALESCE(event_id, '') <> ''
   AND quantity > 0 GROUP BY booking_id) m ON m.booking_id = b.id""", {"pm": _PARSED_SQL})
 def t1(spark, sf):
-    f = fx(spark, sf)
-    base = f.bookings.withColumn("status", F.lit("PENDING")).withColumn("updated_at", F.col("created_at"))
-    run = SliceReplay(spark, "t1-settle")
-    sink = S.SettleSink(base, f"{run.base}/changes", f"{run.base}/rejects")
-    src, slices = _sliced(f.booking_messages)
-    run.run(src, "_slice", slices, lambda s: S.settle_stream(s, sink))
-    return sink.current().select("id", "status", "updated_at")
+    return _settled(spark, sf).current().select("id", "status", "updated_at")
+
+
+@register("T1_settle_rejects", """SELECT booking_id, reason FROM (SELECT booking_id, CASE WHEN NOT parsed THEN 'body:invalid_json'
+  WHEN e <> '' THEN e WHEN NOT EXISTS (SELECT 1 FROM v_bookings b WHERE b.id = booking_id) THEN 'UNKNOWN_BOOKING'
+  END AS reason FROM (SELECT booking_id, parsed, concat_ws(',',
+    CASE WHEN COALESCE(booking_id, '') = '' THEN 'booking_id:required' END,
+    CASE WHEN COALESCE(user_id, '') = '' THEN 'user_id:required' END,
+    CASE WHEN COALESCE(event_id, '') = '' THEN 'event_id:required' END,
+    CASE WHEN quantity IS NULL OR quantity <= 0 THEN 'quantity:positive' END) AS e FROM pm))
+WHERE reason IS NOT NULL""", {"pm": _PARSED_SQL})
+def t1r(spark, sf):
+    return _settled(spark, sf).rejects()
 
 
 # -------------------------------------------------------------------- T2

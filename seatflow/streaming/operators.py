@@ -262,73 +262,63 @@ def dedupe_messages(parsed: DataFrame, key: str = "booking_id", delay: str = WAT
 
 
 # -------------------------------------------------------------------- T1
-LOG_SCHEMA = "id string, status string, updated_at timestamp_ntz, batch_id int"
+LOG_SCHEMA = "booking_id string, ts timestamp_ntz, seq int, reason string, batch_id int"
 
 
 class SettleSink:
     """T1's ``foreachBatch``: every valid message confirms its booking.
 
-    Changes go to an append-only change log partitioned by batch id (a
-    retried batch overwrites its own partition, so replays are idempotent);
-    the current table is the base snapshot overlaid with the latest change
-    per booking (``current``).  Messages that do not parse or name no known
-    booking go to a reject log.  Per batch only the bookings the batch names
-    are read and rewritten.
+    A micro-batch is one pass over its own messages: each goes to a log, with
+    the reason if it is refused, and never meets the bookings.  The log is
+    partitioned by batch id, so a retried batch overwrites its own part.  The
+    bookings are read when somebody asks for the table: ``current`` folds the
+    first confirmation per booking into the snapshot (C2).
     """
 
-    def __init__(self, base: DataFrame, log_path: str, reject_path: str):
-        self.base, self.log_path, self.reject_path = base, log_path, reject_path
+    def __init__(self, base: DataFrame, log_path: str):
+        self.base, self.log_path = base, log_path
 
-    def current(self, upto: int | None = None, ids: DataFrame | None = None) -> DataFrame:
-        """The table as of batch ``upto`` (exclusive); with ``ids`` only those
-        bookings, filtered before the log is aggregated, so a micro-batch
-        reads the rows it names, not the whole history."""
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        refused = F.when(F.size("errors") > 0, F.concat_ws(",", "errors"))
+        (validate_messages(batch)
+         .select("booking_id", "ts", F.col("copy").cast("int").alias("seq"), refused.alias("reason"),
+                 F.lit(batch_id).alias("batch_id"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(self.log_path))
+
+    def log(self) -> DataFrame:
         spark = self.base.sparkSession
-        base = self.base if ids is None else self.base.join(ids, "id", "left_semi")
         if not path_exists(spark, self.log_path):
-            return base
-        log = spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
-        if upto is not None:
-            log = log.where(F.col("batch_id") < upto)
-        if ids is not None:
-            log = log.join(ids, "id", "left_semi")
-        latest = log.groupBy("id").agg(F.max_by(F.struct("status", "updated_at"), "batch_id").alias("_c"))
-        out = base.join(latest, "id", "left")
-        return (out.withColumn("status", F.coalesce("_c.status", "status"))
-                .withColumn("updated_at", F.coalesce("_c.updated_at", "updated_at"))
-                .drop("_c").select(*self.base.columns))
+            return spark.createDataFrame([], LOG_SCHEMA)
+        return spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
+
+    def current(self) -> DataFrame:
+        """The table after all batches so far.  The first confirmation in
+        (batch, ts, seq) order counts; later ones change nothing."""
+        first = self.log().where(F.col("reason").isNull()).groupBy("booking_id").agg(
+            F.min(F.struct("batch_id", "ts", "seq")).alias("_f"))
+        return apply_status(self.base, first.select("booking_id", "_f.ts", "_f.seq",
+                                                    F.lit("CONFIRM").alias("command")))
+
+    def rejects(self) -> DataFrame:
+        """Refused messages and those that name no known booking."""
+        log = self.log()
+        unknown = log.where(F.col("reason").isNull()).join(
+            self.base.select(F.col("id").alias("booking_id")), "booking_id", "left_anti")
+        return log.where(F.col("reason").isNotNull()).select("booking_id", "reason").unionByName(
+            unknown.select("booking_id", F.lit("UNKNOWN_BOOKING").alias("reason")))
 
     def compact(self, base_path: str, log_path: str) -> "SettleSink":
         """Write the current table as a new base snapshot and return a sink
-        that continues from it with an empty change log (the caller swaps
-        sinks between batches).  Replaying a batch already in the snapshot
-        is harmless: a confirmation of a confirmed booking changes nothing."""
+        that continues from it with an empty log (the caller swaps sinks
+        between batches).  Replaying a batch already in the snapshot is
+        harmless: a confirmation of a confirmed booking changes nothing."""
         self.current().write.mode("errorifexists").parquet(base_path)
-        base = self.base.sparkSession.read.parquet(base_path)
-        return SettleSink(base, log_path, self.reject_path)
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        checked = validate_messages(batch)
-        good = checked.where(F.size("errors") == 0)
-        cmds = good.select("booking_id", "ts", F.col("copy").alias("seq"), F.lit("CONFIRM").alias("command"))
-        ids = cmds.select(F.col("booking_id").alias("id")).distinct()
-        now = self.current(batch_id, ids)
-        new = apply_status(now, cmds)
-        changed = (new.join(now.select("id", F.col("status").alias("_s0"), F.col("updated_at").alias("_u0")), "id")
-                   .where((F.col("status") != F.col("_s0")) | (F.col("updated_at") != F.col("_u0")))
-                   .select("id", "status", "updated_at", F.lit(batch_id).alias("batch_id")))
-        (changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(self.log_path))
-        unknown = cmds.join(now.select(F.col("id").alias("booking_id")), "booking_id", "left_anti").select(
-            "booking_id", F.lit("UNKNOWN_BOOKING").alias("reason"))
-        bad = checked.where(F.size("errors") > 0).select("booking_id", F.concat_ws(",", "errors").alias("reason"))
-        (unknown.unionByName(bad).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(self.reject_path))
+        return SettleSink(self.base.sparkSession.read.parquet(base_path), log_path)
 
 
 def settle_stream(messages: DataFrame, sink: SettleSink):
-    """Parse (S3) -> check (P11) -> apply confirmations (C2) per
+    """Parse (S3) -> check (P11) -> log of confirmations and refusals per
     micro-batch.  Returns the writer; the caller sets checkpoint and
     trigger."""
     return parse_booking_messages(messages).writeStream.foreachBatch(sink)
