@@ -192,10 +192,12 @@ class RateLimitProcessor(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(log: DataFrame, key: str, token_us: int, burst: int) -> DataFrame:
-    """T4: W7 live.  ``log`` must be streaming with ``ts``; output as W7."""
+def rate_limit_stream(log: DataFrame, key: str, token_us: int, burst: int, delay: str = WATERMARK_DELAY) -> DataFrame:
+    """T4: W7 live.  ``log`` must be streaming with ``ts``; output as W7.  Rows
+    more than ``delay`` behind the latest are dropped by Spark and counted
+    (``runner.dropped_rows``)."""
     rows = event_time(log.select(F.col(key).alias("key"), "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                                 F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")))
+                                 F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")), delay=delay)
     return rows.groupBy("key").transformWithState(
         statefulProcessor=RateLimitProcessor(token_us, burst), outputStructType=RATE_OUT, outputMode="Append",
         timeMode="EventTime")
@@ -255,9 +257,14 @@ def expiry_cancels(expired: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- T6
-def dedupe_messages(parsed: DataFrame, key: str = "booking_id", delay: str = WATERMARK_DELAY) -> DataFrame:
-    """Drop redelivered messages: a key seen within the watermark delay
-    is dropped again; state for a key is dropped after the watermark."""
+def dedupe_messages(parsed: DataFrame, key: str = "booking_id", delay: str | None = None) -> DataFrame:
+    """Drop redelivered messages.  The keys seen so far are the state (one
+    row per key, in RocksDB), so a first copy passes however late it comes.
+    With a ``delay`` a key is forgotten once the watermark has passed it; that
+    bounds the state, and rows behind the watermark are then dropped (see
+    ``runner.dropped_rows``)."""
+    if delay is None:
+        return parsed.dropDuplicates([key])
     return event_time(parsed, "ts", delay).dropDuplicatesWithinWatermark([key]).drop("event_ts")
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from seatflow.session import scratch_path
 
@@ -34,6 +34,12 @@ def enable_state_store(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful steps refused as older than the watermark,
+    over the progress reports Spark still holds."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of ``path``."""
     jvm = spark.sparkContext._jvm
@@ -63,6 +69,7 @@ class SliceReplay:
         self.source = f"{self.base}/landing"
         self.sink = f"{self.base}/sink"
         self.checkpoint = f"{self.base}/checkpoint"
+        self.dropped = 0  # rows refused as late, over all runs
 
     def run(self, source: DataFrame, slice_col: str, slices: list[int],
             build: Callable[[DataFrame], DataStreamWriter], extra: list[DataFrame] | None = None) -> str:
@@ -86,6 +93,7 @@ class SliceReplay:
             stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(self.source)
             q = build(stream).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
             q.awaitTermination()
+            self.dropped += dropped_rows(q)
 
         slice_of = [staged.where(F.col(slice_col) == s) for s in held]
         for parts in [slice_of[:-1], slice_of[-1:], *([x] for x in extra or [])]:

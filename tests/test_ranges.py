@@ -11,6 +11,7 @@ from seatflow.operators import replay as W
 from seatflow.operators import select as P
 from seatflow.session import ranged
 from seatflow.streaming import operators as S
+from seatflow.streaming.runner import SliceReplay
 
 T0 = dt.datetime(2024, 5, 1)
 REQ = "id string, event_id string, quantity int, created_at timestamp_ntz"
@@ -100,3 +101,18 @@ def test_expiry_cancels_and_gives_seats_back(spark):
     ev = spark.createDataFrame([("e", 9, 4)], "id string, capacity int, remaining int")
     after = C.release_cancelled(ev, W.status_transitions(cmds.unionByName(cancels)))
     assert after.first()["remaining"] == 6
+
+
+def test_late_first_copy_passes_and_drops_are_counted(spark):
+    rows = [("a", T0, 0), ("b", T0 + dt.timedelta(days=2), 1), ("b", T0 + dt.timedelta(days=2), 1),
+            ("d", T0 + dt.timedelta(days=3), 2), ("c", T0, 3), ("a", T0, 3)]
+    src = spark.createDataFrame(rows, "booking_id string, ts timestamp_ntz, _slice int")
+
+    def kept(delay):
+        run = SliceReplay(spark, "late-copies")
+        run.run(src, "_slice", [0, 1, 2, 3], lambda s: S.dedupe_messages(s, delay=delay).writeStream.format(
+            "parquet").option("path", run.sink).outputMode("append"))
+        return sorted(r["booking_id"] for r in spark.read.parquet(run.sink).collect()), run.dropped
+    assert kept(None) == (["a", "b", "c", "d"], 0)
+    names, dropped = kept("15 minutes")
+    assert names == ["a", "b", "d"] and dropped == 2
