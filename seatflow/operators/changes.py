@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatflow.operators.joins import capture_price
@@ -124,6 +124,14 @@ def create_events(events: DataFrame, new: DataFrame, allow_free: bool = False) -
 
 
 # --------------------------------------------------------------------- C5
+def _touched(rows: DataFrame, hit: str, at: Column | None) -> DataFrame:
+    """``updated_at`` set to ``at`` where ``hit``, if there is such a column."""
+    if at is None or "updated_at" not in rows.columns:
+        return rows
+    when = at.cast(rows.schema["updated_at"].dataType)
+    return rows.withColumn("updated_at", F.when(F.col(hit), when).otherwise(F.col("updated_at")))
+
+
 def patch_outcomes(events: DataFrame, patches: DataFrame) -> DataFrame:
     """C5, second output: every patch with ``invalid`` (P10), ``not_found`` or
     ``updated``."""
@@ -133,24 +141,25 @@ def patch_outcomes(events: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def patch_events(events: DataFrame, patches: DataFrame, clamp_remaining: bool = False,
-                 order: str | None = None) -> DataFrame:
+                 order: str | None = None, at: Column | None = None) -> DataFrame:
     """Absent (NULL) patch fields keep the old value.  As coded, a
     smaller capacity leaves ``remaining`` as it was (it may exceed capacity);
     ``clamp_remaining`` repairs that.  Invalid patches (P10) are skipped.
-    created_at is kept.  Of several patches of one event each field takes the
+    created_at is kept; ``at`` (the time of the change set) becomes updated_at
+    of the patched events.  Of several patches of one event each field takes the
     last value given, by the ``order`` column (without one, the largest)."""
     good, _ = split_valid(validate_event_patches(patches))
     fields = [c for c in ("name", "description", "starts_at", "ends_at", "capacity", "ticket_price_cents")
               if c in good.columns]
     p = good.groupBy("id").agg(*[
         (F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)).alias(f"_p_{c}")
-        for c in fields])
+        for c in fields], F.lit(True).alias("_p_hit"))
     out = events.join(p, "id", "left")
     for c in fields:
         out = out.withColumn(c, F.coalesce(f"_p_{c}", c))
     if clamp_remaining:
         out = out.withColumn("remaining", F.least("remaining", "capacity"))
-    return out.drop(*[f"_p_{c}" for c in fields]).select(*events.columns)
+    return _touched(out, "_p_hit", at).select(*events.columns)
 
 
 # --------------------------------------------------------------------- C6
@@ -195,14 +204,16 @@ def new_users(outcomes: DataFrame, id_col: str = "request_id") -> DataFrame:
 
 
 # --------------------------------------------------------------------- C8
-def patch_profiles(users: DataFrame, patches: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def patch_profiles(users: DataFrame, patches: DataFrame, order: str | None = None,
+                   at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(users after the patches, one outcome per patch).
 
     Outcomes: ``forbidden`` (caller is not the target, or no caller),
     ``invalid`` (P12 profile rule), ``not_found`` (unknown target) or
     ``updated``.  Unlike C5, an absent full_name sets NULL.  Of several
     patches of one user the last by ``order`` counts (without one, the largest
-    name).
+    name).  ``at`` (the time of the change set) becomes updated_at of the
+    patched users.
     """
     c, t = F.col("caller_id"), F.col("target_id")
     checked = validate_profiles(patches)
@@ -216,10 +227,9 @@ def patch_profiles(users: DataFrame, patches: DataFrame, order: str | None = Non
     last = F.max(F.struct(*([order] if order else []), "full_name"))["full_name"]
     upd = res.where(F.col("outcome") == "updated").groupBy(F.col("target_id").alias("id")).agg(
         last.alias("_new_name"), F.lit(True).alias("_hit"))
-    out = (users.join(upd, "id", "left")
-           .withColumn("full_name", F.when(F.col("_hit"), F.col("_new_name")).otherwise(F.col("full_name")))
-           .drop("_new_name", "_hit").select(*users.columns))
-    return out, res
+    out = users.join(upd, "id", "left").withColumn(
+        "full_name", F.when(F.col("_hit"), F.col("_new_name")).otherwise(F.col("full_name")))
+    return _touched(out, "_hit", at).select(*users.columns), res
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

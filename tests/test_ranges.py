@@ -116,3 +116,18 @@ def test_late_first_copy_passes_and_drops_are_counted(spark):
     assert kept(None) == (["a", "b", "c", "d"], 0)
     names, dropped = kept("15 minutes")
     assert names == ["a", "b", "d"] and dropped == 2
+
+
+def test_patches_set_updated_at(spark):
+    old, new = T0, T0 + dt.timedelta(days=1)
+    ev = spark.createDataFrame([("e", "n", 5, 5, 90, old), ("f", "m", 5, 5, 90, old)],
+                               "id string, name string, capacity int, remaining int, ticket_price_cents bigint, "
+                               "updated_at timestamp_ntz")
+    p = spark.createDataFrame([("e", "x", None, None), ("f", None, -1, None)],
+                              "id string, name string, capacity int, ticket_price_cents bigint")
+    got = {r["id"]: (r["name"], r["updated_at"]) for r in C.patch_events(ev, p, at=F.lit(new)).collect()}
+    assert got == {"e": ("x", new), "f": ("m", old)}
+    us = spark.createDataFrame([("u", "a", old), ("v", "b", old)], "id string, full_name string, updated_at timestamp_ntz")
+    pp = spark.createDataFrame([("u", "u", "Ann"), ("u", "v", "Bob")], "caller_id string, target_id string, full_name string")
+    out, _ = C.patch_profiles(us, pp, at=F.lit(new))
+    assert {r["id"]: (r["full_name"], r["updated_at"]) for r in out.collect()} == {"u": ("Ann", new), "v": ("b", old)}
