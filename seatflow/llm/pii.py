@@ -15,9 +15,19 @@ until they are inside, which keeps it a permutation of the valid values.
 Kinds: card (13 to 19 digits that pass the Luhn test; others are left alone),
 iban (mod-97), ssn (valid area, group and serial), phone (international
 shape, country code kept), ip (octets up to 255), date (real calendar days of
-1900 to 2099, as 2024-01-31, 31.01.2024 or 01/31/2024), email (letters and
-digits of the local part, over their own classes) and secret (hexadecimal runs
-of 32 or more, over their alphabet).
+1900 to 2099, as 2024-01-31, 31.01.2024, 01/31/2024 or, where that is no day,
+31/01/2024, which keeps a day above 12), email (letters and digits of the local
+part, over their own classes) and secret (hexadecimal runs of 32 or more, over
+their alphabet).
+
+A card or iban shape may run on into an expiry, a security code or a further
+word.  Its parts between group borders are tried as well: the longest that
+validates counts, for cards also from later groups on, and the search goes on
+behind it, or behind the first group where nothing validates.  A card keeps both
+of its Luhn sums, so that a longer run around it validates after the change if
+it did before.  Where a pseudonym would still make other finds of the text
+around it, it is permuted again until it does not, so ``restore`` meets the same
+finds; only there a value can get another pseudonym than elsewhere.
 
 Defined cases: a null text stays null; a text without a find stays as it is;
 long texts are searched whole; repeated rows are treated alike; an empty table
@@ -26,6 +36,7 @@ gives an empty result.  Extra columns pass through ``pseudonymise`` untouched.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -46,20 +57,28 @@ ROUNDS = 8
 # one key per deployment; the registered query uses a fixed one so that runs agree
 KEY = b"pseudonym key of the registered query"
 
+# a date after a blank is no group of a card or phone number
+_DAY = (r"(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
+        r"|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|[12][0-9]|3[01])[./](?:19|20)[0-9]{2})(?![0-9-])")
 _SHAPES = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}[ -]?(?:[0-9](?:[ .-](?!" + _DAY + r")[0-9]{2}){4}"
+             r"|(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:(?:[.-]| (?!" + _DAY + r"))?[0-9]{1,4}){2,3})(?![0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}"
             r"|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])[0-9](?:(?:-| (?!" + _DAY + r"))?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+KIND_ORDER = tuple(_SHAPES)
 _FIND = "|".join(f"(?P<{k}>{p})" for k, p in _SHAPES.items())
+_GROUP = r"\W?[0-9A-Za-z]+"
+# no decision about a find depends on text further away
+_REACH = 300
 _DAY0, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
-_DATE_FORMS = (("-", "%Y-%m-%d"), (".", "%d.%m.%Y"), ("/", "%m/%d/%Y"))
+_DATE_FORMS = (("-", "%Y-%m-%d"), (".", "%d.%m.%Y"), ("/", "%m/%d/%Y"), ("/", "%d/%m/%Y"))
 
 
 # --- permutation ------------------------------------------------------------
@@ -126,20 +145,23 @@ def _classes(s: str) -> list[str]:
     return [low if c in low else up if c in up else num if c in num else "" for c in s]
 
 
-def _mixed(perm: Permutation, kind: str, s: str, alphabets: list[str], back: bool) -> str:
+def _mixed(perm: Permutation, kind: str, s: str, alphabets: list[str], back: bool,
+           valid: Callable[[str], bool] | None = None) -> str:
     x, n = 0, 1
     for c, a in zip(s, alphabets):
         if a:
             x, n = x * len(a) + a.index(c), n * len(a)
     tag = kind + ":" + "".join(str(len(a) % 10) for a in alphabets)
-    x = perm(tag, n, x, back)
-    out = []
-    for c, a in zip(reversed(s), reversed(alphabets)):
-        if a:
-            x, d = divmod(x, len(a))
-            c = a[d]
-        out.append(c)
-    return "".join(reversed(out))
+
+    def written(x: int) -> str:
+        out = []
+        for c, a in zip(reversed(s), reversed(alphabets)):
+            if a:
+                x, d = divmod(x, len(a))
+                c = a[d]
+            out.append(c)
+        return "".join(reversed(out))
+    return written(perm(tag, n, x, back, valid and (lambda x: valid(written(x)))))
 
 
 def _ssn_ok(x: int) -> bool:
@@ -147,65 +169,219 @@ def _ssn_ok(x: int) -> bool:
     return area not in (0, 666) and area < 900 and group > 0 and serial > 0
 
 
-def pseudonym(perm: Permutation, shape: str, s: str, back: bool = False) -> tuple[str, str] | None:
-    """(kind, replacement) of a find, or None if it does not validate."""
+def _day(s: str) -> tuple[datetime.date, str] | None:
+    """Day and notation of a date; day/month/year where month/day/year fails."""
+    for mark, form in _DATE_FORMS:
+        if mark in s:
+            try:
+                return datetime.datetime.strptime(s, form).date(), form
+            except ValueError:
+                pass
+    return None
+
+
+def _validates(shape: str, s: str) -> bool:
     digits = "".join(c for c in s if c.isdigit())
     if shape == "card":
-        if not luhn(digits):
-            return None
-        n = len(digits) - 1
-        body = f"{perm(f'card{n}', 10 ** n, int(digits[:-1]), back):0{n}d}"
-        return "card", _refill(s, body + str(luhn_digit(body)))
+        return 13 <= len(digits) <= 19 and luhn(digits)
     if shape == "ip":
-        octets = [int(p) for p in s.split(".")]
-        if max(octets) > 255:
-            return None
-        x = perm("ip", 1 << 32, int.from_bytes(bytes(octets), "big"), back)
-        return "ip", ".".join(map(str, x.to_bytes(4, "big")))
+        return max(map(int, s.split("."))) <= 255
     if shape == "date":
-        form = next(f for mark, f in _DATE_FORMS if mark in s)
-        try:
-            day = datetime.datetime.strptime(s, form).date()
-        except ValueError:
-            return None
-        x = perm("date", _DAYS, (day - _DAY0).days, back)
-        return "date", (_DAY0 + datetime.timedelta(days=x)).strftime(form)
+        return _day(s) is not None
     if shape == "ssn":
-        if not _ssn_ok(int(digits)):
-            return None
-        return "ssn", _refill(s, f"{perm('ssn', 10 ** 9, int(digits), back, _ssn_ok):09d}")
+        return _ssn_ok(int(digits))
     if shape == "phone":
-        code = re.match(r"\+[0-9]{1,3}", s)[0]
-        own = "".join(c for c in s[len(code):] if c.isdigit())
-        if not 6 <= len(own) <= 14:
-            return None
-        x = perm(f"phone{len(own)}", 10 ** len(own), int(own), back)
-        return "phone", code + _refill(s[len(code):], f"{x:0{len(own)}d}")
+        return 6 <= len(digits) - len(re.match(r"\+[0-9]{1,3}", s)[0]) + 1 <= 14
     if shape == "iban":
         plain = s.replace(" ", "")
-        if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
-            return None
-        body = _mixed(perm, "iban", plain[4:], _classes(plain[4:]), back)
-        check = f"{98 - _iban_rest(plain[:2] + '00' + body):02d}"
-        it = iter(plain[:2] + check + body)
-        return "iban", "".join(c if c == " " else next(it) for c in s)
+        return 15 <= len(plain) <= 34 and _iban_rest(plain) == 1
+    return True
+
+
+def pseudonym(perm: Permutation, shape: str, s: str, back: bool = False,
+              fits: Callable[[str], bool] = lambda new: True) -> tuple[str, str] | None:
+    """(kind, replacement) of a find, or None if it does not validate.  Only a
+    replacement that ``fits`` is taken; ``s`` itself must."""
+    if not _validates(shape, s):
+        return None
+    digits = "".join(c for c in s if c.isdigit())
     if shape == "email":
         local, _, domain = s.partition("@")
-        return "email", _mixed(perm, "email", local, _classes(local), back) + "@" + domain
-    hexa = "0123456789abcdef" if s == s.lower() else "0123456789ABCDEF"
-    return "secret", _mixed(perm, "secret", s, [hexa] * len(s), back)
+        return shape, _mixed(perm, "email", local, _classes(local), back, lambda x: fits(x + "@" + domain)
+                             ) + "@" + domain
+    if shape == "secret":
+        hexa = "0123456789abcdef" if s == s.lower() else "0123456789ABCDEF"
+        return shape, _mixed(perm, "secret", s, [hexa] * len(s), back, fits)
+    if shape == "iban":
+        plain = s.replace(" ", "")
+
+        def account(body: str) -> str:
+            check = f"{98 - _iban_rest(plain[:2] + '00' + body):02d}"
+            it = iter(plain[:2] + check + body)
+            return "".join(c if c == " " else next(it) for c in s)
+        return shape, account(_mixed(perm, "iban", plain[4:], _classes(plain[4:]), back, lambda x: fits(account(x))))
+    ok = None
+    if shape == "card":
+        n, other = len(digits) - 1, luhn_digit(digits)
+        kind, size, x = f"card{n}", 10 ** n, int(digits[:-1])
+
+        def number(x: int) -> str:
+            body = f"{x:0{n}d}"
+            return body + str(luhn_digit(body))
+
+        def ok(x: int) -> bool:
+            return luhn_digit(number(x)) == other
+
+        def written(x: int) -> str:
+            return _refill(s, number(x))
+    elif shape == "ip":
+        kind, size, x = "ip", 1 << 32, int.from_bytes(bytes(map(int, s.split("."))), "big")
+
+        def written(x: int) -> str:
+            return ".".join(map(str, x.to_bytes(4, "big")))
+    elif shape == "date":
+        day, form = _day(s)
+        kind, size, x = "date", _DAYS, (day - _DAY0).days
+
+        def written(x: int) -> str:
+            return (_DAY0 + datetime.timedelta(days=x)).strftime(form)
+
+        def ok(x: int) -> bool:  # read again in the same notation
+            return form != "%d/%m/%Y" or (_DAY0 + datetime.timedelta(days=x)).day > 12
+    elif shape == "ssn":
+        kind, size, x, ok = "ssn", 10 ** 9, int(digits), _ssn_ok
+
+        def written(x: int) -> str:
+            return _refill(s, f"{x:09d}")
+    else:
+        code = re.match(r"\+[0-9]{1,3}", s)[0]
+        own = "".join(c for c in s[len(code):] if c.isdigit())
+        kind, size, x = f"phone{len(own)}", 10 ** len(own), int(own)
+
+        def written(x: int) -> str:
+            return code + _refill(s[len(code):], f"{x:0{len(own)}d}")
+    return shape, written(perm(kind, size, x, back, lambda x: (ok is None or ok(x)) and fits(written(x))))
+
+
+# --- finds --------------------------------------------------------------------
+
+def _card_part(s: str) -> int:
+    """Length of the longest card number from the start of ``s`` to a group border, 0 for none."""
+    n, plain, turned, best = 0, 0, 0, 0  # sums with the last digit as it is, and doubled
+    for i, c in enumerate(s):
+        if c not in " -":
+            d = int(c)
+            n, plain, turned = n + 1, turned + d, plain + (2 * d - 9 if d > 4 else 2 * d)
+            if n >= 13 and plain % 10 == 0 and (i + 1 == len(s) or s[i + 1] in " -"):
+                best = i + 1
+    return best
+
+
+def _longest(m: re.Match, shape: str, known: dict[str, int]) -> int:
+    """End of the longest part from the start of a match to a group border that
+    validates, 0 if none does; ``known`` remembers card shapes."""
+    s, start = m[0], m.start()
+    if shape == "card":
+        if s not in known:
+            known[s] = _card_part(s)
+        return start + known[s] if known[s] else 0
+    if _validates(shape, s):
+        return m.end()
+    if shape == "iban":
+        for i in range(len(s) - 1, 12, -1):
+            if s[i] == " " and _validates(shape, s[:i]):
+                return start + i
+    return 0
+
+
+def finds(text: str, find: re.Pattern, known: dict[str, int], start: int = 0, until: int | None = None,
+          stop: int | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]], list[int]]:
+    """Finds (kind, start, end) of a text in order, from ``start`` on and
+    beginning before ``until``; the stretches of which parts were tried; and the
+    places where the search went on."""
+    stop = len(text) if stop is None else stop
+    until = stop if until is None else until
+    found, tried, went_on = [], [], []
+    at = start
+    while at < until:
+        went_on.append(at)
+        m = find.search(text, at, stop)
+        if m is None or m.start() >= until:
+            break
+        a, end, shape = m.start(), _longest(m, m.lastgroup, known), m.lastgroup
+        if shape in ("card", "iban"):
+            tried.append(m.span())
+        later = iter(KIND_ORDER[KIND_ORDER.index(shape) + 1:])
+        while not end and (shape := next(later, None)):  # another shape from the same place
+            if m2 := re.compile(_SHAPES[shape]).match(text, a, stop):
+                end = _longest(m2, shape, known)
+                tried.append(m2.span())
+        if not end:
+            at = max(a + 1, re.compile(_GROUP).match(text, a).end())
+            continue
+        if shape == "card":
+            first, i = a, a + 1
+            while i < end:  # a longer card from a later group on
+                if text[i - 1] in " -" and (m2 := re.compile(_SHAPES["card"]).match(text, i, stop)):
+                    tried.append(m2.span())
+                    e = _longest(m2, "card", known)
+                    if e and sum(map(str.isdigit, text[i:e])) > sum(map(str.isdigit, text[a:end])):
+                        a, end = i, e
+                i += 1
+            if a > first:
+                before = finds(text, find, known, first, a, a)
+                found += before[0]
+                tried += before[1]
+        found.append((shape, a, end))
+        at = end
+    return found, tried, went_on
 
 
 def replace_text(text: str, perm: Permutation, find: re.Pattern, back: bool = False) -> tuple[str, list[str]]:
-    kinds: list[str] = []
-
-    def swap(m: re.Match) -> str:
-        got = pseudonym(perm, m.lastgroup, m[0], back)
-        if got is None:
-            return m[0]
-        kinds.append(got[0])
-        return got[1]
-    return find.sub(swap, text), kinds
+    known: dict[str, int] = {}
+    found, tried, went_on = finds(text, find, known)
+    if not found:
+        return text, []
+    tried.sort()
+    starts = [a for a, _ in tried]
+    news: dict[int, str] = {}
+    order = range(len(found))
+    # undone in reverse, so that each find meets the surroundings it was replaced in
+    for k in reversed(order) if back else order:
+        shape, a, b = found[k]
+        near = tried[bisect.bisect_left(starts, a - _REACH):bisect.bisect_left(starts, b)]
+        if all(span == (a, b) or span[1] <= a for span in near):
+            news[k] = pseudonym(perm, shape, text[a:b], back)[1]
+            continue
+        # from a place where the search went on, to where no decision reaches
+        p = went_on[max(0, bisect.bisect_right(went_on, a - _REACH) - 1)]
+        lo, hi = max(0, p - 1), min(len(text), b + _REACH)
+        around, at = [], lo
+        i = k
+        while i > 0 and found[i - 1][2] > lo:
+            i -= 1
+        while i < len(found) and found[i][1] < hi:
+            _, c, d = found[i]
+            if i != k and i in news and c >= lo and d <= hi:
+                around += [text[at:c], news[i]]
+                at = d
+            elif i == k:
+                around += [text[at:a], None]
+                at = b
+            i += 1
+        around.append(text[at:hi])
+        cut = around.index(None)
+        left, right = "".join(around[:cut]), "".join(around[cut + 1:])
+
+        def same(s: str) -> list[tuple[str, int, int]]:
+            return finds(left + s + right, find, known, p - lo, b - lo)[0]
+        now = same(text[a:b])
+        news[k] = pseudonym(perm, shape, text[a:b], back, lambda s: same(s) == now)[1]
+    out, at = [], 0
+    for k in order:
+        out += [text[at:found[k][1]], news[k]]
+        at = found[k][2]
+    return "".join(out) + text[at:], [f[0] for f in found]
 
 
 # --- Spark ------------------------------------------------------------------

@@ -269,6 +269,30 @@ def test_pseudonyms_keep_format_link_and_restore(spark):
     assert {r["doc_id"]: r["text"] for r in pii.restore(out).collect()} == {1: text, 2: "4111 1111 1111 1111", 3: None}
 
 
+def test_values_beside_other_digits_are_found_and_restored():
+    perm, find = pii.Permutation(pii.KEY), re.compile(pii._FIND)
+
+    def new(text):
+        out, kinds = pii.replace_text(text, perm, find)
+        assert pii.replace_text(out, perm, find, back=True)[0] == text
+        return out, kinds
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    card_new, iban_new = new(card)[0], new(iban)[0]
+    for before, after in (("", " 12/27"), ("", " 123"), ("Nr 12 ", ""), ("", " 12 34"), ("Nr 7 ", " 123")):
+        assert new(before + card + after) == (before + card_new + after, ["card"])
+    out, kinds = new(card + " 31.01.2024")
+    assert kinds == ["card", "date"] and out == card_new + " " + new("31.01.2024")[0]
+    for before, after in (("", " USD"), ("", " 1234 HELLO"), ("AB12 3456 ", "")):
+        assert new(before + iban + after) == (before + iban_new + after, ["iban"])
+    for text, kind in (("25/12/2024", "date"), ("+33 1 23 45 67 89", "phone")):
+        out, kinds = new(text)
+        assert kinds == [kind] and out != text
+    assert new("32/13/2024 and 4111 1111 1111 1112")[1] == []
+    rng = np.random.default_rng(5)
+    for _ in range(20):  # every start of a table of digits may begin a card
+        new(" ".join(map(str, rng.integers(0, 10, 120))))
+
+
 def test_quality_counts_against_brute_force(spark, docs):
     got = {r["doc_id"]: r for r in quality_rules.quality_report(docs).collect()}
     for d in docs.collect():
