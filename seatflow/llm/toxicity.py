@@ -2,23 +2,26 @@
 inverted index, distance-weighted votes, calibrated scores with evidence.
 
 Terms are words (letters and digits, ASCII case folded) and their beginnings
-of 4 to 7 bytes, so that words formed from one stem meet.  The vocabulary is
-the terms that a chi-square test on the labelled sample ties to the label.  An
-example is a labelled document's unit vector of (1 + ln tf) * idf over the
-vocabulary.
+of 4 to 7 bytes, so that words formed from one stem meet.  A vector is a text's
+unit vector of (1 + ln tf) * idf, with document frequencies over all documents.
+An example is a labelled document with all of its terms; a scored document's
+vector is over all terms that any example has: others match nothing and are left
+out of its length too, which scales its cosines but keeps their order.
 
 The index holds, per term, the examples' weights in blocks of ``BLOCK``
-examples and each block's largest weight.  A document adds up the block maxima
-of its terms: no example of a block can score higher.  Blocks are opened from
-the highest bound down until the bound falls below the k-th best score, so the
-k nearest are exact.  They vote with weight 1 / (1 - cosine + EASE); the vote
-is mapped to a probability by a monotone step function, fitted on the sample
-with each document left out of its own neighbours.
-
-Sample, vocabulary and examples have documented bounds (``FIT_ROWS``,
-``VOCABULARY``, ``EXAMPLES`` per class); everything else covers all documents.
-Defined cases: a document without any vocabulary term (an empty or null text,
-for instance) has no neighbours and gets the share of toxic documents among
+examples and each block's largest weight.  Examples that use the same words lie
+in the same blocks.  Terms of many examples are summed for all examples at once; a
+document adds each block's best of those sums and the block maxima of its other
+terms: no example of a block can score higher.  Blocks are opened from the highest bound
+down until the bound falls below the k-th best score, so the k nearest are
+exact.  They vote with weight 1 / (1 - cosine + EASE); the vote is mapped to a
+probability by a monotone step function, fitted on the sample with each
+document left out of its own neighbours.
+
+Sample and examples have documented bounds (``FIT_ROWS``, ``EXAMPLES`` per
+class); everything else covers all documents.
+Defined cases: a document without any term of an example (an empty or null
+text, for instance) has no neighbours and gets the share of toxic documents among
 such sample documents; without labels every score is 0; repeated rows are
 scored each; an empty table gives an empty result.  Extra columns are ignored.
 """
@@ -39,11 +42,11 @@ from seatflow.llm.textvec import Spans, _BYTE, per_text, runs, slices
 
 FIT_ROWS = 20_000
 EXAMPLES = 2_000
-VOCABULARY = 8_192
-CHI2 = 40.0
 NEAREST = 15
 EASE = 0.05
 BLOCK = 64
+GROUPS = 16
+FREQUENT, FREQUENT_SHARE, TOGETHER = 512, 8, 64
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SLICE = 1 << 19
@@ -78,14 +81,10 @@ def terms(buf: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) ->
     return np.concatenate(hs), np.concatenate(ts)
 
 
-def counted(h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) in order, with counts."""
-    order = np.lexsort((h, t))
-    h, t = h[order], t[order]
-    if len(h) == 0:
-        return t, h, np.zeros(0, np.int64)
-    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1]))))
-    return t[new], h[new], np.diff(np.append(new, len(h)))
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] of them, then from start[1] on, and so forth."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)
 
 
 # --- index ------------------------------------------------------------------
@@ -101,16 +100,24 @@ class Index:
         self.steps, self.values, self.without = np.zeros(0), np.zeros(1), 0.0
         self.add(np.zeros(0, np.int64), np.zeros(0, np.int64), [])
 
-    def vectors(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Unit vector of each text: term numbers and weights."""
-        t, h, tf = counted(*terms(buf, off, self.known))
+    def counts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (text, term number) in order, with counts."""
+        h, t = terms(buf, off, self.known)
         at = np.minimum(np.searchsorted(self.words, h), max(0, len(self.words) - 1))
         hit = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
-        t, at, tf = t[hit], at[hit], tf[hit]
+        size = max(1, len(self.words))
+        pair, tf = np.unique(t[hit] * size + at[hit], return_counts=True)
+        return pair // size, pair % size, tf
+
+    def vectors(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Unit vector of each text: term numbers and weights."""
+        return self.weighted(*self.counts(buf, off), len(off) - 1)
+
+    def weighted(self, t: np.ndarray, at: np.ndarray, tf: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         w = (1 + np.log(tf)) * self.idf[at]
-        edges = np.searchsorted(t, np.arange(len(off)))
-        norm = np.sqrt(np.add.reduceat(np.append(w * w, 0.0), edges[:-1])) if len(off) > 1 else w
-        return [(at[a:b], w[a:b] / n if b > a else w[a:b]) for a, b, n in
+        edges = np.searchsorted(t, np.arange(n + 1))
+        norm = np.sqrt(np.add.reduceat(np.append(w * w, 0.0), edges[:-1])) if n else w
+        return [(at[a:b], w[a:b] / m if b > a else w[a:b]) for a, b, m in
                 zip(edges[:-1].tolist(), edges[1:].tolist(), norm.tolist())]
 
     def add(self, ids: np.ndarray, y: np.ndarray, vecs: list) -> None:
@@ -122,46 +129,89 @@ class Index:
         w = np.concatenate([v[1] for v in vecs]) if vecs else np.zeros(0)
         doc = np.repeat(np.arange(len(vecs)), n)
         order = np.lexsort((doc, term))
-        self.post_doc, self.post_w, term = doc[order], w[order], term[order]
+        self.post_doc, self.post_w = doc[order].astype(np.min_scalar_type(len(ids))), w[order]
+        self.df = np.bincount(term, minlength=len(self.words))
+        self.dense = None
+
+    def __getstate__(self) -> dict:
+        """Postings only: blocks and sums are made where they are used, not sent."""
+        return {k: getattr(self, k) for k in ("words", "idf", "known", "steps", "values", "without", "ids", "y", "blocks",
+                                              "post_doc", "post_w", "df")} | {"dense": None}
+
+    def _arrange(self) -> None:
+        """Blocks of every term's postings, and the frequent terms' weights as rows."""
+        term = np.repeat(np.arange(len(self.df)), self.df)
         cell = term * max(1, self.blocks) + self.post_doc // BLOCK
         new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
         self.cell_start = np.append(new, len(cell))
-        self.cell_block = (self.post_doc // BLOCK)[new] if len(cell) else new
+        self.cell_block = (self.post_doc // BLOCK)[new].astype(np.int64) if len(cell) else new
         self.cell_max = np.maximum.reduceat(self.post_w, new) if len(cell) else np.zeros(0)
         self.term_cells = np.searchsorted(term[new], np.arange(len(self.words) + 1))
-
-    def nearest(self, vec: tuple[np.ndarray, np.ndarray], k: int, skip: int | None = None
-                ) -> tuple[np.ndarray, np.ndarray]:
+        often = np.argsort(-self.df, kind="stable")[:FREQUENT]
+        self.often = often[self.df[often] * FREQUENT_SHARE > len(self.ids)]
+        self.row = np.full(len(self.words) + 1, -1, np.int32)
+        self.row[self.often] = np.arange(len(self.often))
+        edge = np.concatenate(([0], np.cumsum(self.df)))
+        self.dense = np.zeros((len(self.often), self.blocks * BLOCK))
+        for r, t in enumerate(self.often.tolist()):
+            self.dense[r, self.post_doc[edge[t]:edge[t + 1]]] = self.post_w[edge[t]:edge[t + 1]]
+
+    def sums(self, vecs: list) -> Iterator[np.ndarray]:
+        """Each vector's products with all examples over the frequent terms."""
+        if self.dense is None:
+            self._arrange()
+        for i in range(0, len(vecs), TOGETHER):
+            part = vecs[i:i + TOGETHER]
+            q = np.zeros((len(part), len(self.often)))
+            for k, (t, w) in enumerate(part):
+                row = self.row[t]
+                q[k, row[row >= 0]] = w[row >= 0]
+            yield from q @ self.dense
+
+    def nearest(self, vec: tuple[np.ndarray, np.ndarray], k: int, skip: int | None = None,
+                sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples (numbers and cosines), ties by number."""
-        cells = [np.arange(self.term_cells[t], self.term_cells[t + 1]) for t in vec[0].tolist()]
-        if not cells or not sum(map(len, cells)):
-            return np.zeros(0, np.int64), np.zeros(0)
-        cell = np.concatenate(cells)
-        q = np.repeat(vec[1], list(map(len, cells)))
+        base = next(self.sums([vec])) if sums is None else sums
+        rare = self.row[vec[0]] < 0
+        t, w = vec[0][rare], vec[1][rare]
+        first = self.term_cells[t]
+        n = self.term_cells[t + 1] - first
+        cell, q = spread(first, n), np.repeat(w, n)
         block = self.cell_block[cell]
-        bound = np.bincount(block, q * self.cell_max[cell], self.blocks)
-        by_block = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        score = np.zeros(self.blocks * BLOCK)
-        kth, best = 0.0, np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < kth - 1e-9:
+        if skip is not None:
+            base[skip] = 0.0
+        bound = base.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, q * self.cell_max[cell], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score = np.zeros((self.blocks, BLOCK))
+        kth, at, step = 0.0, 0, max(1, self.blocks // 16)
+        while at < len(order):  # some blocks at a time, then only those whose bound still reaches
+            some = order[at:at + step]
+            some = some[bound[some] >= kth - 1e-9]
+            if not len(some):
                 break
-            own = by_block[edges[b]:edges[b + 1]]
-            for c, weight in zip(cell[own].tolist(), q[own].tolist()):
-                s, e = self.cell_start[c], self.cell_start[c + 1]
-                score[self.post_doc[s:e]] += weight * self.post_w[s:e]
-            part = score[b * BLOCK:(b + 1) * BLOCK]
-            if skip is not None and skip // BLOCK == b:
-                part[skip % BLOCK] = 0.0
-            best = np.sort(np.concatenate((best, part[part > 0])))[-k:]
-            kth = best[0] if len(best) >= k else 0.0
+            at, step = at + step, 4 * step
+            opened = np.zeros(self.blocks, bool)
+            opened[some] = True
+            own = opened[block]
+            c = cell[own]
+            n = self.cell_start[c + 1] - self.cell_start[c]
+            post = spread(self.cell_start[c], n)
+            score[some] = base.reshape(-1, BLOCK)[some]
+            score += np.bincount(self.post_doc[post], np.repeat(q[own], n) * self.post_w[post], score.size
+                                 ).reshape(-1, BLOCK)
+            if skip is not None:
+                score.flat[skip] = 0.0
+            best = score[score > 0]
+            kth = np.partition(best, -k)[-k] if len(best) >= k else 0.0
+        score = score.ravel()
         found = np.flatnonzero(score > 0)
         found = found[np.lexsort((found, -np.round(score[found], 9)))][:k]
         return found, score[found]
 
-    def vote(self, vec: tuple, skip: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
-        near, cos = self.nearest(vec, NEAREST, skip)
+    def vote(self, vec: tuple, skip: int | None = None, sums: np.ndarray | None = None
+             ) -> tuple[float | None, np.ndarray, np.ndarray]:
+        near, cos = self.nearest(vec, NEAREST, skip, sums)
         if len(near) == 0:
             return None, near, cos
         w = 1 / (np.maximum(0.0, 1 - cos) + EASE)
@@ -197,59 +247,102 @@ class Index:
 
 # --- fitting ----------------------------------------------------------------
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of each text with counts, as lists."""
     for batch in batches:
-        y = np.asarray(batch.column("y").to_pylist(), np.int64)
         for i, j, buf, off in slices(batch.column("text"), SLICE):
-            t, h, _ = counted(*terms(buf, off))
-            keys, back = np.unique(h, return_inverse=True)
-            toxic = np.bincount(back, y[i:j][t], len(keys)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-            every = np.bincount(back, minlength=len(keys)) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(every)],
-                                             names=["h", "toxic", "df"])
+            h, t = terms(buf, off)
+            order = np.lexsort((h, t))
+            h, t = h[order], t[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])))[:len(h)])
+            edges = pa.array(np.searchsorted(t[new], np.arange(j - i + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in
+                     (h[new].view(np.int64), np.diff(np.append(new, len(h))))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("y").slice(i, j - i),
+                                              *lists], names=["doc_id", "y", "terms", "tf"])
+
+
+def _document_counts(index: Index):
+    """Number of documents with each of the index's terms, per task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(index.words), np.int64)
+        for batch in batches:
+            for _, _, buf, off in slices(batch.column("text"), SLICE):
+                df += np.bincount(index.counts(buf, off)[1], minlength=len(df))
+        some = np.flatnonzero(df)
+        for i in range(0, len(some), 10_000):
+            part = some[i:i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(df[part])], names=["term", "df"])
+    return run
 
 
-def _sample_vectors(index: Index):
+def _votes(index: Index):
+    number = dict(zip(index.ids.tolist(), range(len(index.ids))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("terms", pa.list_(pa.int64())),
-                          ("weights", pa.list_(pa.float64()))])
         for batch in batches:
             for i, j, buf, off in slices(batch.column("text"), SLICE):
+                ids = batch.column("doc_id").slice(i, j - i)
                 vecs = index.vectors(buf, off)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), batch.column("y").slice(i, j - i),
-                     pa.array([v[0].tolist() for v in vecs], kind.field(2).type),
-                     pa.array([v[1].tolist() for v in vecs], kind.field(3).type)], schema=kind)
+                votes = [index.vote(v, number.get(x), s)[0] for v, x, s in zip(vecs, ids.to_pylist(), index.sums(vecs))]
+                yield pa.RecordBatch.from_arrays([ids, batch.column("y").slice(i, j - i), pa.array(votes, pa.float64())],
+                                                 names=["doc_id", "y", "vote"])
     return run
 
 
+def _alike(vecs: list, terms: int) -> np.ndarray:
+    """An order of the vectors in which those of common words are together:
+    groups about ``GROUPS`` centres, moved a few times."""
+    n = len(vecs)
+    if n <= BLOCK:
+        return np.arange(n)
+    term, w = np.concatenate([v[0] for v in vecs]), np.concatenate([v[1] for v in vecs])
+    doc = np.repeat(np.arange(n), [len(v[0]) for v in vecs])
+    centres = [np.bincount(vecs[i][0], vecs[i][1], terms) for i in range(0, n, -(-n // GROUPS))]
+    for _ in range(4):
+        near = np.argmax([np.bincount(doc, w * c[term], n) for c in centres], axis=0)
+        for g in range(len(centres)):
+            own = (near == g)[doc]
+            c = np.bincount(term[own], w[own], terms)
+            centres[g] = c / max(1e-12, float(np.linalg.norm(c)))
+    return np.argsort(near, kind="stable")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS,
-        examples: int = EXAMPLES, vocabulary: int = VOCABULARY) -> Index:
-    """Vocabulary, examples and calibration from the bounded sample."""
-    sample = stored(labelled_sample(docs, labels, label, fit_rows), "toxicity-sample")
-    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    by_term = sample.select("text", "y").mapInArrow(_term_counts, "h long, toxic long, df long").groupBy("h").agg(
-        F.sum("toxic").alias("a"), F.sum("df").alias("df"))
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    cross = a * (n - toxic - (df - a)) - (df - a) * (toxic - a)
-    margins = df * (n - df) * float(toxic) * float(n - toxic)
-    chi2 = F.when(margins > 0, n * cross * cross / margins).otherwise(0.0)
-    chosen = by_term.withColumn("chi2", chi2).filter(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "h").limit(
-        vocabulary).select("h", "df").toPandas()
-    index = Index(chosen["h"].to_numpy(np.int64).view(np.uint64),
-                  np.log((1 + n) / (1 + chosen["df"].to_numpy(np.float64))) + 1)
-    rows = sample.mapInArrow(_sample_vectors(index), "doc_id long, y int, terms array<long>, weights array<double>"
-                             ).toPandas()  # at most fit_rows short vectors
-    rows = rows.assign(key=rows["doc_id"].map(lambda x: (x * 0x9E3779B97F4A7C15 >> 7) & 0xFFFFFFFF)).sort_values(
-        ["key", "doc_id"]).reset_index(drop=True)
-    vecs = [(np.asarray(t, np.int64), np.asarray(w, np.float64)) for t, w in zip(rows["terms"], rows["weights"])]
-    with_terms = [i for i, v in enumerate(vecs) if len(v[0])]
-    chosen_rows = [i for y in (1, 0) for i in [i for i in with_terms if rows["y"][i] == y][:examples]]
-    index.add(rows["doc_id"].to_numpy(np.int64)[chosen_rows], rows["y"].to_numpy(np.int64)[chosen_rows],
-              [vecs[i] for i in chosen_rows])
-    number = {i: k for k, i in enumerate(chosen_rows)}
-    votes = [index.vote(v, number.get(i))[0] if len(v[0]) else None for i, v in enumerate(vecs)]
-    index.calibrate(votes, rows["y"].tolist(), [1.0] * len(votes))
+        examples: int = EXAMPLES) -> Index:
+    """Examples and calibration from the bounded sample, document frequencies
+    of all the examples' terms from all documents."""
+    sample = stored(labelled_sample(docs, labels, label, fit_rows).repartition(32, "doc_id"), "toxicity-sample")
+    key = F.shiftright(F.xxhash64("doc_id"), 32)
+    words = sample.filter(F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")).select("doc_id", "y")
+    chosen = None
+    for y in (1, 0):
+        part = words.filter(F.col("y") == y).orderBy(key, "doc_id").limit(examples)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    # bounded: at most ``examples`` documents of either class
+    rows = sample.join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(
+        _terms_of, "doc_id long, y int, terms array<long>, tf array<long>").toArrow().sort_by("doc_id")
+    lists = [rows.column(c).combine_chunks() for c in ("terms", "tf")]
+    h, tf = (np.asarray(x.flatten()) for x in lists)
+    doc = np.repeat(np.arange(len(rows)), np.asarray(lists[0].value_lengths(), np.int64))
+    known, at = np.unique(h.view(np.uint64), return_inverse=True)
+    index = Index(known, np.zeros(len(known)))
+    n, df = docs.count(), np.zeros(len(known))
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        _document_counts(index), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[np.asarray(counted.column("term"), np.int64)] = np.asarray(counted.column("df"), np.float64)
+    index.idf = np.log((1 + n) / (1 + df)) + 1
+    order = np.lexsort((at, doc))
+    vecs = index.weighted(doc[order], at[order], tf[order], len(rows))
+    del lists, h, tf, doc, at, order, counted
+    order = _alike(vecs, len(known))
+    index.add(np.asarray(rows.column("doc_id"), np.int64)[order], np.asarray(rows.column("y"), np.int64)[order],
+              [vecs[i] for i in order.tolist()])
+    del rows, vecs
+    # at most ``fit_rows`` short rows
+    votes = sample.select("doc_id", "y", "text").mapInArrow(_votes(index), "doc_id long, y int, vote double"
+                                                            ).toArrow().sort_by("doc_id")
+    index.calibrate(votes.column("vote").to_pylist(), votes.column("y").to_pylist(), [1.0] * len(votes))
     return index
 
 
@@ -260,8 +353,9 @@ def _score(index: Index):
         for batch in batches:
             for i, j, buf, off in slices(batch.column("text"), SLICE):
                 score, ids, cosines = [], [], []
-                for vec in index.vectors(buf, off):
-                    vote, near, cos = index.vote(vec) if len(vec[0]) else (None, (), ())
+                vecs = index.vectors(buf, off)
+                for vec, sums in zip(vecs, index.sums(vecs)):
+                    vote, near, cos = index.vote(vec, None, sums) if len(vec[0]) else (None, (), ())
                     score.append(index.probability(vote))
                     ids.append(index.ids[near[:3]].tolist() if len(near) else [])
                     cosines.append([round(x, 6) for x in cos[:3]])

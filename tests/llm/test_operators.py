@@ -243,6 +243,30 @@ def test_block_max_search_is_exact():
         assert np.allclose(np.sort(cos), np.sort(np.sort(dense @ q)[-15:]))
 
 
+def test_neighbours_are_by_all_terms_and_all_documents(spark, docs):
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    index = toxicity.fit(docs, lab)
+    of = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    at = {}
+    for i, text in of.items():
+        h, _ = toxicity.terms(*textvec.text_buffer(pa.array([text])))
+        at[i] = collections.Counter(h.tolist())
+    df = collections.Counter(h for c in at.values() for h in c)
+    space = {h for i in index.ids.tolist() for h in at[i]}
+    assert set(index.words.tolist()) == space
+
+    def unit(i):
+        v = {h: (1 + math.log(k)) * (math.log((1 + len(of)) / (1 + df[h])) + 1) for h, k in at[i].items() if h in space}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {h: x / size for h, x in v.items()}
+    examples = [unit(i) for i in index.ids.tolist()]
+    got = {r["doc_id"]: r["cosines"] for r in toxicity.toxicity(docs, lab, index).collect()}
+    for i in sorted(of)[:40]:
+        v = unit(i)
+        want = sorted((sum(x * e.get(h, 0.0) for h, x in v.items()) for e in examples), reverse=True)[:3]
+        assert np.allclose(got[i], want, atol=1e-5)
+
+
 def test_held_out_labels(spark, docs):
     big = "/root/testdata/sf0.1"
     d, lab = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
