@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatflow.llm import (chat, exact_dedup, mixing, near_dedup, oracles, packing, pii, quality_classifier,
-                          quality_rules, token_output, toxicity)
+from seatflow.llm import (chat, exact_dedup, filter_audit, mixing, near_dedup, oracles, packing, pii,
+                          quality_classifier, quality_rules, source_divergence, token_counts, token_output, toxicity)
 from seatflow.llm.common import read
 from seatflow.session import apply_runtime_conf
 
@@ -63,6 +63,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,9 +83,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_shards, op2_chat_format, op3_mix_sources, op4_near_classes, op5_pack_documents,
-             op6_exact_dedup, op7_toxicity, op8_pii_pseudonyms, op9_quality_rules, op10_quality_classifier, pipeline)
+             op6_exact_dedup, op7_toxicity, op8_pii_pseudonyms, op9_quality_rules, op10_quality_classifier, op11_token_counts,
+             op12_filter_audit, op13_source_divergence, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": oracles.CHAT, "op3_mix_sources": oracles.MIX, "op6_exact_dedup": oracles.EXACT}
+    return {"op2_chat_format": oracles.CHAT, "op3_mix_sources": oracles.MIX, "op6_exact_dedup": oracles.EXACT,
+            "op12_filter_audit": oracles.AUDIT, "op13_source_divergence": oracles.DIVERGENCE}
