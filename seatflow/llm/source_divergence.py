@@ -36,6 +36,7 @@ from __future__ import annotations
 import collections
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +46,9 @@ from seatflow.llm.common import stored
 MIN_DOCS = 3
 TOP = 200
 ONE = 1_000_000_000
-KEYS = 200_000
+KEYS = 400_000
 BYTES = 32 << 20  # of text read before counts are handed on
+DOC = 1 << 40  # one document in a term's tally, occurrences below it
 # every byte outside terms becomes a blank, A-Z become a-z
 _TERMS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 COUNTS = "lang string, source string, term string, n long, df long"
@@ -61,24 +63,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = read = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, df) in held.items():
-            size = len(n)
+        for (lang, source), tally in held.items():
+            size, sums = len(tally), np.fromiter(tally.values(), np.int64, len(tally))
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(lang, size), pa.repeat(source, size), pa.array(n.keys(), pa.binary()).cast(pa.string()),
-                 pa.array(n.values(), pa.int64()), pa.array([df[t] for t in n], pa.int64())],
-                ["lang", "source", "term", "n", "df"])
+                [pa.repeat(lang, size), pa.repeat(source, size), pa.array(tally.keys(), pa.binary()).cast(pa.string()),
+                 pa.array(sums % DOC), pa.array(sums // DOC)], ["lang", "source", "term", "n", "df"])
 
     for b in batches:
         for lang, source, text in zip(b.column("lang"), b.column("source"), b.column("text")):
             group, text = (lang.as_py(), source.as_py()), text.as_py()
-            if group not in held:
-                held[group] = {b"": 0}, {b"": 0}  # the empty term marks that the group occurs
-            n, df = held[group]
-            before = len(n)
+            tally = held.setdefault(group, {b"": 0})  # the empty term marks that the group occurs
+            before, known = len(tally), tally.get
             for term, times in collections.Counter(terms(text)).items():
-                n[term] = n.get(term, 0) + times
-                df[term] = df.get(term, 0) + 1
-            keys, read = keys + len(n) - before, read + len(text)
+                tally[term] = known(term, 0) + times + DOC
+            keys, read = keys + len(tally) - before, read + len(text)
             if keys > KEYS or read > BYTES:
                 yield from out()
                 held, keys, read = {}, 0, 0
