@@ -38,6 +38,7 @@ FILTERS = "ABCDE"
 E_BIT = 16
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 50, 65, 5
 SALT_ROWS = 2000
+SPREAD = 16  # salts of the slim join that finds the rows of repeated hashes
 _NOT_CAPITAL = bytes(c for c in range(256) if not 65 <= c <= 90)
 _NOT_MARK = bytes(c for c in range(256) if c not in b"#$%&*|")
 _INNER = bytes(range(0x80, 0xC0))  # bytes that begin no code point
@@ -74,9 +75,12 @@ def marks(docs: DataFrame) -> DataFrame:
 def repeated_ids(docs: DataFrame, marked: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """doc_id, hash, part of the rows whose text a smaller doc_id has too."""
     groups = marked.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    groups = groups.filter("lo < hi").select("hash", F.ceil(F.col("n") / salt_rows).alias("salts"))
+    groups = groups.filter("lo < hi").select("hash", F.ceil(F.col("n") / salt_rows).alias("salts"),
+                                             F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), whole(F.col("text")).alias("text"))
-    rows = stored(rows.withColumn("hash", _hash(F.col("text"))).join(groups, "hash"), "audit-copies")
+    rows = rows.withColumn("hash", _hash(F.col("text"))).withColumn(
+        "spread", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int"))
+    rows = stored(rows.join(groups, ["hash", "spread"]).drop("spread"), "audit-copies")
     first = rows.groupBy("hash", "text").agg(F.min("doc_id").alias("first"), F.max("salts").alias("salts"))
     first = first.select("hash", "text", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias(
         "salt"))
