@@ -9,10 +9,12 @@
 * Prefix sums are two-level: totals per (key, range of the order), a running
   sum of these totals per key, then running sums inside each (key, range).
   No task holds all rows of a hot key, or of a burst within one instant.
-* W2 and W7 mix takes with clamped give-backs or refills; they are not sums.
-  They run as a fold over rows sorted within hash partitions of the key,
-  with state carried across Arrow batches (rows are streamed, never held;
-  the sort spills).  A single key stays sequential by nature.
+* W2 is a composition of clamped additions, running sums and minima over the
+  same ranges, up to an event's first refusal.  What follows it runs as a fold
+  over rows sorted within hash partitions of the event, with state carried
+  across Arrow batches (rows are streamed, never held; the sort spills).
+* W7 (``rate_limit.py``) folds every range of the log at once and chains their
+  ends.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seatflow.operators.rate_limit import RATE_OUT, replay_rate_limit  # noqa: F401  (W7)
 from seatflow.schemas import CANCELLED, CONFIRMED, PENDING
 from seatflow.session import ranged, reliable_checkpoint
 
@@ -150,16 +153,17 @@ INVENTORY_OUT = T.StructType([
 def _inventory_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     # state of the current event: seats left, capacity, and the admitted
     # bookings that still have an effective command ahead (booking -> qty);
-    # a booking leaves the map after its last effective command
+    # a booking leaves the map after its last effective command.  Seats start
+    # at what the rows before the event's first refusal left.
     ev_now, rem, cap = None, 0, 0
     open_: dict = {}
     for b in batches:
         cols = [b[c].tolist() for c in ("event_id", "booking_id", "quantity", "command", "capacity", "_eff",
-                                        "_last", "_more")]
+                                        "_last", "_more", "_held", "_before")]
         applied, rems = [], []
-        for ev, bid, q, cm, c, eff, last, more in zip(*cols):
+        for ev, bid, q, cm, c, eff, last, more, held, before in zip(*cols):
             if ev != ev_now:
-                ev_now, rem, cap, open_ = ev, int(c), int(c), {}
+                ev_now, rem, cap, open_ = ev, int(before), int(c), {}
             ok = False
             if cm == "CREATE":
                 if q <= rem:
@@ -167,12 +171,12 @@ def _inventory_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     ok = True
                     if more:
                         open_[bid] = q
-            elif eff and bid in open_:
+            elif eff and (held or bid in open_):
                 ok = True
                 if cm == "CANCEL":
                     rem = min(rem + q, cap)
                 if last:
-                    del open_[bid]
+                    open_.pop(bid, None)
             applied.append(ok)
             rems.append(rem)
         yield pd.DataFrame({"event_id": cols[0], "booking_id": cols[1], "seq": b["seq"].astype("int32"),
@@ -199,9 +203,41 @@ def booking_effects(commands: DataFrame) -> DataFrame:
                              & (F.lag(target).over(w) != target))
          .withColumn("_lastkey", F.max(F.when(F.col("_eff"), key)).over(
              Window.partitionBy("booking_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    first = F.min(F.when(cm == "CREATE", F.struct("ts", "booking_id", "seq"))).over(Window.partitionBy("booking_id"))
     return (d.withColumn("_last", F.col("_eff") & (key == F.col("_lastkey")))
             .withColumn("_more", F.col("_lastkey").isNotNull() & (F.col("_lastkey") > key))
-            .drop("_lastkey"))
+            .withColumn("_created", first).drop("_lastkey"))
+
+
+def seats_if_admitted(rows: DataFrame) -> DataFrame:
+    """``rows`` (event_id, capacity, quantity, command, _eff, _range, in the
+    order ts, booking_id, seq) with ``_seats``: the event's seats after each
+    row if every CREATE so far was admitted.  Below 0 means that one was not.
+
+    Each row is a clamped addition, x -> min(x + d, capacity), d = -quantity
+    for a CREATE and +quantity for a CANCEL that gives back.  Such additions
+    compose: after the rows 1..k, x = A + min(capacity, M) with A the sum of
+    the d and M the least capacity - A over the give-backs so far.  Both are
+    running aggregates, in two levels: inside (event, range), and per event
+    over one row per range.  No task holds an event beyond its range.
+    """
+    back = F.col("_eff") & (F.col("command") == "CANCEL")
+    d = F.when(F.col("command") == "CREATE", -F.col("quantity")).when(back, F.col("quantity")).otherwise(0)
+    inside = Window.partitionBy("event_id", "_range").orderBy("ts", "booking_id", "seq").rowsBetween(
+        Window.unboundedPreceding, 0)
+    local = rows.withColumn("_a", F.sum(d.cast("long")).over(inside)).withColumn(
+        "_room", F.when(back, F.col("capacity") - F.col("_a"))).withColumn("_m", F.min("_room").over(inside))
+    totals = rows.groupBy("event_id", "_range").agg(F.sum(d.cast("long")).alias("_sum"))
+    before = Window.partitionBy("event_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    rooms = local.groupBy("event_id", "_range").agg(F.min("_room").alias("_least"))
+    borders = totals.join(rooms, ["event_id", "_range"]).withColumn(
+        "_a0", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(
+        F.col("event_id").alias("_ev"), F.col("_range").alias("_rg"), "_a0",
+        F.min(F.col("_least") - F.col("_a0")).over(before).alias("_m0"))
+    out = local.join(borders, (F.col("event_id") == F.col("_ev")) & (F.col("_range") == F.col("_rg")))
+    least = F.least(F.col("capacity").cast("long"), F.col("_m0"), F.col("_m") - F.col("_a0"))
+    return out.withColumn("_seats", F.col("_a0") + F.col("_a") + least).drop(
+        "_a", "_room", "_m", "_ev", "_rg", "_a0", "_m0")
 
 
 def replay_inventory(commands: DataFrame, events: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -216,15 +252,35 @@ def replay_inventory(commands: DataFrame, events: DataFrame, partitions: int | N
     booking_id, seq).
 
     What each command would do to its own booking is settled set-wise first
-    (``booking_effects``), so the fold per event keeps only seats and the
-    admitted bookings with commands still ahead, not every booking the
-    event ever had.  Commands of an unknown event are returned with
-    ``applied`` false and no ``remaining``.
+    (``booking_effects``).  The rows of an event before its first refusal are
+    then running aggregates over stored ranges (``seats_if_admitted``): an event
+    that never refuses, however hot, needs no row loop and no task of its own.
+    From the first refusal on, a CREATE's fate depends on every one before it,
+    which no sum or clamp expresses; only those rows are folded in order, with
+    the seats and the admitted bookings that have commands ahead as state.
+    Commands of an unknown event are returned with ``applied`` false and no
+    ``remaining``.
     """
     cap = events.select(F.col("id").alias("event_id"), F.col("capacity").cast("int"))
     commands = commands.select("booking_id", "event_id", "quantity", "ts", "seq", "command")
-    rows = booking_effects(commands).join(cap, "event_id")
-    known = sorted_fold(rows, "event_id", ["ts", "booking_id", "seq"], _inventory_fold, INVENTORY_OUT, partitions)
+    order = ["ts", "booking_id", "seq"]
+    rows = ranged(booking_effects(commands).join(cap, "event_id"), ["event_id", *order], "inventory-input",
+                  partitions=partitions)
+    rows = reliable_checkpoint(seats_if_admitted(rows), "inventory-seats")
+    at, created = F.struct(*order), F.col("command") == "CREATE"
+    refused = rows.where(created & (F.col("_seats") < 0)).groupBy("event_id").agg(
+        F.min(F.struct(*order, (F.col("_seats") + F.col("quantity")).alias("_before"))).alias("_first"))
+    refused = refused.select(F.col("event_id").alias("_ev"), F.struct(*[f"_first.{c}" for c in order]).alias("_cut"),
+                             F.col("_first._before").alias("_before"))
+    rows = rows.join(refused, F.col("event_id") == F.col("_ev"), "left")
+    free = F.col("_cut").isNull() | (at < F.col("_cut"))
+    names = INVENTORY_OUT.names
+    known = rows.where(free).withColumns({"applied": created | F.col("_eff"), "remaining": F.col("_seats").cast("int"),
+                                          "seq": F.col("seq").cast("int")}).select(*names)
+    tail = rows.where(~free).withColumn("_held", F.coalesce(F.col("_created") < F.col("_cut"), F.lit(False)))
+    known = known.unionByName(sorted_fold(tail.select(
+        "event_id", "booking_id", "quantity", "command", "capacity", "_eff", "_last", "_more", "_held", "_before",
+        *[c for c in order if c != "booking_id"]), "event_id", order, _inventory_fold, INVENTORY_OUT, partitions))
     given = {"applied": F.lit(False), "remaining": F.lit(None)}
     unknown = commands.join(cap, "event_id", "left_anti").select(
         *[given.get(f.name, F.col(f.name) if f.name in commands.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -232,53 +288,6 @@ def replay_inventory(commands: DataFrame, events: DataFrame, partitions: int | N
     return known.unionByName(unknown)
 
 
-RATE_OUT = T.StructType([
-    T.StructField("key", T.StringType()), T.StructField("request_id", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()), T.StructField("allowed", T.BooleanType()),
-    T.StructField("tokens", T.LongType()),
-])
-
-
-def _rate_fold(token_us: int, burst: int):
-    full = token_us * burst
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k_now, tok, last = None, 0, 0
-        for b in batches:
-            keys, us = b["key"].tolist(), b["_us"].tolist()
-            allowed, toks = [], []
-            for k, t in zip(keys, us):
-                if k != k_now:
-                    k_now, tok, last = k, full, t
-                tok = min(full, tok + (t - last))
-                last = t
-                ok = tok >= token_us
-                if ok:
-                    tok -= token_us
-                allowed.append(ok)
-                toks.append(tok)
-            yield pd.DataFrame({"key": keys, "request_id": b["request_id"], "ts": b["ts"],
-                                "allowed": allowed, "tokens": pd.Series(toks, dtype="int64")})
-    return fold
-
-
-def replay_rate_limit(log: DataFrame, key: str, token_us: int, burst: int,
-                      order: tuple[str, ...] = ("ts", "request_id"), partitions: int | None = None) -> DataFrame:
-    """Token bucket per ``key`` over the access log.
-
-    The bucket starts full (``burst`` tokens), earns one token every
-    ``token_us`` microseconds up to ``burst``, and each request takes one
-    token; a refused request takes none.  Tokens are counted in whole
-    token-microseconds, so the result is exact.  ``tokens`` is what is left
-    after the request.  Plans: 2/s burst 5 per client IP is
-    ``token_us=500_000, burst=5``; 10/s burst 20 per user is
-    ``token_us=100_000, burst=20``.
-    """
-    rows = log.select(F.col(key).alias("key"), "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                      F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    return sorted_fold(rows, "key", list(order), _rate_fold(token_us, burst), RATE_OUT, partitions)
-
-
 # ------------------------------------------------------------------- W3-W6
 def _target(command: Column) -> Column:
     return (F.when(command == "CREATE", F.lit(PENDING))
