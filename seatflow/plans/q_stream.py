@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seatflow.operators.changes import apply_status
+from seatflow.operators.changes import apply_status, release_cancelled
+from seatflow.operators.joins import inventory_drift
 from seatflow.plans.catalog import fx, register
 from seatflow.plans.q_replay import BURST, TOKEN_US, W1_STEPS, W2_STEPS, W7_STEPS
 from seatflow.sources.messages import parse_booking_messages
@@ -17,6 +18,7 @@ from seatflow.streaming import operators as S
 from seatflow.streaming.runner import SliceReplay, enable_state_store, slice_numbers
 
 SLICES = 4
+ORDER_DAYS = 120  # how far booking requests and commands are out of order (the fixtures span years)
 _PARSED_SQL = """SELECT *, json_valid(body) AS parsed,
   CASE WHEN json_valid(body) THEN json_extract_string(body, '$.booking_id') END AS booking_id,
   CASE WHEN json_valid(body) THEN json_extract_string(body, '$.user_id') END AS user_id,
@@ -52,6 +54,15 @@ def _heartbeats(like, ts_col, rows, beats=(1,)):
     return out
 
 
+def _shuffled(df, ts_col, key, days, slices=SLICES):
+    """Rows that arrive up to ``days`` after their time, by a hash of ``key``:
+    dealt over slices by arrival, so a slice holds rows from before and after
+    its neighbours' rows."""
+    late = F.make_dt_interval(F.pmod(F.xxhash64(key), F.lit(days)).cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    dealt = df.withColumn("_arrival", F.col(ts_col) + late)
+    return dealt.withColumn("_slice", slice_numbers(dealt, "_arrival", slices)).drop("_arrival"), list(range(slices))
+
+
 # -------------------------------------------------------------------- T1
 def _settled(spark, sf):
     f = fx(spark, sf)
@@ -84,6 +95,65 @@ def t1r(spark, sf):
     return _settled(spark, sf).rejects()
 
 
+# every message for more than eight seats fails to be confirmed
+_FAILS_OVER = 8
+_SETTLES = {
+    "pm": _PARSED_SQL,
+    "v": """SELECT m.booking_id, m.ts, m.copy, CASE WHEN m.quantity > 8 THEN 'CANCELLED' ELSE 'CONFIRMED' END AS target
+  FROM pm m JOIN v_bookings b ON b.id = m.booking_id
+  WHERE m.parsed AND COALESCE(m.user_id, '') <> '' AND COALESCE(m.event_id, '') <> '' AND m.quantity > 0""",
+    "ch": """SELECT booking_id, ts, target, COALESCE(lag(target) OVER (PARTITION BY booking_id ORDER BY ts, copy), 'PENDING')
+  AS prev FROM v""",
+    "t": """SELECT c.booking_id, b.event_id, b.quantity, CAST(b.unit_price_cents AS BIGINT) AS unit_price_cents,
+  c.prev AS from_status, c.target AS to_status, c.ts FROM ch c JOIN v_bookings b ON b.id = c.booking_id
+  WHERE c.prev <> c.target"""}
+
+
+def _settled_or_cancelled(spark, sf):
+    enable_state_store(spark)
+    f = fx(spark, sf)
+    base = f.bookings.withColumn("status", F.lit("PENDING"))
+    msgs = f.booking_messages
+    run = SliceReplay(spark, "t1-settle-or-cancel")
+    src, slices = _shuffled(msgs, "ts", "body", ORDER_DAYS)
+    beat = _heartbeats(msgs, "ts", [{"copy": 0, "body": "~"}], beats=(ORDER_DAYS + 2,))
+    run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.settle_or_cancel(
+        s, base, F.col("quantity") > _FAILS_OVER, f"{ORDER_DAYS + 1} days")), beat)
+    return f, run, spark.read.parquet(run.sink)
+
+
+@register("T1_settle_or_cancel", "SELECT * FROM t", _SETTLES)
+def t1c(spark, sf):
+    changes = _settled_or_cancelled(spark, sf)[2]
+    return changes.where(F.col("reason").isNull()).drop("reason")
+
+
+@register("T1_released_seats", """SELECT e.id, CAST(least(e.remaining + COALESCE(r.q, 0), e.capacity) AS INTEGER)
+  AS remaining FROM v_events_stocked e LEFT JOIN (SELECT event_id, SUM(quantity) AS q FROM t
+  WHERE to_status = 'CANCELLED' GROUP BY event_id) r ON r.event_id = e.id""", _SETTLES)
+def t1s(spark, sf):
+    f, _, changes = _settled_or_cancelled(spark, sf)
+    return release_cancelled(f.events_stocked, changes).select("id", "remaining")
+
+
+_DOC_CENTS = "SUM(CASE WHEN to_status = 'CONFIRMED' THEN 1 WHEN from_status = 'CONFIRMED' THEN -1 ELSE 0 END * {})"
+
+
+@register("T1_stats_documents", f"""SELECT 'event:' || event_id || ':stats' AS key, event_id,
+  '{{"revenue":' || CASE WHEN c % 100 = 0 THEN CAST(c // 100 AS VARCHAR)
+    WHEN c % 10 = 0 THEN CAST(c // 100 AS VARCHAR) || '.' || CAST(c % 100 // 10 AS VARCHAR)
+    ELSE CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END
+  || ',"tickets_sold":' || CAST(s AS VARCHAR) || '}}' AS value
+FROM (SELECT event_id, CAST({_DOC_CENTS.format('quantity')} AS BIGINT) AS s,
+  CAST({_DOC_CENTS.format('quantity * unit_price_cents')} AS BIGINT) AS c FROM t GROUP BY event_id)""", _SETTLES)
+def t1d(spark, sf):
+    _, _, changes = _settled_or_cancelled(spark, sf)
+    docs = SliceReplay(spark, "t1-documents")
+    src, slices = _sliced(changes)
+    docs.run(src, "_slice", slices, lambda s: S.stats_stream(s, docs.sink))
+    return S.latest_documents(spark.read.parquet(docs.sink).drop("_slice"))
+
+
 # -------------------------------------------------------------------- T2
 @register("T2_expire_pending", """SELECT c.booking_id, c.ts + INTERVAL 15 MINUTE AS expires_at
 FROM v_commands c WHERE c.command = 'CREATE' AND NOT EXISTS (SELECT 1 FROM v_commands s
@@ -139,9 +209,10 @@ def t3(spark, sf):
     f = fx(spark, sf)
     req = f.bookings.select("id", "event_id", "quantity", "created_at")
     run = SliceReplay(spark, "t3-admit")
-    src, slices = _sliced(req, "created_at")
+    src, slices = _shuffled(req, "created_at", "id", ORDER_DAYS)
     ev = f.events.select("id", "capacity")
-    run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.admit_stream(s, ev)))
+    beat = _heartbeats(req, "created_at", [{"id": "~", "event_id": "~", "quantity": 0}], beats=(ORDER_DAYS + 2,))
+    run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.admit_stream(s, ev, f"{ORDER_DAYS + 1} days")), beat)
     return spark.read.parquet(run.sink).select("event_id", "id", "admitted", "remaining", "reason")
 
 
@@ -152,9 +223,11 @@ def t4(spark, sf):
     enable_state_store(spark)
     log = fx(spark, sf).access
     run = SliceReplay(spark, "t4-rate")
-    src, slices = _sliced(log)
-    run.run(src, "_slice", slices,
-            lambda s: _append_to(run.sink)(S.rate_limit_stream(s, "client_ip", TOKEN_US, BURST)))
+    src, slices = _shuffled(log, "ts", "request_id", 2)
+    beat = _heartbeats(log, "ts", [{c: "~" if c in ("client_ip", "request_id") else None for c in log.columns
+                                    if c != "ts"}], beats=(4,))
+    run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.rate_limit_stream(
+        s, "client_ip", TOKEN_US, BURST, delay="3 days")), beat)
     return spark.read.parquet(run.sink)
 
 
@@ -203,6 +276,11 @@ def t6(spark, sf):
 
 
 # -------------------------------------------------------------------- T7
+def _command_beat(commands, beats=1):
+    return _heartbeats(commands, "ts", [{"booking_id": "~", "event_id": "~", "quantity": 0, "seq": 0,
+                                         "command": "CREATE"}], beats=range(ORDER_DAYS + 2, ORDER_DAYS + 2 + beats))
+
+
 @register("T7_release_stream", """SELECT k.ev AS event_id, k.b AS booking_id, k.seq, k.cm AS command, k.ts,
   f.ok AS applied, CAST(f.rem AS INTEGER) AS remaining
 FROM f JOIN k ON k.ev = f.ev AND k.rn = f.rn""", W2_STEPS, recursive=True)
@@ -210,9 +288,32 @@ def t7(spark, sf):
     enable_state_store(spark)
     f = fx(spark, sf)
     run = SliceReplay(spark, "t7-inventory")
-    src, slices = _sliced(f.commands)
+    src, slices = _shuffled(f.commands, "ts", "booking_id", ORDER_DAYS)
+    ev = f.events.select("id", "capacity")
+    run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.inventory_stream(
+        s, ev, f"{ORDER_DAYS + 1} days", keep="3650 days")), _command_beat(f.commands))
+    return spark.read.parquet(run.sink)
+
+
+@register("T2_expiry_stream", """SELECT k.ev AS event_id, k.b AS booking_id, k.seq, k.cm AS command, k.ts,
+  f.ok AS applied, CAST(f.rem AS INTEGER) AS remaining
+FROM f JOIN k ON k.ev = f.ev AND k.rn = f.rn WHERE f.ok OR k.seq > 0 OR k.cm = 'CREATE'""", {
+    "x": """SELECT c.booking_id, c.event_id, c.quantity, c.ts + INTERVAL 15 MINUTE AS ts, 0 AS seq, 'CANCEL' AS command
+  FROM v_commands c WHERE c.command = 'CREATE' AND NOT EXISTS (SELECT 1 FROM v_commands s
+    WHERE s.booking_id = c.booking_id AND s.command <> 'CREATE' AND s.ts >= c.ts
+    AND s.ts <= c.ts + INTERVAL 15 MINUTE)""",
+    "vx": """SELECT booking_id, event_id, quantity, ts, seq, command FROM v_commands
+  UNION ALL SELECT booking_id, event_id, quantity, ts, seq, command FROM x""",
+    **{k: v.replace("v_commands", "vx") for k, v in W2_STEPS.items()}}, recursive=True)
+def t2x(spark, sf):
+    enable_state_store(spark)
+    f = fx(spark, sf)
+    # the deadlines of bookings released by the first beat are timers of the next batch
+    run = SliceReplay(spark, "t2-expiry")
+    src, slices = _shuffled(f.commands, "ts", "booking_id", ORDER_DAYS)
     ev = f.events.select("id", "capacity")
-    run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.inventory_stream(s, ev)))
+    run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.inventory_stream(
+        s, ev, f"{ORDER_DAYS + 1} days", ttl="15 minutes")), _command_beat(f.commands, beats=2))
     return spark.read.parquet(run.sink)
 
 
@@ -238,7 +339,27 @@ def t8(spark, sf):
                                            / F.lit(432_000 * 1_000_000)).cast("int"))
     last = src.agg(F.max("_slice")).first()[0]
     run = SliceReplay(spark, "t8-late")
-    splitter = S.LateRowSplitter(run.sink)
-    run.run(src, "_slice", list(range(last + 1)), lambda s: S.late_rows(s, splitter))
-    return spark.read.schema("request_id string, ts timestamp_ntz, batch_id int").parquet(
-        f"{run.sink}/late").select("request_id", "ts")
+    run.run(src, "_slice", list(range(last + 1)), lambda s: S.log_arrivals(s, run.sink))
+    arrivals = spark.read.schema("request_id string, ts timestamp_ntz, batch_id int").parquet(run.sink)
+    return S.split_late(arrivals, run.watermarks())[0].select("request_id", "ts")
+
+
+# ------------------------------------------------ A7 / J6 over live counters
+@register("J6_live_counters", """SELECT event_id, counter_remaining, table_remaining, side, difference FROM (
+SELECT COALESCE(c.id, e.id) AS event_id, c.counter_remaining, e.remaining AS table_remaining,
+  CASE WHEN c.counter_remaining IS NULL THEN 'table_only' WHEN e.remaining IS NULL THEN 'counter_only'
+       ELSE 'both' END AS side,
+  CAST(c.counter_remaining - e.remaining AS INTEGER) AS difference
+FROM c FULL OUTER JOIN v_events_stocked e ON c.id = e.id) WHERE side <> 'both' OR difference <> 0""", {
+    **W1_STEPS, "c": """SELECT e.id, CAST(COALESCE(l.rem, e.capacity) AS INTEGER) AS counter_remaining
+  FROM v_events e LEFT JOIN (SELECT ev, arg_max(rem, rn) AS rem FROM f GROUP BY ev) l ON l.ev = e.id"""}, recursive=True)
+def j6live(spark, sf):
+    enable_state_store(spark)
+    f = fx(spark, sf)
+    req = f.bookings.select("id", "event_id", "quantity", "created_at")
+    run = SliceReplay(spark, "j6-live")
+    src, slices = _sliced(req, "created_at", 2)
+    ev = f.events.select("id", "capacity")
+    beat = _heartbeats(req, "created_at", [{"id": "~", "event_id": "~", "quantity": 0}])
+    run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.admit_stream(s, ev)), beat)
+    return inventory_drift(S.live_counters(spark, run.checkpoint), f.events_stocked)

@@ -3,34 +3,28 @@
 Stateful rules use ``transformWithState`` (the Row form: no pandas frame per
 key, about twice as fast here) keyed by the rule's key
 (event, booking or client), so state is spread over the cluster by key and
-survives restarts in the checkpoint.  Rows of one key inside a micro-batch
-are sorted in the handler; across batches the order is the source's, so the
-results equal the batch twins (W1, W2, W7, P6) for sources delivered in
-event-time order.  Event-time inputs carry a watermark; timestamps without a
-zone are cast to timestamps first.
-
-A handler holds one key's rows of one micro-batch while it sorts them, so
-its memory is bounded by the trigger size (``maxFilesPerTrigger`` /
-``maxOffsetsPerTrigger``), never by the key's history: history lives in the
-state store (RocksDB, spilled to local disk and checkpointed).
+survives restarts in the checkpoint.  Their rows wait in state until the
+watermark passes them and are then taken in event-time order (``ordered.py``),
+so the results equal the batch twins (W1, W2, W7, P6) however the rows are
+dealt over micro-batches, as long as they come within the watermark's delay.
+Timestamps without a zone are cast to timestamps first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle,
-                                                      TimerValues)
 
 from seatflow.operators.changes import apply_status
 from seatflow.operators.replay import INVENTORY_OUT, NOT_ENOUGH, RATE_OUT, UNKNOWN_EVENT
 from seatflow.operators.validate import validate_messages
-from seatflow.schemas import CONFIRMED, PENDING_TTL_MINUTES
-from seatflow.sources.documents import gauge_samples
+from seatflow.schemas import CONFIRMED, KEY_REMAINING_PREFIX, PENDING_TTL_MINUTES
+from seatflow.sources.documents import gauge_samples, stats_documents
 from seatflow.sources.messages import parse_booking_messages
+from seatflow.streaming.ordered import (WIDTH_MS, AdmitProcessor, InventoryProcessor, RateLimitProcessor,
+                                        SettleProcessor)
 from seatflow.streaming.runner import path_exists
 
 WATERMARK_DELAY = "15 minutes"
@@ -42,165 +36,65 @@ def event_time(df: DataFrame, col: str = "ts", delay: str = WATERMARK_DELAY) ->
 
 
 # -------------------------------------------------------------- T3 / T7
-class InventoryProcessor(StatefulProcessor):
-    """Seats of one event: CREATE takes them if they fit, CANCEL of a holding
-    booking gives them back (at most capacity), CONFIRM after CANCEL holds
-    again without taking seats.  State: remaining and capacity, and the
-    bookings holding or given back, each in a map keyed by booking id (so a
-    big event never loads all its bookings at once)."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seats = handle.getValueState("seats", "remaining int, capacity int")
-        self.held = handle.getMapState("held", "booking_id string", "quantity int")
-        self.gone = handle.getMapState("gone", "booking_id string", "quantity int")
-
-    def handleInitialState(self, key, initialState: Row, timerValues: TimerValues) -> None:
-        cap = int(initialState["capacity"])
-        rem = int(initialState["remaining"]) if "remaining" in initialState else cap
-        self.seats.update((rem, cap))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        known = self.seats.exists()
-        rem, cap = self.seats.get() if known else (0, 0)
-        for r in sorted(rows, key=lambda r: (r["ts"], r["booking_id"], r["seq"])):
-            bid, q, cm = r["booking_id"], r["quantity"], r["command"]
-            ok = False
-            if cm == "CREATE":
-                if known and q <= rem:
-                    rem -= q
-                    self.held.updateValue((bid,), (q,))
-                    ok = True
-            elif cm == "CANCEL":
-                if self.held.containsKey((bid,)):
-                    rem = min(rem + q, cap)
-                    self.held.removeKey((bid,))
-                    self.gone.updateValue((bid,), (q,))
-                    ok = True
-            elif cm == "CONFIRM":
-                if self.gone.containsKey((bid,)):
-                    self.gone.removeKey((bid,))
-                    self.held.updateValue((bid,), (q,))
-                    ok = True
-            yield Row(event_id=r["event_id"], booking_id=bid, seq=r["seq"], command=cm, ts=r["ts"], applied=ok,
-                      remaining=rem if known else None)
-        if known:
-            self.seats.update((rem, cap))
-
-    def close(self) -> None:
-        pass
-
-
-class AdmitProcessor(StatefulProcessor):
-    """Admission only (T3): one value per event, the seats left.  Requests of
-    the batch are taken in (created_at, id) order; a refused one takes
-    nothing and a later smaller one may still fit."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seats = handle.getValueState("seats", "remaining int")
-
-    def handleInitialState(self, key, initialState: Row, timerValues: TimerValues) -> None:
-        col = "remaining" if "remaining" in initialState else "capacity"
-        self.seats.update((int(initialState[col]),))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        known = self.seats.exists()
-        rem = self.seats.get()[0] if known else 0
-        # a request without a time comes first, as in W1
-        for r in sorted(rows, key=lambda r: (r["created_at"] is not None, r["created_at"], r["id"])):
-            ok = known and r["quantity"] <= rem
-            if ok:
-                rem -= r["quantity"]
-            yield Row(id=r["id"], event_id=r["event_id"], quantity=r["quantity"], created_at=r["created_at"],
-                      admitted=ok, remaining=rem if known else None)
-        if known:
-            self.seats.update((rem,))
-
-    def close(self) -> None:
-        pass
-
-
 ADMIT_OUT = T.StructType([T.StructField("id", T.StringType()), T.StructField("event_id", T.StringType()),
                           T.StructField("quantity", T.IntegerType()), T.StructField("created_at", T.TimestampNTZType()),
                           T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.IntegerType())])
 
 
-def inventory_stream(commands: DataFrame, events: DataFrame) -> DataFrame:
-    """T3 + T7: admission and release on a command stream keyed by event.
+def _seeds(events: DataFrame):
+    cols = [F.col("id").alias("event_id"), "capacity"] + (["remaining"] if "remaining" in events.columns else [])
+    return events.select(*cols).groupBy("event_id")
+
+
+def _timed(rows: DataFrame, ts: str, delay: str) -> DataFrame:
+    """``rows`` with ``ts_us`` and a watermark on ``event_ts``."""
+    return event_time(rows.withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp"))), ts, delay)
+
+
+def _micros(interval: str | None) -> int | None:
+    return None if interval is None else int(pd.Timedelta(interval) / pd.Timedelta(microseconds=1))
+
+
+def inventory_stream(commands: DataFrame, events: DataFrame, delay: str = WATERMARK_DELAY, ttl: str | None = None,
+                     keep: str | None = None, width_ms: int = WIDTH_MS) -> DataFrame:
+    """T3 + T7: admission and release on a command stream keyed by event, in
+    event-time order whatever order the rows come in, ``delay`` at most apart.
     ``events`` (id, capacity[, remaining]) seed the state once.  Output: one
-    row per command as W2 (``applied``, ``remaining`` after it)."""
-    init_cols = [F.col("id").alias("event_id"), "capacity"] + (["remaining"] if "remaining" in events.columns else [])
-    init = events.select(*init_cols).groupBy("event_id")
+    row per command as W2 (``applied``, ``remaining`` after it).
+
+    ``ttl`` cancels bookings not settled in time (T2) in the same query: the
+    cancels come out as rows of their own (seq 0, at the deadline).  ``keep``
+    frees a booking's state that long after its last effective command."""
     rows = commands.select("event_id", "booking_id", "quantity", "ts", F.col("seq").cast("int"), "command")
-    return rows.groupBy("event_id").transformWithState(
-        statefulProcessor=InventoryProcessor(), outputStructType=INVENTORY_OUT, outputMode="Append",
-        timeMode="None", initialState=init)
-
-
-def admit_stream(requests: DataFrame, events: DataFrame) -> DataFrame:
-    """Requests (id, event_id, quantity, created_at) admitted in arrival
-    order; same columns and reasons as W1.  State is one value per event."""
-    init_cols = [F.col("id").alias("event_id"), "capacity"] + (["remaining"] if "remaining" in events.columns else [])
-    rows = requests.select("id", "event_id", F.col("quantity").cast("int").alias("quantity"),
-                           F.col("created_at").cast("timestamp_ntz").alias("created_at"))
-    out = rows.groupBy("event_id").transformWithState(
-        statefulProcessor=AdmitProcessor(), outputStructType=ADMIT_OUT, outputMode="Append", timeMode="None",
-        initialState=events.select(*init_cols).groupBy("event_id"))
+    return _timed(rows, "ts", delay).groupBy("event_id").transformWithState(
+        statefulProcessor=InventoryProcessor(width_ms, _micros(ttl), _micros(keep)), outputStructType=INVENTORY_OUT,
+        outputMode="Append", timeMode="EventTime", initialState=_seeds(events))
+
+
+def admit_stream(requests: DataFrame, events: DataFrame, delay: str = WATERMARK_DELAY,
+                 width_ms: int = WIDTH_MS) -> DataFrame:
+    """Requests (id, event_id, quantity, created_at) admitted in the order
+    of their times, whatever order they come in, ``delay`` at most apart; same
+    columns and reasons as W1.  A request without a time is decided when it
+    arrives.  State is one value per event and the requests still waiting."""
+    rows = requests.select("id", "event_id", F.col("quantity").cast("int").alias("quantity"), "created_at")
+    out = _timed(rows, "created_at", delay).groupBy("event_id").transformWithState(
+        statefulProcessor=AdmitProcessor(width_ms), outputStructType=ADMIT_OUT, outputMode="Append",
+        timeMode="EventTime", initialState=_seeds(events))
     return out.withColumn("reason", F.when(F.col("remaining").isNull(), F.lit(UNKNOWN_EVENT)).when(
         ~F.col("admitted"), F.lit(NOT_ENOUGH)))
 
 
 # -------------------------------------------------------------------- T4
-class RateLimitProcessor(StatefulProcessor):
-    """Token bucket of one client in whole token-microseconds.  The state is
-    dropped by an event-time timer at the moment the bucket would be full
-    again, since a missing bucket starts full: state lives only while it
-    matters."""
-
-    def __init__(self, token_us: int, burst: int):
-        self.token_us, self.full = token_us, token_us * burst
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.bucket = handle.getValueState("bucket", "tokens long, last_us long, refill_ms long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        if self.bucket.exists():
-            tok, last, old_timer = self.bucket.get()
-            self.handle.deleteTimer(old_timer)
-        else:
-            tok, last = self.full, None
-        for r in sorted(rows, key=lambda r: (r["ts"], r["request_id"])):
-            t = r["ts_us"]
-            # a row older than the last one earns nothing and turns no clock back
-            tok = self.full if last is None else min(self.full, tok + max(0, t - last))
-            last = t if last is None else max(last, t)
-            ok = tok >= self.token_us
-            if ok:
-                tok -= self.token_us
-            yield Row(key=r["key"], request_id=r["request_id"], ts=r["ts"], allowed=ok, tokens=tok)
-        refill_ms = -(-(last + self.full - tok) // 1000)
-        self.bucket.update((tok, last, refill_ms))
-        self.handle.registerTimer(refill_ms)
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues,
-                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if self.bucket.exists() and self.bucket.get()[2] == expiredTimerInfo.getExpiryTimeInMs():
-            self.bucket.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limit_stream(log: DataFrame, key: str, token_us: int, burst: int, delay: str = WATERMARK_DELAY) -> DataFrame:
+def rate_limit_stream(log: DataFrame, key: str, token_us: int, burst: int, delay: str = WATERMARK_DELAY,
+                      width_ms: int = WIDTH_MS) -> DataFrame:
     """T4: W7 live.  ``log`` must be streaming with ``ts``; output as W7.  Rows
-    more than ``delay`` behind the latest are dropped by Spark and counted
-    (``runner.dropped_rows``)."""
-    rows = event_time(log.select(F.col(key).alias("key"), "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                                 F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")), delay=delay)
-    return rows.groupBy("key").transformWithState(
-        statefulProcessor=RateLimitProcessor(token_us, burst), outputStructType=RATE_OUT, outputMode="Append",
-        timeMode="EventTime")
+    may come in any order, ``delay`` at most apart; those further behind are
+    dropped by Spark and counted (``runner.ProgressLog``)."""
+    rows = log.select(F.col(key).alias("key"), "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return _timed(rows, "ts", delay).groupBy("key").transformWithState(
+        statefulProcessor=RateLimitProcessor(token_us, burst, width_ms), outputStructType=RATE_OUT,
+        outputMode="Append", timeMode="EventTime")
 
 
 # -------------------------------------------------------------------- T2
@@ -262,7 +156,7 @@ def dedupe_messages(parsed: DataFrame, key: str = "booking_id", delay: str | Non
     row per key, in RocksDB), so a first copy passes however late it comes.
     With a ``delay`` a key is forgotten once the watermark has passed it; that
     bounds the state, and rows behind the watermark are then dropped (see
-    ``runner.dropped_rows``)."""
+    ``runner.ProgressLog``)."""
     if delay is None:
         return parsed.dropDuplicates([key])
     return event_time(parsed, "ts", delay).dropDuplicatesWithinWatermark([key]).drop("event_ts")
@@ -331,6 +225,73 @@ def settle_stream(messages: DataFrame, sink: SettleSink):
     return parse_booking_messages(messages).writeStream.foreachBatch(sink)
 
 
+SETTLED = T.StructType([
+    T.StructField("booking_id", T.StringType()), T.StructField("event_id", T.StringType()),
+    T.StructField("quantity", T.IntegerType()), T.StructField("unit_price_cents", T.LongType()),
+    T.StructField("from_status", T.StringType()), T.StructField("to_status", T.StringType()),
+    T.StructField("ts", T.TimestampNTZType()), T.StructField("reason", T.StringType())])
+REFUSED_KEYS = 1024  # refused messages name no booking to go with; they are spread over so many keys
+
+
+def settle_or_cancel(messages: DataFrame, bookings: DataFrame, fails: Column | None = None,
+                     delay: str = WATERMARK_DELAY, width_ms: int = WIDTH_MS) -> DataFrame:
+    """T1 in full: each message confirms its booking, or cancels it if the
+    confirmation ``fails`` (a condition on the parsed message).
+
+    The status of every booking is keyed state, seeded by ``bookings`` (id,
+    event_id, quantity, unit_price_cents, status) when the query first starts
+    and never read again.  Output: the real status changes in event-time order,
+    and one row with a ``reason`` per refused message (P11's errors, or
+    UNKNOWN_BOOKING).  A repeated outcome changes nothing and gives no row;
+    a confirmation after a cancel passes, as coded.  C3 gives the seats of
+    changes into CANCELLED back, T5 and ``stats_stream`` follow the rest."""
+    parsed = validate_messages(parse_booking_messages(messages))
+    bad = F.size("errors") > 0
+    spread = F.pmod(F.xxhash64("body"), F.lit(REFUSED_KEYS)).cast("int")
+    rows = parsed.select(
+        F.when(bad, F.lit("")).otherwise(F.col("booking_id")).alias("key"),
+        F.when(bad, spread).otherwise(F.lit(-1)).alias("spread"), "ts", "booking_id",
+        F.col("copy").cast("int").alias("seq"), F.when(bad, F.concat_ws(",", "errors")).alias("reason"),
+        F.coalesce(F.lit(False) if fails is None else fails, F.lit(False)).alias("fails"))
+    seeds = bookings.select(F.col("id").alias("key"), F.lit(-1).alias("spread"), "event_id",
+                            F.col("quantity").cast("int").alias("quantity"),
+                            F.col("unit_price_cents").cast("long").alias("unit_price_cents"), "status")
+    return _timed(rows, "ts", delay).groupBy("key", "spread").transformWithState(
+        statefulProcessor=SettleProcessor(width_ms), outputStructType=SETTLED, outputMode="Append",
+        timeMode="EventTime", initialState=seeds.groupBy("key", "spread"))
+
+
+def stats_stream(changes: DataFrame, sink_path: str):
+    """S6 kept up by status changes (``settle_or_cancel``'s output as a
+    stream): in update mode only the documents of events that changed are
+    written, in the batch's own part.  Returns the writer."""
+    became, was = (F.col(c).eqNullSafe(F.lit(CONFIRMED)) for c in ("to_status", "from_status"))
+    seats = F.col("quantity").cast("bigint") * F.when(became, 1).when(was, -1).otherwise(0)
+    totals = changes.where(F.col("reason").isNull()).groupBy("event_id").agg(
+        F.sum(seats).cast("bigint").alias("tickets_sold"),
+        F.sum(seats * F.col("unit_price_cents")).cast("bigint").alias("revenue_cents"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (stats_documents(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink_path))
+
+    return totals.writeStream.outputMode("update").foreachBatch(write)
+
+
+def latest_documents(docs: DataFrame) -> DataFrame:
+    """The last document written per key."""
+    return docs.groupBy("key", "event_id").agg(F.max_by("value", "batch_id").alias("value"))
+
+
+def live_counters(spark, checkpoint: str) -> DataFrame:
+    """The key-value counters ``event:remaining:<id>`` as a running (or ended)
+    T3 / T7 query holds them in its state, read by Spark's state source; the
+    input of A7 and J6."""
+    state = spark.read.format("statestore").option("stateVarName", "seats").load(checkpoint)
+    return state.select(F.concat(F.lit(KEY_REMAINING_PREFIX), F.col("key.event_id")).alias("key"),
+                        F.col("value.remaining").alias("remaining"))
+
+
 # -------------------------------------------------------------------- T5
 def gauge_stream(changes: DataFrame, sink_path: str):
     """T5: running CONFIRMED totals per event (update mode: only events that
@@ -362,35 +323,24 @@ def latest_gauges(samples: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- T8
-class LateRowSplitter:
-    """T8's ``foreachBatch``: rows older than the watermark (largest event
-    time of earlier batches minus the delay, Spark's rule) are written to a
-    late table, the rest to an on-time table; the largest event time so far
-    is kept in a one-row-per-batch table."""
+def log_arrivals(stream: DataFrame, path: str, ts: str = "ts", delay: str = WATERMARK_DELAY):
+    """Every row of a stream as it arrives, with its batch, in one write
+    per micro-batch (a retried batch overwrites its own part).  ``delay`` sets
+    the stream's watermark.  Returns the writer."""
+    cols = stream.columns
 
-    def __init__(self, base_path: str, delay_minutes: int = 15, ts_col: str = "ts"):
-        self.base, self.delay, self.ts = base_path, delay_minutes, ts_col
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.select(*cols).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{self.base}/{name}"))
+    return event_time(stream, ts, delay).writeStream.foreachBatch(write)
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        marks = f"{self.base}/max_event_time"
-        us = F.unix_micros(F.col(self.ts).cast("timestamp"))
-        prev = None
-        if path_exists(spark, marks):
-            prev = (spark.read.schema("max_us long, batch_id int").parquet(marks)
-                    .where(F.col("batch_id") < batch_id).agg(F.max("max_us")).first()[0])
-        late = F.lit(False) if prev is None else us < F.lit(prev - self.delay * 60_000_000)
-        tagged = batch.withColumn("_late", late)
-        self._write(tagged.where("_late").drop("_late"), "late", batch_id)
-        self._write(tagged.where(~F.col("_late")).drop("_late"), "on_time", batch_id)
-        self._write(batch.agg(F.max(us).alias("max_us")).where(F.col("max_us").isNotNull()), "max_event_time",
-                    batch_id)
-
-
-def late_rows(stream: DataFrame, splitter: LateRowSplitter):
-    """Split late rows off before any stateful step (returns the writer)."""
-    return stream.writeStream.foreachBatch(splitter)
+
+def split_late(arrivals: DataFrame, watermarks: DataFrame, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(late, on time) rows of ``log_arrivals``.  ``watermarks`` are what
+    Spark reported (``runner.ProgressLog``): batch_id and the watermark the
+    batch ran under.  As in Spark's stateful steps, a row at or behind it is
+    late; a row without a time, or of a batch without a watermark, is not."""
+    marked = arrivals.join(watermarks, "batch_id", "left")
+    late = F.coalesce(F.col(ts).cast("timestamp") <= F.col("watermark"), F.lit(False))
+    return tuple(marked.where(c).select(*arrivals.columns) for c in (late, ~late))

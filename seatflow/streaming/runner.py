@@ -11,11 +11,12 @@ All folders live under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from seatflow.session import scratch_path
 
@@ -34,10 +35,39 @@ def enable_state_store(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that a query's stateful steps refused as older than the watermark,
-    over the progress reports Spark still holds."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class ProgressLog(StreamingQueryListener):
+    """What Spark reports about every micro-batch of the queries it listens to:
+    the watermark it ran under, the rows refused as older than that, and the
+    rows of state kept.  Unlike ``recentProgress`` it forgets no batch."""
+
+    def __init__(self) -> None:
+        self.batches: list[dict] = []
+        self.ended: dict[str, threading.Event] = {}
+
+    def _end(self, run_id) -> threading.Event:
+        return self.ended.setdefault(str(run_id), threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append({
+            "run_id": str(p.runId), "batch_id": p.batchId, "watermark": (p.eventTime or {}).get("watermark"),
+            "dropped": sum(op.numRowsDroppedByWatermark for op in p.stateOperators),
+            "state_rows": sum(op.numRowsTotal for op in p.stateOperators)})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(event.runId).set()
+
+    def of(self, query: StreamingQuery) -> list[dict]:
+        """The batches of an ended query, once the last report is in."""
+        if not self._end(query.runId).wait(60):
+            raise TimeoutError("no end report of the query")
+        return [b for b in self.batches if b["run_id"] == str(query.runId)]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -69,7 +99,19 @@ class SliceReplay:
         self.source = f"{self.base}/landing"
         self.sink = f"{self.base}/sink"
         self.checkpoint = f"{self.base}/checkpoint"
-        self.dropped = 0  # rows refused as late, over all runs
+        self.batches: list[dict] = []  # Spark's report of every batch, over all runs
+
+    @property
+    def dropped(self) -> int:
+        """Rows refused as late."""
+        return sum(b["dropped"] for b in self.batches)
+
+    def watermarks(self) -> DataFrame:
+        """batch_id and the watermark that Spark ran the batch under; a row per
+        batch."""
+        held = {b["batch_id"]: b["watermark"] for b in self.batches if b["watermark"]}
+        rows = self.spark.createDataFrame(list(held.items()), "batch_id int, watermark string")
+        return rows.withColumn("watermark", F.to_timestamp("watermark"))
 
     def run(self, source: DataFrame, slice_col: str, slices: list[int],
             build: Callable[[DataFrame], DataStreamWriter], extra: list[DataFrame] | None = None) -> str:
@@ -91,9 +133,14 @@ class SliceReplay:
 
         def process() -> None:
             stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(self.source)
-            q = build(stream).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
-            q.awaitTermination()
-            self.dropped += dropped_rows(q)
+            log = ProgressLog()
+            self.spark.streams.addListener(log)
+            try:
+                q = build(stream).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+                q.awaitTermination()
+                self.batches += log.of(q)
+            finally:
+                self.spark.streams.removeListener(log)
 
         slice_of = [staged.where(F.col(slice_col) == s) for s in held]
         for parts in [slice_of[:-1], slice_of[-1:], *([x] for x in extra or [])]:

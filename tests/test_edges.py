@@ -138,8 +138,7 @@ def test_rate_limiter_clock_never_turns_back():
 
     p = RateLimitProcessor(500_000, 5)
     p.handle, p.bucket = Handle(), Value()
-    row = {"key": "k", "request_id": "r", "ts": T0, "ts_us": 0}
-    out = list(p.handleInputRows("k", iter([row]), None))
+    out = list(p.step(("k",), [(0, "r")], None))
     assert out[0]["allowed"] and out[0]["tokens"] == 1_500_000 and p.bucket.held[1] == 60_000_000
 
 
@@ -168,8 +167,9 @@ def test_admit_stream_gives_the_columns_and_reasons_of_the_batch(spark):
     run = SliceReplay(spark, "edge-admit")
     path = scratch_path(spark, "edge-admit-requests")
     req.write.parquet(path)
+    beat = spark.createDataFrame([("~", "~", 0, T0 + dt.timedelta(days=1))], req.schema)
     run.run(spark.read.parquet(path).selectExpr("*", "0 AS _slice"), "_slice", [0],
-            lambda s: S.admit_stream(s, ev).writeStream.format("parquet").option("path", run.sink))
+            lambda s: S.admit_stream(s, ev).writeStream.format("parquet").option("path", run.sink), [beat])
     want = replay.admit(req, ev)
     got = spark.read.parquet(run.sink)
     assert got.columns == want.columns
