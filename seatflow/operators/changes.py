@@ -18,6 +18,7 @@ from seatflow.operators.replay import admit
 from seatflow.operators.validate import (split_valid, validate_bookings, validate_event_patches,
                                          validate_new_events, validate_profiles, validate_registrations)
 from seatflow.schemas import CANCELLED, CONFIRMED, PENDING, ROLE_USER
+from seatflow.session import reliable_checkpoint
 from seatflow.sources.messages import booking_messages
 
 
@@ -46,7 +47,10 @@ def book_batch(requests: DataFrame, events: DataFrame, prices: DataFrame,
     priced = capture_price(good.select("id", "user_id", "event_id", "quantity", "created_at"), prices).join(
         known, "event_id", "left")
     no_price = F.col("_known").isNotNull() & F.col("unit_price_cents").isNull()
-    decided = admit(priced.where(~no_price).drop("_known"), events)
+    asked = priced.where(~no_price).drop("_known")
+    unpriced = priced.where(no_price).select("id", "user_id", "event_id", "quantity", F.lit(NO_PRICE).alias("reason"))
+    # one decided table, read by all four outputs
+    decided = reliable_checkpoint(admit(asked, events).unionByName(unpriced, allowMissingColumns=True), "booked")
     admitted = decided.where("admitted")
     new = admitted.select("id", "user_id", "event_id", "quantity", "unit_price_cents",
                         F.lit(PENDING).alias("status"), "created_at", F.col("created_at").alias("updated_at"))
@@ -54,11 +58,10 @@ def book_batch(requests: DataFrame, events: DataFrame, prices: DataFrame,
     ev = (events.join(taken.withColumnRenamed("event_id", "id"), "id", "left")
           .withColumn("remaining", (F.col("remaining") - F.coalesce("_taken", F.lit(0))).cast("int"))
           .drop("_taken"))
-    refused = decided.where(~F.col("admitted")).select("id", "user_id", "event_id", "quantity", "reason")
+    refused = decided.where(F.col("reason").isNotNull()).select("id", "user_id", "event_id", "quantity", "reason")
     invalid = bad.select("id", "user_id", "event_id", "quantity",
                          F.concat_ws(",", "errors").alias("reason"))
-    unpriced = priced.where(no_price).select("id", "user_id", "event_id", "quantity", F.lit(NO_PRICE).alias("reason"))
-    return BookingBatch(new, ev, invalid.unionByName(refused).unionByName(unpriced), booking_messages(new))
+    return BookingBatch(new, ev, invalid.unionByName(refused), booking_messages(new))
 
 
 # --------------------------------------------------------------------- C2
@@ -196,11 +199,13 @@ def register_users(users: DataFrame, new: DataFrame, order_col: str = "request_i
     return good.unionByName(bad)
 
 
-def new_users(outcomes: DataFrame, id_col: str = "request_id") -> DataFrame:
-    """The user rows the created outcomes add."""
+def new_users(outcomes: DataFrame, id_col: str = "request_id", at: Column | None = None) -> DataFrame:
+    """The user rows the created outcomes add; ``at`` (the time of the
+    change set) becomes their created_at and updated_at."""
+    when = (F.lit(None) if at is None else at).cast("timestamp")
     return outcomes.where(F.col("outcome") == "created").select(
-        F.col(id_col).alias("id"), "email", F.lit(ROLE_USER).alias("role"), F.lit(None).cast("string")
-        .alias("full_name"))
+        F.col(id_col).alias("id"), "email", F.lit(ROLE_USER).alias("role"),
+        F.lit(None).cast("string").alias("full_name"), when.alias("created_at"), when.alias("updated_at"))
 
 
 # --------------------------------------------------------------------- C8

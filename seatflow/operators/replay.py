@@ -40,25 +40,32 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def running_sum(df: DataFrame, key: str, order: list[str], value: str, bucket: Column,
-                out: str = "_cum") -> DataFrame:
-    """Inclusive prefix sum of ``value`` per ``key`` in ``order``.
+def running_sums(df: DataFrame, key: str, order: list[str], sums: dict[str, str], bucket: Column) -> DataFrame:
+    """Inclusive prefix sums per ``key`` in ``order``: ``sums`` maps each new
+    column to the one it sums.
 
     ``bucket`` must not decrease along ``order`` (a time bucket of the first
-    order column, or the range number of ``ranged``).  Bucket totals are pre-aggregated map-side; the windows run
-    per (key, bucket) and per key over bucket totals only.
+    order column, or the range number of ``ranged``).  Bucket totals are
+    pre-aggregated map-side; the windows run per (key, bucket) and per key over
+    bucket totals only.
     """
     d = df.withColumn("_bk", bucket)
-    totals = d.groupBy(key, "_bk").agg(F.sum(value).alias("_bt"))
+    totals = d.groupBy(key, "_bk").agg(*[F.sum(v).alias(f"_bt{i}") for i, v in enumerate(sums.values())])
     before = Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_bk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(key, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumn("_loc", F.sum(value).over(inside))
+    local = d.withColumns({f"_loc{i}": F.sum(v).over(inside) for i, v in enumerate(sums.values())})
     # null-safe: rows without a key or a time are summed like any other
-    offsets = offsets.select(F.col(key).alias("_okey"), F.col("_bk").alias("_obk"), "_off")
-    return (local.join(offsets, F.col(key).eqNullSafe(F.col("_okey")) & F.col("_bk").eqNullSafe(F.col("_obk")))
-            .withColumn(out, (F.col("_off") + F.col("_loc")).cast("bigint"))
-            .drop("_bk", "_off", "_loc", "_okey", "_obk"))
+    offsets = totals.select(F.col(key).alias("_okey"), F.col("_bk").alias("_obk"), *[
+        F.coalesce(F.sum(f"_bt{i}").over(before), F.lit(0)).alias(f"_off{i}") for i in range(len(sums))])
+    both = local.join(offsets, F.col(key).eqNullSafe(F.col("_okey")) & F.col("_bk").eqNullSafe(F.col("_obk")))
+    return both.select(*df.columns, *[(F.col(f"_off{i}") + F.col(f"_loc{i}")).cast("bigint").alias(out)
+                                      for i, out in enumerate(sums)])
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], value: str, bucket: Column,
+                out: str = "_cum") -> DataFrame:
+    """One prefix sum, as ``running_sums``."""
+    return running_sums(df, key, order, {out: value}, bucket)
 
 
 # --------------------------------------------------------------------- W1
@@ -366,6 +373,8 @@ def gauge_series(bookings: DataFrame, interval: str = "1 day", fill: bool = Fals
     line; the rows added grow with each event's time span over ``interval``,
     not with the data.  They come in two levels, blocks of ``FILL_BLOCK``
     buckets and then the buckets, so no row holds an event's whole span.
+    Running totals are two-level too, over stored ranges of (event, bucket), so
+    a long-lived event sampled every few seconds is not one task.
     """
     b = bookings.where(F.col("status") == CONFIRMED)
     per = (b.groupBy("event_id", F.window("updated_at", interval).start.alias("bucket"))
@@ -387,6 +396,7 @@ def gauge_series(bookings: DataFrame, interval: str = "1 day", fill: bool = Fals
         per = (grid.join(per, ["event_id", "bucket"], "left")
                .select("event_id", "bucket", F.coalesce("tickets", F.lit(0)).cast("bigint").alias("tickets"),
                        F.coalesce("revenue_cents", F.lit(0)).cast("bigint").alias("revenue_cents")))
-    w = Window.partitionBy("event_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return (per.withColumn("tickets_total", F.sum("tickets").over(w).cast("bigint"))
-            .withColumn("revenue_cents_total", F.sum("revenue_cents").over(w).cast("bigint")))
+    cols = [*per.columns, "tickets_total", "revenue_cents_total"]
+    placed = ranged(per, ["event_id", "bucket"], "gauge-order")
+    sums = {"tickets_total": "tickets", "revenue_cents_total": "revenue_cents"}
+    return running_sums(placed, "event_id", ["bucket"], sums, F.col("_range")).select(*cols)

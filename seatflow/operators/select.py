@@ -12,6 +12,10 @@ from seatflow.functions.columns import cents_to_currency
 from seatflow.schemas import (CONFIRMED, DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE, PENDING)
 
 
+SEEK_ROWS = 10_000  # that a page may skip in its top-k
+SEEK_BUCKETS = 1024
+
+
 def ts_literal(df: DataFrame, column: str, text: str) -> Column:
     """ISO text as a timestamp of the same kind as ``df[column]``.
 
@@ -120,24 +124,70 @@ def normalise_page(limit, offset) -> tuple[int, int]:
     return n, k
 
 
+def _bucket_of(rows: DataFrame, bucket: Column, skip: int):
+    """The bucket (in order, nulls first) that holds the row after ``skip``
+    others: one row with ``b``, its rows ``n`` and those ``before`` it."""
+    counts = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per bucket is ordered here, never events
+    counts = counts.withColumn("before", F.sum("n").over(Window.orderBy("b")) - F.col("n"))
+    return counts.where((F.col("before") <= skip) & (F.col("before") + F.col("n") > skip)).first()
+
+
+def seek(events: DataFrame, offset: int, most: int = SEEK_ROWS) -> tuple[DataFrame, int]:
+    """The rows of O1's order from some point before row ``offset`` on, and how
+    many of them to skip: ``most`` at most, unless more rows than that agree in
+    start time and id.
+
+    The point is found by histograms: of the start times, in ever narrower
+    buckets, then, where many events start at one instant, of their ids two
+    characters at a time.  Each is one grouped count over the rows still in
+    question, a filter the scan can use.
+    """
+    ts, id_ = F.col("starts_at"), F.col("id").cast("string")
+    kind = events.schema["starts_at"].dataType
+    us = F.unix_micros(ts.cast("timestamp"))
+    total, undated, lo, hi = events.agg(F.count(F.lit(1)), F.count_if(ts.isNull()), F.min(us), F.max(us)).first()
+    if offset >= total:
+        return events.where(F.lit(False)), 0
+
+    def moment(v: int) -> Column:
+        return F.timestamp_micros(F.lit(v)).cast(kind)
+
+    if offset < undated:
+        inside, after, skip, n = ts.isNull(), ts.isNotNull(), offset, undated
+    else:
+        skip, n = offset - undated, total - undated
+        while n > most and lo < hi:
+            width = -(-(hi - lo + 1) // SEEK_BUCKETS)
+            inside = (ts >= moment(lo)) & (ts <= moment(hi))
+            found = _bucket_of(events.where(inside), F.floor((us - F.lit(lo)) / F.lit(width)), skip)
+            lo, n, skip = lo + int(found["b"]) * width, found["n"], skip - found["before"]
+            hi = min(hi, lo + width - 1)
+        inside, after = (ts >= moment(lo)) & (ts <= moment(hi)), ts > moment(hi)
+    prefix = ""
+    while n > most:  # one instant (or none): by id
+        at = len(prefix)
+        found = _bucket_of(events.where(inside & (id_.startswith(prefix) if prefix else F.lit(True))),
+                           F.substring(id_, at + 1, 2), skip)
+        skip, n = skip - found["before"], found["n"]
+        if not found["b"]:  # no id, or ids that end here: equal ones
+            prefix = None if found["b"] is None else prefix
+            break
+        prefix += found["b"]
+    here = inside if not prefix else inside & (id_ >= F.lit(prefix))
+    return events.where(here | after), skip
+
+
 def page_events(events: DataFrame, limit=DEFAULT_PAGE_SIZE, offset=0) -> DataFrame:
-    """O2: one page of O1.  The first page is a top-k.  Behind an offset, the
-    events per start day are counted and summed along the days; only the days
-    that the page touches are read in order, so no task and no driver holds
-    the ``offset`` rows before it."""
+    """O2: one page of O1.  The first page is a top-k.  Behind an offset,
+    histograms find a point shortly before the page (``seek``), and the page is
+    a top-k from there: no task and no driver holds or orders the rows before
+    it, be they all on one day or at one instant."""
     n, k = normalise_page(limit, offset)
     if not k:
         return list_events(events).limit(n)
-    day = F.to_date("starts_at")
-    days = events.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per calendar day is ordered here, never events
-    upto = F.sum("_n").over(Window.orderBy("_day"))
-    days = days.withColumn("_before", upto - F.col("_n")).where(
-        (F.col("_before") < k + n) & (F.col("_before") + F.col("_n") > k))
-    place = F.row_number().over(Window.partitionBy("_day").orderBy("starts_at", "id"))
-    touched = events.join(days, day.eqNullSafe(F.col("_day")))
-    page = touched.withColumn("_place", F.col("_before") + place).where(F.col("_place").between(k + 1, k + n))
-    return list_events(page.select(*events.columns)).limit(n)
+    rest, skip = seek(events, k)
+    return list_events(rest).offset(skip).limit(n)
 
 
 def page_events_after(events: DataFrame, after_starts_at: str | None, after_id: str | None,

@@ -235,18 +235,21 @@ class Fixtures:
         return (b.select(F.explode(F.array_compact(F.array(first, again))).alias("m"))
                 .select("m.ts", "m.copy", "m.body"))
 
+    def with_uuid(self, df: DataFrame, col: str, version: Column | None = None) -> DataFrame:
+        """``df`` with the ids in ``col`` as uuids (of version 4)."""
+        # the hash is computed once per row in its own projection
+        hashed = df.select("*", (F.lit("4") if version is None else version).alias("_v"), F.md5(F.col(col)).alias("_h"))
+        h = F.col("_h")
+        return hashed.withColumn(col, F.concat(
+            F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.col("_v"), F.substring(h, 14, 3),
+            F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))).select(*df.columns)
+
     @cached_property
     def uuid_requests(self) -> DataFrame:
-        # the hash is computed once per row in its own projection
+        """Requests by uuid; those for some events have the wrong version."""
         version = F.when(F.col("event_id").cast("bigint") % 31 == 0, F.lit("1")).otherwise(F.lit("4"))
-        hashed = self.requests.select("id", "user_id", "quantity", version.alias("_v"),
-                                      F.md5(F.col("event_id")).alias("_h"))
-        h, version = F.col("_h"), F.col("_v")
-        return hashed.select(
-            "id", "user_id", "quantity",
-            F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), version,
-                     F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"),
-                     F.substring(h, 21, 12)).alias("event_id"))
+        return self.with_uuid(self.requests.select("id", "user_id", "quantity", "event_id", "created_at"), "event_id",
+                              version)
 
     @cached_property
     def orphan_bookings(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from seatflow.operators import changes as C
@@ -9,28 +11,45 @@ from seatflow.operators.replay import status_transitions
 from seatflow.plans.catalog import fx, register
 from seatflow.plans.q_replay import _TRANSITIONS
 
-# W1 over the valid requests of v_requests (P8 without the uuid rule)
+# requests by uuid, some of the wrong version (P8 refuses them), W1 over the others
+def _uuid(col: str, version: str = "'4'") -> str:
+    return (f"substr(md5({col}), 1, 8) || '-' || substr(md5({col}), 9, 4) || '-' || {version} "
+            f"|| substr(md5({col}), 14, 3) || '-a' || substr(md5({col}), 18, 3) || '-' || substr(md5({col}), 21, 12)")
+
+
 _BOOK = {
+    "ur": "SELECT id, user_id, quantity, created_at, event_id AS plain, CAST(event_id AS BIGINT) % 31 <> 0 AS v4, "
+          + _uuid("event_id", "CASE WHEN CAST(event_id AS BIGINT) % 31 = 0 THEN '1' ELSE '4' END")
+          + " AS event_id FROM v_requests",
+    "ue": f"SELECT {_uuid('id')} AS id, capacity FROM v_events",
+    "up": f"SELECT {_uuid('event_id')} AS event_id, valid_from, ticket_price_cents FROM v_prices",
     "k": """SELECT r.event_id AS ev, r.id, r.quantity AS q, e.capacity AS cap,
   row_number() OVER (PARTITION BY r.event_id ORDER BY r.created_at, r.id) AS rn
-FROM v_requests r JOIN v_events e ON e.id = r.event_id WHERE r.quantity BETWEEN 1 AND 10""",
+FROM ur r JOIN ue e ON e.id = r.event_id WHERE r.quantity BETWEEN 1 AND 10 AND r.v4""",
     "f": """SELECT ev, id, rn, q <= cap AS ok, cap - CASE WHEN q <= cap THEN q ELSE 0 END AS rem FROM k WHERE rn = 1
   UNION ALL
   SELECT k.ev, k.id, k.rn, k.q <= f.rem, f.rem - CASE WHEN k.q <= f.rem THEN k.q ELSE 0 END
   FROM f JOIN k ON k.ev = f.ev AND k.rn = f.rn + 1""",
-    "adm": "SELECT r.* FROM v_requests r JOIN f ON f.id = r.id AND f.ev = r.event_id WHERE f.ok",
+    "adm": "SELECT r.id, r.user_id, r.event_id, r.quantity, r.created_at FROM ur r JOIN f ON f.id = r.id "
+           "AND f.ev = r.event_id WHERE f.ok",
 }
 
 
-def _batch(spark, sf):
+@lru_cache(maxsize=1)
+def _decided(app: str, spark, sf):
     f = fx(spark, sf)
-    req = f.requests.select("id", "user_id", "event_id", "quantity", "created_at")
-    return C.book_batch(req, f.events_stocked, f.prices, id_format=None)
+    return C.book_batch(f.uuid_requests, f.with_uuid(f.events_stocked, "id"), f.with_uuid(f.prices, "event_id"))
+
+
+def _batch(spark, sf):
+    """The four outputs of one batch read one decided table; the last batch of
+    a session is kept, so their queries decide it once."""
+    return _decided(spark.sparkContext.applicationId, spark, sf)
 
 
 @register("C1_book_batch_bookings", """SELECT a.id, a.user_id, a.event_id, a.quantity,
   p.ticket_price_cents AS unit_price_cents, 'PENDING' AS status, a.created_at, a.created_at AS updated_at
-FROM adm a ASOF LEFT JOIN v_prices p ON a.event_id = p.event_id AND a.created_at >= p.valid_from""",
+FROM adm a ASOF LEFT JOIN up p ON a.event_id = p.event_id AND a.created_at >= p.valid_from""",
           _BOOK, recursive=True)
 def c1b(spark, sf):
     return _batch(spark, sf).bookings
@@ -38,7 +57,7 @@ def c1b(spark, sf):
 
 @register("C1_book_batch_events", """SELECT e.id, e.capacity,
   CAST(e.capacity - COALESCE(t.taken, 0) AS INTEGER) AS remaining
-FROM v_events e LEFT JOIN (SELECT f.ev, SUM(CASE WHEN f.ok THEN k.q ELSE 0 END) AS taken
+FROM ue e LEFT JOIN (SELECT f.ev, SUM(CASE WHEN f.ok THEN k.q ELSE 0 END) AS taken
   FROM f JOIN k ON k.ev = f.ev AND k.rn = f.rn GROUP BY f.ev) t ON t.ev = e.id""", _BOOK, recursive=True)
 def c1e(spark, sf):
     return _batch(spark, sf).events.select("id", "capacity", "remaining")
@@ -46,10 +65,11 @@ def c1e(spark, sf):
 
 @register("C1_book_batch_refusals", """SELECT id, reason FROM (SELECT id, concat_ws(',',
     CASE WHEN COALESCE(event_id, '') = '' THEN 'event_id:required' END,
+    CASE WHEN NOT v4 THEN 'event_id:uuid4' END,
     CASE WHEN COALESCE(quantity, 0) = 0 THEN 'quantity:required' END,
     CASE WHEN COALESCE(quantity, 0) <> 0 AND quantity < 1 THEN 'quantity:min' END,
     CASE WHEN COALESCE(quantity, 0) <> 0 AND quantity > 10 THEN 'quantity:max' END,
-    CASE WHEN COALESCE(user_id, '') = '' THEN 'user_id:required' END) AS reason FROM v_requests)
+    CASE WHEN COALESCE(user_id, '') = '' THEN 'user_id:required' END) AS reason FROM ur)
 WHERE reason <> ''
 UNION ALL SELECT id, 'NOT_ENOUGH_TICKETS' FROM f WHERE NOT ok""", _BOOK, recursive=True)
 def c1r(spark, sf):

@@ -108,6 +108,20 @@ def w6(spark, sf):
     return W.gauge_series(fx(spark, sf).bookings, "1 day")
 
 
+# at the interval at which the gauges are scraped (epoch-aligned, as Spark's window)
+_S15 = "CAST(to_timestamp(floor(epoch(updated_at) / 15) * 15) AT TIME ZONE 'UTC' AS TIMESTAMP)"
+
+
+@register("W6_gauge_series_15s", f"""SELECT event_id, bucket, tickets, revenue_cents,
+  CAST(SUM(tickets) OVER (PARTITION BY event_id ORDER BY bucket) AS BIGINT) AS tickets_total,
+  CAST(SUM(revenue_cents) OVER (PARTITION BY event_id ORDER BY bucket) AS BIGINT) AS revenue_cents_total
+FROM (SELECT event_id, {_S15} AS bucket, CAST(SUM(quantity) AS BIGINT) AS tickets,
+  CAST(SUM(CAST(quantity AS BIGINT) * unit_price_cents) AS BIGINT) AS revenue_cents
+  FROM v_bookings WHERE status = 'CONFIRMED' GROUP BY event_id, {_S15})""")
+def w6s(spark, sf):
+    return W.gauge_series(fx(spark, sf).bookings, "15 seconds")
+
+
 # the filled series uses 30-day buckets (epoch-aligned, as Spark's window)
 _B30 = "CAST(to_timestamp(floor(epoch(updated_at) / 2592000) * 2592000) AT TIME ZONE 'UTC' AS TIMESTAMP)"
 

@@ -275,6 +275,19 @@ def t6(spark, sf):
     return spark.read.parquet(run.sink)
 
 
+@register("T6_dedupe_two_level", "SELECT DISTINCT booking_id, user_id, event_id, quantity FROM pm WHERE parsed",
+          {"pm": _PARSED_SQL})
+def t6k(spark, sf):
+    msgs = fx(spark, sf).booking_messages
+    run = SliceReplay(spark, "t6-two-level")
+    src, slices = _shuffled(msgs, "ts", "body", ORDER_DAYS)
+    sink = S.SeenKeys(spark, run.sink)
+    # nothing is recent: every copy of another micro-batch is told by the stored keys
+    run.run(src, "_slice", slices, lambda s: S.dedupe_stream(parse_booking_messages(s).where("parsed").select(
+        "booking_id", "user_id", "event_id", "quantity"), sink, "0 seconds"))
+    return sink.result()
+
+
 # -------------------------------------------------------------------- T7
 def _command_beat(commands, beats=1):
     return _heartbeats(commands, "ts", [{"booking_id": "~", "event_id": "~", "quantity": 0, "seq": 0,

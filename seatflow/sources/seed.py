@@ -16,40 +16,40 @@ from seatflow.functions.columns import repeatable_id
 from seatflow.operators.joins import remaining_confirmed, resolve_natural_keys
 
 # ---- fixed values: the seed rows (must equal the service's seed) -----------
-# users: (email, role, full name)
+# users: (email, role, full name, days since created; updated at the seed time)
 SEED_USERS = [
-    ("admin@example.org", "ADMIN", "System Administrator"),
-    ("manager@example.org", "ADMIN", "Event Manager"),
-    ("john.doe@example.com", "USER", "John Doe"),
-    ("jane.smith@example.com", "USER", "Jane Smith"),
-    ("mike.johnson@example.com", "USER", "Mike Johnson"),
-    ("sarah.wilson@example.com", "USER", "Sarah Wilson"),
-    ("david.brown@example.com", "USER", "David Brown"),
-    ("lisa.davis@example.com", "USER", "Lisa Davis"),
-    ("alex.garcia@example.com", "USER", "Alex Garcia"),
-    ("emma.martinez@example.com", "USER", "Emma Martinez"),
-    ("ryan.anderson@example.com", "USER", "Ryan Anderson"),
-    ("olivia.taylor@example.com", "USER", "Olivia Taylor"),
+    ("admin@example.org", "ADMIN", "System Administrator", 30),
+    ("manager@example.org", "ADMIN", "Event Manager", 25),
+    ("john.doe@example.com", "USER", "John Doe", 20),
+    ("jane.smith@example.com", "USER", "Jane Smith", 18),
+    ("mike.johnson@example.com", "USER", "Mike Johnson", 15),
+    ("sarah.wilson@example.com", "USER", "Sarah Wilson", 12),
+    ("david.brown@example.com", "USER", "David Brown", 10),
+    ("lisa.davis@example.com", "USER", "Lisa Davis", 8),
+    ("alex.garcia@example.com", "USER", "Alex Garcia", 6),
+    ("emma.martinez@example.com", "USER", "Emma Martinez", 4),
+    ("ryan.anderson@example.com", "USER", "Ryan Anderson", 2),
+    ("olivia.taylor@example.com", "USER", "Olivia Taylor", 1),
 ]
-# events: (name, starts_at UTC, ends_at UTC, capacity, ticket price in cents)
+# events: (name, starts_at UTC, ends_at UTC, capacity, ticket price in cents, days since created, since updated)
 SEED_EVENTS = [
-    ("Coldplay World Tour", "2024-01-15 19:30:00", "2024-01-15 23:00:00", 50000, 12500),
-    ("NBA Finals Game 1", "2024-02-01 20:00:00", "2024-02-01 22:30:00", 20000, 20000),
-    ("Hamilton Musical", "2024-02-20 20:00:00", "2024-02-20 22:30:00", 1500, 18000),
-    ("Taylor Swift Eras Tour", "2024-03-10 19:00:00", "2024-03-10 23:00:00", 70000, 15000),
-    ("Champions League Final", "2024-03-25 21:00:00", "2024-03-25 23:30:00", 80000, 25000),
-    ("Summer Music Festival 2024", "2024-07-15 12:00:00", "2024-07-17 23:00:00", 75000, 9500),
-    ("Ed Sheeran Mathematics Tour", "2024-08-05 20:00:00", "2024-08-05 22:30:00", 12000, 8500),
-    ("Wimbledon Tennis Championship", "2024-07-01 11:00:00", "2024-07-14 19:00:00", 40000, 12000),
-    ("Broadway on Tour - The Lion King", "2024-09-15 19:30:00", "2024-09-15 22:00:00", 2500, 22000),
-    ("Formula 1 Grand Prix", "2024-08-25 14:00:00", "2024-08-25 16:00:00", 100000, 7500),
-    ("Jazz in the Park", "2024-06-20 18:00:00", "2024-06-20 21:00:00", 5000, 0),
-    ("Comedy Night Special", "2024-08-30 20:00:00", "2024-08-30 22:00:00", 800, 4500),
-    ("Classical Music Symphony", "2024-09-08 19:00:00", "2024-09-08 21:30:00", 2000, 3500),
-    ("Metallica World Tour 2024", "2024-10-15 18:30:00", "2024-10-15 22:30:00", 40000, 11000),
-    ("VIP Broadway Experience", "2024-11-05 16:00:00", "2024-11-05 22:00:00", 200, 50000),
-    ("Super Bowl LVIII", "2024-02-11 18:30:00", "2024-02-11 22:30:00", 75000, 8000),
-    ("New Year's Eve Celebration", "2024-12-31 20:00:00", "2025-01-01 01:00:00", 30000, 6500),
+    ("Coldplay World Tour", "2024-01-15 19:30:00", "2024-01-15 23:00:00", 50000, 12500, 60, 14),
+    ("NBA Finals Game 1", "2024-02-01 20:00:00", "2024-02-01 22:30:00", 20000, 20000, 55, 13),
+    ("Hamilton Musical", "2024-02-20 20:00:00", "2024-02-20 22:30:00", 1500, 18000, 50, 12),
+    ("Taylor Swift Eras Tour", "2024-03-10 19:00:00", "2024-03-10 23:00:00", 70000, 15000, 45, 11),
+    ("Champions League Final", "2024-03-25 21:00:00", "2024-03-25 23:30:00", 80000, 25000, 40, 10),
+    ("Summer Music Festival 2024", "2024-07-15 12:00:00", "2024-07-17 23:00:00", 75000, 9500, 30, 0),
+    ("Ed Sheeran Mathematics Tour", "2024-08-05 20:00:00", "2024-08-05 22:30:00", 12000, 8500, 25, 0),
+    ("Wimbledon Tennis Championship", "2024-07-01 11:00:00", "2024-07-14 19:00:00", 40000, 12000, 20, 0),
+    ("Broadway on Tour - The Lion King", "2024-09-15 19:30:00", "2024-09-15 22:00:00", 2500, 22000, 15, 0),
+    ("Formula 1 Grand Prix", "2024-08-25 14:00:00", "2024-08-25 16:00:00", 100000, 7500, 10, 0),
+    ("Jazz in the Park", "2024-06-20 18:00:00", "2024-06-20 21:00:00", 5000, 0, 5, 0),
+    ("Comedy Night Special", "2024-08-30 20:00:00", "2024-08-30 22:00:00", 800, 4500, 3, 0),
+    ("Classical Music Symphony", "2024-09-08 19:00:00", "2024-09-08 21:30:00", 2000, 3500, 2, 0),
+    ("Metallica World Tour 2024", "2024-10-15 18:30:00", "2024-10-15 22:30:00", 40000, 11000, 35, 0),
+    ("VIP Broadway Experience", "2024-11-05 16:00:00", "2024-11-05 22:00:00", 200, 50000, 28, 0),
+    ("Super Bowl LVIII", "2024-02-11 18:30:00", "2024-02-11 22:30:00", 75000, 8000, 75, 16),
+    ("New Year's Eve Celebration", "2024-12-31 20:00:00", "2025-01-01 01:00:00", 30000, 6500, 1, 0),
 ]
 # bookings: (user e-mail, event name, quantity, status,
 #            created minutes before as_of, updated minutes before as_of)
@@ -90,13 +90,19 @@ def load_seed(spark: SparkSession, as_of: str = "2024-06-01 00:00:00") -> dict[s
     def ago(c: str):
         return now - F.make_dt_interval(F.lit(0), F.lit(0), F.col(c), F.lit(0))
 
-    users = spark.createDataFrame(SEED_USERS, "email string, role string, full_name string").select(
-        repeatable_id("email").alias("id"), "email", "role", "full_name")
+    def days_ago(c: str):
+        return now - F.make_dt_interval(F.col(c), F.lit(0), F.lit(0), F.lit(0))
+
+    users = spark.createDataFrame(SEED_USERS, "email string, role string, full_name string, made int").select(
+        repeatable_id("email").alias("id"), "email", "role", "full_name", days_ago("made").alias("created_at"),
+        now.alias("updated_at"))
     events = spark.createDataFrame(
-        SEED_EVENTS, "name string, starts_at string, ends_at string, capacity int, ticket_price_cents long"
+        SEED_EVENTS, "name string, starts_at string, ends_at string, capacity int, ticket_price_cents long, "
+                     "made int, changed int"
     ).select(repeatable_id("name").alias("id"), "name", F.lit(None).cast("string").alias("description"),
              F.col("starts_at").cast("timestamp_ntz"), F.col("ends_at").cast("timestamp_ntz"),
-             "capacity", "ticket_price_cents")
+             "capacity", "ticket_price_cents", days_ago("made").alias("created_at"),
+             days_ago("changed").alias("updated_at"))
     rows = spark.createDataFrame(
         SEED_BOOKINGS, "email string, event_name string, quantity int, status string, created_ago int, "
                        "updated_ago int")

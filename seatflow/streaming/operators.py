@@ -28,6 +28,8 @@ from seatflow.streaming.ordered import (WIDTH_MS, AdmitProcessor, InventoryProce
 from seatflow.streaming.runner import path_exists
 
 WATERMARK_DELAY = "15 minutes"
+GAUGE_INTERVAL = "15 seconds"
+KEY_BUCKETS = 16
 
 
 def event_time(df: DataFrame, col: str = "ts", delay: str = WATERMARK_DELAY) -> DataFrame:
@@ -162,6 +164,58 @@ def dedupe_messages(parsed: DataFrame, key: str = "booking_id", delay: str | Non
     return event_time(parsed, "ts", delay).dropDuplicatesWithinWatermark([key]).drop("event_ts")
 
 
+class SeenKeys:
+    """T6 with bounded state that loses no first copy: the second level.
+
+    Keys of the last while are state, dropped by age of arrival.  A row whose
+    key is not among them may still repeat an older one, so each micro-batch's
+    survivors are checked against a stored table of all keys, bucketed by their
+    hash (Spark prunes the buckets that a batch does not hit), and then join
+    it.  A retried batch overwrites its own part of the table and of the
+    result and only looks at earlier batches.
+    """
+
+    def __init__(self, spark, path: str, key: str = "booking_id", buckets: int = KEY_BUCKETS):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+
+    def _table(self, name: str, like: DataFrame) -> DataFrame | None:
+        where = f"{self.path}/{name}"
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema)
+        return self.spark.read.schema(kinds).parquet(where) if path_exists(self.spark, where) else None
+
+    def _write(self, df: DataFrame, name: str, *by: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(
+            f"{self.path}/{name}")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).withColumn(
+            "batch_id", F.lit(batch_id))
+        keys = rows.select(self.key, "bucket", "batch_id")
+        seen = self._table("keys", keys)
+        if seen is not None:
+            same = [rows["bucket"] == seen["bucket"], rows[self.key].eqNullSafe(seen[self.key])]
+            rows = rows.join(seen.where(F.col("batch_id") < batch_id), same, "left_anti")
+        self._write(rows.drop("bucket"), "rows", "batch_id")
+        kept = self.spark.read.schema(rows.drop("bucket").schema).parquet(f"{self.path}/rows").where(
+            F.col("batch_id") == batch_id)
+        self._write(kept.select(self.key, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket"),
+                                "batch_id"), "keys", "bucket", "batch_id")
+
+    def result(self) -> DataFrame:
+        """The first copies so far."""
+        return self.spark.read.parquet(f"{self.path}/rows").drop("batch_id")
+
+
+def dedupe_stream(parsed: DataFrame, sink: SeenKeys, recent: str = "1 day"):
+    """T6 in two levels: a key's copies that arrive within ``recent`` of each
+    other are dropped by Spark's state, which forgets them after that; all
+    others by ``sink``.  The age is that of arrival, not of the message, so no
+    row is ever too late.  Returns the writer."""
+    cols = parsed.columns
+    arrived = parsed.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", recent)
+    return arrived.dropDuplicatesWithinWatermark([sink.key]).select(*cols).writeStream.foreachBatch(sink)
+
+
 # -------------------------------------------------------------------- T1
 LOG_SCHEMA = "booking_id string, ts timestamp_ntz, seq int, reason string, batch_id int"
 
@@ -293,14 +347,16 @@ def live_counters(spark, checkpoint: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------- T5
-def gauge_stream(changes: DataFrame, sink_path: str):
+def gauge_stream(changes: DataFrame, sink_path: str, every: str = GAUGE_INTERVAL):
     """T5: running CONFIRMED totals per event (update mode: only events that
     changed are emitted) written as gauge samples by ``foreachBatch``.
 
     ``changes`` are status changes (event_id, quantity, unit_price_cents,
     from_status, to_status, ts): entering CONFIRMED adds, leaving it takes
     away, anything else changes no total.  A sample's time is the event's
-    latest change, so a replayed batch writes the same samples."""
+    latest change, so a replayed batch writes the same samples.  Samples are
+    taken ``every`` so often, the service's refresh interval (the caller may set
+    another trigger)."""
     became, was = (F.col(c).eqNullSafe(F.lit(CONFIRMED)) for c in ("to_status", "from_status"))
     seats = F.col("quantity").cast("bigint") * F.when(became, 1).otherwise(-1)
     totals = (changes.where(became != was).groupBy("event_id")
@@ -314,7 +370,7 @@ def gauge_stream(changes: DataFrame, sink_path: str):
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(sink_path))
 
-    return totals.writeStream.outputMode("update").foreachBatch(write)
+    return totals.writeStream.outputMode("update").trigger(processingTime=every).foreachBatch(write)
 
 
 def latest_gauges(samples: DataFrame) -> DataFrame:
@@ -322,6 +378,18 @@ def latest_gauges(samples: DataFrame) -> DataFrame:
     return samples.groupBy("metric", "event_id").agg(F.max_by("value", "batch_id").alias("value"))
 
 
+def fold_gauges(samples: DataFrame, path: str, upto: int) -> DataFrame:
+    """The samples of batches up to ``upto`` folded into one per (metric,
+    event), written to ``path``, with the later samples as they are: what
+    ``latest_gauges`` has to read stays one row per gauge and the samples since."""
+    old = samples.where(F.col("batch_id") <= upto).groupBy("metric", "event_id").agg(
+        F.max_by(F.struct("value", "ts", "batch_id"), "batch_id").alias("s"))
+    old.select("metric", "event_id", "s.*").write.mode("errorifexists").parquet(path)
+    cols = ["metric", "event_id", "value", "ts", "batch_id"]
+    return samples.sparkSession.read.parquet(path).select(*cols).unionByName(
+        samples.where(F.col("batch_id") > upto).select(*cols))
+
+
 # -------------------------------------------------------------------- T8
 def log_arrivals(stream: DataFrame, path: str, ts: str = "ts", delay: str = WATERMARK_DELAY):
     """Every row of a stream as it arrives, with its batch, in one write

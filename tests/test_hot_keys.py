@@ -8,6 +8,7 @@ import pytest
 
 from seatflow.operators import rate_limit as R
 from seatflow.operators import replay as W
+from seatflow.operators import select as P
 from seatflow.session import ranged
 
 T0 = dt.datetime(2024, 5, 1)
@@ -123,3 +124,37 @@ def test_clamped_at_capacity(spark):
                              partitions=3).collect()
     assert [r["remaining"] for r in sorted(got, key=lambda r: r["ts"])] == [2, 0, 3, 3, 5, 5, 0, 0]
     assert {(r["booking_id"], r["seq"]): (r["applied"], r["remaining"]) for r in got} == inventory_fold(rows, {"e": 5})
+
+
+@pytest.mark.parametrize("nulls", [0, 700])
+def test_pages_inside_one_instant(spark, monkeypatch, nulls):
+    """2,000 events that start at one moment, some of one id, read in pages:
+    equal to the list, and no page skips more than the limit or equal ids."""
+    rng = random.Random(nulls)
+    alphabet = "abé\U0001f600Z09"
+    rows = [("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))), T0) for _ in range(2000)]
+    rows += [(f"{i:04}", None) for i in range(nulls)] + [(None, T0)] * 40 + [("same", T0)] * 90
+    rows += [(f"x{i}", T0 + dt.timedelta(minutes=rng.randrange(-99, 99))) for i in range(200)]
+    ev = spark.createDataFrame(rows, "id string, starts_at timestamp_ntz").repartition(4).cache()
+    want = [(r["starts_at"], r["id"]) for r in P.list_events(ev).collect()]
+    monkeypatch.setattr(P.seek, "__defaults__", (60,))
+    for k in (0, 1, 30, 333, 700, 1500, len(rows) - 7, len(rows), 10**7):
+        got = P.page_events(ev, 10, k).collect()
+        assert [(r["starts_at"], r["id"]) for r in got] == want[k:k + 10], k
+        if k:
+            assert P.seek(ev, k)[1] <= 130
+
+
+def test_running_totals_of_one_event_in_ranges(spark):
+    rng = random.Random(2)
+    rows = [("hot" if i % 2 else f"e{rng.randrange(9)}", "CONFIRMED", rng.randint(1, 9), rng.randint(1, 900),
+             T0 + dt.timedelta(seconds=rng.randrange(40_000))) for i in range(1500)]
+    b = spark.createDataFrame(rows, "event_id string, status string, quantity int, unit_price_cents int, "
+                                    "updated_at timestamp_ntz")
+    got = W.gauge_series(b, "15 seconds").collect()
+    for r in got:
+        upto = [x for x in rows if x[0] == r["event_id"] and x[4] < r["bucket"] + dt.timedelta(seconds=15)]
+        assert r["tickets_total"] == sum(x[2] for x in upto)
+        assert r["revenue_cents_total"] == sum(x[2] * x[3] for x in upto)
+    sizes = sorted(x["count"] for x in ranged(b, ["event_id", "updated_at"], "t").groupBy("_range").count().collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]

@@ -63,3 +63,18 @@ def test_seed_natural_keys_resolve(spark):
     s = _seed(spark)
     assert s["bookings"].where(F.col("user_id").isNull() | F.col("event_id").isNull()).count() == 0
     assert s["bookings"].select("id").distinct().count() == 24
+
+
+def test_seed_rows_have_their_times(spark):
+    s = _seed(spark)
+    day = 86_400
+    at = F.lit(AS_OF).cast("timestamp")
+
+    def ages(df, col):
+        return {r[0]: r[1] for r in df.select(col, ((F.unix_timestamp(at) - F.unix_timestamp(
+            F.col("created_at").cast("timestamp"))) / day).cast("int")).collect()}
+    made = ages(s["users"], "email")
+    assert made["admin@example.org"] == 30 and made["olivia.taylor@example.com"] == 1
+    assert ages(s["events"], "name")["Super Bowl LVIII"] == 75
+    assert s["events"].where(F.col("updated_at") < F.col("created_at")).count() == 0
+    assert s["users"].where(F.col("updated_at").cast("timestamp") != at).count() == 0

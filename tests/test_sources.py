@@ -1,6 +1,7 @@
 """Sources and sinks: round trips through files (S3-S7), the bookings layout,
 snapshots, keyset paging and new user rows."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -97,4 +98,6 @@ def test_new_users(spark):
                                  "request_id string, email string, password_length int")
     out = {r["request_id"]: r["outcome"] for r in register_users(users, reqs).collect()}
     assert out == {"1": "created", "2": "conflict", "3": "conflict", "4": "invalid"}
-    assert [r["id"] for r in new_users(register_users(users, reqs)).collect()] == ["1"]
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    made = new_users(register_users(users, reqs), at=at).collect()
+    assert [(r["id"], r["created_at"], r["updated_at"]) for r in made] == [("1", *[dt.datetime(2024, 6, 1)] * 2)]

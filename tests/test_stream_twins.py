@@ -180,6 +180,32 @@ def test_failed_confirmation_cancels_and_documents_follow(spark):
         '{"revenue":7.5,"tickets_sold":5}']
 
 
+def test_two_level_dedupe_keeps_late_first_copies_and_bounds_its_state(spark):
+    enable_state_store(spark)
+    rows = [(f"k{i}", i, 0) for i in range(60)] + [("a", 1, 0), ("a", 1, 0)]
+    rows += [(f"m{i}", i, 1) for i in range(5)] + [("k7", 7, 1)]
+    rows += [("late", 3, 2), ("k9", 9, 2), ("a", 1, 2), (None, 0, 2)] + [("k1", 1, 3), (None, 0, 3), ("new", 5, 3)]
+    src = spark.createDataFrame(rows, "booking_id string, quantity int, _slice int")
+    run = SliceReplay(spark, "two-level")
+    sink = S.SeenKeys(spark, run.sink)
+    run.run(src, "_slice", [0, 1, 2, 3], lambda s: S.dedupe_stream(s, sink, "0 seconds"))
+    got = sorted(str(r["booking_id"]) for r in sink.result().collect())
+    assert got == sorted({str(r[0]) for r in rows})
+    assert run.batches[0]["state_rows"] >= 61 and run.batches[-1]["state_rows"] <= 10  # keys of the last batches only
+    again = spark.createDataFrame([("new", 5), ("k1", 1), ("other", 2)], "booking_id string, quantity int")
+    for _ in range(2):  # a batch that is tried again overwrites its own part
+        sink(again, 9)
+    assert sorted(str(r["booking_id"]) for r in sink.result().collect()) == sorted([*got, "other"])
+
+
+def test_folded_gauges_give_the_same_latest_values(spark):
+    rows = [("m", f"e{i % 3}", float(i), T0 + timedelta(minutes=i), i) for i in range(12)]
+    samples = spark.createDataFrame(rows, "metric string, event_id string, value double, ts timestamp_ntz, batch_id int")
+    folded = S.fold_gauges(samples, scratch_path(spark, "folded"), 8)
+    assert folded.count() == 3 + 3
+    assert sorted(map(tuple, S.latest_gauges(folded).collect())) == sorted(map(tuple, S.latest_gauges(samples).collect()))
+
+
 def test_late_rows_by_the_watermark_spark_reports(spark):
     rows = [("a", T0 + timedelta(days=2), 0), ("b", T0 + timedelta(days=2), 1), ("c", T0, 1), ("d", None, 1),
             ("e", T0 + timedelta(days=2) - timedelta(minutes=15), 1), ("f", T0 + timedelta(days=1, hours=23, minutes=50), 2)]
