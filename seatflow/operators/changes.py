@@ -41,11 +41,13 @@ def book_batch(requests: DataFrame, events: DataFrame, prices: DataFrame,
     request is all or nothing; one for a known event without a price in force
     is refused (NO_PRICE) before it could take seats.  ``requests``: id, user_id, event_id,
     quantity, created_at."""
-    checked = validate_bookings(requests, id_format)
+    # stored, since putting rows in order reads its input twice (to sample it first)
+    checked = reliable_checkpoint(validate_bookings(requests, id_format), "booking-requests")
     good, bad = split_valid(checked)
     known = events.select(F.col("id").alias("event_id"), F.lit(True).alias("_known"))
     priced = capture_price(good.select("id", "user_id", "event_id", "quantity", "created_at"), prices).join(
         known, "event_id", "left")
+    priced = reliable_checkpoint(priced, "priced-requests")
     no_price = F.col("_known").isNotNull() & F.col("unit_price_cents").isNull()
     asked = priced.where(~no_price).drop("_known")
     unpriced = priced.where(no_price).select("id", "user_id", "event_id", "quantity", F.lit(NO_PRICE).alias("reason"))

@@ -227,7 +227,7 @@ def t4(spark, sf):
     beat = _heartbeats(log, "ts", [{c: "~" if c in ("client_ip", "request_id") else None for c in log.columns
                                     if c != "ts"}], beats=(4,))
     run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.rate_limit_stream(
-        s, "client_ip", TOKEN_US, BURST, delay="3 days")), beat)
+        s, "client_ip", TOKEN_US, BURST, delay="3 days", width_ms=86_400_000)), beat)  # hours lie between requests
     return spark.read.parquet(run.sink)
 
 

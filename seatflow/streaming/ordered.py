@@ -4,7 +4,8 @@ Rows of a key wait in state and are handed on in event-time order, as the
 watermark passes them.  They wait in buckets of ``width_ms`` of event time, each
 with one timer at its end: a timer releases one bucket, so what is sorted at
 once is one bucket of one key, never a micro-batch.  A bucket is stored in
-parts, one per arrival, so a late addition rewrites nothing.  Rows behind the
+parts of ``PART_ROWS`` rows or so, and an addition rewrites its first part at
+most.  Rows behind the
 watermark are refused by Spark before they come here and counted in the query's
 progress (``runner.ProgressLog``).
 
@@ -27,7 +28,7 @@ from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, Stateful
 from seatflow.schemas import CANCELLED, CONFIRMED
 
 WIDTH_MS = 60_000
-PART_ROWS = 1000  # of a micro-batch that one key holds in Python before they go to state
+PART_ROWS = 1000  # of a stored part, and of a key's micro-batch in Python before they go to state
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -47,8 +48,8 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         row = ", ".join(f"{name}: {kind}" for name, kind in self.fields)
-        self.parts = handle.getMapState("parts", "due_ms long", "n int")
-        self.rows = handle.getMapState("rows", "due_ms long, part int", f"rows array<struct<{row}>>")
+        # part 0 is always there, and knows how many more there are
+        self.rows = handle.getMapState("rows", "due_ms long, part int", f"rows array<struct<{row}>>, more int")
         self.fresh: dict = {}  # key -> buckets that the rule filled while the watermark is past them
 
     def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
@@ -58,12 +59,17 @@ class InOrder(StatefulProcessor):
         return (us // (1000 * self.width) + 1) * self.width
 
     def hold(self, due: int, rows: list[tuple]) -> None:
-        known = self.parts.getValue((due,))
-        n = known[0] if known else 0
-        self.rows.updateValue((due, n), (rows,))
-        self.parts.updateValue((due,), (n + 1,))
-        if n == 0:
+        first = self.rows.getValue((due, 0))
+        if first is None:
+            self.rows.updateValue((due, 0), (rows, 0))
             self.handle.registerTimer(due)
+            return
+        held, more = [tuple(r) for r in first[0]], first[1]
+        if len(held) + len(rows) <= PART_ROWS:
+            self.rows.updateValue((due, 0), (held + rows, more))
+        else:
+            self.rows.updateValue((due, more + 1), (rows, 0))
+            self.rows.updateValue((due, 0), (held, more + 1))
 
     def later(self, key, us: int, row: tuple, timers: TimerValues) -> None:
         """Hand ``row`` to ``step`` in its turn at ``us``."""
@@ -91,14 +97,14 @@ class InOrder(StatefulProcessor):
             self.hold(due, held)
 
     def _release(self, key, due: int, timers: TimerValues) -> Iterator[Row]:
-        known = self.parts.getValue((due,))
-        if known is None:
+        first = self.rows.getValue((due, 0))
+        if first is None:
             return
-        rows: list[tuple] = []
-        for part in range(known[0]):
+        rows = [tuple(r) for r in first[0]]
+        self.rows.removeKey((due, 0))
+        for part in range(1, first[1] + 1):
             rows += [tuple(r) for r in self.rows.getValue((due, part))[0]]
             self.rows.removeKey((due, part))
-        self.parts.removeKey((due,))
         rows.sort(key=lambda r: [(x is not None, x) for x in r[:3]])
         yield from self.step(key, rows, timers)
 
@@ -131,8 +137,9 @@ class AdmitProcessor(InOrder):
         self.seats.update((int(initialState[col]),))
 
     def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
-        known = self.seats.exists()
-        start = rem = self.seats.get()[0] if known else 0
+        seats = self.seats.get()
+        known = seats is not None
+        start = rem = seats[0] if known else 0
         for us, id_, q in rows:
             ok = known and q <= rem
             if ok:
@@ -178,8 +185,9 @@ class InventoryProcessor(InOrder):
         self.seats.update((rem, cap))
 
     def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
-        known = self.seats.exists()
-        rem, cap = start = self.seats.get() if known else (0, 0)
+        start = self.seats.get()
+        known = start is not None
+        rem, cap = start = tuple(start) if known else (0, 0)
         for i, (us, bid, seq, q, cm) in enumerate(rows):
             ok = False
             if cm == "CREATE":
@@ -212,7 +220,7 @@ class InventoryProcessor(InOrder):
                         self.bookings.updateValue((bid,), (b[0], b[1], True, b[3]))
             yield Row(event_id=key[0], booking_id=bid, seq=seq, command=cm, ts=at(us), applied=ok,
                       remaining=rem if known else None)
-        if (rem, cap) != tuple(start):
+        if (rem, cap) != start:
             self.seats.update((rem, cap))
 
     def _put(self, key, bid: str, value: tuple, timers: TimerValues) -> None:
@@ -237,7 +245,7 @@ class SettleProcessor(InOrder):
         self.booking.update(tuple(initialState[c] for c in ("event_id", "quantity", "unit_price_cents", "status")))
 
     def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
-        held = self.booking.get() if self.booking.exists() else None
+        held = self.booking.get()
         start = event, quantity, price, status = tuple(held) if held else (None, None, None, None)
         for us, bid, _, reason, fails in rows:
             if reason is None and held is None:
@@ -270,7 +278,7 @@ class RateLimitProcessor(InOrder):
         self.bucket = handle.getValueState("bucket", "tokens long, last_us long, refill_ms long")
 
     def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
-        tok, last, _ = self.bucket.get() if self.bucket.exists() else (self.full, None, 0)
+        tok, last, _ = self.bucket.get() or (self.full, None, 0)
         changed = False
         for us, request in rows:
             if us is None:  # no time: refused, as in W7
@@ -291,5 +299,6 @@ class RateLimitProcessor(InOrder):
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        if self.bucket.exists() and self.bucket.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
+        held = self.bucket.get()
+        if held is not None and held[2] <= expiredTimerInfo.getExpiryTimeInMs():
             self.bucket.clear()
