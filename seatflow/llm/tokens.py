@@ -9,8 +9,9 @@ letters go to the library's BPE model directly, all others through its whole
 chain.
 
 Cuts are made before a white-space byte that follows a non-space character,
-between a letter and ASCII punctuation, and after a single line break or tab.
-After bytes that may belong to a
+between a letter and ASCII punctuation, after a single line break or tab, and
+on both sides of the tokenizer's added tokens, which a text may hold and which
+stay whole, as the library has it by default.  Next to bytes that may belong to a
 Unicode space, or to a character that is not plainly a letter, no cut is made.
 A byte-level tokenizer whose words are letter runs, digit runs, punctuation
 runs and space runs allows these cuts; the tests compare with whole-text
@@ -39,6 +40,9 @@ _CLASS[SPACE] = _WS
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
 _CLASS[128:] = _HIGH
+# first bytes of the characters that may be white space beyond ASCII
+_MAY_SPACE = np.zeros(256, bool)
+_MAY_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -47,7 +51,19 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+def _whole(buf: np.ndarray, off: np.ndarray, added: re.Pattern | None) -> list[tuple[int, int]]:
+    """Spans of added tokens that lie inside one text."""
+    spans: list[tuple[int, int]] = []
+    raw, at = (buf.tobytes(), 0) if added is not None else (b"", -1)
+    while at >= 0 and (m := added.search(raw, at)):
+        border = int(off[np.searchsorted(off, m.start(), "right")])
+        if m.end() <= border:
+            spans.append(m.span())
+        at = m.end() if m.end() <= border else border
+    return spans
+
+
+def _cuts(buf: np.ndarray, off: np.ndarray, added: re.Pattern | None = None) -> np.ndarray:
     """Positions where a piece starts, texts' own starts included."""
     n = len(buf)
     cut = np.zeros(n + 1, bool)
@@ -67,7 +83,10 @@ def _cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         cut[at] = True
         # a lone break is a word of its own: cut after it as well
         lone = at[SPACE[buf[at]] & (buf[at] != 32) & (at < n - 1)] + 1
-        cut[lone[~SPACE[buf[lone]]]] = True
+        cut[lone[~SPACE[buf[lone]] & ~_MAY_SPACE[buf[lone]]]] = True
+    for a, b in _whole(buf, off, added):
+        cut[a:b] = False
+        cut[[a, b]] = True
     cut[off] = True
     return np.flatnonzero(cut[:n])
 
@@ -88,7 +107,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokens = self.tok.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+            raise ValueError("added tokens that take their surroundings in are not supported")
+        names = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.tok.no_padding()
         self.tok.no_truncation()
         self.model, self.letters = self.tok.model, _byte_letters()
@@ -161,7 +184,7 @@ class Encoder:
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of consecutive texts and the offsets of each text in them."""
-        start = _cuts(buf, off)
+        start = _cuts(buf, off, self.added)
         if len(start) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         end = np.concatenate((start[1:], [len(buf)]))

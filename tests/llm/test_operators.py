@@ -107,6 +107,57 @@ TEXTS = ["", "  a  b\n\n c", "don't stop 'quote' they're", "é,è !", "a   b",
          "a\tb\r\n c", " lead", "trail ", "\n\n\n", "naïve café—dash… !!! ?? x1y2 3.14", "\U0001f642! a", "it's'it 's"]
 
 
+def plain_library():
+    """The tokenizer as its file gives it, no flag set."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.tokenizer_file())
+
+
+def test_encoding_equals_the_plain_library_on_any_text():
+    import random
+
+    rng = random.Random(11)
+    end = "<|endoftext|>"
+    some = [" ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028",
+            "\u202f", "\u3000", "\u200b", "\ufeff", "a", "Z", "ab", "é", "Ω", "字", "\u0301", "7", "٣", "'s", "'", ".", "!?",
+            "<|", "|>", "endoftext", end, end[:7], end[7:], "\U0001f642", "_", "\x00"]
+    texts = ["line one.\n\u00a0\u00a0line two", f"a {end} b", end, end * 3, f"x\n{end}\n y", "a <|endof", "text|> b"]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(30_000)]
+    want = [e.ids for e in plain_library().encode_batch(texts, add_special_tokens=False)]
+    assert tokens.encode_texts(texts, tokens.tokenizer_file()) == want
+
+
+def test_shards_and_pieces_hold_the_ids_of_the_plain_library(spark, docs, odd):
+    """op1 and op5: every count, start and crc against whole-text encoding."""
+    extra = [(10**6, "line one.\n\u00a0\u00a0line two", "en", "s", 1, None, None),
+             (10**6 + 1, "a <|endoftext|> b " * 900, "en", "s", 1, None, None)]
+    rows = spark.createDataFrame(extra, SCHEMA)
+    for d in (docs.select("doc_id", "text"), odd.filter("doc_id IS NOT NULL AND doc_id != 2").unionByName(rows)):
+        texts = sorted((r["doc_id"], r["text"] or "") for r in d.collect())
+        enc = plain_library().encode_batch([t for _, t in texts], add_special_tokens=False)
+        start, want, cut = 0, set(), set()
+        for (i, _), e in zip(texts, enc):
+            whole = np.array(e.ids + [0], np.uint32)
+            want.add((i, start, len(whole), tokens.ids_crc32(whole)))
+            start += len(whole)
+            packed = np.array(e.ids + [packing.END_ID], np.uint32)
+            first = len(packed) % packing.CAPACITY or packing.CAPACITY
+            lengths = [first] + [packing.CAPACITY] * ((len(packed) - first) // packing.CAPACITY)
+            cut.add((i, len(packed), sum(lengths)))
+        got = {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_output.token_report(d).collect()}
+        assert got == want
+        ids = {i: e.ids + [packing.END_ID] for (i, _), e in zip(texts, enc)}
+        pieces = packing.packing_report(d).toPandas()
+        assert {(i, n, n) for i, n in pieces.groupby("doc_id")["length"].sum().items()} == cut
+        for r in pieces.itertuples():
+            piece = np.array(ids[r.doc_id][r.start:r.start + r.length], np.uint32)
+            assert len(piece) == r.length <= packing.CAPACITY and tokens.ids_crc32(piece) == r.ids_crc32
+        for i, p in pieces.sort_values("piece").groupby("doc_id"):
+            assert list(p["piece"]) == list(range(len(p))) and list(p["start"]) == [0, *p["length"].cumsum()[:-1]]
+            assert (p["length"][1:] == packing.CAPACITY).all()
+
+
 def test_word_by_word_encoding_equals_whole_text():
     tok = tokens.encoder(tokens.tokenizer_file()).tok
     con = duckdb.connect()
