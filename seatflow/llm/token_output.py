@@ -3,8 +3,8 @@
 Documents are range-partitioned and sorted by doc_id, tokenised whole, and
 written as shards of about ``SHARD_IDS`` ids.  A shard is one binary value:
 frequent pairs of adjacent ids are replaced by new symbols (nonterminals), in
-rounds, each round replacing every pair that makes up at least one
-``SHARE``-th of the shard; the shard stores the rules and the number of ids
+rounds, until no pair makes up one ``SHARE``-th of what is left of the shard (or
+occurs ``LEAST`` times, if that is more); the shard stores the rules and the number of ids
 each rule expands to, so any range of ids decodes without the rest.  Shards
 are rows of a Parquet table (part, shard, doc_ids, lengths, payload), so that
 any store Spark writes to will do.
@@ -35,7 +35,6 @@ from seatflow.session import scratch_path
 
 END_ID = 0
 SHARD_IDS = 1 << 20
-ROUNDS = 4
 SHARE = 4096
 LEAST = 8
 MAGIC = b"RPG1"
@@ -45,27 +44,33 @@ _BINS = 20
 
 # --- grammar ----------------------------------------------------------------
 
-def _round(seq: np.ndarray, first_new: int, least: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _round(seq: np.ndarray, first_new: int, least: int, salt: int | None
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One round: (shorter sequence, left ids, right ids of the new rules).
 
     Pairs meet in hashed bins.  A bin's last pair stands for it, occurrences of
     that very pair are counted, and frequent ones become rules; a pair that
-    shares its bin with another waits for the next round's hash.  Of
-    overlapping occurrences every other one is taken.
+    shares its bin with another waits for the next round's hash.  Without a
+    ``salt`` every pair has a bin of its own.  Of overlapping occurrences every
+    other one is taken.
     """
     none = np.zeros(0, np.uint32)
     if len(seq) < 2:
         return seq, none, none
     key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    slot = ((key * np.uint64(salt)) >> np.uint64(64 - _BINS)).astype(np.int64)
-    full = np.bincount(slot, minlength=1 << _BINS) >= least
+    if salt is None:
+        slot = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        bins = int(slot.max()) + 1
+    else:
+        slot, bins = ((key * np.uint64(salt)) >> np.uint64(64 - _BINS)).astype(np.int64), 1 << _BINS
+    full = np.bincount(slot, minlength=bins) >= least
     pos = np.flatnonzero(full[slot])
     key, slot = key[pos], slot[pos]
-    rep = np.zeros(1 << _BINS, np.uint64)
+    rep = np.zeros(bins, np.uint64)
     rep[slot] = key
     same = rep[slot] == key
     pos, slot = pos[same], slot[same]
-    often = np.bincount(slot, minlength=1 << _BINS) >= least
+    often = np.bincount(slot, minlength=bins) >= least
     keep = often[slot]
     pos, slot = pos[keep], slot[keep]
     if len(pos) == 0:
@@ -74,8 +79,8 @@ def _round(seq: np.ndarray, first_new: int, least: int, salt: int) -> tuple[np.n
     begins = np.concatenate(([True], np.diff(pos) != 1))
     take = ((index - np.maximum.accumulate(np.where(begins, index, 0))) & 1) == 0
     pos, slot = pos[take], slot[take]
-    chosen = np.flatnonzero(np.bincount(slot, minlength=1 << _BINS) >= 3)
-    number = np.full(1 << _BINS, -1, np.int64)
+    chosen = np.flatnonzero(np.bincount(slot, minlength=bins) >= 3)
+    number = np.full(bins, -1, np.int64)
     number[chosen] = first_new + np.arange(len(chosen))
     symbol = number[slot]
     pos, symbol = pos[symbol >= 0], symbol[symbol >= 0]
@@ -86,15 +91,18 @@ def _round(seq: np.ndarray, first_new: int, least: int, salt: int) -> tuple[np.n
     return out[stay], (rep[chosen] >> np.uint64(32)).astype(np.uint32), rep[chosen].astype(np.uint32)
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> bytes:
+def compress(ids: np.ndarray) -> bytes:
     """A shard's bytes."""
     seq = ids.astype(np.uint32)
     first = int(ids.max()) + 1 if len(ids) else 0
     left = right = np.zeros(0, np.uint32)
     span = np.zeros(0, np.uint32)
     salt = 0x9E3779B97F4A7C15
-    for _ in range(rounds):
-        seq, a, b = _round(seq, first + len(left), max(LEAST, len(seq) // SHARE), salt)
+    while True:
+        least = max(LEAST, len(seq) // SHARE)
+        seq, a, b = _round(seq, first + len(left), least, salt)
+        if len(a) == 0:  # perhaps only since frequent pairs shared their bins
+            seq, a, b = _round(seq, first + len(left), least, None)
         if len(a) == 0:
             break
         new = _length(a, first, span) + _length(b, first, span)

@@ -179,6 +179,18 @@ def test_grammar_round_trip_and_random_access(ids):
         assert (token_output.decode_range(data, start, n) == ids[start:start + n]).all()
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    passage = np.tile(np.random.default_rng(0).integers(0, 50_000, 500), 2000).astype(np.uint32)
+    equal = np.full(1 << 20, 7, np.uint32)
+    for ids, most in ((passage, 20_000), (equal, 300)):
+        data = token_output.compress(ids)
+        assert len(data) <= most and (token_output.decompress(data) == ids).all()
+        assert (token_output.decode_range(data, 999_000, 600) == ids[999_000:999_600]).all()
+        first, _, left, right, _, seq = token_output._open(data)
+        pairs = collections.Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+        assert max(pairs.values(), default=0) < 2 * token_output.LEAST  # overlapping occurrences count once
+
+
 def test_token_report_against_plain_encoding(spark, docs):
     rows = token_output.token_report(docs.limit(200)).orderBy("doc_id").collect()
     text = {r["doc_id"]: r["text"] for r in docs.limit(200).collect()}
