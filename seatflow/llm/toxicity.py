@@ -13,8 +13,8 @@ examples and each block's largest weight.  Examples that use the same words lie
 in the same blocks.  Terms of many examples are summed for all examples at once; a
 document adds each block's best of those sums and the block maxima of its other
 terms: no example of a block can score higher.  Blocks are opened from the highest bound
-down until the bound falls below the k-th best score, so the k nearest are
-exact.  They vote with weight 1 / (1 - cosine + EASE); the vote is mapped to a
+down, then only where the bound reaches the k-th best score, so the k nearest are
+exact.  ``TOGETHER`` documents are searched at a time, in the same few array steps.  They vote with weight 1 / (1 - cosine + EASE); the vote is mapped to a
 probability by a monotone step function, fitted on the sample with each
 document left out of its own neighbours.
 
@@ -46,7 +46,7 @@ NEAREST = 15
 EASE = 0.05
 BLOCK = 64
 GROUPS = 16
-FREQUENT, FREQUENT_SHARE, TOGETHER = 512, 8, 64
+FREQUENT, FREQUENT_SHARE, TOGETHER, AT_ONCE = 4096, 256, 64, 8
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SLICE = 1 << 19
@@ -94,7 +94,7 @@ class Index:
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
         order = np.argsort(vocabulary)
-        self.words, self.idf = vocabulary[order], idf[order]
+        self.words, self.idf, self.first = vocabulary[order], idf[order], None
         self.known = np.zeros(1 << _FILTER, bool)
         self.known[(self.words & np.uint64((1 << _FILTER) - 1)).astype(np.int64)] = True
         self.steps, self.values, self.without = np.zeros(0), np.zeros(1), 0.0
@@ -103,12 +103,29 @@ class Index:
     def counts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (text, term number) in order, with counts."""
         h, t = terms(buf, off, self.known)
-        at = np.minimum(np.searchsorted(self.words, h), max(0, len(self.words) - 1))
-        hit = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
+        at = self._find(h)
+        hit = at >= 0
         size = max(1, len(self.words))
         pair, tf = np.unique(t[hit] * size + at[hit], return_counts=True)
         return pair // size, pair % size, tf
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each term, -1 where it is none.  A table by the hash's
+        first bits leads to the few terms that share them."""
+        if self.first is None:
+            edges = np.arange(1 << _FILTER, dtype=np.uint64) << np.uint64(64 - _FILTER)
+            self.first = np.append(np.searchsorted(self.words, edges), len(self.words))
+        bits = (h >> np.uint64(64 - _FILTER)).astype(np.int64)
+        out, at, end = np.full(len(h), -1, np.int64), self.first[bits], self.first[bits + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            same = self.words[at[left]] == h[left]
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
     def vectors(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Unit vector of each text: term numbers and weights."""
         return self.weighted(*self.counts(buf, off), len(off) - 1)
@@ -136,7 +153,7 @@ class Index:
     def __getstate__(self) -> dict:
         """Postings only: blocks and sums are made where they are used, not sent."""
         return {k: getattr(self, k) for k in ("words", "idf", "known", "steps", "values", "without", "ids", "y", "blocks",
-                                              "post_doc", "post_w", "df")} | {"dense": None}
+                                              "post_doc", "post_w", "df")} | {"dense": None, "first": None}
 
     def _arrange(self) -> None:
         """Blocks of every term's postings, and the frequent terms' weights as rows."""
@@ -156,67 +173,80 @@ class Index:
         for r, t in enumerate(self.often.tolist()):
             self.dense[r, self.post_doc[edge[t]:edge[t + 1]]] = self.post_w[edge[t]:edge[t + 1]]
 
-    def sums(self, vecs: list) -> Iterator[np.ndarray]:
+    def _frequent(self, vecs: list) -> np.ndarray:
         """Each vector's products with all examples over the frequent terms."""
         if self.dense is None:
             self._arrange()
-        for i in range(0, len(vecs), TOGETHER):
-            part = vecs[i:i + TOGETHER]
-            q = np.zeros((len(part), len(self.often)))
-            for k, (t, w) in enumerate(part):
-                row = self.row[t]
-                q[k, row[row >= 0]] = w[row >= 0]
-            yield from q @ self.dense
-
-    def nearest(self, vec: tuple[np.ndarray, np.ndarray], k: int, skip: int | None = None,
-                sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples (numbers and cosines), ties by number."""
-        base = next(self.sums([vec])) if sums is None else sums
-        rare = self.row[vec[0]] < 0
-        t, w = vec[0][rare], vec[1][rare]
-        first = self.term_cells[t]
-        n = self.term_cells[t + 1] - first
-        cell, q = spread(first, n), np.repeat(w, n)
-        block = self.cell_block[cell]
-        if skip is not None:
-            base[skip] = 0.0
-        bound = base.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, q * self.cell_max[cell], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        score = np.zeros((self.blocks, BLOCK))
-        kth, at, step = 0.0, 0, max(1, self.blocks // 16)
-        while at < len(order):  # some blocks at a time, then only those whose bound still reaches
-            some = order[at:at + step]
-            some = some[bound[some] >= kth - 1e-9]
-            if not len(some):
-                break
-            at, step = at + step, 4 * step
-            opened = np.zeros(self.blocks, bool)
-            opened[some] = True
-            own = opened[block]
+        q = np.zeros((len(vecs), len(self.often)))
+        for k, (t, w) in enumerate(vecs):
+            row = self.row[t]
+            q[k, row[row >= 0]] = w[row >= 0]
+        return q @ self.dense
+
+    def _scores(self, vecs: list, base: np.ndarray, k: int, skip: list) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of some vectors with the examples of their opened blocks (0
+        elsewhere), and each vector's k-th best, from ``base``, their products
+        over the frequent terms.  The blocks of the highest bounds are opened
+        first, then those whose bound still reaches the k-th best score."""
+        m, blocks = len(vecs), self.blocks
+        width = blocks * BLOCK
+        left_out = [(r, x) for r, x in enumerate(skip) if x is not None]
+        for r, x in left_out:
+            base[r, x] = 0.0
+        text = np.repeat(np.arange(m), [len(v[0]) for v in vecs])
+        t, w = (np.concatenate([v[c] for v in vecs]) for c in (0, 1))
+        rare = self.row[t] < 0
+        text, t, w = text[rare], t[rare], w[rare]
+        n = self.term_cells[t + 1] - self.term_cells[t]
+        cell, q, text = spread(self.term_cells[t], n), np.repeat(w, n), np.repeat(text, n)
+        place = text * blocks + self.cell_block[cell]
+        tops = base.reshape(m, blocks, BLOCK)
+        bound = tops.max(axis=2) + np.bincount(place, q * self.cell_max[cell], m * blocks).reshape(m, blocks)
+        first = min(blocks, blocks // 16 + 1)
+        todo = bound >= np.partition(bound, blocks - first, axis=1)[:, blocks - first, None]
+        todo &= bound > 0
+        opened, score, kth = np.zeros_like(todo), np.zeros((m, width)), np.zeros(m)
+        while todo.any():
+            opened |= todo
+            own = todo.ravel()[place]
             c = cell[own]
             n = self.cell_start[c + 1] - self.cell_start[c]
             post = spread(self.cell_start[c], n)
-            score[some] = base.reshape(-1, BLOCK)[some]
-            score += np.bincount(self.post_doc[post], np.repeat(q[own], n) * self.post_w[post], score.size
-                                 ).reshape(-1, BLOCK)
-            if skip is not None:
-                score.flat[skip] = 0.0
-            best = score[score > 0]
-            kth = np.partition(best, -k)[-k] if len(best) >= k else 0.0
-        score = score.ravel()
-        found = np.flatnonzero(score > 0)
-        found = found[np.lexsort((found, -np.round(score[found], 9)))][:k]
-        return found, score[found]
-
-    def vote(self, vec: tuple, skip: int | None = None, sums: np.ndarray | None = None
-             ) -> tuple[float | None, np.ndarray, np.ndarray]:
-        near, cos = self.nearest(vec, NEAREST, skip, sums)
-        if len(near) == 0:
-            return None, near, cos
-        w = 1 / (np.maximum(0.0, 1 - cos) + EASE)
-        # a text far from every example leans on what it is near to, not on chance
-        return float((w * self.y[near]).sum() / w.sum()), near, cos
+            score += np.bincount(np.repeat(text[own] * width, n) + self.post_doc[post],
+                                 np.repeat(q[own], n) * self.post_w[post], m * width).reshape(m, width)
+            score.reshape(m, blocks, BLOCK)[todo] += tops[todo]
+            for r, x in left_out:
+                score[r, x] = 0.0
+            if width >= k:
+                kth = np.partition(score, width - k, axis=1)[:, width - k]
+            todo = ~opened & (bound > 0) & (bound >= kth[:, None] - 1e-9)
+        return score, kth
+
+    def nearest(self, vecs: list, k: int, skip: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The k nearest examples of each vector (numbers and cosines), ties by
+        number; ``skip`` names an example per vector that doesn't count."""
+        skip = skip or [None] * len(vecs)
+        for i in range(0, len(vecs), TOGETHER):
+            if not self.blocks:
+                yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vecs[i:i + TOGETHER])
+                continue
+            base = self._frequent(vecs[i:i + TOGETHER])
+            for j in range(0, len(base), AT_ONCE):
+                some = slice(i + j, min(i + TOGETHER, i + j + AT_ONCE))
+                for score, kth in zip(*self._scores(vecs[some], base[j:j + AT_ONCE], k, skip[some])):
+                    found = np.flatnonzero((score > 0) & (score >= kth - 1e-9))
+                    found = found[np.lexsort((found, -np.round(score[found], 9)))][:k]
+                    yield found, score[found]
+
+    def votes(self, vecs: list, skip: list | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """Vote, nearest examples and cosines of each vector."""
+        for near, cos in self.nearest(vecs, NEAREST, skip):
+            if len(near) == 0:
+                yield None, near, cos
+                continue
+            w = 1 / (np.maximum(0.0, 1 - cos) + EASE)
+            # a text far from every example leans on what it is near to, not on chance
+            yield float((w * self.y[near]).sum() / w.sum()), near, cos
 
     def calibrate(self, votes: list[float | None], y: list[int], weight: list[float]) -> None:
         """Monotone step function from vote to probability (pool adjacent violators)."""
@@ -284,7 +314,7 @@ def _votes(index: Index):
             for i, j, buf, off in slices(batch.column("text"), SLICE):
                 ids = batch.column("doc_id").slice(i, j - i)
                 vecs = index.vectors(buf, off)
-                votes = [index.vote(v, number.get(x), s)[0] for v, x, s in zip(vecs, ids.to_pylist(), index.sums(vecs))]
+                votes = [v[0] for v in index.votes(vecs, [number.get(x) for x in ids.to_pylist()])]
                 yield pa.RecordBatch.from_arrays([ids, batch.column("y").slice(i, j - i), pa.array(votes, pa.float64())],
                                                  names=["doc_id", "y", "vote"])
     return run
@@ -354,8 +384,7 @@ def _score(index: Index):
             for i, j, buf, off in slices(batch.column("text"), SLICE):
                 score, ids, cosines = [], [], []
                 vecs = index.vectors(buf, off)
-                for vec, sums in zip(vecs, index.sums(vecs)):
-                    vote, near, cos = index.vote(vec, None, sums) if len(vec[0]) else (None, (), ())
+                for vote, near, cos in index.votes(vecs):
                     score.append(index.probability(vote))
                     ids.append(index.ids[near[:3]].tolist() if len(near) else [])
                     cosines.append([round(x, 6) for x in cos[:3]])

@@ -302,8 +302,13 @@ def test_block_max_search_is_exact():
         t, w = vec()
         q = np.zeros(40)
         q[t] = w
-        near, cos = index.nearest((t, w), 15)
-        assert np.allclose(np.sort(cos), np.sort(np.sort(dense @ q)[-15:]))
+        skip = int(rng.integers(0, 500)) if rng.random() < 0.5 else None
+        (near, cos), = index.nearest([(t, w)], 15, [skip])
+        want = dense @ q
+        if skip is not None:
+            want[skip] = 0.0
+        order = np.lexsort((np.arange(500), -np.round(want, 9)))[:15]
+        assert (near == order[want[order] > 0]).all() and np.allclose(cos, want[near])
 
 
 def test_neighbours_are_by_all_terms_and_all_documents(spark, docs):
@@ -329,6 +334,32 @@ def test_neighbours_are_by_all_terms_and_all_documents(spark, docs):
         want = sorted((sum(x * e.get(h, 0.0) for h, x in v.items()) for e in examples), reverse=True)[:3]
         assert np.allclose(got[i], want, atol=1e-5)
 
+    # votes and calibration: every sample document without itself, then the isotonic step function
+    y = dict(lab.filter("toxic IS NOT NULL").select("doc_id", "toxic").collect())
+    number = {i: n for n, i in enumerate(index.ids.tolist())}
+
+    def vote(i):
+        v = unit(i)
+        cos = [sum(x * e.get(h, 0.0) for h, x in v.items()) for e in examples]
+        if i in number:
+            cos[number[i]] = 0.0
+        near = [n for n in sorted(range(len(cos)), key=lambda n: (-round(cos[n], 9), n))[:15] if cos[n] > 0]
+        w = [1 / (max(0.0, 1 - cos[n]) + toxicity.EASE) for n in near]
+        return sum(a * index.y[n] for a, n in zip(w, near)) / sum(w) if near else None
+    sample = sorted((v, y[i]) for i in number if (v := vote(i)) is not None)
+    levels = sorted({v for v, _ in sample})
+    up, n = ([sum(f(t) for v, t in sample if v == x) for x in levels] for f in (lambda t: t, lambda t: 1))
+    up, n = np.cumsum([0, *up]), np.cumsum([0, *n])
+    size = len(levels)
+    fitted = [max(min((up[b] - up[a]) / (n[b] - n[a]) for b in range(i + 1, size + 1)) for a in range(i + 1))
+              for i in range(size)]
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, lab, index).collect()}
+    held = [i for i in sorted(of) if i not in number]
+    for i in held[:60]:
+        v = vote(i)
+        want = index.without if v is None else fitted[max(0, int(np.searchsorted(levels, v + 1e-9)) - 1)]
+        assert scores[i] == pytest.approx(want, abs=1e-6), i
+
 
 def test_held_out_labels(spark, docs):
     big = "/root/testdata/sf0.1"
