@@ -20,8 +20,9 @@ from each source's own histogram of counts, V and f at count 0:
                   + sum over terms that both have [f(a,b) - f(a,0) - f(0,b) + f(0,0)]
 
 Documents are tokenised once; a worker adds up counts per (lang, source, term)
-and hands them on whenever ``KEYS`` are held, and Spark adds up the rest, keyed
-by term too, so a hot source is spread over its terms.  No group is collected
+and hands them on whenever ``KEYS`` are held, each term once with its sources;
+Spark deals them by (lang, term), so a hot source is spread over its terms, and
+adds up the rest.  No group is collected
 into one row or task: the tops come from bounded per-task tops.
 
 Defined cases: null text, lang and source are ''; a group without any term
@@ -51,7 +52,7 @@ BYTES = 32 << 20  # of text read before counts are handed on
 DOC = 1 << 40  # one document in a term's tally, occurrences below it
 # every byte outside terms becomes a blank, A-Z become a-z
 _TERMS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-COUNTS = "lang string, source string, term string, n long, df long"
+COUNTS = "lang string, term string, groups array<struct<source: string, n: bigint, df: bigint>>"
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -63,11 +64,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = read = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (lang, source), tally in held.items():
-            size, sums = len(tally), np.fromiter(tally.values(), np.int64, len(tally))
+        # a term once per language, with the sources that have it
+        for lang in sorted({g[0] for g in held}):
+            own = [(source, tally) for (x, source), tally in held.items() if x == lang]
+            size = [len(tally) for _, tally in own]
+            term = pa.array((t for _, tally in own for t in tally), pa.binary()).dictionary_encode()
+            place = term.indices.to_numpy()
+            order = np.argsort(place, kind="stable")
+            sums = np.fromiter((v for _, tally in own for v in tally.values()), np.int64, sum(size))[order]
+            names = pa.array([source for source, _ in own], pa.string()).take(
+                pa.array(np.repeat(np.arange(len(own)), size)[order]))
+            groups = pa.StructArray.from_arrays([names, pa.array(sums % DOC), pa.array(sums // DOC)], ["source", "n", "df"])
+            edges = np.searchsorted(place[order], np.arange(len(term.dictionary) + 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(lang, size), pa.repeat(source, size), pa.array(tally.keys(), pa.binary()).cast(pa.string()),
-                 pa.array(sums % DOC), pa.array(sums // DOC)], ["lang", "source", "term", "n", "df"])
+                [pa.repeat(lang, len(term.dictionary)), term.dictionary.cast(pa.string()),
+                 pa.ListArray.from_arrays(pa.array(edges, pa.int32()), groups)], ["lang", "term", "groups"])
 
     for b in batches:
         for lang, source, text in zip(b.column("lang"), b.column("source"), b.column("text")):
@@ -85,11 +96,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Occurrences (n) and documents (df) per lang, source and term, with the
-    empty term once per group."""
+    empty term once per group.  Rows that share lang and term share a task."""
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")],
                        F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    part = rows.mapInArrow(_count, COUNTS)
-    return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    part = rows.mapInArrow(_count, COUNTS).repartition("lang", "term")
+    return part.select("lang", "term", F.inline("groups")).groupBy("lang", "term", "source").agg(
+        F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def _p(count: str, size: str) -> Column:
@@ -105,13 +117,14 @@ def _f(p: str, q: str) -> str:
 def _cell_tables(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """Groups (lang, source, size, lang_size, vocabulary) and the kept terms
     that each group has (lang, source, term, c, lang_c)."""
-    counted = stored(term_counts(docs), "divergence-counts")
-    groups = counted.filter("term = ''").select("lang", "source")
-    counted = counted.filter("term != ''")
-    kept = stored(counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_c"), F.sum("df").alias("df"))
-                  .filter(F.col("df") >= min_docs).drop("df"), "divergence-kept")
-    rows = stored(counted.join(kept, ["lang", "term"]).select("lang", "source", "term", F.col("n").alias("c"), "lang_c"),
-                  "divergence-rows")
+    # a language's sources of one term are few rows, and in one task already
+    all_sources = Window.partitionBy("lang", "term")
+    counted = term_counts(docs).withColumns({"lang_c": F.sum("n").over(all_sources), "in_docs": F.sum("df").over(all_sources)})
+    rows = stored(counted.filter((F.col("term") == "") | (F.col("in_docs") >= min_docs)).select(
+        "lang", "source", "term", F.col("n").alias("c"), "lang_c"), "divergence-rows")
+    groups = rows.filter("term = ''").select("lang", "source")
+    rows = rows.filter("term != ''")
+    kept = rows.groupBy("lang", "term").agg(F.first("lang_c").alias("lang_c"))
     sizes = rows.groupBy("lang", "source").agg(F.sum("c").alias("size"))
     langs = kept.groupBy("lang").agg(F.sum("lang_c").alias("lang_size"), F.count("*").alias("vocabulary"))
     none = F.lit(0).cast("long")
