@@ -7,19 +7,26 @@ words gives floor(t / s) complete epochs first; the rest of its budget is
 filled by the documents with the smallest keys, up to the unit whose middle
 passes the budget.
 
-No ordering of a whole source in one task: keys fall into ``buckets`` ranges
-of equal probability, the sizes per (source, bucket) are summed map-side, and
-only the one bucket per source in which the budget ends is sorted row by row.
-The result is one cut per source; taking a document is then a comparison.
+No ordering of a whole source in one task: keys fall into buckets of equal width
+in ln(key).  Whatever its weight, an exponential key lies in a bucket of width
+1/F with a chance of at most 1/(e F), so no bucket holds more than that share of a
+source, letters or none.  The sizes per (source, coarse bucket) are summed map-side,
+then those per fine bucket inside the one coarse bucket in which the budget ends, and
+only the fine bucket in which it ends is sorted row by row.  Both numbers of buckets grow
+with the root of the number of rows.  The result is one cut per source; taking a
+document is then a comparison.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ordered last; rows that repeat a doc_id in a source draw one key and are taken
 or left together; a null doc_id draws the key of the text 'null'; an empty
-table gives an empty result; a source without words has target 0.
+table gives an empty result; a source without words has target 0.  Texts of any
+length are read whole.  Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +52,9 @@ def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
 
 
 def _bucket(key: Column, buckets: int) -> Column:
-    return F.floor((1 - F.exp(-key)) * buckets).cast("long")
+    """Fine bucket; ``buckets`` of them make a coarse one, ``buckets`` of those
+    span a factor e."""
+    return F.floor(F.log(key) * (buckets * buckets)).cast("long")
 
 
 def targets(sizes: DataFrame, weights=SOURCE_WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -76,27 +85,36 @@ def targets(sizes: DataFrame, weights=SOURCE_WEIGHTS, most: int = MOST_EPOCHS) -
 
 
 def measured(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with size and key."""
+    """doc_id, source, size and key, and the whole row as a struct."""
     text = F.col("text")
     w = quality_weight(text) if weight is None else weight
-    return docs.withColumns({"mix_size": n_words(text), "mix_key": exponential_key(F.col("doc_id"), w, seed)})
+    return docs.select("doc_id", "source", n_words(text).alias("mix_size"),
+                       exponential_key(F.col("doc_id"), w, seed).alias("mix_key"), F.struct("*").alias("mix_row"))
+
+
+def _last(keyed: DataFrame, budgets: DataFrame, bucket: str) -> DataFrame:
+    """source, the bucket in which its budget ends, the words before it, and the
+    budget.  ``budgets`` has source, budget and the words before the first bucket."""
+    run = Window.partitionBy("source").orderBy(bucket)
+    hist = keyed.groupBy("source", bucket).agg(F.sum("mix_size").alias("words"))
+    hist = _null_safe(hist.withColumn("sofar", F.sum("words").over(run) - F.col("words")), budgets, "source")
+    hist = hist.withColumn("before", F.col("before") + F.col("sofar"))
+    return hist.filter("before < budget and before + words >= budget").select("source", bucket, "before", "budget")
 
 
 def cuts(slim: DataFrame, weights=SOURCE_WEIGHTS, most: int = MOST_EPOCHS) -> tuple[DataFrame, int]:
     """Per source: size, target, epochs and the cut; and the bucket count,
-    which follows the number of rows."""
-    buckets = max(64, slim.count() // ROWS_PER_BUCKET)
+    which follows the root of the number of rows."""
+    buckets = max(8, math.isqrt(slim.count() // ROWS_PER_BUCKET))
     plan = targets(slim.groupBy("source").agg(F.sum("mix_size").alias("source_size")), weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("epochs", epochs.cast("long"))
     plan = stored(plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
     keyed = slim.withColumn("bucket", _bucket(F.col("mix_key"), buckets))
-    run = Window.partitionBy("source").orderBy("bucket")
-    hist = keyed.groupBy("source", "bucket").agg(F.sum("mix_size").alias("words"))
-    hist = hist.withColumn("before", F.sum("words").over(run) - F.col("words"))
-    last = _null_safe(hist, plan, "source").filter("before < budget and before + words >= budget").select(
-        "source", "bucket", "before", "budget")
-    last = stored(last, "mix-last")
+    keyed = keyed.withColumn("coarse", F.floor(F.col("bucket") / buckets))
+    wide = stored(_last(keyed, plan.select("source", "budget", F.lit(0).cast("long").alias("before")), "coarse"), "mix-coarse")
+    inner = _null_safe(keyed, wide.select("source", "coarse"), "source", "coarse")
+    last = stored(_last(inner, wide.drop("coarse"), "bucket"), "mix-last")
     rows = _null_safe(keyed, last, "source", "bucket")
     unit = rows.groupBy("source", "mix_key", "doc_id", "before", "budget").agg(F.sum("mix_size").alias("words"))
     inside = Window.partitionBy("source").orderBy("mix_key", "doc_id")
@@ -119,7 +137,7 @@ def _null_safe(a: DataFrame, b: DataFrame, *on: str, how: str = "inner") -> Data
 def _times(docs: DataFrame, weights, most: int, seed: str, slim: DataFrame | None = None) -> DataFrame:
     rows = measured(docs, None, seed) if slim is None else slim
     if slim is None:
-        slim = stored(rows.select("doc_id", "source", "mix_size", "mix_key"), "mix-sizes")
+        slim = stored(rows.drop("mix_row"), "mix-sizes")
     plan, buckets = cuts(slim, weights, most)
     plan = plan.select("source", F.struct("source_size", "target", "epochs", "last_bucket", "cut").alias("mix_plan"))
     # a source may hold a third of all rows: its plan is repeated per salt
@@ -135,7 +153,7 @@ def _times(docs: DataFrame, weights, most: int, seed: str, slim: DataFrame | Non
 
 def mix_report(docs: DataFrame, weights=SOURCE_WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    slim = stored(measured(docs, None, seed).select("doc_id", "source", "mix_size", "mix_key"), "mix-sizes")
+    slim = stored(measured(docs, None, seed).drop("mix_row"), "mix-sizes")
     return _times(docs, weights, most, seed, slim).select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_plan.source_size").alias("source_size"),
         F.col("mix_plan.target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken"))
@@ -145,4 +163,5 @@ def mix(docs: DataFrame, weights=SOURCE_WEIGHTS, most: int = MOST_EPOCHS, seed:
     """The mix itself: every document as often as it is taken, all columns as
     they came.  Texts are not shuffled: a source's cut decides."""
     rows = _times(docs, weights, most, seed).filter("mix_times > 0")
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("mix_copy")
+    return rows.select("mix_row", copies).select("mix_row.*")

@@ -442,6 +442,36 @@ def test_mix_meets_targets_and_repeats(spark, docs):
     assert (copies.reindex(times.index, fill_value=0) == times).all()
 
 
+def test_mix_cuts_sources_without_letters(spark):
+    """All weights alike and small: the cut is still at the budget, and no
+    bucket is much larger than the others."""
+    n = 30_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("1 2 3").alias("text"),
+                                 F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    rows = mixing.mix_report(docs).toPandas().merge(docs.select("doc_id", "source").toPandas())
+    by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= 3).all()
+    key = mixing.exponential_key(F.col("doc_id"), F.lit(0.05))
+    most = docs.groupBy(mixing._bucket(key, 8).alias("b")).count().agg(F.max("count")).first()[0]
+    assert most <= n / 64
+
+
+CLASH = ["mix_size", "mix_key", "mix_salt", "mix_plan", "mix_times", "mix_copy", "mix_row", "bucket", "coarse", "near_key",
+         "near_row", "near_doc", "near_text", "near_id"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[2:4])
+def test_stages_leave_columns_of_their_own_names_alone(spark, docs, name, stage):
+    some = docs.filter("doc_id < 60")
+    named = some.select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASH))
+    out = stage(spark, named, SF)
+    assert out.columns == named.columns
+    got = out.toPandas()
+    assert all((got[c] == c + got["doc_id"].astype(str)).all() for c in CLASH)
+    plain = stage(spark, some, SF).toPandas()["doc_id"]
+    assert len(got) > 0 and sorted(got["doc_id"]) == sorted(plain)
+
+
 def test_pipeline_stages_take_effect(spark):
     rows = corpus_pipeline.run(spark, SF).toPandas()
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
