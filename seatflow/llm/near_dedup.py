@@ -486,7 +486,9 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: i
     first = stored(found.groupBy("label").agg(
         F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("near_key")), "near-first")
     ident = F.col("doc_id").cast("long")
-    keyed = docs.withColumn("near_key", F.xxhash64(ident, whole(F.col("text"))))
+    text = whole(F.col("text"))
+    keyed = docs.select(F.xxhash64(ident, text).alias("near_key"), F.md5(text).alias("near_text"), ident.alias("near_id"),
+                        F.struct("*").alias("near_doc"))
     kept = keyed.join(first.select("near_key"), "near_key", "left_semi")
-    once = F.row_number().over(Window.partitionBy("near_key").orderBy("near_key"))
-    return kept.withColumn("near_row", once).filter("near_row = 1").select(*docs.columns)
+    once = F.row_number().over(Window.partitionBy("near_key", "near_id", "near_text").orderBy("near_key"))
+    return kept.select("near_doc", once.alias("near_row")).filter("near_row = 1").select("near_doc.*")
