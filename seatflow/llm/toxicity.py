@@ -8,13 +8,15 @@ An example is a labelled document with all of its terms; a scored document's
 vector is over all terms that any example has: others match nothing and are left
 out of its length too, which scales its cosines but keeps their order.
 
-The index holds, per term, the examples' weights in blocks of ``BLOCK``
+The index holds, per term, the examples' weights (in single precision) in blocks of ``BLOCK``
 examples and each block's largest weight.  Examples that use the same words lie
-in the same blocks.  Terms of many examples are summed for all examples at once; a
+in the same blocks.  Terms of many examples are multiplied for all examples at once; a
 document adds each block's best of those sums and the block maxima of its other
 terms: no example of a block can score higher.  Blocks are opened from the highest bound
-down, then only where the bound reaches the k-th best score, so the k nearest are
-exact.  ``TOGETHER`` documents are searched at a time, in the same few array steps.  They vote with weight 1 / (1 - cosine + EASE); the vote is mapped to a
+down, then only where the bound reaches the k-th best score less the most that single
+precision can be off.  The examples that may be among the k nearest are then summed again in
+double precision, so the k nearest are exact.  ``TOGETHER`` documents are searched at a time, in the
+same few array steps.  They vote with weight 1 / (1 - cosine + EASE); the vote is mapped to a
 probability by a monotone step function, fitted on the sample with each
 document left out of its own neighbours.
 
@@ -146,7 +148,8 @@ class Index:
         w = np.concatenate([v[1] for v in vecs]) if vecs else np.zeros(0)
         doc = np.repeat(np.arange(len(vecs)), n)
         order = np.lexsort((doc, term))
-        self.post_doc, self.post_w = doc[order].astype(np.min_scalar_type(len(ids))), w[order]
+        # weights in single precision: what is summed of them below is the index's own weight, not a rounded copy
+        self.post_doc, self.post_w = doc[order].astype(np.min_scalar_type(len(ids))), w[order].astype(np.float32)
         self.df = np.bincount(term, minlength=len(self.words))
         self.dense = None
 
@@ -156,71 +159,75 @@ class Index:
                                               "post_doc", "post_w", "df")} | {"dense": None, "first": None}
 
     def _arrange(self) -> None:
-        """Blocks of every term's postings, and the frequent terms' weights as rows."""
+        """Blocks of every term's postings, and each example's weights of the frequent terms."""
         term = np.repeat(np.arange(len(self.df)), self.df)
         cell = term * max(1, self.blocks) + self.post_doc // BLOCK
         new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
-        self.cell_start = np.append(new, len(cell))
-        self.cell_block = (self.post_doc // BLOCK)[new].astype(np.int64) if len(cell) else new
-        self.cell_max = np.maximum.reduceat(self.post_w, new) if len(cell) else np.zeros(0)
+        self.cell_block = (self.post_doc // BLOCK)[new].astype(np.int32) if len(cell) else new.astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.post_w, new) if len(cell) else np.zeros(0, np.float32)
         self.term_cells = np.searchsorted(term[new], np.arange(len(self.words) + 1))
+        self.term_posts = np.concatenate(([0], np.cumsum(self.df)))
         often = np.argsort(-self.df, kind="stable")[:FREQUENT]
         self.often = often[self.df[often] * FREQUENT_SHARE > len(self.ids)]
         self.row = np.full(len(self.words) + 1, -1, np.int32)
         self.row[self.often] = np.arange(len(self.often))
-        edge = np.concatenate(([0], np.cumsum(self.df)))
-        self.dense = np.zeros((len(self.often), self.blocks * BLOCK))
-        for r, t in enumerate(self.often.tolist()):
-            self.dense[r, self.post_doc[edge[t]:edge[t + 1]]] = self.post_w[edge[t]:edge[t + 1]]
+        self.dense = np.zeros((self.blocks * BLOCK, len(self.often)), np.float32)
+        at = self.row[term]
+        self.dense[self.post_doc[at >= 0], at[at >= 0]] = self.post_w[at >= 0]
 
     def _frequent(self, vecs: list) -> np.ndarray:
-        """Each vector's products with all examples over the frequent terms."""
+        """Each vector's weights of the frequent terms."""
         if self.dense is None:
             self._arrange()
         q = np.zeros((len(vecs), len(self.often)))
         for k, (t, w) in enumerate(vecs):
             row = self.row[t]
             q[k, row[row >= 0]] = w[row >= 0]
-        return q @ self.dense
+        return q
 
     def _scores(self, vecs: list, base: np.ndarray, k: int, skip: list) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of some vectors with the examples of their opened blocks (0
-        elsewhere), and each vector's k-th best, from ``base``, their products
-        over the frequent terms.  The blocks of the highest bounds are opened
-        first, then those whose bound still reaches the k-th best score."""
+        """Each vector's sums over the rare terms with the examples of its
+        opened blocks, and which examples may be among the k best.  ``base``
+        has the products over the frequent terms in single precision; with
+        ``slack``, more than they can be off, no example is missed.  The blocks
+        of the highest bounds are opened first, then those whose bound still
+        reaches the k-th best score."""
         m, blocks = len(vecs), self.blocks
         width = blocks * BLOCK
         left_out = [(r, x) for r, x in enumerate(skip) if x is not None]
         for r, x in left_out:
             base[r, x] = 0.0
-        text = np.repeat(np.arange(m), [len(v[0]) for v in vecs])
+        # each of n nonnegative products and sums is off by 2 ** -24 of itself at most, the whole by about n times that
+        slack = np.array([len(v[0]) + 8 for v in vecs]) * 2.0 ** -22
+        text = np.repeat(np.arange(m, dtype=np.int32), [len(v[0]) for v in vecs])
         t, w = (np.concatenate([v[c] for v in vecs]) for c in (0, 1))
         rare = self.row[t] < 0
         text, t, w = text[rare], t[rare], w[rare]
         n = self.term_cells[t + 1] - self.term_cells[t]
-        cell, q, text = spread(self.term_cells[t], n), np.repeat(w, n), np.repeat(text, n)
-        place = text * blocks + self.cell_block[cell]
+        cell = spread(self.term_cells[t], n)
+        place = np.repeat(text * np.int32(blocks), n) + self.cell_block[cell]
         tops = base.reshape(m, blocks, BLOCK)
-        bound = tops.max(axis=2) + np.bincount(place, q * self.cell_max[cell], m * blocks).reshape(m, blocks)
+        bound = tops.max(axis=2) + np.bincount(place, np.repeat(w, n) * self.cell_max[cell], m * blocks).reshape(m, blocks)
+        n = self.df[t]
+        post = spread(self.term_posts[t], n)
+        at, value = np.repeat(text * np.int32(width), n) + self.post_doc[post], np.repeat(w, n) * self.post_w[post]
+        block = at // BLOCK
         first = min(blocks, blocks // 16 + 1)
         todo = bound >= np.partition(bound, blocks - first, axis=1)[:, blocks - first, None]
         todo &= bound > 0
-        opened, score, kth = np.zeros_like(todo), np.zeros((m, width)), np.zeros(m)
+        opened, kth = np.zeros_like(todo), np.zeros(m)
+        rest, score = np.zeros((m, width)), np.zeros((m, width), np.float32)
         while todo.any():
             opened |= todo
-            own = todo.ravel()[place]
-            c = cell[own]
-            n = self.cell_start[c + 1] - self.cell_start[c]
-            post = spread(self.cell_start[c], n)
-            score += np.bincount(np.repeat(text[own] * width, n) + self.post_doc[post],
-                                 np.repeat(q[own], n) * self.post_w[post], m * width).reshape(m, width)
-            score.reshape(m, blocks, BLOCK)[todo] += tops[todo]
+            own = todo.ravel()[block]
+            rest += np.bincount(at[own], value[own], m * width).reshape(m, width)
+            score.reshape(m, blocks, BLOCK)[todo] = tops[todo] + rest.reshape(m, blocks, BLOCK)[todo]
             for r, x in left_out:
                 score[r, x] = 0.0
             if width >= k:
                 kth = np.partition(score, width - k, axis=1)[:, width - k]
-            todo = ~opened & (bound > 0) & (bound >= kth[:, None] - 1e-9)
-        return score, kth
+            todo = ~opened & (bound > 0) & (bound >= (kth - slack)[:, None])
+        return rest, (score > 0) & (score >= (kth - slack)[:, None])
 
     def nearest(self, vecs: list, k: int, skip: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The k nearest examples of each vector (numbers and cosines), ties by
@@ -230,13 +237,15 @@ class Index:
             if not self.blocks:
                 yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vecs[i:i + TOGETHER])
                 continue
-            base = self._frequent(vecs[i:i + TOGETHER])
+            q = self._frequent(vecs[i:i + TOGETHER])
+            base = q.astype(np.float32) @ self.dense.T
             for j in range(0, len(base), AT_ONCE):
                 some = slice(i + j, min(i + TOGETHER, i + j + AT_ONCE))
-                for score, kth in zip(*self._scores(vecs[some], base[j:j + AT_ONCE], k, skip[some])):
-                    found = np.flatnonzero((score > 0) & (score >= kth - 1e-9))
-                    found = found[np.lexsort((found, -np.round(score[found], 9)))][:k]
-                    yield found, score[found]
+                for r, (rest, may) in enumerate(zip(*self._scores(vecs[some], base[j:j + AT_ONCE], k, skip[some]))):
+                    found = np.flatnonzero(may)
+                    score = rest[found] + self.dense[found].astype(np.float64) @ q[j + r]
+                    best = np.lexsort((found, -np.round(score, 9)))[:k]
+                    yield found[best], score[best]
 
     def votes(self, vecs: list, skip: list | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
         """Vote, nearest examples and cosines of each vector."""
