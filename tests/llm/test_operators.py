@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from seatflow.llm import (chat, exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules,
                           queries, textvec, token_output, tokens, toxicity)
+from seatflow.session import reliable_checkpoint
 from tools.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.01"
@@ -245,8 +246,8 @@ def _bags(rows):
     return out
 
 
-def test_near_classes_against_brute_force(spark, docs):
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+def _near_label(rows):
+    """Smallest doc_id of each document's class, by all pairs that share a shingle."""
     bags, n = _bags(rows), len(rows)
     df = collections.Counter(k for c in bags.values() for k in c)
     floor = max(2, n / near_dedup.SATURATE)
@@ -271,8 +272,12 @@ def test_near_classes_against_brute_force(spark, docs):
         if v / (total[a] + total[b] - v) >= near_dedup.THRESHOLD:
             a, b = sorted((root(a), root(b)))
             label[b] = a
+    return {i: root(i) for i in label}
+
+
+def test_near_classes_against_brute_force(spark, docs):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
-    assert got == {i: root(i) for i in label}
+    assert got == _near_label([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
 def test_chain_of_near_copies_is_one_class(spark):
@@ -433,6 +438,63 @@ def test_quality_rules_keep_clean_and_reject_junk(spark, docs):
     assert r.filter("quality = 0 and kept").count() <= 0.1 * r.filter("quality = 0").count()
 
 
+def _plain_estimate(x, starts=20):
+    """Fast minimum covariance determinant in numpy: of many random starts the
+    one of least determinant.  Squared distances, scaled as a chi-square median."""
+    floors = np.array([f for _, f in quality_rules.FEATURES.values()])
+    rng, h, best = np.random.default_rng(5), math.ceil(quality_rules.SUPPORT * len(x)), None
+    for _ in range(starts):
+        some = x[rng.choice(len(x), len(floors) + 1, replace=False)]
+        for _ in range(30):
+            m, c = some.mean(axis=0), np.cov(some.T, bias=True) + np.diag(floors ** 2)
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            some = x[np.argsort(d, kind="stable")[:h]]
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, d
+    k = len(floors)
+    return best[0], best[1], best[2] / max(1.0, np.median(best[2]) / (k * (1 - 2 / (9 * k)) ** 3))
+
+
+def _verdict_holds(spark, docs, kept):
+    """Documents that are clearly inside or outside of the numpy estimate's limit
+    (all groups of sf0.01 are small and judged by all documents)."""
+    v = quality_rules._vector(quality_rules.counts(docs)).select("doc_id", *quality_rules._X).toPandas()
+    ok = v.dropna()
+    assert len(ok) and not kept & set(v["doc_id"]) - set(ok["doc_id"])
+    _, _, d = _plain_estimate(ok[list(quality_rules._X)].to_numpy(float))
+    inside, outside = d < 0.8 * quality_rules.LIMIT, d > 1.25 * quality_rules.LIMIT
+    assert (inside | outside).mean() > 0.97 and outside.any()
+    assert set(ok["doc_id"][inside]) <= kept and not set(ok["doc_id"][outside]) & kept
+
+
+def test_estimate_per_group_against_many_starts(spark):
+    """Two groups above ``MIN_GROUP`` of unlike scatter with a fifth of outliers, and
+    one below it, which gets none of its own."""
+    rng, parts = np.random.default_rng(8), []
+    for source, n, spread in (("a", 600, 1.0), ("b", 900, 2.5), ("c", 50, 1.0)):
+        x = rng.normal(size=(n, 5)) * np.array([0.1, 0.3, 0.1, 0.6, 0.05]) * spread
+        x[:, 1] += x[:, 0]
+        x[:n // 5] += np.array([2.0, 3.0, 1.0, 4.0, 1.0])
+        parts += [("en", source, *map(float, r)) for r in np.round(x * quality_rules.GRID) / quality_rules.GRID]
+    df = spark.createDataFrame(parts, "lang string, source string, " + ", ".join(f"{c} double" for c in quality_rules._X))
+    got = {r["grp"] and r["grp"]["source"]: r for r in quality_rules.estimate(df).collect()}
+    assert set(got) == {"a", "b", None}
+    for source in "ab":
+        x = np.array([r[2:] for r in parts if r[1] == source])
+        logdet, centre, distance = _plain_estimate(x)
+        e = got[source]["e"]
+        w = np.array([[e[f"w{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert abs(-2 * np.log(np.diag(w)).sum() - logdet) < 0.1
+        assert np.abs([e[f"m{i}"] for i in range(5)] - centre).max() < 0.05
+        mine = (((x - [e[f"m{i}"] for i in range(5)]) @ w.T) ** 2).sum(axis=1) / got[source]["scale"]
+        assert np.allclose(mine, distance, rtol=0.15, atol=0.5)
+
+
+def test_verdict_against_many_starts(spark, docs):
+    kept = quality_rules.quality_report(docs).filter("kept").toPandas()["doc_id"]
+    _verdict_holds(spark, docs, set(kept))
+
+
 def test_mix_meets_targets_and_repeats(spark, docs):
     a = mixing.mix_report(docs).toPandas().merge(docs.select("doc_id", "source").toPandas())
     by = a.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
@@ -472,6 +534,40 @@ def test_stages_leave_columns_of_their_own_names_alone(spark, docs, name, stage)
     assert len(got) > 0 and sorted(got["doc_id"]) == sorted(plain)
 
 
+def test_pipeline_against_plain_stages(spark):
+    """Every stage's rows against plain Python (the mix: its SQL) on that stage's own input."""
+    frames, docs = [], spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        frames.append(docs)
+        docs = reliable_checkpoint(stage(spark, docs, SF), "test-" + name.replace(" ", "-"))
+    rows = [[(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()] for d in frames]
+    assert all(len(a) > len(b) > 0 for a, b in zip(rows[:2], rows[1:3]))
+
+    _verdict_holds(spark, frames[0], {i for i, _ in rows[1]})
+    best = {}
+    for i, t in rows[1]:
+        key = re.sub(r"[\x20\x09-\x0D]+", "", t or "")
+        best[key] = max(best.get(key, (-1, 0)), (len(t or ""), -i))
+    assert sorted(i for i, _ in rows[2]) == sorted(-i for _, i in best.values())
+    assert sorted(i for i, _ in rows[3]) == sorted(set(_near_label(rows[2]).values()))
+    con = duckdb.connect()
+    con.register("documents", frames[3].toPandas())
+    taken = {i: n // size for i, size, n in con.execute(
+        f"SELECT doc_id, size, taken FROM ({queries.oracle_sql()['op3_mix_sources']})").fetchall()}
+    copies = collections.Counter(i for i, _ in rows[4])
+    assert copies == collections.Counter({i: n for i, n in taken.items() if n})
+    text, want = dict(rows[4]), collections.Counter()
+    for (i, n), e in zip(copies.items(), plain_library().encode_batch([text[i] for i in copies], add_special_tokens=False)):
+        ids = np.array(e.ids + [packing.END_ID], np.uint32)
+        first = len(ids) % packing.CAPACITY or packing.CAPACITY
+        for a, b in zip([0, *range(first, len(ids), packing.CAPACITY)], [*range(first, len(ids) + 1, packing.CAPACITY)]):
+            want[i, a, b - a, tokens.ids_crc32(ids[a:b])] += n
+    pieces = docs.toPandas()
+    assert collections.Counter(pieces[["doc_id", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    for _, p in pieces.sort_values("offset").groupby("sequence_id"):
+        assert list(p["offset"]) == [0, *p["length"].cumsum()[:-1]] and p["length"].sum() <= packing.CAPACITY
+
+
 def test_pipeline_stages_take_effect(spark):
     rows = corpus_pipeline.run(spark, SF).toPandas()
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
