@@ -18,7 +18,8 @@ them, chosen by hash, sets the temperature that makes the probabilities fit.
 
 Defined cases: an empty or null text has zero vectors and is scored like any
 other; without labels of both kinds every score is the share of label 1 (0.5
-without any); repeated rows are scored each; an empty table gives an empty
+without any); repeated rows are scored each, and alike; a very long text is read whole, as a
+slice of its own; a score of just the threshold counts as label 1; an empty table gives an empty
 result.  Extra columns are ignored.
 """
 

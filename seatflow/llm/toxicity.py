@@ -25,7 +25,9 @@ class); everything else covers all documents.
 Defined cases: a document without any term of an example (an empty or null
 text, for instance) has no neighbours and gets the share of toxic documents among
 such sample documents; without labels every score is 0; repeated rows are
-scored each; an empty table gives an empty result.  Extra columns are ignored.
+scored each; a very long text is read whole, as a slice of its own; of examples with equal
+cosines (nine places) the one that comes first in the index counts; an empty table gives an empty
+result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
