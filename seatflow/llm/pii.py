@@ -429,7 +429,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataF
 
 def restore(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """Undo ``pseudonymise`` with the same key."""
-    cols = [c for c in docs.columns if not c.startswith("pii_")]
+    cols = [c for c in docs.columns if c not in [f"pii_{k}" for k in KINDS]]
     return pseudonymise(docs.select(*cols), key, back=True).select(*cols)
 
 

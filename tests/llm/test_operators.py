@@ -392,6 +392,11 @@ def test_pseudonyms_keep_format_link_and_restore(spark):
     assert {r["doc_id"]: r["text"] for r in pii.restore(out).collect()} == {1: text, 2: "4111 1111 1111 1111", 3: None}
 
 
+def test_restore_leaves_other_columns(spark):
+    df = spark.createDataFrame([(1, "mail a.b@example.com", "n")], "doc_id long, text string, pii_note string")
+    assert pii.restore(pii.pseudonymise(df)).collect() == df.collect()
+
+
 def test_values_beside_other_digits_are_found_and_restored():
     perm, find = pii.Permutation(pii.KEY), re.compile(pii._FIND)
 
