@@ -23,7 +23,7 @@ from seatflow.operators.validate import validate_messages
 from seatflow.schemas import CONFIRMED, KEY_REMAINING_PREFIX, PENDING_TTL_MINUTES
 from seatflow.sources.documents import gauge_samples, stats_documents
 from seatflow.sources.messages import parse_booking_messages
-from seatflow.streaming.ordered import (WIDTH_MS, AdmitProcessor, InventoryProcessor, RateLimitProcessor,
+from seatflow.streaming.ordered import (SHARDS, WIDTH_MS, AdmitProcessor, InventoryProcessor, RateLimitProcessor,
                                         SettleProcessor)
 from seatflow.streaming.runner import path_exists
 
@@ -43,14 +43,33 @@ ADMIT_OUT = T.StructType([T.StructField("id", T.StringType()), T.StructField("ev
                           T.StructField("admitted", T.BooleanType()), T.StructField("remaining", T.IntegerType())])
 
 
-def _seeds(events: DataFrame):
-    cols = [F.col("id").alias("event_id"), "capacity"] + (["remaining"] if "remaining" in events.columns else [])
-    return events.select(*cols).groupBy("event_id")
+def _shard(of: Column) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(SHARDS)).cast("int").alias("shard")
 
 
-def _timed(rows: DataFrame, ts: str, delay: str) -> DataFrame:
-    """``rows`` with ``ts_us`` and a watermark on ``event_ts``."""
-    return event_time(rows.withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp"))), ts, delay)
+def _seeds(table: DataFrame, key: str, name: str, *cols: str):
+    """The rows of ``table`` as one array ``name`` per shard, the state to start from."""
+    return table.groupBy(_shard(F.col(key))).agg(F.collect_list(F.struct(key, *cols)).alias(name)).groupBy("shard")
+
+
+def _event_seeds(events: DataFrame, *more: str):
+    left = "remaining" if "remaining" in events.columns else "capacity"
+    seats = events.select(F.col("id").alias("event_id"), F.col(left).cast("int").alias("remaining"),
+                          F.col("capacity").cast("int").alias("capacity"))
+    return _seeds(seats, "event_id", "seats", "remaining", *more)
+
+
+def _timed(rows: DataFrame, ts: str, fields, key: str, delay: str, shard: Column | None = None):
+    """``rows`` by shard, in the columns of ``ordered.InOrder``, with a watermark on ``event_ts``."""
+    timed = rows.withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp"))).select(
+        *[F.col(c).cast(kind).alias(c) for c, kind in fields], F.col(key).cast("string").alias("key"),
+        _shard(F.col(key)) if shard is None else shard, F.col(ts).alias("event_ts"))
+    return event_time(timed, "event_ts", delay).groupBy("shard")
+
+
+def _span_ms(delay: str) -> int:
+    """Width of a stored bucket: rows wait for about eight of them."""
+    return _micros(delay) // 8000
 
 
 def _micros(interval: str | None) -> int | None:
@@ -67,10 +86,10 @@ def inventory_stream(commands: DataFrame, events: DataFrame, delay: str = WATERM
     ``ttl`` cancels bookings not settled in time (T2) in the same query: the
     cancels come out as rows of their own (seq 0, at the deadline).  ``keep``
     frees a booking's state that long after its last effective command."""
-    rows = commands.select("event_id", "booking_id", "quantity", "ts", F.col("seq").cast("int"), "command")
-    return _timed(rows, "ts", delay).groupBy("event_id").transformWithState(
-        statefulProcessor=InventoryProcessor(width_ms, _micros(ttl), _micros(keep)), outputStructType=INVENTORY_OUT,
-        outputMode="Append", timeMode="EventTime", initialState=_seeds(events))
+    return _timed(commands, "ts", InventoryProcessor.fields, "event_id", delay).transformWithState(
+        statefulProcessor=InventoryProcessor(width_ms, _span_ms(delay), _micros(ttl), _micros(keep)),
+        outputStructType=INVENTORY_OUT, outputMode="Append", timeMode="EventTime",
+        initialState=_event_seeds(events, "capacity"))
 
 
 def admit_stream(requests: DataFrame, events: DataFrame, delay: str = WATERMARK_DELAY,
@@ -79,10 +98,9 @@ def admit_stream(requests: DataFrame, events: DataFrame, delay: str = WATERMARK_
     of their times, whatever order they come in, ``delay`` at most apart; same
     columns and reasons as W1.  A request without a time is decided when it
     arrives.  State is one value per event and the requests still waiting."""
-    rows = requests.select("id", "event_id", F.col("quantity").cast("int").alias("quantity"), "created_at")
-    out = _timed(rows, "created_at", delay).groupBy("event_id").transformWithState(
-        statefulProcessor=AdmitProcessor(width_ms), outputStructType=ADMIT_OUT, outputMode="Append",
-        timeMode="EventTime", initialState=_seeds(events))
+    out = _timed(requests, "created_at", AdmitProcessor.fields, "event_id", delay).transformWithState(
+        statefulProcessor=AdmitProcessor(width_ms, _span_ms(delay)), outputStructType=ADMIT_OUT, outputMode="Append",
+        timeMode="EventTime", initialState=_event_seeds(events))
     return out.withColumn("reason", F.when(F.col("remaining").isNull(), F.lit(UNKNOWN_EVENT)).when(
         ~F.col("admitted"), F.lit(NOT_ENOUGH)))
 
@@ -94,8 +112,8 @@ def rate_limit_stream(log: DataFrame, key: str, token_us: int, burst: int, delay
     may come in any order, ``delay`` at most apart; those further behind are
     dropped by Spark and counted (``runner.ProgressLog``)."""
     rows = log.select(F.col(key).alias("key"), "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return _timed(rows, "ts", delay).groupBy("key").transformWithState(
-        statefulProcessor=RateLimitProcessor(token_us, burst, width_ms), outputStructType=RATE_OUT,
+    return _timed(rows, "ts", RateLimitProcessor.fields, "key", delay).transformWithState(
+        statefulProcessor=RateLimitProcessor(token_us, burst, width_ms, _span_ms(delay)), outputStructType=RATE_OUT,
         outputMode="Append", timeMode="EventTime")
 
 
@@ -284,7 +302,6 @@ SETTLED = T.StructType([
     T.StructField("quantity", T.IntegerType()), T.StructField("unit_price_cents", T.LongType()),
     T.StructField("from_status", T.StringType()), T.StructField("to_status", T.StringType()),
     T.StructField("ts", T.TimestampNTZType()), T.StructField("reason", T.StringType())])
-REFUSED_KEYS = 1024  # refused messages name no booking to go with; they are spread over so many keys
 
 
 def settle_or_cancel(messages: DataFrame, bookings: DataFrame, fails: Column | None = None,
@@ -301,18 +318,18 @@ def settle_or_cancel(messages: DataFrame, bookings: DataFrame, fails: Column | N
     changes into CANCELLED back, T5 and ``stats_stream`` follow the rest."""
     parsed = validate_messages(parse_booking_messages(messages))
     bad = F.size("errors") > 0
-    spread = F.pmod(F.xxhash64("body"), F.lit(REFUSED_KEYS)).cast("int")
     rows = parsed.select(
-        F.when(bad, F.lit("")).otherwise(F.col("booking_id")).alias("key"),
-        F.when(bad, spread).otherwise(F.lit(-1)).alias("spread"), "ts", "booking_id",
+        F.when(~bad, F.col("booking_id")).alias("key"), F.when(bad, F.col("body")).alias("spread"), "ts", "booking_id",
         F.col("copy").cast("int").alias("seq"), F.when(bad, F.concat_ws(",", "errors")).alias("reason"),
         F.coalesce(F.lit(False) if fails is None else fails, F.lit(False)).alias("fails"))
-    seeds = bookings.select(F.col("id").alias("key"), F.lit(-1).alias("spread"), "event_id",
-                            F.col("quantity").cast("int").alias("quantity"),
+    seeds = bookings.select(F.col("id").alias("booking_id"), "event_id", F.col("quantity").cast("int").alias("quantity"),
                             F.col("unit_price_cents").cast("long").alias("unit_price_cents"), "status")
-    return _timed(rows, "ts", delay).groupBy("key", "spread").transformWithState(
-        statefulProcessor=SettleProcessor(width_ms), outputStructType=SETTLED, outputMode="Append",
-        timeMode="EventTime", initialState=seeds.groupBy("key", "spread"))
+    # a refused message names no booking to go with; it goes by its text
+    shard = _shard(F.coalesce("key", "spread"))
+    return _timed(rows, "ts", SettleProcessor.fields, "key", delay, shard).transformWithState(
+        statefulProcessor=SettleProcessor(width_ms, _span_ms(delay)), outputStructType=SETTLED, outputMode="Append",
+        timeMode="EventTime", initialState=_seeds(seeds, "booking_id", "bookings", "event_id", "quantity",
+                                                  "unit_price_cents", "status"))
 
 
 def stats_stream(changes: DataFrame, sink_path: str):
@@ -342,8 +359,9 @@ def live_counters(spark, checkpoint: str) -> DataFrame:
     T3 / T7 query holds them in its state, read by Spark's state source; the
     input of A7 and J6."""
     state = spark.read.format("statestore").option("stateVarName", "seats").load(checkpoint)
-    return state.select(F.concat(F.lit(KEY_REMAINING_PREFIX), F.col("key.event_id")).alias("key"),
-                        F.col("value.remaining").alias("remaining"))
+    seats = state.select(F.explode("value.seats").alias("s"))
+    return seats.select(F.concat(F.lit(KEY_REMAINING_PREFIX), F.col("s.event_id")).alias("key"),
+                        F.col("s.remaining").alias("remaining"))
 
 
 # -------------------------------------------------------------------- T5

@@ -1,23 +1,29 @@
-"""Keyed rules on a stream whose rows come out of order (T2 with T7, T3, T4, T7).
-
-Rows of a key wait in state and are handed on in event-time order, as the
-watermark passes them.  They wait in buckets of ``width_ms`` of event time, each
-with one timer at its end: a timer releases one bucket, so what is sorted at
-once is one bucket of one key, never a micro-batch.  A bucket is stored in
-parts of ``PART_ROWS`` rows or so, and an addition rewrites its first part at
-most.  Rows behind the
+"""Keyed rules on a stream whose rows come out of order (T1 in full, T2 with T7, T3, T4, T7).
+
+Rows wait in state and are handed to the rule in event-time order, key by key,
+as the watermark passes them.  A call to the state store costs far more than a
+row does, so the keys (events, bookings, clients) are dealt by hash into a fixed
+number of shards, and the shard is what Spark groups by: a shard's small values
+are one state value, and its waiting rows lie in a few wide buckets of event
+time, each in parts that are only added to.  Rows that the watermark has
+passed when they come are never stored.  So a shard costs a few calls per
+micro-batch, however many rows and keys it has there.
+
+A row is released when the watermark has passed its slot of ``width_ms``.  One
+timer per shard, at the first such moment, wakes shards that get no more rows.
+What is sorted at once is one bucket of one shard.  Rows behind the
 watermark are refused by Spark before they come here and counted in the query's
 progress (``runner.ProgressLog``).
 
-A rule may also put rows of its own into a later bucket: the cancel of a
-booking that is never settled, or the order to forget one.  Where the watermark
-moves past several buckets at once, those rows take their turn between them.
+A rule may also put rows of its own into the order, after the row at hand: the
+cancel of a booking that is never settled, or the order to forget one.
 
 A row without a time has no place in the order; the rule gets it on arrival.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -28,7 +34,8 @@ from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, Stateful
 from seatflow.schemas import CANCELLED, CONFIRMED
 
 WIDTH_MS = 60_000
-PART_ROWS = 1000  # of a stored part, and of a key's micro-batch in Python before they go to state
+SHARDS = 1024  # fixed for the life of a checkpoint
+PART_ROWS = 20_000  # of a shard's rows in Python before they go to state
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -36,87 +43,166 @@ def at(us: int | None) -> datetime | None:
     return None if us is None else _EPOCH + timedelta(microseconds=us)
 
 
+def _turn(row: tuple) -> list:
+    return [(x is not None, x) for x in row[:3]]
+
+
+class PerKey:
+    """One value per key, all of a shard as one state value that is read when
+    first asked for and written back once, if it changed.  ``key`` is the key
+    at hand."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key_name: str, schema: str):
+        self.state = handle.getValueState(name, f"{name} array<struct<{key_name}: string, {schema}>>")
+        self.key, self.read, self.changed = None, None, False
+
+    def all(self) -> dict:
+        if self.read is None:
+            held = self.state.get()
+            self.read = {v[0]: tuple(v[1:]) for v in held[0]} if held else {}
+        return self.read
+
+    def get(self) -> tuple | None:
+        return self.all().get(self.key)
+
+    def update(self, value: tuple) -> None:
+        self.all()[self.key], self.changed = value, True
+
+    def keep(self, wanted) -> None:
+        """Drop the values that are not ``wanted``."""
+        kept = {key: value for key, value in self.all().items() if wanted(value)}
+        self.changed |= len(kept) < len(self.read)
+        self.read = kept
+
+    def seed(self, values: list[tuple]) -> None:
+        self.state.update((values,))
+
+    def close(self) -> None:
+        if self.changed and self.read:
+            self.state.update(([(key, *value) for key, value in self.read.items()],))
+        elif self.changed:
+            self.state.clear()
+        self.read, self.changed = None, False
+
+
 class InOrder(StatefulProcessor):
     """``fields`` (name, type) name a row's columns in the order rows are
-    sorted by, the first ``ts_us``; ``step`` gets released rows as tuples."""
+    sorted by, the first ``ts_us``; the input has them first, then ``key``.
+    ``step`` gets a key and its released rows as tuples of the fields.
+    ``values`` is the rule's value of the key at hand.  ``span_ms`` is the
+    width of a stored bucket."""
 
     fields: tuple[tuple[str, str], ...]
+    values: PerKey
 
-    def __init__(self, width_ms: int = WIDTH_MS):
-        self.width = width_ms
+    def __init__(self, width_ms: int = WIDTH_MS, span_ms: int = 0):
+        self.width, self.span = width_ms, max(width_ms, span_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        row = ", ".join(f"{name}: {kind}" for name, kind in self.fields)
-        # part 0 is always there, and knows how many more there are
-        self.rows = handle.getMapState("rows", "due_ms long, part int", f"rows array<struct<{row}>>, more int")
-        self.fresh: dict = {}  # key -> buckets that the rule filled while the watermark is past them
+        row = ", ".join(f"{name}: {kind}" for name, kind in (*self.fields, ("key", "string")))
+        self.rows = handle.getMapState("rows", "bucket long, part int", f"rows array<struct<{row}>>")
+        # per bucket its number of parts and when its first row is due; the shard's timer
+        self.index = handle.getValueState("index", "buckets array<struct<bucket: long, parts: int, first: long>>, timer long")
 
-    def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
+    # ------------------------------------------------ what a rule says
+    def step(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
         raise NotImplementedError
 
+    def leave(self) -> int | None:
+        """After a shard's rows: a time to be woken at, if any."""
+
+    # ------------------------------------------------ waiting rows
     def due(self, us: int) -> int:
         return (us // (1000 * self.width) + 1) * self.width
 
-    def hold(self, due: int, rows: list[tuple]) -> None:
-        first = self.rows.getValue((due, 0))
-        if first is None:
-            self.rows.updateValue((due, 0), (rows, 0))
-            self.handle.registerTimer(due)
-            return
-        held, more = [tuple(r) for r in first[0]], first[1]
-        if len(held) + len(rows) <= PART_ROWS:
-            self.rows.updateValue((due, 0), (held + rows, more))
-        else:
-            self.rows.updateValue((due, more + 1), (rows, 0))
-            self.rows.updateValue((due, 0), (held, more + 1))
-
-    def later(self, key, us: int, row: tuple, timers: TimerValues) -> None:
-        """Hand ``row`` to ``step`` in its turn at ``us``."""
-        due = self.due(us)
-        self.hold(due, [row])
-        if due <= timers.getCurrentWatermarkInMs():
-            self.fresh.setdefault(key, set()).add(due)
+    def add(self, row: tuple) -> None:
+        """Put ``row`` in its place in the order."""
+        due = self.due(row[0])
+        bucket = due // self.span
+        self.new.setdefault(bucket, []).append(row)
+        if due < self.first.get(bucket, due + 1):
+            self.first[bucket] = due
+
+    def _store(self) -> None:
+        for bucket, rows in self.new.items():
+            part = self.parts.get(bucket, 0)
+            self.rows.updateValue((bucket, part), (rows,))
+            self.parts[bucket] = part + 1
+        self.new = {}
+
+    def _take(self, bucket: int) -> list[tuple]:
+        del self.first[bucket]
+        rows = self.new.pop(bucket, [])
+        for part in range(self.parts.pop(bucket, 0)):
+            rows += [tuple(r) for r in self.rows.getValue((bucket, part))[0]]
+            self.rows.removeKey((bucket, part))
+        return rows
+
+    def _begin(self, timers: TimerValues) -> None:
+        self.watermark = timers.getCurrentWatermarkInMs()
+        held = self.index.get()
+        self.held = ([tuple(b) for b in held[0]], held[1]) if held else ([], None)
+        self.open = None
+        self.new: dict[int, list[tuple]] = {}
+        self.parts = {bucket: parts for bucket, parts, _ in self.held[0]}
+        self.first = {bucket: first for bucket, _, first in self.held[0]}
+
+    def _step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
+        self.values.key = key
+        yield from self.step((key,), rows, timers)
+
+    def _release(self, timers: TimerValues) -> Iterator[Row]:
+        while ready := [bucket for bucket, first in self.first.items() if first <= self.watermark]:
+            self.open = min(ready)
+            of: dict = {}
+            for row in self._take(self.open):
+                if self.due(row[0]) <= self.watermark:
+                    of.setdefault(row[-1], []).append(row[:-1])
+                else:
+                    self.add(row)
+            for key, rows in of.items():
+                rows.sort(key=_turn)
+                yield from self._step(key, rows, timers)
+
+    def _end(self, fired: int | None = None) -> None:
+        self._store()
+        wake = [*self.first.values(), self.leave()]
+        self.values.close()
+        buckets = [(bucket, self.parts[bucket], self.first[bucket]) for bucket in sorted(self.first)]
+        timer = min((w for w in wake if w is not None), default=None)
+        old = self.held[1]
+        if timer != old:
+            if old is not None and old != fired:  # one that fires is taken away by Spark
+                self.handle.deleteTimer(old)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if timer is None:
+            if old is not None:
+                self.index.clear()
+        elif (buckets, timer) != self.held:
+            self.index.update((buckets, timer))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        names = [name for name, _ in self.fields]
-        waiting: dict[int, list[tuple]] = {}
-        n = 0
+        self._begin(timerValues)
+        n, width = 0, len(self.fields) + 1
         for r in rows:
-            row = tuple(r[c] for c in names)
+            row = tuple(r)[:width]
             if row[0] is None:
-                yield from self.step(key, [row], timerValues)
+                yield from self._step(row[-1], [row[:-1]], timerValues)
                 continue
-            waiting.setdefault(self.due(row[0]), []).append(row)
+            self.add(row)
             n += 1
             if n % PART_ROWS == 0:
-                for due, held in waiting.items():
-                    self.hold(due, held)
-                waiting = {}
-        for due, held in waiting.items():
-            self.hold(due, held)
-
-    def _release(self, key, due: int, timers: TimerValues) -> Iterator[Row]:
-        first = self.rows.getValue((due, 0))
-        if first is None:
-            return
-        rows = [tuple(r) for r in first[0]]
-        self.rows.removeKey((due, 0))
-        for part in range(1, first[1] + 1):
-            rows += [tuple(r) for r in self.rows.getValue((due, part))[0]]
-            self.rows.removeKey((due, part))
-        rows.sort(key=lambda r: [(x is not None, x) for x in r[:3]])
-        yield from self.step(key, rows, timers)
+                self._store()
+        yield from self._release(timerValues)
+        self._end()
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        fresh = self.fresh.get(key, ())
-        while fresh and min(fresh) < due:
-            first = min(fresh)
-            fresh.remove(first)
-            yield from self._release(key, first, timerValues)
-        yield from self._release(key, due, timerValues)
+        self._begin(timerValues)
+        yield from self._release(timerValues)
+        self._end(expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -130,13 +216,12 @@ class AdmitProcessor(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.seats = handle.getValueState("seats", "remaining int")
+        self.values = self.seats = PerKey(handle, "seats", "event_id", "remaining: int")
 
     def handleInitialState(self, key, initialState: Row, timerValues: TimerValues) -> None:
-        col = "remaining" if "remaining" in initialState else "capacity"
-        self.seats.update((int(initialState[col]),))
+        self.seats.seed([(r["event_id"], int(r["remaining"])) for r in initialState["seats"]])
 
-    def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
+    def step(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
         seats = self.seats.get()
         known = seats is not None
         start = rem = seats[0] if known else 0
@@ -155,7 +240,7 @@ class InventoryProcessor(InOrder):
     holding booking gives them back (at most capacity), CONFIRM after CANCEL
     holds again without taking seats.
 
-    State: remaining and capacity, and per booking its seats, whether it holds
+    State: remaining and capacity per event, and per booking its seats, whether it holds
     them, whether it was ever settled, and its last effective command.  With
     ``ttl_us`` a booking that is neither confirmed nor cancelled within it is
     cancelled at that moment (T2), live, with the seats given back before any
@@ -167,44 +252,87 @@ class InventoryProcessor(InOrder):
 
     fields = (("ts_us", "bigint"), ("booking_id", "string"), ("seq", "int"), ("quantity", "int"), ("command", "string"))
 
-    def __init__(self, width_ms: int = WIDTH_MS, ttl_us: int | None = None, keep_us: int | None = None):
-        super().__init__(width_ms)
+    def __init__(self, width_ms: int = WIDTH_MS, span_ms: int = 0, ttl_us: int | None = None, keep_us: int | None = None):
+        super().__init__(width_ms, span_ms)
         if ttl_us is not None and ttl_us < width_ms * 1000:
-            raise ValueError("buckets must be shorter than the time to pay")
+            raise ValueError("slots must be shorter than the time to pay")
         self.ttl, self.keep = ttl_us, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.seats = handle.getValueState("seats", "remaining int, capacity int")
-        self.bookings = handle.getMapState("bookings", "booking_id string",
+        self.values = self.seats = PerKey(handle, "seats", "event_id", "remaining: int, capacity: int")
+        self.bookings = handle.getMapState("bookings", "event_id string, booking_id string",
                                            "quantity int, held boolean, settled boolean, last_us long")
+        self.known: dict[tuple, tuple | None] = {}  # bookings read or changed
+        self.dirty: set[tuple] = set()
 
     def handleInitialState(self, key, initialState: Row, timerValues: TimerValues) -> None:
-        cap = int(initialState["capacity"])
-        rem = int(initialState["remaining"]) if "remaining" in initialState else cap
-        self.seats.update((rem, cap))
+        self.seats.seed([(r["event_id"], int(r["remaining"]), int(r["capacity"])) for r in initialState["seats"]])
 
-    def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
+    def _flush(self) -> None:
+        for at_ in self.dirty:
+            value = self.known[at_]
+            if value is None:
+                self.bookings.removeKey(at_)
+            else:
+                self.bookings.updateValue(at_, value)
+        self.known, self.dirty = {}, set()
+
+    def leave(self) -> None:
+        self._flush()
+
+    def _get(self, at_: tuple) -> tuple | None:
+        if at_ not in self.known:
+            held = self.bookings.getValue(at_)
+            self.known[at_] = None if held is None else tuple(held)
+        return self.known[at_]
+
+    def _set(self, at_: tuple, value: tuple | None) -> None:
+        self.known[at_] = value
+        self.dirty.add(at_)
+
+    def step(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
         start = self.seats.get()
         known = start is not None
-        rem, cap = start = tuple(start) if known else (0, 0)
-        for i, (us, bid, seq, q, cm) in enumerate(rows):
+        rem, cap = start = start if known else (0, 0)
+        own: list = []  # rows that the rule put into this bucket
+
+        def later(row: tuple) -> None:
+            due = self.due(row[0])
+            if due <= self.watermark and due // self.span == self.open:
+                heapq.heappush(own, (_turn(row), row))
+            else:
+                self.add((*row, *key))
+
+        def put(bid, value: tuple) -> None:
+            self._set((*key, bid), value)
+            if self.keep is not None and value[3] is not None:
+                gone = value[3] + self.keep
+                later((gone, bid, 1 << 30, 0, "FORGET"))
+
+        i = 0
+        while own or i < len(rows):
+            if own and (i == len(rows) or own[0][0] < _turn(rows[i])):
+                us, bid, seq, q, cm = heapq.heappop(own)[1]
+            else:
+                us, bid, seq, q, cm = rows[i]
+                i += 1
             ok = False
             if cm == "CREATE":
                 if known and q <= rem:
                     rem, ok = rem - q, True
-                    self._put(key, bid, (q, True, False, us), timers)
-                    if self.ttl is not None:
-                        self.later(key, us + self.ttl, (us + self.ttl, bid, 0, q, "EXPIRE"), timers)
+                    put(bid, (q, True, False, us))
+                    if self.ttl is not None and us is not None:
+                        later((us + self.ttl, bid, 0, q, "EXPIRE"))
             else:
-                b = self.bookings.getValue((bid,))
-                gone = b is None or (self.keep is not None and us > b[3] + self.keep)
+                b = self._get((*key, bid))
+                gone = b is None or (None not in (self.keep, us, b[3]) and us > b[3] + self.keep)
                 if cm == "FORGET":
                     if b is not None and us >= b[3] + self.keep:
-                        self.bookings.removeKey((bid,))
+                        self._set((*key, bid), None)
                     continue
                 if cm == "EXPIRE":
-                    now = [r[4] for r in rows[i + 1:i + 9] if r[:2] == (us, bid)]  # settled at this very moment
+                    now = [r[4] for r in rows[i:i + 8] if r[:2] == (us, bid)]  # settled at this very moment
                     if gone or b[2] or "CONFIRM" in now or "CANCEL" in now:
                         continue
                     cm = "CANCEL"
@@ -212,22 +340,18 @@ class InventoryProcessor(InOrder):
                     q = b[0] if b[0] is not None else q
                     if cm == "CANCEL" and b[1]:
                         rem, ok = min(rem + q, cap), True
-                        self._put(key, bid, (q, False, True, us), timers)
+                        put(bid, (q, False, True, us))
                     elif cm == "CONFIRM" and not b[1]:
                         ok = True
-                        self._put(key, bid, (q, True, True, us), timers)
+                        put(bid, (q, True, True, us))
                     elif not b[2]:  # confirmed as it was held: settled, nothing else changes
-                        self.bookings.updateValue((bid,), (b[0], b[1], True, b[3]))
+                        self._set((*key, bid), (b[0], b[1], True, b[3]))
             yield Row(event_id=key[0], booking_id=bid, seq=seq, command=cm, ts=at(us), applied=ok,
                       remaining=rem if known else None)
         if (rem, cap) != start:
             self.seats.update((rem, cap))
-
-    def _put(self, key, bid: str, value: tuple, timers: TimerValues) -> None:
-        self.bookings.updateValue((bid,), value)
-        if self.keep is not None and value[3] is not None:
-            gone = value[3] + self.keep
-            self.later(key, gone, (gone, bid, 1 << 30, 0, "FORGET"), timers)
+        if len(self.known) > PART_ROWS:
+            self._flush()
 
 
 class SettleProcessor(InOrder):
@@ -238,15 +362,15 @@ class SettleProcessor(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.booking = handle.getValueState(
-            "booking", "event_id string, quantity int, unit_price_cents long, status string")
+        self.values = self.booking = PerKey(handle, "bookings", "booking_id", "event_id: string, quantity: int, "
+                                            "unit_price_cents: long, status: string")
 
     def handleInitialState(self, key, initialState: Row, timerValues: TimerValues) -> None:
-        self.booking.update(tuple(initialState[c] for c in ("event_id", "quantity", "unit_price_cents", "status")))
+        self.booking.seed([tuple(b.values()) for b in initialState["bookings"]])
 
-    def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
-        held = self.booking.get()
-        start = event, quantity, price, status = tuple(held) if held else (None, None, None, None)
+    def step(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
+        held = self.booking.get() if any(r[3] is None for r in rows) else None  # a refused message goes with no booking
+        start = event, quantity, price, status = held or (None, None, None, None)
         for us, bid, _, reason, fails in rows:
             if reason is None and held is None:
                 reason = "UNKNOWN_BOOKING"
@@ -264,20 +388,24 @@ class SettleProcessor(InOrder):
 
 class RateLimitProcessor(InOrder):
     """Token bucket of one client (T4) in whole token-microseconds.  The bucket
-    is dropped by a timer at the moment it would be full again, since a missing
+    is dropped at the moment it would be full again, since a missing
     bucket starts full: state lives only while it matters."""
 
     fields = (("ts_us", "bigint"), ("request_id", "string"))
 
-    def __init__(self, token_us: int, burst: int, width_ms: int = WIDTH_MS):
-        super().__init__(width_ms)
+    def __init__(self, token_us: int, burst: int, width_ms: int = WIDTH_MS, span_ms: int = 0):
+        super().__init__(width_ms, span_ms)
         self.token_us, self.full = token_us, token_us * burst
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.bucket = handle.getValueState("bucket", "tokens long, last_us long, refill_ms long")
+        self.values = self.bucket = PerKey(handle, "buckets", "client", "tokens: long, last_us: long, refill_ms: long")
+
+    def leave(self) -> int | None:
+        self.bucket.keep(lambda held: held[2] > self.watermark)
+        return min((held[2] for held in self.bucket.all().values()), default=None)
 
-    def step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
+    def step(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
         tok, last, _ = self.bucket.get() or (self.full, None, 0)
         changed = False
         for us, request in rows:
@@ -292,13 +420,4 @@ class RateLimitProcessor(InOrder):
                 tok -= self.token_us
             yield Row(key=key[0], request_id=request, ts=at(us), allowed=ok, tokens=tok)
         if changed:
-            refill_ms = -(-(last + self.full - tok) // 1000)
-            self.bucket.update((tok, last, refill_ms))
-            self.handle.registerTimer(refill_ms)
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues,
-                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        held = self.bucket.get()
-        if held is not None and held[2] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.bucket.clear()
+            self.bucket.update((tok, last, -(-(last + self.full - tok) // 1000)))
