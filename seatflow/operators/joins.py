@@ -23,7 +23,9 @@ def capture_price(requests: DataFrame, prices: DataFrame, ts_col: str = "created
     before the first price) gets NULL; of prices that start at one instant
     the highest counts.
     """
-    row = F.struct(*requests.columns)
+    # the event and the time go along once, as the key and the order
+    rest = [c for c in requests.columns if c not in ("event_id", ts_col)]
+    row = F.struct(*rest, F.lit(1).alias("_kept"))
     when = dict(requests.dtypes)[ts_col]
     asks = requests.select(F.col("event_id").alias("_key"), F.col(ts_col).alias("_ts"), F.lit(1).alias("_kind"),
                            F.xxhash64(*requests.columns).alias("_tie"), row.alias("_row"))
@@ -33,7 +35,9 @@ def capture_price(requests: DataFrame, prices: DataFrame, ts_col: str = "created
         F.col("ticket_price_cents").cast("bigint").alias("_tie"),
         F.struct(F.col("ticket_price_cents").alias("cents")).alias("_price"))
     order = ["_ts", "_kind", "_tie"]
-    both = ranged(asks.unionByName(sets, allowMissingColumns=True), ["_key", *order], "price-order")
+    # equal requests are told apart to be dealt over ranges, after that only prices are
+    both = ranged(asks.unionByName(sets, allowMissingColumns=True), ["_key", *order], "price-order",
+                  keep={"_tie": F.when(F.col("_kind") == 0, F.col("_tie"))})
     inside = Window.partitionBy("_key", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("_okey").orderBy("_orange").rowsBetween(Window.unboundedPreceding, -1)
     carried = both.groupBy(F.col("_key").alias("_okey"), F.col("_range").alias("_orange")).agg(
@@ -42,7 +46,9 @@ def capture_price(requests: DataFrame, prices: DataFrame, ts_col: str = "created
     here = both.withColumn("_here", F.last("_price", ignorenulls=True).over(inside)).where("_kind = 1")
     out = here.join(carried, F.col("_key").eqNullSafe(F.col("_okey")) & (F.col("_range") == F.col("_orange")))
     price = F.when(F.col("_ts").isNotNull(), F.coalesce("_here", "_carried"))
-    return out.select("_row.*", price["cents"].alias("unit_price_cents"))
+    back = {"event_id": F.col("_key"), ts_col: F.col("_ts")}
+    return out.select(*[back.get(c, F.col("_row")[c]).alias(c) for c in requests.columns],
+                      price["cents"].alias("unit_price_cents"))
 
 
 def resolve_natural_keys(rows: DataFrame, users: DataFrame, events: DataFrame,

@@ -116,14 +116,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def ranged(df: DataFrame, order: list[str], name: str, out: str = "_range", partitions: int | None = None) -> DataFrame:
+def ranged(df: DataFrame, order: list[str], name: str, out: str = "_range", partitions: int | None = None,
+           keep: dict | None = None) -> DataFrame:
     """``df`` range-partitioned by ``order`` and stored, with the number of
     each row's range in ``out``: a bucket that never falls along ``order`` and
     holds about as many rows as any other, however hot a key or an instant is
     (``order`` should end in a column that breaks ties).  Stored because the
-    range borders are sampled and another run could draw others."""
+    range borders are sampled and another run could draw others.  ``keep``
+    gives columns to be stored otherwise than they were ordered by."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return reliable_checkpoint(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()), name)
+    placed = df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id())
+    return reliable_checkpoint(placed.withColumns(keep) if keep else placed, name)
 
 
 def reliable_checkpoint(df: DataFrame, name: str = "stage") -> DataFrame:
