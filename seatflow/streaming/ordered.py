@@ -402,8 +402,9 @@ class RateLimitProcessor(InOrder):
         self.values = self.bucket = PerKey(handle, "buckets", "client", "tokens: long, last_us: long, refill_ms: long")
 
     def leave(self) -> int | None:
-        self.bucket.keep(lambda held: held[2] > self.watermark)
-        return min((held[2] for held in self.bucket.all().values()), default=None)
+        # rows of a slot that the watermark has not wholly passed still wait
+        self.bucket.keep(lambda held: -(-held[2] // self.width) * self.width > self.watermark)
+        return min((-(-held[2] // self.width) * self.width for held in self.bucket.all().values()), default=None)
 
     def step(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
         tok, last, _ = self.bucket.get() or (self.full, None, 0)

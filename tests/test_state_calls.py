@@ -4,7 +4,7 @@ micro-batch, however many rows and keys the shard has there."""
 import random
 from types import SimpleNamespace
 
-from seatflow.streaming.ordered import AdmitProcessor, InventoryProcessor, SettleProcessor
+from seatflow.streaming.ordered import AdmitProcessor, InventoryProcessor, RateLimitProcessor, SettleProcessor
 
 MINUTE = 60_000_000
 
@@ -48,7 +48,8 @@ def _run(processor, batches, seed):
     """The rows out and the most calls of a micro-batch, one shard fed ``batches`` of (watermark ms, rows)."""
     store, out, most = Store(), [], 0
     processor.init(store)
-    processor.handleInitialState((0,), seed, None)
+    if seed:
+        processor.handleInitialState((0,), seed, None)
     for watermark, rows in batches:
         store.calls, timers = 0, SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
         if rows:
@@ -120,3 +121,21 @@ def test_inventory_calls_are_one_per_booking_and_a_few_a_batch():
     key = lambda r: (r["event_id"], r["booking_id"], r["seq"], r["command"], r["ts"], r["applied"], r["remaining"])
     assert sorted(map(key, out)) == sorted(map(key, again)) and len(out) > len(rows)
     assert most <= 2 * max(len(b) for _, b in batches) + 60
+
+
+def test_a_client_keeps_its_bucket_while_rows_of_the_slot_wait():
+    day = 86_400_000
+    p = RateLimitProcessor(4 * 3_600_000_000, 2, width_ms=day)
+    hours = [0, 25, 28, 49]  # the bucket of hour 0 is full again at hour 4, that of hour 25 at 29, inside a waiting slot
+    rows = [(h * 3_600_000_000, f"q{h}", "c") for h in hours]
+    out, _ = _run(p, [(0, rows[:1]), (day, rows[1:3]), (2 * day - 3_600_000, []), (2 * day, rows[3:]),
+                      (2 * day + 6 * 3_600_000, []), (9 * day, [])], None)
+    assert [(r["request_id"], r["tokens"] // 3_600_000_000) for r in out] == [("q0", 4), ("q25", 4), ("q28", 3), ("q49", 4)]
+
+
+def test_a_bucket_is_not_dropped_before_the_rows_ahead_of_it():
+    day = 86_400_000
+    p = RateLimitProcessor(4 * 3_600_000_000, 2, width_ms=day)
+    rows = [(23 * 3_600_000_000, "a", "c"), (25 * 3_600_000_000, "b", "c")]  # full at hour 27; b comes at 25
+    out, _ = _run(p, [(0, rows), (day, []), (day + 5 * 3_600_000, []), (2 * day, []), (9 * day, [])], None)
+    assert [r["tokens"] // 3_600_000_000 for r in out] == [4, 2]
