@@ -41,9 +41,10 @@ def book_batch(requests: DataFrame, events: DataFrame, prices: DataFrame,
     request is all or nothing; one for a known event without a price in force
     is refused (NO_PRICE) before it could take seats.  ``requests``: id, user_id, event_id,
     quantity, created_at."""
-    # stored, since putting rows in order reads its input twice (to sample it first)
-    checked = reliable_checkpoint(validate_bookings(requests, id_format), "booking-requests")
-    good, bad = split_valid(checked)
+    good, bad = split_valid(validate_bookings(requests, id_format))
+    # the valid ones are stored, since putting rows in order reads its input twice (to sample it first);
+    # the invalid ones are only read for the refusals
+    good = reliable_checkpoint(good, "booking-requests")
     known = events.select(F.col("id").alias("event_id"), F.lit(True).alias("_known"))
     priced = capture_price(good.select("id", "user_id", "event_id", "quantity", "created_at"), prices).join(
         known, "event_id", "left")
