@@ -359,7 +359,7 @@ def live_counters(spark, checkpoint: str) -> DataFrame:
     T3 / T7 query holds them in its state, read by Spark's state source; the
     input of A7 and J6."""
     state = spark.read.format("statestore").option("stateVarName", "seats").load(checkpoint)
-    seats = state.select(F.explode("value.seats").alias("s"))
+    seats = state.select(F.explode(F.arrays_zip("value.event_id", "value.remaining")).alias("s"))
     return seats.select(F.concat(F.lit(KEY_REMAINING_PREFIX), F.col("s.event_id")).alias("key"),
                         F.col("s.remaining").alias("remaining"))
 

@@ -3,11 +3,14 @@
 Rows wait in state and are handed to the rule in event-time order, key by key,
 as the watermark passes them.  A call to the state store costs far more than a
 row does, so the keys (events, bookings, clients) are dealt by hash into a fixed
-number of shards, and the shard is what Spark groups by: a shard's small values
-are one state value, and its waiting rows lie in a few wide buckets of event
-time, each in parts that are only added to.  Rows that the watermark has
-passed when they come are never stored.  So a shard costs a few calls per
-micro-batch, however many rows and keys it has there.
+number of shards, and the shard is what Spark groups by: a shard's few values
+are one state value, many values lie in pages by the hash of their key, and its
+waiting rows are one value as long as they are few.  Where they are more, the
+largest buckets of event time go to values of their own, in parts that are only
+added to.  Rows that the watermark has passed when they come are never stored.
+So a shard costs a few calls per micro-batch, however many rows and keys it has
+there.  Pages and waiting rows are pickled here: Spark takes many times as long
+for typed rows.
 
 A row is released when the watermark has passed its slot of ``width_ms``.  One
 timer per shard, at the first such moment, wakes shards that get no more rows.
@@ -24,8 +27,10 @@ A row without a time has no place in the order; the rule gets it on arrival.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from zlib import crc32
 
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle,
@@ -36,6 +41,11 @@ from seatflow.schemas import CANCELLED, CONFIRMED
 WIDTH_MS = 60_000
 SHARDS = 1024  # fixed for the life of a checkpoint
 PART_ROWS = 20_000  # of a shard's rows in Python before they go to state
+INLINE_ROWS = 2_000  # of a shard's waiting rows that lie in one value
+PAGE_ROWS = 256  # of a page, on average
+PAGED_ROWS = 100_000  # of a shard's pages in Python before they go to state
+SINGLES = 48  # values of a shard that lie alone
+ALONE = 1 << 31  # pages of a shard with no more values than that
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -53,13 +63,15 @@ class PerKey:
     at hand."""
 
     def __init__(self, handle: StatefulProcessorHandle, name: str, key_name: str, schema: str):
-        self.state = handle.getValueState(name, f"{name} array<struct<{key_name}: string, {schema}>>")
+        # by column: Spark converts an array of structs struct by struct
+        fields = [f"{key_name}: string", *schema.split(", ")]
+        self.state = handle.getValueState(name, ", ".join(f"{f.split(':')[0]} array<{f.split(':')[1].strip()}>" for f in fields))
         self.key, self.read, self.changed = None, None, False
 
     def all(self) -> dict:
         if self.read is None:
             held = self.state.get()
-            self.read = {v[0]: tuple(v[1:]) for v in held[0]} if held else {}
+            self.read = {v[0]: v[1:] for v in zip(*held)} if held else {}
         return self.read
 
     def get(self) -> tuple | None:
@@ -74,17 +86,130 @@ class PerKey:
         self.changed |= len(kept) < len(self.read)
         self.read = kept
 
+    def _write(self, values: list[tuple]) -> None:
+        self.state.update(tuple(list(column) for column in zip(*values)))
+
     def seed(self, values: list[tuple]) -> None:
-        self.state.update((values,))
+        self._write(values)
 
     def close(self) -> None:
         if self.changed and self.read:
-            self.state.update(([(key, *value) for key, value in self.read.items()],))
+            self._write([(key, *value) for key, value in self.read.items()])
         elif self.changed:
             self.state.clear()
         self.read, self.changed = None, False
 
 
+class Paged:
+    """One value per key, for many keys: they are dealt by hash into pages, each
+    one state value, that are read when first asked for and written back once,
+    if they changed.  The pages of a shard, a power of two, are doubled when
+    they hold more than ``PAGE_ROWS`` on average, so what a key costs doesn't
+    grow with the keys held.  In a shard with few keys every value lies alone.
+    ``key`` is the key at hand."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.pages = handle.getMapState(name, "page int", "held binary")
+        self.size = handle.getValueState(f"{name}_size", "pages long, keys long, singles array<int>")
+        self.key, self.n = None, None
+        self.read: dict[int, dict] = {}
+        self.dirty: set[int] = set()
+        self.in_read = 0
+
+    def _sized(self) -> int:
+        if self.n is None:
+            self.n, self.keys, singles = self.size.get() or (ALONE, 0, [])
+            self.singles = set(singles)
+            self.was = self.n, self.keys, set(singles)
+        return self.n
+
+    def _load(self, page: int) -> dict:
+        if self.n == ALONE and page not in self.singles:
+            return {}
+        held = self.pages.getValue((page,))
+        return pickle.loads(held[0]) if held else {}
+
+    def _save(self, page: int, values: dict) -> None:
+        if self.n == ALONE:
+            (self.singles.add if values else self.singles.discard)(page)
+        if values:
+            self.pages.updateValue((page,), (pickle.dumps(values, 5),))
+        else:
+            self.pages.removeKey((page,))
+
+    def _page(self, key) -> int:
+        return crc32(repr(key).encode()) & (self._sized() - 1)
+
+    def _open(self, page: int) -> dict:
+        values = self.read.get(page)
+        if values is None:
+            if self.in_read > PAGED_ROWS:
+                self._flush()
+            values = self.read[page] = self._load(page)
+            self.in_read += len(values)
+        return values
+
+    def get(self, key=None) -> tuple | None:
+        key = self.key if key is None else key
+        return self._open(self._page(key)).get(key)
+
+    def update(self, value: tuple | None, key=None) -> None:
+        """``value`` of a key, None to drop it."""
+        key = self.key if key is None else key
+        page = self._page(key)
+        values = self._open(page)
+        if value is None:
+            if key not in values:
+                return
+            del values[key]
+            self.keys -= 1
+        else:
+            new = key not in values
+            self.keys += new
+            self.in_read += new
+            values[key] = value
+        self.dirty.add(page)
+
+    def seed(self, values: list[tuple]) -> None:
+        held = {key: value for key, *value in values}
+        self._sized()
+        self.keys = len(held)
+        if self.keys > SINGLES:
+            self.n = 1 << max(0, (self.keys // PAGE_ROWS).bit_length())
+        for key, value in held.items():
+            page = self._page(key)
+            self.read.setdefault(page, {})[key] = tuple(value)
+            self.dirty.add(page)
+        self.close()
+
+    def _flush(self) -> None:
+        for page in self.dirty:
+            self._save(page, self.read[page])
+        self.read, self.dirty, self.in_read = {}, set(), 0
+
+    def close(self) -> None:
+        if self.n is None:
+            return
+        if self.n == ALONE and self.keys > SINGLES:
+            alone = [self._open(page) for page in self.singles | self.dirty]
+            for page in self.singles:
+                self.pages.removeKey((page,))
+            self.n, self.singles = 1, set()
+            self.read, self.dirty = {0: {key: value for held in alone for key, value in held.items()}}, {0}
+        self._flush()
+        while self.keys > self.n * PAGE_ROWS:
+            self.n *= 2  # page by page: a key stays or goes to the page that far behind
+            for page in range(self.n // 2):
+                values = self._load(page)
+                gone = {key: value for key, value in values.items() if self._page(key) != page}
+                if gone:
+                    self._save(page, {key: value for key, value in values.items() if key not in gone})
+                    self._save(page + self.n // 2, gone)
+        if (self.n, self.keys, self.singles) != self.was:
+            self.size.update((self.n, self.keys, sorted(self.singles)))
+        self.n = None
+
+
 class InOrder(StatefulProcessor):
     """``fields`` (name, type) name a row's columns in the order rows are
     sorted by, the first ``ts_us``; the input has them first, then ``key``.
@@ -93,17 +218,16 @@ class InOrder(StatefulProcessor):
     width of a stored bucket."""
 
     fields: tuple[tuple[str, str], ...]
-    values: PerKey
+    values: PerKey | Paged
 
     def __init__(self, width_ms: int = WIDTH_MS, span_ms: int = 0):
         self.width, self.span = width_ms, max(width_ms, span_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        row = ", ".join(f"{name}: {kind}" for name, kind in (*self.fields, ("key", "string")))
-        self.rows = handle.getMapState("rows", "bucket long, part int", f"rows array<struct<{row}>>")
-        # per bucket its number of parts and when its first row is due; the shard's timer
-        self.index = handle.getValueState("index", "buckets array<struct<bucket: long, parts: int, first: long>>, timer long")
+        self.rows = handle.getMapState("rows", "bucket long, part int", "rows binary")
+        # per bucket its number of parts, when its first row is due and its rows outside the parts; the shard's timer
+        self.index = handle.getValueState("index", "waiting binary, timer long")
 
     # ------------------------------------------------ what a rule says
     def step(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
@@ -124,29 +248,34 @@ class InOrder(StatefulProcessor):
         if due < self.first.get(bucket, due + 1):
             self.first[bucket] = due
 
-    def _store(self) -> None:
-        for bucket, rows in self.new.items():
-            part = self.parts.get(bucket, 0)
-            self.rows.updateValue((bucket, part), (rows,))
+    def _store(self, inline: int = 0) -> None:
+        """Put waiting rows into parts, the largest buckets first, all but ``inline`` rows."""
+        held = sum(map(len, self.new.values()))
+        for bucket in sorted(self.new, key=lambda b: -len(self.new[b])):
+            if held <= inline:
+                break
+            rows, part = self.new.pop(bucket), self.parts.get(bucket, 0)
+            self.rows.updateValue((bucket, part), (pickle.dumps(rows, 5),))
             self.parts[bucket] = part + 1
-        self.new = {}
+            held -= len(rows)
 
     def _take(self, bucket: int) -> list[tuple]:
         del self.first[bucket]
         rows = self.new.pop(bucket, [])
         for part in range(self.parts.pop(bucket, 0)):
-            rows += [tuple(r) for r in self.rows.getValue((bucket, part))[0]]
+            rows += pickle.loads(self.rows.getValue((bucket, part))[0])
             self.rows.removeKey((bucket, part))
         return rows
 
     def _begin(self, timers: TimerValues) -> None:
         self.watermark = timers.getCurrentWatermarkInMs()
         held = self.index.get()
-        self.held = ([tuple(b) for b in held[0]], held[1]) if held else ([], None)
+        self.held = (bytes(held[0]), held[1]) if held else (None, None)
         self.open = None
-        self.new: dict[int, list[tuple]] = {}
-        self.parts = {bucket: parts for bucket, parts, _ in self.held[0]}
-        self.first = {bucket: first for bucket, _, first in self.held[0]}
+        self.parts: dict[int, int]
+        self.first: dict[int, int]
+        self.new: dict[int, list[tuple]]
+        self.parts, self.first, self.new = pickle.loads(self.held[0]) if held else ({}, {}, {})
 
     def _step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
         self.values.key = key
@@ -166,10 +295,11 @@ class InOrder(StatefulProcessor):
                 yield from self._step(key, rows, timers)
 
     def _end(self, fired: int | None = None) -> None:
-        self._store()
+        self._store(INLINE_ROWS)
         wake = [*self.first.values(), self.leave()]
         self.values.close()
-        buckets = [(bucket, self.parts[bucket], self.first[bucket]) for bucket in sorted(self.first)]
+        waiting = pickle.dumps((self.parts, self.first, self.new), 5)
+        self.parts, self.first, self.new = {}, {}, {}
         timer = min((w for w in wake if w is not None), default=None)
         old = self.held[1]
         if timer != old:
@@ -180,8 +310,8 @@ class InOrder(StatefulProcessor):
         if timer is None:
             if old is not None:
                 self.index.clear()
-        elif (buckets, timer) != self.held:
-            self.index.update((buckets, timer))
+        elif (waiting, timer) != self.held:
+            self.index.update((waiting, timer))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         self._begin(timerValues)
@@ -261,35 +391,14 @@ class InventoryProcessor(InOrder):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.values = self.seats = PerKey(handle, "seats", "event_id", "remaining: int, capacity: int")
-        self.bookings = handle.getMapState("bookings", "event_id string, booking_id string",
-                                           "quantity int, held boolean, settled boolean, last_us long")
-        self.known: dict[tuple, tuple | None] = {}  # bookings read or changed
-        self.dirty: set[tuple] = set()
+        # by (event, booking): quantity, held, settled, time of the last effective command
+        self.bookings = Paged(handle, "bookings")
 
     def handleInitialState(self, key, initialState: Row, timerValues: TimerValues) -> None:
         self.seats.seed([(r["event_id"], int(r["remaining"]), int(r["capacity"])) for r in initialState["seats"]])
 
-    def _flush(self) -> None:
-        for at_ in self.dirty:
-            value = self.known[at_]
-            if value is None:
-                self.bookings.removeKey(at_)
-            else:
-                self.bookings.updateValue(at_, value)
-        self.known, self.dirty = {}, set()
-
     def leave(self) -> None:
-        self._flush()
-
-    def _get(self, at_: tuple) -> tuple | None:
-        if at_ not in self.known:
-            held = self.bookings.getValue(at_)
-            self.known[at_] = None if held is None else tuple(held)
-        return self.known[at_]
-
-    def _set(self, at_: tuple, value: tuple | None) -> None:
-        self.known[at_] = value
-        self.dirty.add(at_)
+        self.bookings.close()
 
     def step(self, key: tuple, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
         start = self.seats.get()
@@ -305,7 +414,7 @@ class InventoryProcessor(InOrder):
                 self.add((*row, *key))
 
         def put(bid, value: tuple) -> None:
-            self._set((*key, bid), value)
+            self.bookings.update(value, (*key, bid))
             if self.keep is not None and value[3] is not None:
                 gone = value[3] + self.keep
                 later((gone, bid, 1 << 30, 0, "FORGET"))
@@ -325,11 +434,11 @@ class InventoryProcessor(InOrder):
                     if self.ttl is not None and us is not None:
                         later((us + self.ttl, bid, 0, q, "EXPIRE"))
             else:
-                b = self._get((*key, bid))
+                b = self.bookings.get((*key, bid))
                 gone = b is None or (None not in (self.keep, us, b[3]) and us > b[3] + self.keep)
                 if cm == "FORGET":
                     if b is not None and us >= b[3] + self.keep:
-                        self._set((*key, bid), None)
+                        self.bookings.update(None, (*key, bid))
                     continue
                 if cm == "EXPIRE":
                     now = [r[4] for r in rows[i:i + 8] if r[:2] == (us, bid)]  # settled at this very moment
@@ -345,13 +454,11 @@ class InventoryProcessor(InOrder):
                         ok = True
                         put(bid, (q, True, True, us))
                     elif not b[2]:  # confirmed as it was held: settled, nothing else changes
-                        self._set((*key, bid), (b[0], b[1], True, b[3]))
+                        self.bookings.update((b[0], b[1], True, b[3]), (*key, bid))
             yield Row(event_id=key[0], booking_id=bid, seq=seq, command=cm, ts=at(us), applied=ok,
                       remaining=rem if known else None)
         if (rem, cap) != start:
             self.seats.update((rem, cap))
-        if len(self.known) > PART_ROWS:
-            self._flush()
 
 
 class SettleProcessor(InOrder):
@@ -362,8 +469,7 @@ class SettleProcessor(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.values = self.booking = PerKey(handle, "bookings", "booking_id", "event_id: string, quantity: int, "
-                                            "unit_price_cents: long, status: string")
+        self.values = self.booking = Paged(handle, "bookings")  # event, quantity, price in cents, status
 
     def handleInitialState(self, key, initialState: Row, timerValues: TimerValues) -> None:
         self.booking.seed([tuple(b.values()) for b in initialState["bookings"]])

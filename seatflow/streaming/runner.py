@@ -24,6 +24,10 @@ STATEFUL_CONF = {
     # transformWithState needs the RocksDB state store
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a micro-batch commits its changes, not a copy of the store's files
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a stream-stream join keeps one store per partition, not four
+    "spark.sql.streaming.join.stateFormatVersion": "3",
 }
 
 
