@@ -13,6 +13,7 @@ from seatflow.operators.changes import apply_status, release_cancelled
 from seatflow.operators.joins import inventory_drift
 from seatflow.plans.catalog import fx, register
 from seatflow.plans.q_replay import BURST, TOKEN_US, W1_STEPS, W2_STEPS, W7_STEPS
+from seatflow.session import reliable_checkpoint
 from seatflow.sources.messages import parse_booking_messages
 from seatflow.streaming import operators as S
 from seatflow.streaming.runner import SliceReplay, enable_state_store, slice_numbers
@@ -27,6 +28,11 @@ _PARSED_SQL = """SELECT *, json_valid(body) AS parsed,
 FROM v_booking_messages"""
 
 
+def _stored(df):
+    """The view computed once: its time bounds, slices and heartbeats read the stored rows."""
+    return reliable_checkpoint(df, "view")
+
+
 def _sliced(df, ts_col="ts", slices=SLICES):
     return df.withColumn("_slice", slice_numbers(df, ts_col, slices)), list(range(slices))
 
@@ -113,7 +119,7 @@ def _settled_or_cancelled(spark, sf):
     enable_state_store(spark)
     f = fx(spark, sf)
     base = f.bookings.withColumn("status", F.lit("PENDING"))
-    msgs = f.booking_messages
+    msgs = _stored(f.booking_messages)
     run = SliceReplay(spark, "t1-settle-or-cancel")
     src, slices = _shuffled(msgs, "ts", "body", ORDER_DAYS)
     beat = _heartbeats(msgs, "ts", [{"copy": 0, "body": "~"}], beats=(ORDER_DAYS + 2,))
@@ -161,8 +167,7 @@ FROM v_commands c WHERE c.command = 'CREATE' AND NOT EXISTS (SELECT 1 FROM v_com
   AND s.ts <= c.ts + INTERVAL 15 MINUTE)""")
 def t2(spark, sf):
     enable_state_store(spark)
-    f = fx(spark, sf)
-    cmds = f.commands
+    cmds = _stored(fx(spark, sf).commands)
     run = SliceReplay(spark, "t2-expire")
     src, slices = _sliced(cmds)
     # end of stream: a booking created and confirmed at the same instant
@@ -207,7 +212,7 @@ def t2a(spark, sf):
 def t3(spark, sf):
     enable_state_store(spark)
     f = fx(spark, sf)
-    req = f.bookings.select("id", "event_id", "quantity", "created_at")
+    req = _stored(f.bookings.select("id", "event_id", "quantity", "created_at"))
     run = SliceReplay(spark, "t3-admit")
     src, slices = _shuffled(req, "created_at", "id", ORDER_DAYS)
     ev = f.events.select("id", "capacity")
@@ -301,10 +306,11 @@ def t7(spark, sf):
     enable_state_store(spark)
     f = fx(spark, sf)
     run = SliceReplay(spark, "t7-inventory")
-    src, slices = _shuffled(f.commands, "ts", "booking_id", ORDER_DAYS)
+    cmds = _stored(f.commands)
+    src, slices = _shuffled(cmds, "ts", "booking_id", ORDER_DAYS)
     ev = f.events.select("id", "capacity")
     run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.inventory_stream(
-        s, ev, f"{ORDER_DAYS + 1} days", keep="3650 days")), _command_beat(f.commands))
+        s, ev, f"{ORDER_DAYS + 1} days", keep="3650 days")), _command_beat(cmds))
     return spark.read.parquet(run.sink)
 
 
@@ -323,10 +329,11 @@ def t2x(spark, sf):
     f = fx(spark, sf)
     # the deadlines of bookings released by the first beat are timers of the next batch
     run = SliceReplay(spark, "t2-expiry")
-    src, slices = _shuffled(f.commands, "ts", "booking_id", ORDER_DAYS)
+    cmds = _stored(f.commands)
+    src, slices = _shuffled(cmds, "ts", "booking_id", ORDER_DAYS)
     ev = f.events.select("id", "capacity")
     run.run(src, "_slice", slices, lambda s: _append_to(run.sink)(S.inventory_stream(
-        s, ev, f"{ORDER_DAYS + 1} days", ttl="15 minutes")), _command_beat(f.commands, beats=2))
+        s, ev, f"{ORDER_DAYS + 1} days", ttl="15 minutes")), _command_beat(cmds, beats=2))
     return spark.read.parquet(run.sink)
 
 
@@ -369,7 +376,7 @@ FROM c FULL OUTER JOIN v_events_stocked e ON c.id = e.id) WHERE side <> 'both' O
 def j6live(spark, sf):
     enable_state_store(spark)
     f = fx(spark, sf)
-    req = f.bookings.select("id", "event_id", "quantity", "created_at")
+    req = _stored(f.bookings.select("id", "event_id", "quantity", "created_at"))
     run = SliceReplay(spark, "j6-live")
     src, slices = _sliced(req, "created_at", 2)
     ev = f.events.select("id", "capacity")
