@@ -69,16 +69,23 @@ def _unique(table: DataFrame, key: str, key_as: str, id_as: str) -> DataFrame:
         F.col(id_as)).alias(id_as))
 
 
+def _looked_up(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the id of their key.  The keys of a partition are hashed and the
+    rows stream past them: sorting the rows, as the planner would, takes memory by
+    the rows of a partition, where the keys are few and short."""
+    return rows.join(keys.hint("shuffle_hash"), on, "left")
+
+
 def user_id_by_email(rows: DataFrame, users: DataFrame, email_col: str = "email") -> DataFrame:
     """The user id of every row's e-mail (NULL when none), as a join
     rather than a lookup per row.  An e-mail held twice is an error."""
-    return rows.join(_unique(users, "email", email_col, "user_id"), email_col, "left")
+    return _looked_up(rows, _unique(users, "email", email_col, "user_id"), email_col)
 
 
 def event_id_by_name(rows: DataFrame, events: DataFrame, name_col: str = "event_name") -> DataFrame:
     """The event id of every row's event name (NULL when none).  A
     name held twice is an error."""
-    return rows.join(_unique(events, "name", name_col, "event_id"), name_col, "left")
+    return _looked_up(rows, _unique(events, "name", name_col, "event_id"), name_col)
 
 
 def remaining_confirmed(events: DataFrame, bookings: DataFrame) -> DataFrame:
