@@ -1,7 +1,7 @@
 """Streaming operators.
 
-Stateful rules use ``transformWithState`` (the Row form: no pandas frame per
-key, about twice as fast here) keyed by the rule's key
+Stateful rules use ``transformWithState`` (in frames, one or a few per shard and
+micro-batch) keyed by the shard of the rule's key
 (event, booking or client), so state is spread over the cluster by key and
 survives restarts in the checkpoint.  Their rows wait in state until the
 watermark passes them and are then taken in event-time order (``ordered.py``),
@@ -23,8 +23,8 @@ from seatflow.operators.validate import validate_messages
 from seatflow.schemas import CONFIRMED, KEY_REMAINING_PREFIX, PENDING_TTL_MINUTES
 from seatflow.sources.documents import gauge_samples, stats_documents
 from seatflow.sources.messages import parse_booking_messages
-from seatflow.streaming.ordered import (SHARDS, WIDTH_MS, AdmitProcessor, InventoryProcessor, RateLimitProcessor,
-                                        SettleProcessor)
+from seatflow.streaming.ordered import (FIRST_TIME, LAST_TIME, NO_TIME, SHARDS, WIDTH_MS, AdmitProcessor, Frames, InOrder,
+                                        InventoryProcessor, RateLimitProcessor, SettleProcessor)
 from seatflow.streaming.runner import path_exists
 
 WATERMARK_DELAY = "15 minutes"
@@ -47,26 +47,40 @@ def _shard(of: Column) -> Column:
     return F.pmod(F.xxhash64(of), F.lit(SHARDS)).cast("int").alias("shard")
 
 
-def _seeds(table: DataFrame, key: str, name: str, *cols: str):
-    """The rows of ``table`` as one array ``name`` per shard, the state to start from."""
-    return table.groupBy(_shard(F.col(key))).agg(F.collect_list(F.struct(key, *cols)).alias(name)).groupBy("shard")
+_SEATS = (("event_id", "string"), ("remaining", "int"), ("capacity", "int"))
+_BOOKINGS = (("booking_id", "string"), ("event_id", "string"), ("quantity", "int"), ("unit_price_cents", "bigint"),
+             ("status", "string"))
 
 
-def _event_seeds(events: DataFrame, *more: str):
+def _seats(events: DataFrame) -> DataFrame:
     left = "remaining" if "remaining" in events.columns else "capacity"
-    seats = events.select(F.col("id").alias("event_id"), F.col(left).cast("int").alias("remaining"),
-                          F.col("capacity").cast("int").alias("capacity"))
-    return _seeds(seats, "event_id", "seats", "remaining", *more)
+    return events.select(F.col("id").alias("event_id"), F.col(left).alias("remaining"), "capacity")
 
 
 def _timed(rows: DataFrame, ts: str, fields, key: str, delay: str, shard: Column | None = None):
     """``rows`` by shard, in the columns of ``ordered.InOrder``, with a watermark on ``event_ts``."""
-    timed = rows.withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp"))).select(
+    timed = rows.withColumn("ts_us", F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(NO_TIME))).select(
         *[F.col(c).cast(kind).alias(c) for c, kind in fields], F.col(key).cast("string").alias("key"),
-        _shard(F.col(key)) if shard is None else shard, F.col(ts).alias("event_ts"))
+        _shard(F.col(key)) if shard is None else shard, _in_frames(F.col(ts).cast("timestamp")).alias("event_ts"))
     return event_time(timed, "event_ts", delay).groupBy("shard")
 
 
+def _in_frames(ts: Column) -> Column:
+    """A time that nanoseconds can say: the first and the last there are for those beyond."""
+    first, last = (F.lit(t).cast("timestamp") for t in (FIRST_TIME, LAST_TIME))
+    return F.when(ts < first, first).when(ts > last, last).otherwise(ts)
+
+
+def _in_order(rows, rule: InOrder, out: T.StructType, table: DataFrame | None = None, start: str = "",
+              seeds: tuple = ()) -> DataFrame:
+    """What ``rule`` gives for ``rows`` of ``_timed``; ``table`` holds the values it starts from, in the
+    columns ``seeds``, the first of them the key."""
+    if table is not None:
+        table = table.select(_shard(F.col(seeds[0][0])), *[F.col(c).cast(kind).alias(c) for c, kind in seeds]).groupBy("shard")
+    return rows.transformWithStateInPandas(statefulProcessor=Frames(rule, start, seeds), outputStructType=out,
+                                           outputMode="Append", timeMode="EventTime", initialState=table)
+
+
 def _span_ms(delay: str) -> int:
     """Width of a stored bucket: rows wait for about eight of them."""
     return _micros(delay) // 8000
@@ -86,10 +100,9 @@ def inventory_stream(commands: DataFrame, events: DataFrame, delay: str = WATERM
     ``ttl`` cancels bookings not settled in time (T2) in the same query: the
     cancels come out as rows of their own (seq 0, at the deadline).  ``keep``
     frees a booking's state that long after its last effective command."""
-    return _timed(commands, "ts", InventoryProcessor.fields, "event_id", delay).transformWithState(
-        statefulProcessor=InventoryProcessor(width_ms, _span_ms(delay), _micros(ttl), _micros(keep)),
-        outputStructType=INVENTORY_OUT, outputMode="Append", timeMode="EventTime",
-        initialState=_event_seeds(events, "capacity"))
+    rule = InventoryProcessor(width_ms, _span_ms(delay), _micros(ttl), _micros(keep))
+    return _in_order(_timed(commands, "ts", rule.fields, "event_id", delay), rule, INVENTORY_OUT, _seats(events), "seats",
+                     _SEATS)
 
 
 def admit_stream(requests: DataFrame, events: DataFrame, delay: str = WATERMARK_DELAY,
@@ -98,9 +111,9 @@ def admit_stream(requests: DataFrame, events: DataFrame, delay: str = WATERMARK_
     of their times, whatever order they come in, ``delay`` at most apart; same
     columns and reasons as W1.  A request without a time is decided when it
     arrives.  State is one value per event and the requests still waiting."""
-    out = _timed(requests, "created_at", AdmitProcessor.fields, "event_id", delay).transformWithState(
-        statefulProcessor=AdmitProcessor(width_ms, _span_ms(delay)), outputStructType=ADMIT_OUT, outputMode="Append",
-        timeMode="EventTime", initialState=_event_seeds(events))
+    rule = AdmitProcessor(width_ms, _span_ms(delay))
+    out = _in_order(_timed(requests, "created_at", rule.fields, "event_id", delay), rule, ADMIT_OUT, _seats(events), "seats",
+                    _SEATS[:2])
     return out.withColumn("reason", F.when(F.col("remaining").isNull(), F.lit(UNKNOWN_EVENT)).when(
         ~F.col("admitted"), F.lit(NOT_ENOUGH)))
 
@@ -112,9 +125,8 @@ def rate_limit_stream(log: DataFrame, key: str, token_us: int, burst: int, delay
     may come in any order, ``delay`` at most apart; those further behind are
     dropped by Spark and counted (``runner.ProgressLog``)."""
     rows = log.select(F.col(key).alias("key"), "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return _timed(rows, "ts", RateLimitProcessor.fields, "key", delay).transformWithState(
-        statefulProcessor=RateLimitProcessor(token_us, burst, width_ms, _span_ms(delay)), outputStructType=RATE_OUT,
-        outputMode="Append", timeMode="EventTime")
+    rule = RateLimitProcessor(token_us, burst, width_ms, _span_ms(delay))
+    return _in_order(_timed(rows, "ts", rule.fields, "key", delay), rule, RATE_OUT)
 
 
 # -------------------------------------------------------------------- T2
@@ -322,14 +334,11 @@ def settle_or_cancel(messages: DataFrame, bookings: DataFrame, fails: Column | N
         F.when(~bad, F.col("booking_id")).alias("key"), F.when(bad, F.col("body")).alias("spread"), "ts", "booking_id",
         F.col("copy").cast("int").alias("seq"), F.when(bad, F.concat_ws(",", "errors")).alias("reason"),
         F.coalesce(F.lit(False) if fails is None else fails, F.lit(False)).alias("fails"))
-    seeds = bookings.select(F.col("id").alias("booking_id"), "event_id", F.col("quantity").cast("int").alias("quantity"),
-                            F.col("unit_price_cents").cast("long").alias("unit_price_cents"), "status")
+    held = bookings.select(F.col("id").alias("booking_id"), "event_id", "quantity", "unit_price_cents", "status")
     # a refused message names no booking to go with; it goes by its text
     shard = _shard(F.coalesce("key", "spread"))
-    return _timed(rows, "ts", SettleProcessor.fields, "key", delay, shard).transformWithState(
-        statefulProcessor=SettleProcessor(width_ms, _span_ms(delay)), outputStructType=SETTLED, outputMode="Append",
-        timeMode="EventTime", initialState=_seeds(seeds, "booking_id", "bookings", "event_id", "quantity",
-                                                  "unit_price_cents", "status"))
+    rule = SettleProcessor(width_ms, _span_ms(delay))
+    return _in_order(_timed(rows, "ts", rule.fields, "key", delay, shard), rule, SETTLED, held, "bookings", _BOOKINGS)
 
 
 def stats_stream(changes: DataFrame, sink_path: str):

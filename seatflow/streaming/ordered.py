@@ -22,16 +22,21 @@ A rule may also put rows of its own into the order, after the row at hand: the
 cancel of a booking that is never settled, or the order to forget one.
 
 A row without a time has no place in the order; the rule gets it on arrival.
+
+Spark hands rows over in frames (``Frames``): converting them one by one, in and
+out, takes longer than all the rest.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from zlib import crc32
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle,
                                                       TimerValues)
@@ -46,6 +51,11 @@ PAGE_ROWS = 256  # of a page, on average
 PAGED_ROWS = 100_000  # of a shard's pages in Python before they go to state
 SINGLES = 48  # values of a shard that lie alone
 ALONE = 1 << 31  # pages of a shard with no more values than that
+FRAME_ROWS = 10_000  # of a frame handed back
+NO_TIME = -(1 << 63)  # in ``ts_us`` of a frame; a column with nulls would be one of doubles
+FIRST_TIME, LAST_TIME = "1700-01-01", "2262-01-01"  # event times of frames are nanoseconds
+# rows after this wait for no later time, as the watermark may not get there
+LAST_US = 7_258_118_400_000_000  # 2200-01-01
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -90,7 +100,10 @@ class PerKey:
         self.state.update(tuple(list(column) for column in zip(*values)))
 
     def seed(self, values: list[tuple]) -> None:
-        self._write(values)
+        """Values to start from; those of a shard may come in several calls."""
+        self.all().update((v[0], v[1:]) for v in values)
+        self.changed = True
+        self.close()
 
     def close(self) -> None:
         if self.changed and self.read:
@@ -171,8 +184,13 @@ class Paged:
         self.dirty.add(page)
 
     def seed(self, values: list[tuple]) -> None:
+        """Values to start from; those of a shard may come in several calls."""
         held = {key: value for key, *value in values}
         self._sized()
+        if self.keys:
+            for key, value in held.items():
+                self.update(tuple(value), key)
+            return self.close()
         self.keys = len(held)
         if self.keys > SINGLES:
             self.n = 1 << max(0, (self.keys // PAGE_ROWS).bit_length())
@@ -238,7 +256,7 @@ class InOrder(StatefulProcessor):
 
     # ------------------------------------------------ waiting rows
     def due(self, us: int) -> int:
-        return (us // (1000 * self.width) + 1) * self.width
+        return (min(us, LAST_US) // (1000 * self.width) + 1) * self.width
 
     def add(self, row: tuple) -> None:
         """Put ``row`` in its place in the order."""
@@ -338,6 +356,51 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _values(frame: pd.DataFrame, name: str, kind: str) -> list:
+    """A column's Python values, None where it has none."""
+    column = frame[name]
+    if name == "ts_us":
+        return [None if v == NO_TIME else v for v in column.tolist()]
+    if column.dtype.kind in "ib":
+        return column.tolist()
+    whole = kind in ("int", "bigint")
+    return [None if v is None or v != v else int(v) if whole else v for v in column.tolist()]
+
+
+class Frames(StatefulProcessor):
+    """A rule whose rows come and go in frames, as do the values it starts from:
+    ``seeds`` (name, type) are their columns, ``start`` is the rule's name for them."""
+
+    def __init__(self, rule: InOrder, start: str = "", seeds: tuple[tuple[str, str], ...] = ()):
+        self.rule, self.start, self.seeds = rule, start, seeds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rule.init(handle)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        names = [name for name, _ in self.seeds]
+        columns = [_values(initialState, *seed) for seed in self.seeds]
+        self.rule.handleInitialState(key, {self.start: [dict(zip(names, row)) for row in zip(*columns)]}, timerValues)
+
+    def _frames(self, rows: Iterator[Row]) -> Iterator[pd.DataFrame]:
+        while some := list(islice(rows, FRAME_ROWS)):
+            yield pd.DataFrame([tuple(r) for r in some], columns=some[0].__fields__, dtype=object)
+
+    def _rows(self, frames: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+        for frame in frames:
+            yield from zip(*(_values(frame, name, kind) for name, kind in (*self.rule.fields, ("key", "string"))))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        yield from self._frames(self.rule.handleInputRows(key, self._rows(rows), timerValues))
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues,
+                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._frames(self.rule.handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+    def close(self) -> None:
+        self.rule.close()
+
+
 class AdmitProcessor(InOrder):
     """Admission (T3): one value per event, the seats left.  A refused request
     takes nothing and a later smaller one may still fit."""
