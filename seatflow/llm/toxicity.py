@@ -50,7 +50,7 @@ NEAREST = 15
 EASE = 0.05
 BLOCK = 64
 GROUPS = 16
-FREQUENT, FREQUENT_SHARE, TOGETHER, AT_ONCE = 4096, 256, 64, 8
+FREQUENT, FREQUENT_SHARE, TOGETHER, AT_ONCE = 4096, 256, 256, 32
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 SLICE = 1 << 19
@@ -167,8 +167,8 @@ class Index:
         new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
         self.cell_block = (self.post_doc // BLOCK)[new].astype(np.int32) if len(cell) else new.astype(np.int32)
         self.cell_max = np.maximum.reduceat(self.post_w, new) if len(cell) else np.zeros(0, np.float32)
+        self.cell_posts = np.append(new, len(cell))
         self.term_cells = np.searchsorted(term[new], np.arange(len(self.words) + 1))
-        self.term_posts = np.concatenate(([0], np.cumsum(self.df)))
         often = np.argsort(-self.df, kind="stable")[:FREQUENT]
         self.often = often[self.df[often] * FREQUENT_SHARE > len(self.ids)]
         self.row = np.full(len(self.words) + 1, -1, np.int32)
@@ -187,13 +187,23 @@ class Index:
             q[k, row[row >= 0]] = w[row >= 0]
         return q
 
-    def _scores(self, vecs: list, base: np.ndarray, k: int, skip: list) -> tuple[np.ndarray, np.ndarray]:
-        """Each vector's sums over the rare terms with the examples of its
-        opened blocks, and which examples may be among the k best.  ``base``
-        has the products over the frequent terms in single precision; with
-        ``slack``, more than they can be off, no example is missed.  The blocks
-        of the highest bounds are opened first, then those whose bound still
-        reaches the k-th best score."""
+    def _opened(self, cell: np.ndarray, at: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
+        """Sums of weight ``w`` times the postings of each cell, for ``m`` vectors; ``at`` is where a vector's sums begin."""
+        start, end = self.cell_posts[cell], self.cell_posts[cell + 1]
+        n = end - start
+        run = np.repeat(np.arange(len(cell)), n)
+        post = (end - np.cumsum(n))[run] + np.arange(len(run))
+        width = self.blocks * BLOCK
+        return np.bincount(at[run] + self.post_doc[post], w[run] * self.post_w[post], m * width).reshape(m, width)
+
+    def _scores(self, vecs: list, base: np.ndarray, k: int, skip: list
+                ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each vector's examples that may be among its k best, with their sums over
+        the rare terms.  ``base`` has the products over the frequent terms in
+        single precision; with ``slack``, more than they can be off, no example
+        is missed.  The blocks of the highest bounds are opened first, then
+        those whose bound reaches the k-th best score of these: postings of
+        other blocks are not read."""
         m, blocks = len(vecs), self.blocks
         width = blocks * BLOCK
         left_out = [(r, x) for r, x in enumerate(skip) if x is not None]
@@ -201,51 +211,64 @@ class Index:
             base[r, x] = 0.0
         # each of n nonnegative products and sums is off by 2 ** -24 of itself at most, the whole by about n times that
         slack = np.array([len(v[0]) + 8 for v in vecs]) * 2.0 ** -22
-        text = np.repeat(np.arange(m, dtype=np.int32), [len(v[0]) for v in vecs])
+        text = np.repeat(np.arange(m), [len(v[0]) for v in vecs])
         t, w = (np.concatenate([v[c] for v in vecs]) for c in (0, 1))
-        rare = self.row[t] < 0
+        rare = np.flatnonzero(self.row[t] < 0)
+        # term by term, so that vectors with a term in common read its cells and postings one after the other
+        rare = rare[np.argsort(t[rare], kind="stable")]
         text, t, w = text[rare], t[rare], w[rare]
         n = self.term_cells[t + 1] - self.term_cells[t]
-        cell = spread(self.term_cells[t], n)
-        place = np.repeat(text * np.int32(blocks), n) + self.cell_block[cell]
+        cell, w = spread(self.term_cells[t], n), np.repeat(w, n)
+        place = np.repeat(text * blocks, n) + self.cell_block[cell]
         tops = base.reshape(m, blocks, BLOCK)
-        bound = tops.max(axis=2) + np.bincount(place, np.repeat(w, n) * self.cell_max[cell], m * blocks).reshape(m, blocks)
-        n = self.df[t]
-        post = spread(self.term_posts[t], n)
-        at, value = np.repeat(text * np.int32(width), n) + self.post_doc[post], np.repeat(w, n) * self.post_w[post]
-        block = at // BLOCK
+        bound = tops.max(axis=2) + np.bincount(place, w * self.cell_max[cell], m * blocks).reshape(m, blocks)
+        at = np.repeat(text * width, n)
         first = min(blocks, blocks // 16 + 1)
-        todo = bound >= np.partition(bound, blocks - first, axis=1)[:, blocks - first, None]
-        todo &= bound > 0
-        opened, kth = np.zeros_like(todo), np.zeros(m)
-        rest, score = np.zeros((m, width)), np.zeros((m, width), np.float32)
-        while todo.any():
-            opened |= todo
-            own = todo.ravel()[block]
-            rest += np.bincount(at[own], value[own], m * width).reshape(m, width)
-            score.reshape(m, blocks, BLOCK)[todo] = tops[todo] + rest.reshape(m, blocks, BLOCK)[todo]
-            for r, x in left_out:
-                score[r, x] = 0.0
-            if width >= k:
-                kth = np.partition(score, width - k, axis=1)[:, width - k]
-            todo = ~opened & (bound > 0) & (bound >= (kth - slack)[:, None])
-        return rest, (score > 0) & (score >= (kth - slack)[:, None])
+        best = np.argpartition(bound, blocks - first, axis=1)[:, blocks - first:]
+        rows, least = np.arange(m)[:, None], np.zeros(m)
+        todo = np.zeros((m, blocks), bool)
+        todo[rows, best] = True
+        own = np.flatnonzero(todo.ravel()[place])
+        rest = self._opened(cell[own], at[own], w[own], m)
+        for r, x in left_out:
+            rest[r, x] = 0.0
+        if first * BLOCK >= k:
+            score = (tops[rows, best] + rest.reshape(m, blocks, BLOCK)[rows, best]).reshape(m, first * BLOCK)
+            least = np.partition(score, first * BLOCK - k, axis=1)[:, first * BLOCK - k]
+        least = least - slack
+        todo = ~todo & (bound > 0) & (bound >= least[:, None])
+        own = np.flatnonzero(todo.ravel()[place])
+        rest += self._opened(cell[own], at[own], w[own], m)
+        for r, x in left_out:
+            rest[r, x] = 0.0
+        # an example of a block left closed has less than ``least`` here, too
+        score = base + rest
+        may = (score > 0) & (score >= least[:, None])
+        for r in range(m):
+            found = np.flatnonzero(may[r])
+            if len(found) > k:
+                own = score[r, found]
+                found = found[own >= np.partition(own, len(own) - k)[len(own) - k] - slack[r]]
+            yield found, rest[r, found]
 
     def nearest(self, vecs: list, k: int, skip: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The k nearest examples of each vector (numbers and cosines), ties by
         number; ``skip`` names an example per vector that doesn't count."""
         skip = skip or [None] * len(vecs)
-        for i in range(0, len(vecs), TOGETHER):
+        together = -(-len(vecs) // max(1, -(-len(vecs) // TOGETHER)))  # groups of even size
+        for i in range(0, len(vecs), max(1, together)):
+            group = vecs[i:i + together]
             if not self.blocks:
-                yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vecs[i:i + TOGETHER])
+                yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in group)
                 continue
-            q = self._frequent(vecs[i:i + TOGETHER])
-            base = q.astype(np.float32) @ self.dense.T
+            q = self._frequent(group)
+            # the examples' rows as they lie in memory: a product of the large matrix from the left is the faster one
+            base = np.ascontiguousarray((self.dense @ q.astype(np.float32).T).T)
             for j in range(0, len(base), AT_ONCE):
-                some = slice(i + j, min(i + TOGETHER, i + j + AT_ONCE))
-                for r, (rest, may) in enumerate(zip(*self._scores(vecs[some], base[j:j + AT_ONCE], k, skip[some]))):
-                    found = np.flatnonzero(may)
-                    score = rest[found] + self.dense[found].astype(np.float64) @ q[j + r]
+                some = slice(j, j + AT_ONCE)
+                own = skip[i:i + together][some]
+                for r, (found, rest) in enumerate(self._scores(group[some], base[some], k, own)):
+                    score = rest + self.dense[found].astype(np.float64) @ q[j + r]
                     best = np.lexsort((found, -np.round(score, 9)))[:k]
                     yield found[best], score[best]
 

@@ -316,6 +316,48 @@ def test_block_max_search_is_exact():
         assert (near == order[want[order] > 0]).all() and np.allclose(cos, want[near])
 
 
+def test_search_reads_the_postings_of_opened_blocks_only():
+    rng = np.random.default_rng(5)
+    n, examples = 400, 64 * 20
+    index = toxicity.Index(np.sort(textvec.mix(np.arange(n, dtype=np.uint64))), np.ones(n))
+    strong, width = np.repeat([1.0, 0.02], [640, 640]), examples // 2
+
+    def vec(weight=1.0):
+        t = np.sort(rng.choice(n, 8, replace=False))
+        w = rng.random(8) + 0.5
+        return t, weight * w / np.linalg.norm(w)
+    # the later examples are worth little, so their blocks can't hold a near one
+    vecs = [vec(x) for x in strong]
+    index.add(np.arange(examples), rng.integers(0, 2, examples), vecs)
+    index._arrange()
+    # all terms as rare ones
+    index.often, index.dense = index.often[:0], np.zeros((index.blocks * toxicity.BLOCK, 0), np.float32)
+    index.row[:] = -1
+    read = []
+
+    class Weights(np.ndarray):
+        def __getitem__(self, at):
+            read.append(np.asarray(self.base_docs)[at])
+            return np.asarray(self)[at]
+    weights = index.post_w.view(Weights)
+    weights.base_docs = index.post_doc
+    index.post_w = weights
+    queries = [vec() for _ in range(70)]
+    dense = np.zeros((examples, n))
+    for i, (t, w) in enumerate(vecs):
+        dense[i, t] = w
+    got = list(index.nearest(queries, 5))
+    assert len(got) == 70
+    for (t, w), (near, cos) in zip(queries, got):
+        q = np.zeros(n)
+        q[t] = w
+        want = dense @ q
+        order = np.lexsort((np.arange(examples), -np.round(want, 9)))[:5]
+        assert (near == order).all() and np.allclose(cos, want[near])
+    read = np.concatenate(read)
+    assert len(read) and (read >= width).sum() * 20 < (read < width).sum()
+
+
 def test_neighbours_are_by_all_terms_and_all_documents(spark, docs):
     lab = spark.read.parquet(f"{SF}/labels.parquet")
     index = toxicity.fit(docs, lab)
