@@ -6,17 +6,17 @@ row does, so the keys (events, bookings, clients) are dealt by hash into a fixed
 number of shards, and the shard is what Spark groups by: a shard's few values
 are one state value, many values lie in pages by the hash of their key, and its
 waiting rows are one value as long as they are few.  Where they are more, the
-largest buckets of event time go to values of their own, in parts that are only
-added to.  Rows that the watermark has passed when they come are never stored.
-So a shard costs a few calls per micro-batch, however many rows and keys it has
-there.  Pages and waiting rows are pickled here: Spark takes many times as long
-for typed rows.
+later ones go to values of their own, in parts by event time: a bucket of time,
+or as many neighbouring ones as make up enough rows.  Rows that the watermark
+has passed when they come are never stored.  So a shard costs a few calls per
+micro-batch, however many rows, keys and moments it has there.  Pages and
+waiting rows are pickled here: Spark takes many times as long for typed rows.
 
 A row is released when the watermark has passed its slot of ``width_ms``.  One
 timer per shard, at the first such moment, wakes shards that get no more rows.
-What is sorted at once is one bucket of one shard.  Rows behind the
-watermark are refused by Spark before they come here and counted in the query's
-progress (``runner.ProgressLog``).
+What is in memory at once are the rows of one shard up to the next part not read
+yet; what is sorted, one bucket of them.  Rows behind the watermark are refused by Spark before they come here and
+counted in the query's progress (``runner.ProgressLog``).
 
 A rule may also put rows of its own into the order, after the row at hand: the
 cancel of a booking that is never settled, or the order to forget one.
@@ -31,9 +31,11 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 from itertools import islice
+from operator import itemgetter
 from zlib import crc32
 
 import pandas as pd
@@ -45,8 +47,10 @@ from seatflow.schemas import CANCELLED, CONFIRMED
 
 WIDTH_MS = 60_000
 SHARDS = 1024  # fixed for the life of a checkpoint
-PART_ROWS = 20_000  # of a shard's rows in Python before they go to state
+PART_ROWS = 20_000  # of a shard's rows in Python before they go to state, and of parts read at once
 INLINE_ROWS = 2_000  # of a shard's waiting rows that lie in one value
+MERGED_ROWS = 1_000  # of a part that takes in neighbouring buckets
+MERGED_OF = 100_000  # of a shard's rows in parts, beyond which new parts take in fewer: those about one moment meet in memory
 PAGE_ROWS = 256  # of a page, on average
 PAGED_ROWS = 100_000  # of a shard's pages in Python before they go to state
 SINGLES = 48  # values of a shard that lie alone
@@ -57,6 +61,7 @@ FIRST_TIME, LAST_TIME = "1700-01-01", "2262-01-01"  # event times of frames are
 # rows after this wait for no later time, as the watermark may not get there
 LAST_US = 7_258_118_400_000_000  # 2200-01-01
 _EPOCH = datetime(1970, 1, 1)
+_time = itemgetter(0)  # of a row
 
 
 def at(us: int | None) -> datetime | None:
@@ -244,7 +249,7 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getMapState("rows", "bucket long, part int", "rows binary")
-        # per bucket its number of parts, when its first row is due and its rows outside the parts; the shard's timer
+        # the parts and the rows outside them; the shard's timer
         self.index = handle.getValueState("index", "waiting binary, timer long")
 
     # ------------------------------------------------ what a rule says
@@ -258,31 +263,45 @@ class InOrder(StatefulProcessor):
     def due(self, us: int) -> int:
         return (min(us, LAST_US) // (1000 * self.width) + 1) * self.width
 
+    def _before(self, ms: int) -> int:
+        """The time before which rows are due by ``ms``."""
+        us = ms // self.width * self.width * 1000
+        return us if us <= LAST_US else 1 << 63
+
+    def _bucket(self, row: tuple) -> int:
+        return self.due(row[0]) // self.span
+
     def add(self, row: tuple) -> None:
         """Put ``row`` in its place in the order."""
-        due = self.due(row[0])
-        bucket = due // self.span
-        self.new.setdefault(bucket, []).append(row)
-        if due < self.first.get(bucket, due + 1):
-            self.first[bucket] = due
+        if row[0] >= self.cut:
+            (self.new if row[0] >= self.limit else self.read).append(row)
+            return
+        bucket = self._bucket(row)
+        if bucket in self.ready:
+            self.ready[bucket].append(row)
+        else:
+            self.ready[bucket] = [row]
+            heapq.heappush(self.next, bucket)
 
     def _store(self, inline: int = 0) -> None:
-        """Put waiting rows into parts, the largest buckets first, all but ``inline`` rows."""
-        held = sum(map(len, self.new.values()))
-        for bucket in sorted(self.new, key=lambda b: -len(self.new[b])):
-            if held <= inline:
-                break
-            rows, part = self.new.pop(bucket), self.parts.get(bucket, 0)
-            self.rows.updateValue((bucket, part), (pickle.dumps(rows, 5),))
-            self.parts[bucket] = part + 1
-            held -= len(rows)
-
-    def _take(self, bucket: int) -> list[tuple]:
-        del self.first[bucket]
-        rows = self.new.pop(bucket, [])
-        for part in range(self.parts.pop(bucket, 0)):
-            rows += pickle.loads(self.rows.getValue((bucket, part))[0])
-            self.rows.removeKey((bucket, part))
+        """Put waiting rows into parts if they are more than ``inline``, all but the first half of that."""
+        if len(self.new) <= inline:
+            return
+        self.new.sort(key=_time)
+        rows, self.new = self.new[inline // 2:], self.new[:inline // 2]
+        least, start = max(1, MERGED_ROWS * MERGED_OF // max(MERGED_OF, self.stored)), 0
+        while start < len(rows):
+            end = start + least if len(rows) - start >= 2 * least else len(rows)
+            end = bisect_right(rows, self._bucket(rows[end - 1]), end, key=self._bucket)
+            part = self._bucket(rows[start]), self.number
+            self.rows.updateValue(part, (pickle.dumps(rows[start:end], 5),))
+            self.parts[part] = self.due(rows[start][0]), end - start
+            self.number, self.stored, start = self.number + 1, self.stored + end - start, end
+
+    def _take(self, part: tuple[int, int]) -> list[tuple]:
+        self.stored -= self.parts.pop(part)[1]
+        rows = pickle.loads(self.rows.getValue(part)[0])
+        self.rows.removeKey(part)
         return rows
 
     def _begin(self, timers: TimerValues) -> None:
@@ -290,35 +309,59 @@ class InOrder(StatefulProcessor):
         held = self.index.get()
         self.held = (bytes(held[0]), held[1]) if held else (None, None)
         self.open = None
-        self.parts: dict[int, int]
-        self.first: dict[int, int]
-        self.new: dict[int, list[tuple]]
-        self.parts, self.first, self.new = pickle.loads(self.held[0]) if held else ({}, {}, {})
+        # rows before the limit are due; those before the cut are released at the moment, by bucket
+        # (``next`` is a heap of these), the others are ``read`` and wait for the parts about them
+        self.limit, self.cut, self.read, self.ready, self.next = NO_TIME, NO_TIME, [], {}, []
+        self.parts: dict[tuple[int, int], tuple[int, int]]  # by bucket and number: due of the first row, rows
+        self.new: list[tuple]
+        self.parts, self.new = pickle.loads(self.held[0]) if held else ({}, [])
+        self.number = max((n for _, n in self.parts), default=-1) + 1
+        self.stored = sum(n for _, n in self.parts.values())
 
     def _step(self, key, rows: list[tuple], timers: TimerValues) -> Iterator[Row]:
         self.values.key = key
         yield from self.step((key,), rows, timers)
 
     def _release(self, timers: TimerValues) -> Iterator[Row]:
-        while ready := [bucket for bucket, first in self.first.items() if first <= self.watermark]:
-            self.open = min(ready)
-            of: dict = {}
-            for row in self._take(self.open):
-                if self.due(row[0]) <= self.watermark:
+        parts = sorted((part for part, (first, _) in self.parts.items() if first <= self.watermark), reverse=True)
+        self.limit = self._before(self.watermark)
+        self.read, self.new = self.new, []
+        while True:
+            last = None
+            end = len(self.read) + PART_ROWS
+            while parts and (len(self.read) < end or parts[-1][0] == last):
+                last = parts[-1][0]
+                self.read += self._take(parts.pop())
+            self.cut = min(self.limit, self._before(parts[-1][0] * self.span - 1)) if parts else self.limit
+            rows, self.read = self.read, []
+            for row in rows:
+                self.add(row)
+            while self.next:
+                self.open = heapq.heappop(self.next)
+                of: dict = {}
+                for row in self.ready.pop(self.open):
                     of.setdefault(row[-1], []).append(row[:-1])
-                else:
-                    self.add(row)
-            for key, rows in of.items():
-                rows.sort(key=_turn)
-                yield from self._step(key, rows, timers)
+                for key, rows in of.items():
+                    if len(rows) > 1:
+                        rows.sort(key=_turn)
+                    yield from self._step(key, rows, timers)
+            if len(self.new) > PART_ROWS:
+                self._store()
+            if not parts:
+                break
+        self.limit, self.cut, self.open = NO_TIME, NO_TIME, None
 
     def _end(self, fired: int | None = None) -> None:
         self._store(INLINE_ROWS)
-        wake = [*self.first.values(), self.leave()]
+        wake = [first for first, _ in self.parts.values()]
+        if self.new:
+            wake.append(self.due(min(map(_time, self.new))))
+        if (own := self.leave()) is not None:
+            wake.append(own)
         self.values.close()
-        waiting = pickle.dumps((self.parts, self.first, self.new), 5)
-        self.parts, self.first, self.new = {}, {}, {}
-        timer = min((w for w in wake if w is not None), default=None)
+        waiting = pickle.dumps((self.parts, self.new), 5)
+        self.parts, self.new = {}, []
+        timer = min(wake, default=None)
         old = self.held[1]
         if timer != old:
             if old is not None and old != fired:  # one that fires is taken away by Spark
@@ -470,8 +513,7 @@ class InventoryProcessor(InOrder):
         own: list = []  # rows that the rule put into this bucket
 
         def later(row: tuple) -> None:
-            due = self.due(row[0])
-            if due <= self.watermark and due // self.span == self.open:
+            if row[0] < self.cut and self._bucket(row) == self.open:
                 heapq.heappush(own, (_turn(row), row))
             else:
                 self.add((*row, *key))
